@@ -138,3 +138,95 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type",
         value.cast("binary").alias("value"),
     )
+
+
+PAGE_BLOCK = 256
+
+
+def _rendered_rows(d: DataFrame) -> DataFrame:
+    """Text parts of each draw as a result page shows them."""
+    wide_digits = lambda text: F.translate(text, "0123456789", "０１２３４５６７８９")
+    plain = F.array_join(F.col("main_numbers").cast("array<string>"), " ")
+    label = F.when(
+        F.col("draw_no") % 3 == 0, F.lpad(F.col("draw_no").cast("string"), 9, "0")
+    ).otherwise(F.col("draw_no").cast("string"))
+    return d.select(
+        "lottery_type",
+        "draw_no",
+        F.date_format("draw_date", "yyyyMM").alias("month"),
+        F.floor(F.col("draw_no") / PAGE_BLOCK).cast("bigint").alias("block"),
+        F.concat(F.lit("第"), label, F.lit("回")).alias("label"),
+        F.date_format("draw_date", "yyyy/MM/dd").alias("day"),
+        F.when(F.col("draw_no") % 5 == 0, wide_digits(plain)).otherwise(plain).alias("main"),
+        F.array_join(F.reverse("main_numbers").cast("array<string>"), " ").alias("provisional"),
+        F.array_join(F.col("bonus_numbers").cast("array<string>"), " ").alias("bonus"),
+    )
+
+
+def _paged(rows: DataFrame, html: Column, order: list[Column]) -> DataFrame:
+    """One page per pool, month and block of draw numbers, so a page stays small."""
+    body = F.array_join(
+        F.transform(F.array_sort(F.collect_list(F.struct(*order, html.alias("html")))), lambda r: r["html"]),
+        "\n",
+    )
+    return rows.groupBy("lottery_type", "month", "block").agg(body.alias("body"))
+
+
+def _document(pages: DataFrame) -> DataFrame:
+    key = F.concat_ws("/", "lottery_type", "month", "block")
+    html = F.concat(
+        F.lit("<!DOCTYPE html><html><head><style>td{margin:0}</style><script>var t='<td>第1回</td>';"
+              "</script></head><body><!-- 第2回 --><table>"),
+        F.col("body"),
+        F.lit("</table></body></html>"),
+    )
+    return pages.select(
+        F.xxhash64(key).alias("page_id"),
+        F.concat(F.lit(URL_ROOT), "lottery_type", F.lit("/"), "month", F.lit("/?p="), "block").alias("url"),
+        html.alias("html"),
+        "lottery_type",
+        "month",
+    )
+
+
+def result_pages(spark: SparkSession, sf_dir: str, *, provisional: bool = False) -> DataFrame:
+    """Result pages of all draws plus the crawled ``pages`` as noise.
+
+    Every third month uses the labelled form. With ``provisional`` each draw
+    is listed twice, first with its main numbers reversed.
+    """
+    rows = _rendered_rows(draws(spark, sf_dir))
+    cells = lambda main: F.concat(
+        F.lit("<tr><td>"), "label", F.lit(" "), "day", F.lit("</td><td>"), main, F.lit("</td><td>"), "bonus",
+        F.lit("</td></tr>"),
+    )
+    spread = F.array_join(F.transform(F.split("main", " "), lambda n: F.concat(F.lit("<td>"), n, F.lit("</td>"))), "")
+    bonus = F.array_join(F.transform(F.split("bonus", " "), lambda n: F.concat(F.lit("<td>（"), n, F.lit("）</td>"))), "")
+    labelled = F.concat(
+        F.lit("<tr><th>回号</th><th>"), "label", F.lit("</th></tr><tr><th>抽せん日</th><td>"), "day",
+        F.lit("</td></tr><tr><th>本数字</th>"), spread, F.lit("</tr><tr><th>ボーナス数字</th>"), bonus, F.lit("</tr>"),
+    )
+    final = F.when(F.substring("month", 5, 2).cast("int") % 3 == 0, labelled).otherwise(cells(F.col("main")))
+    if provisional:
+        rows = rows.withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
+        html = F.when(F.col("version") == 0, cells(F.col("provisional"))).otherwise(cells(F.col("main")))
+        listed = _paged(rows, html, [F.col("version"), F.col("draw_no")])
+    else:
+        listed = _paged(rows, final, [F.col("draw_no")])
+    noise = table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html",
+        F.when(F.col("page_id") % 2 == 0, "loto6").otherwise("loto7").alias("lottery_type"),
+        F.lit(None).cast("string").alias("month"),
+    )
+    return _document(listed).unionByName(noise)
+
+
+def latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages in the newest-first form with one value per cell."""
+    rows = _rendered_rows(draws(spark, sf_dir))
+    numbers = F.concat_ws(" ", "main", "bonus")
+    cells = F.array_join(F.transform(F.split(numbers, " "), lambda n: F.concat(F.lit("<td>"), n, F.lit("</td>"))), "")
+    html = F.concat(
+        F.lit("<tr><td>"), "label", F.lit("</td><td>"), "day", F.lit("</td>"), cells, F.lit("</tr>")
+    )
+    return _document(_paged(rows, html, [-F.col("draw_no")]))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 
@@ -45,3 +46,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="drawlake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def prepare(spark: SparkSession, root: str | None = None) -> None:
+    """Session settings the operators rely on, and the package for remote workers.
+
+    ``root`` is the folder that holds the package. Executors of a cluster get
+    it as an archive, because their Arrow tasks import it.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if root is None or spark.conf.get("spark.drawlake.shipped", None):
+        return
+    archive = shutil.make_archive(
+        f"{tempfile.mkdtemp(prefix='drawlake-')}/drawlake", "zip", root_dir=root, base_dir="drawlake"
+    )
+    spark.sparkContext.addPyFile(archive)
+    spark.conf.set("spark.drawlake.shipped", "true")
