@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from drawlake.operators.pin import pin
 from drawlake.spec import by_pool, clean_type, is_known_type
 
 RULES = [
@@ -48,18 +49,16 @@ def number_errors(
 def with_errors(draws: DataFrame) -> DataFrame:
     """Add ``errors``; lottery_type is normalised, NULL arrays count as empty."""
     empty = F.array().cast("array<int>")
-    return (
+    cleaned = (
         draws.withColumn("lottery_type", clean_type("lottery_type"))
         .withColumn("main_numbers", F.coalesce("main_numbers", empty))
         .withColumn("bonus_numbers", F.coalesce("bonus_numbers", empty))
-        .withColumn(
-            "errors",
-            number_errors(
-                F.col("main_numbers"), F.col("bonus_numbers"), F.col("lottery_type"),
-                F.col("draw_no"), F.col("draw_date"),
-            ),
-        )
     )
+    errors = number_errors(
+        F.col("main_numbers"), F.col("bonus_numbers"), F.col("lottery_type"),
+        F.col("draw_no"), F.col("draw_date"),
+    )
+    return pin(cleaned, errors=errors)
 
 
 def split_valid(draws: DataFrame, *, on_error: str = "quarantine") -> tuple[DataFrame, DataFrame]:

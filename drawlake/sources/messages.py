@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from drawlake.operators.pin import pin
 from drawlake.spec import clean_type, is_known_type
 
 URI_PATTERN = r"^gs://([^/]+)/(.+)$"
@@ -32,39 +33,39 @@ def decode(messages: DataFrame) -> DataFrame:
     then the bare payload. problem: invalid_json, not_object, empty_data or
     invalid_data.
     """
-    parsed = messages.withColumn("_json", F.try_parse_json(F.col("value").cast("string")))
     json = F.col("_json")
-    wrapped = _is_object(F.try_variant_get(json, "$.message", "variant"))
-    opened = (
-        parsed.withColumn("_wrapped", wrapped)
-        .withColumn(
-            "_data",
-            F.when(F.col("_wrapped"), _text(json, "$.message.data")).otherwise(_text(json, "$.data")),
-        )
-        .withColumn("_inner", _from_base64(F.col("_data")))
-    )
-    bare = (
-        ~F.col("_wrapped")
-        & F.col("_data").isNull()
-        & F.coalesce(
+    parsed = pin(messages, _json=F.try_parse_json(F.col("value").cast("string")))
+    typed = pin(
+        parsed,
+        _object=_is_object(json),
+        _wrapped=_is_object(F.try_variant_get(json, "$.message", "variant")),
+        _bare=F.coalesce(
             F.try_variant_get(json, "$.lottery_type", "variant"),
             F.try_variant_get(json, "$.gcs_uri", "variant"),
             F.try_variant_get(json, "$.gcs_object", "variant"),
-        ).isNotNull()
+        ).isNotNull(),
+        _message_data=_text(json, "$.message.data"),
+        _own_data=_text(json, "$.data"),
+    )
+    opened = pin(
+        typed, _data=F.when(F.col("_wrapped"), F.col("_message_data")).otherwise(F.col("_own_data"))
     )
+    opened = pin(
+        opened,
+        _inner=_from_base64(F.col("_data")),
+        _bare=F.col("_bare") & ~F.col("_wrapped") & F.col("_data").isNull(),
+    )
+    inner, bare = F.col("_inner"), F.col("_bare")
     problem = (
         F.when(json.isNull(), "invalid_json")
-        .when(~_is_object(json), "not_object")
+        .when(~F.col("_object"), "not_object")
         .when(bare, F.lit(None))
         .when(F.col("_data").isNull(), "empty_data")
-        .when(F.col("_inner").isNull(), "invalid_data")
-        .when(~_is_object(F.col("_inner")), "not_object")
-    )
-    return (
-        opened.withColumn("problem", problem)
-        .withColumn("payload", F.when(bare, json).otherwise(F.col("_inner")))
-        .drop("_json", "_wrapped", "_data", "_inner")
+        .when(inner.isNull(), "invalid_data")
+        .when(~_is_object(inner), "not_object")
     )
+    decoded = pin(opened, problem=problem, payload=F.when(bare, json).otherwise(inner))
+    return decoded.drop(*[c for c in decoded.columns if c.startswith("_")])
 
 
 def resolve(decoded: DataFrame, *, default_bucket: str | None = None, notify_default: bool = True) -> DataFrame:
@@ -75,29 +76,39 @@ def resolve(decoded: DataFrame, *, default_bucket: str | None = None, notify_def
     payload, so a redelivered message keeps its id.
     """
     payload = F.col("payload")
-    name = F.coalesce(*[_text(payload, f"$.{f}") for f in OBJECT_FIELDS])
-    bucket = F.coalesce(_text(payload, "$.gcs_bucket"), F.lit(default_bucket))
-    uri = F.coalesce(_text(payload, "$.gcs_uri"), F.concat(F.lit("gs://"), bucket, F.lit("/"), name))
-    flag = F.try_variant_get(payload, "$.notify", "string")
-    is_text = F.coalesce(F.schema_of_variant(F.try_variant_get(payload, "$.notify", "variant")) == "STRING", F.lit(False))
+    fields = pin(
+        decoded,
+        execution_id=F.coalesce(
+            _text(payload, "$.execution_id"), F.sha2(F.to_json(payload), 256)
+        ),
+        lottery_type=clean_type(F.coalesce(_text(payload, "$.lottery_type"), F.lit(""))),
+        draw_no=_text(payload, "$.draw_no").try_cast("bigint"),
+        draw_date=_text(payload, "$.draw_date"),
+        _uri=_text(payload, "$.gcs_uri"),
+        _bucket=F.coalesce(_text(payload, "$.gcs_bucket"), F.lit(default_bucket)),
+        _name=F.coalesce(*[_text(payload, f"$.{f}") for f in OBJECT_FIELDS]),
+        _flag=F.try_variant_get(payload, "$.notify", "string"),
+        _flag_type=F.schema_of_variant(F.try_variant_get(payload, "$.notify", "variant")),
+    )
+    flag = F.col("_flag")
     # A text flag is true unless empty; a boolean or number counts by value.
-    notify = F.when(flag.isNull(), F.lit(notify_default)).when(is_text, flag != "").otherwise(
-        ~flag.isin("false", "0", "0.0")
+    notify = (
+        F.when(flag.isNull(), F.lit(notify_default))
+        .when(F.col("_flag_type") == "STRING", flag != "")
+        .otherwise(~flag.isin("false", "0", "0.0"))
+    )
+    located = pin(
+        fields,
+        gcs_uri=F.coalesce("_uri", F.concat(F.lit("gs://"), "_bucket", F.lit("/"), "_name")),
+        notify=notify,
+    )
+    uri = F.col("gcs_uri")
+    resolved = pin(
+        located,
+        bucket=F.nullif(F.regexp_extract(uri, URI_PATTERN, 1), F.lit("")),
+        object=F.nullif(F.regexp_extract(uri, URI_PATTERN, 2), F.lit("")),
     )
-    return decoded.withColumns(
-        {
-            "execution_id": F.coalesce(
-                _text(payload, "$.execution_id"), F.sha2(F.to_json(payload), 256)
-            ),
-            "lottery_type": clean_type(F.coalesce(_text(payload, "$.lottery_type"), F.lit(""))),
-            "gcs_uri": uri,
-            "bucket": F.nullif(F.regexp_extract(uri, URI_PATTERN, 1), F.lit("")),
-            "object": F.nullif(F.regexp_extract(uri, URI_PATTERN, 2), F.lit("")),
-            "draw_no": _text(payload, "$.draw_no").try_cast("bigint"),
-            "draw_date": _text(payload, "$.draw_date"),
-            "notify": notify,
-        }
-    ).drop("payload", "value")
+    return resolved.drop("payload", "value", *[c for c in resolved.columns if c.startswith("_")])
 
 
 def split_messages(messages: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:
@@ -109,7 +120,7 @@ def split_messages(messages: DataFrame, **options: object) -> tuple[DataFrame, D
         .when(F.col("gcs_uri").isNull(), "missing_uri")
         .when(F.col("bucket").isNull() | F.col("object").isNull(), "invalid_uri")
     )
-    checked = resolved.withColumn("reason", reason).drop("problem")
+    checked = pin(resolved, reason=reason).drop("problem")
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(
         F.col("reason").isNotNull()
     )

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from drawlake.functions.arrays import bind, first_numbers
+from drawlake.functions.arrays import first_numbers
 from drawlake.functions.text import ascii_digits, drop_invisible, normalise_page, visible_text
+from drawlake.operators.pin import pin
 from drawlake.operators.validate import number_errors
 from drawlake.spec import POOLS, PoolSpec, by_pool
 
@@ -101,15 +102,12 @@ def page_draws(pages: DataFrame, *, strict_page: bool = False) -> DataFrame:
     candidates = pages.filter(
         F.col("html").contains("第") & F.col("html").contains("回") & kind.isin(*POOLS)
     )
-    html = drop_invisible(F.col("html"))
-    found = bind(
-        html,
-        lambda h: bind(
-            labelled_draws(kind, h), lambda full: F.when(F.size(full) > 0, full).otherwise(row_draws(kind, h))
-        ),
-    )
+    readable = pin(candidates, _html=drop_invisible(F.col("html")))
+    labelled = pin(readable, _full=labelled_draws(kind, F.col("_html")))
+    found = F.when(F.size("_full") > 0, F.col("_full")).otherwise(row_draws(kind, F.col("_html")))
+    parsed = pin(labelled, _found=found)
     checked = F.transform(
-        found,
+        "_found",
         lambda d: F.struct(
             d["draw_no"].alias("draw_no"),
             d["draw_date"].alias("draw_date"),
@@ -118,8 +116,8 @@ def page_draws(pages: DataFrame, *, strict_page: bool = False) -> DataFrame:
             number_errors(d["main_numbers"], d["bonus_numbers"], kind, d["draw_no"], d["draw_date"]).alias("errors"),
         ),
     )
-    parsed = candidates.select(
-        "page_id", "lottery_type", "month", F.col("url").alias("source_url"), checked.alias("_draws")
+    parsed = pin(parsed, _draws=checked).select(
+        "page_id", "lottery_type", "month", F.col("url").alias("source_url"), "_draws"
     )
     if strict_page:
         parsed = parsed.filter(F.forall("_draws", lambda d: F.size(d["errors"]) == 0))
@@ -150,18 +148,17 @@ def latest_page_draws(pages: DataFrame) -> DataFrame:
             ),
         )
 
-    labelled = F.filter(table_rows(drop_invisible(F.col("html"))), lambda r: r.startswith("第"))
-    rows = F.array_compact(
+    rows = pin(pages.filter(F.col("html").contains("第")), _rows=table_rows(drop_invisible(F.col("html"))))
+    parsed = F.array_compact(
         F.transform(
-            labelled,
-            lambda r: parse(F.filter(F.transform(F.split(r, r"\|"), F.trim), lambda c: c != "")),
+            F.filter("_rows", lambda r: r.startswith("第")),
+            lambda r: parse(F.filter(F.transform(F.split(r, r"\|"), lambda c: F.trim(c)), lambda c: c != "")),
         )
     )
     return (
-        pages.filter(F.col("html").contains("第"))
-        .select("page_id", "lottery_type", F.col("url").alias("source_url"), F.get(rows, F.lit(0)).alias("_draw"))
+        pin(rows, _draw=F.get(parsed, F.lit(0)))
         .filter(F.col("_draw").isNotNull())
-        .select("page_id", "lottery_type", "source_url", "_draw.*")
+        .select("page_id", "lottery_type", F.col("url").alias("source_url"), "_draw.*")
     )
 
 
