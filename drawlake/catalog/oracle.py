@@ -292,12 +292,12 @@ def shown(numbers: str, weights: str) -> str:
     return f"list_transform(list_sort(list_transform({numbers}, lambda m: {{'k': -({QUANT.format(weights + '[m]')}), 'n': m}})), lambda e: e.n)"
 
 
-def default_ctes(source: str) -> tuple[str, ...]:
+def default_ctes(source: str, name: str = "gen", done: str = "default_done") -> tuple[str, ...]:
     """Default generator over rows (run, lottery_type, pool, pick, seed, main_scores); 5 tickets.
 
     The recursion accepts or refuses one sampled ticket per step.
     """
-    return (
+    parts = (
         f"""
 gen_w AS MATERIALIZED (
   SELECT run, pool, pick, seed, list_transform({SCALED.format('main_scores', 'pool')}, lambda v: 1.0::DOUBLE + pow(v, 0.85::DOUBLE)) AS w
@@ -342,6 +342,12 @@ gen(run, pool, pick, seed, w, tickets, keys, attempt) AS (
 default_done AS MATERIALIZED (
   SELECT run, unnest(tickets) AS ticket, unnest(range(1, 6))::INT AS ticket_no FROM gen WHERE len(tickets) = 5)""",
     )
+    if name == "gen":
+        return parts
+    renames = {"gen_": f"{name}_", "gen(": f"{name}(", "FROM gen ": f"FROM {name} ", "default_done": done}
+    for old, new in renames.items():
+        parts = tuple(p.replace(old, new) for p in parts)
+    return parts
 
 
 def profile_ctes(source: str, shift: int) -> tuple[str, ...]:
@@ -532,6 +538,56 @@ tuned AS MATERIALIZED (
 register("tune_weights", *TUNED, recursive=True, select=f"""
 SELECT series, frequency, recent, recency, {r6('optimizer_score')} AS optimizer_score, optimizer_rounds FROM tuned""")
 
+
+
+def coming(pool: str, w: tuple[str, ...]) -> str:
+    """Scores for the next draw of each series with its tuned weights, as a list."""
+    return whole(f"n{pool}", pool, w).replace(
+        f"FROM n{pool}_extents e LEFT JOIN n{pool}_counts c USING (series, number)) e)",
+        f"FROM n{pool}_extents e LEFT JOIN n{pool}_counts c USING (series, number)) e JOIN tuned g USING (series))",
+    ) + f""",
+n{pool}_list AS (
+  SELECT s.series, list(x.score ORDER BY n.number) AS {pool}_scores
+  FROM tuned s CROSS JOIN (SELECT unnest(range(1, 44))::INT AS number) n
+  LEFT JOIN n{pool} x ON x.series = s.series AND x.number = n.number GROUP BY s.series)"""
+
+
+_TUNED_BONUS = ("(g.frequency * 0.9::DOUBLE)", "(g.recent * 0.8::DOUBLE)", "(g.recency * 1.0::DOUBLE)",
+                "(0.8::DOUBLE * 1.2::DOUBLE)", "(0.4::DOUBLE * 0.5::DOUBLE)")
+PREDICTED = (
+    *TUNED, coming("main", _GRID_W), coming("bonus", _TUNED_BONUS), f"""
+payload AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY t.series) AS run, t.*, md5(t.series || '|{AS_OF}') AS execution_id,
+         ('0x' || substr(md5(md5(t.series || '|{AS_OF}')), 1, 7))::BIGINT AS seed, l.lottery_type, l.pool, l.pick, l.history_count,
+         l.latest_draw_no, l.draw_date, m.main_scores, b.bonus_scores
+  FROM tuned t JOIN nmain_list m USING (series) JOIN nbonus_list b USING (series) JOIN (
+    SELECT series, lottery_type, pool, pick, count(*) AS history_count, max(draw_no) AS latest_draw_no, arg_max(draw_date, draw_no)::VARCHAR AS draw_date
+    FROM ranked GROUP BY ALL) l USING (series))""",
+    "coming_six AS (SELECT * FROM payload WHERE lottery_type = 'loto6')",
+    "coming_seven AS (SELECT * FROM payload WHERE lottery_type = 'loto7')",
+    *default_ctes("coming_six", "nxt", "nxt_done"), *profile_ctes("coming_seven", 10000), """
+predicted AS MATERIALIZED (
+  SELECT p.*, t.ticket_no, t.ticket FROM payload p JOIN
+    (SELECT run, ticket_no, ticket FROM nxt_done UNION ALL SELECT run, ticket_no, ticket FROM profile_done) t USING (run))""",
+)
+register("tuned_prediction_run", *PREDICTED, recursive=True, select=f"""
+SELECT execution_id, series, 100 AS history_limit, history_count, count(*) AS prediction_count,
+       string_agg(array_to_string(ticket, ' '), ';' ORDER BY ticket_no) AS predictions, '{AS_OF}' AS created_at, 'SUCCESS' AS status,
+       latest_draw_no, draw_date, 'mixed' AS strategy, seed, frequency, recent, recency, {r6('optimizer_score')} AS optimizer_score, optimizer_rounds
+FROM predicted GROUP BY ALL""")
+register("prediction_rows", *PREDICTED, recursive=True, select=f"""
+SELECT execution_id, lottery_type, latest_draw_no AS draw_no, draw_date, ticket_no AS prediction_index,
+       {', '.join(f'ticket[{i}] AS n{i}' for i in range(1, 8))}, 1 AS message_sent, '{AS_OF}' AS created_at FROM predicted""")
+register("run_digest", *PREDICTED, recursive=True, select="""
+SELECT execution_id, lottery_type, 'SUCCESS' AS status,
+       upper(lottery_type) || ' 予想' || chr(10) || '回号: 第' || latest_draw_no || '回' || chr(10) || '実行日時: 2026-01-02 12:04:05' || chr(10)
+       || '対象履歴: 直近' || history_count || '件' || chr(10) || '予想口数: ' || count(*) || '口' || chr(10) || '戦略: mixed' || chr(10) || chr(10)
+       || string_agg(ticket_no || '口目: ' || array_to_string(ticket, ' '), chr(10) ORDER BY ticket_no) AS message
+FROM predicted GROUP BY execution_id, lottery_type, latest_draw_no, history_count""")
+register("recent_runs", *PREDICTED, recursive=True, select=f"""
+SELECT execution_id, ticket_no AS prediction_index, lottery_type, latest_draw_no AS draw_no, '{AS_OF}' AS created_at
+FROM predicted ORDER BY execution_id DESC, ticket_no DESC LIMIT 20""")
+
 # --- pages -------------------------------------------------------------------------------------
 
 register("page_months", D, select="""
@@ -570,3 +626,6 @@ register("stream_dedupe", MESSAGES, select="SELECT DISTINCT execution_id FROM se
 register("audit_trail", MESSAGES, select="""
 SELECT execution_id, 'stage_' || event_type AS stage, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
        object AS gcs_object, draw_no, ts::DATE::VARCHAR AS executed_date FROM located WHERE NOT broken""")
+register("unsent_messages", MESSAGES, select="""
+SELECT DISTINCT execution_id FROM sent WHERE NOT broken
+  AND execution_id NOT IN (SELECT execution_id FROM sent WHERE NOT broken AND event_type = 'purchase')""")

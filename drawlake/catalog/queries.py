@@ -598,3 +598,11 @@ def audit_trail(spark, sf):
         F.col("event_time").alias("executed_at"),
     )
     return audit.audit_rows(rows).select("execution_id", "stage", "status", "gcs_object", "draw_no", "executed_date")
+
+
+@query
+def unsent_messages(spark, sf):
+    """Messages without a run; here purchases count as already run."""
+    good, _ = messages.split_messages(fixtures.messages(spark, sf))
+    runs = good.filter(F.col("event_type") == "purchase").select("execution_id")
+    return jobs.unsent(good, runs).select("execution_id")

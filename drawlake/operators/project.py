@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from drawlake.functions.arrays import (
-    bonus_from_wide, from_mask, main_from_wide, to_mask, wide_bonus, wide_main,
+    bonus_from_wide, main_from_wide, wide_bonus, wide_main,
 )
+from drawlake.operators.pin import pin
 from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS, by_pool, clean_type
 
 WIDE_NUMBERS = [*MAIN_COLUMNS, *BONUS_COLUMNS]
@@ -52,8 +53,8 @@ def target_sets(draws: DataFrame) -> DataFrame:
     """Distinct ascending main and bonus numbers of a target draw."""
     return draws.withColumns(
         {
-            "target_main": from_mask(to_mask(F.col("main_numbers"))),
-            "target_bonus": from_mask(to_mask(F.col("bonus_numbers"))),
+            "target_main": F.array_sort(F.array_distinct("main_numbers")),
+            "target_bonus": F.array_sort(F.array_distinct("bonus_numbers")),
         }
     )
 
@@ -63,12 +64,11 @@ def normalise_rows(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Rows without a positive draw_no are dropped; bonus columns may be NULL.
     """
-    typed = wide.withColumns(
-        {
-            "lottery_type": clean_type("lottery_type"),
-            "draw_no": F.coalesce(F.col("draw_no").try_cast("bigint"), F.lit(0)),
-            **{c: F.col(c).try_cast("int") for c in WIDE_NUMBERS},
-        }
+    typed = pin(
+        wide,
+        lottery_type=clean_type("lottery_type"),
+        draw_no=F.coalesce(F.col("draw_no").try_cast("bigint"), F.lit(0)),
+        **{c: F.col(c).try_cast("int") for c in WIDE_NUMBERS},
     ).filter(F.col("draw_no") > 0)
     needed = F.slice(
         F.array(*[F.col(c) for c in MAIN_COLUMNS]), F.lit(1), by_pool("lottery_type", "pick")

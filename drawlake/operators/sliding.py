@@ -56,6 +56,7 @@ def window_features(
     keep: list[str] = (),
     pools: tuple[str, ...] = ("main", "bonus"),
     weights: ScoreWeights | None = None,
+    target_col: str | None = None,
 ) -> DataFrame:
     """One row per (draw, limit) with at least one earlier draw.
 
@@ -64,6 +65,9 @@ def window_features(
     idx) indexed by number - 1; idx counts draws since the number was seen.
     With ``weights`` the finished scores come out instead (main_scores,
     bonus_scores), NULL for numbers outside the observed range of the window.
+
+    ``target_col`` names a boolean column that marks the draws to evaluate;
+    chunks without a marked draw are dropped before the shuffle.
     """
     limits = check_limits(limits)
     limit = F.col("history_limit")
@@ -74,6 +78,7 @@ def window_features(
         to_mask(F.col("main_numbers")).alias("main_mask"),
         to_mask(F.col("bonus_numbers")).alias("bonus_mask"),
         *keep,
+        (F.col(target_col) if target_col else F.lit(True)).alias("_is_target"),
     ).withColumn(
         "history_limit", F.explode(F.array(*[F.lit(n).cast("bigint") for n in limits]))
     )
@@ -84,6 +89,9 @@ def window_features(
     chunked = draws.withColumn("_home", home).withColumn(
         "_chunk", F.explode(F.when(lends, F.array(home, home + 1)).otherwise(F.array(home)))
     )
+    if target_col:
+        wanted = chunked.filter(F.col("_is_target") & (F.col("_home") == F.col("_chunk")))
+        chunked = chunked.join(wanted.select(*keys).distinct(), keys, "left_semi")
     carried = [*series_cols, "rk", "history_limit", "main_mask", "bonus_mask", *keep]
     schema = T.StructType(
         [draws.schema[c] for c in carried]
@@ -114,7 +122,8 @@ def chunk_counter(
         chunk = chunk.sort_by("rk")
         rk = chunk["rk"].to_numpy()
         limit = int(chunk["history_limit"][0].as_py())
-        own = (chunk["_home"].to_numpy() == chunk["_chunk"].to_numpy()) & (rk > 1)
+        at_home = chunk["_home"].to_numpy() == chunk["_chunk"].to_numpy()
+        own = at_home & (rk > 1) & chunk["_is_target"].to_numpy()
         rows = np.flatnonzero(own)
         trained = np.minimum(limit, rk[rows] - 1)
         recent_share = np.maximum(1, trained * 3 // 10)

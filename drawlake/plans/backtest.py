@@ -33,16 +33,21 @@ def scored_targets(
     is one. Targets that do not exist are reported by ``missing_targets``.
     """
     ranked = rank_draws(draws, series_cols, unique=unique)
-    scored = window_features(
+    target_col = None
+    if targets is not None:
+        target_col = "is_target"
+        marked = targets.select(*series_cols, "draw_no").distinct().withColumn(target_col, F.lit(True))
+        ranked = ranked.join(marked, [*series_cols, "draw_no"], "left").withColumn(
+            target_col, F.coalesce(target_col, F.lit(False))
+        )
+    return window_features(
         ranked,
         series_cols,
         limits,
         keep=[c for c in ("lottery_type", "draw_no", "draw_date") if c not in series_cols],
         weights=weights,
+        target_col=target_col,
     )
-    if targets is None:
-        return scored
-    return scored.join(targets, [*series_cols, "draw_no"], "left_semi")
 
 
 def missing_targets(draws: DataFrame, targets: DataFrame, series_cols: list[str]) -> DataFrame:

@@ -16,11 +16,17 @@ BROADCAST_ROWS = 1_000_000
 LANDING_BLOCK = 100_000
 
 
-def write_history(rows: DataFrame, path: str, *, mode: str = "append") -> None:
-    """Partitioned by pool, range-ordered by draw_no so that scans skip row groups."""
+def write_history(
+    rows: DataFrame, path: str, *, mode: str = "append", unique: bool = True
+) -> None:
+    """Partitioned by pool, ordered by draw_no so that scans skip row groups.
+
+    Rows with unique keys are also range-partitioned. Copies of one key would
+    all meet in one range, so without ``unique`` rows stay where they are.
+    """
+    placed = rows.repartitionByRange("lottery_type", "draw_no") if unique else rows
     (
-        rows.repartitionByRange("lottery_type", "draw_no")
-        .sortWithinPartitions(*KEYS)
+        placed.sortWithinPartitions(*KEYS)
         .write.mode(mode)
         .partitionBy("lottery_type")
         .parquet(path)
@@ -130,11 +136,12 @@ def import_rows(
     """
     from drawlake.session import scratch_path
 
-    history = spark.read.parquet(path)
-    fresh = new_rows(history, rows, dedupe=dedupe) if check_existing else rows
+    fresh = rows
+    if check_existing:
+        fresh = new_rows(spark.read.parquet(path), rows, dedupe=dedupe)
     # Fix the new rows in a staged table first: the append changes the history they depend on.
     staged_path = scratch_path(spark, "import")
     fresh.write.parquet(staged_path)
     staged = spark.read.parquet(staged_path)
-    write_history(staged, path)
+    write_history(staged, path, unique=dedupe and check_existing)
     return import_metrics(rows, staged)

@@ -44,8 +44,7 @@ def import_stream(
     schema = stream.schema
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
-            return
+        batch = batch.persist()
         known = history.select(*KEYS)
         if batch_id > 0:
             known = known.unionByName(earlier_batches(spark, table, schema, batch_id).select(*KEYS))
@@ -68,6 +67,7 @@ def import_stream(
             F.current_timestamp().alias("executed_at"),
         )
         _write_audit(rows, _batch_folder(audit, batch_id))
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(import_batch)
