@@ -100,8 +100,10 @@ def latest_per_series(
     """
     newest = Window.partitionBy(*series_cols).orderBy(F.desc(order_col))
     return (
-        draws.withColumn("draw_idx", F.row_number().over(newest) - 1)
-        .filter(F.col("draw_idx") < limit)
+        draws.withColumn("_position", F.row_number().over(newest))
+        .filter(F.col("_position") <= limit)
+        .withColumn("draw_idx", F.col("_position") - 1)
         .withColumn("series_size", F.count(F.lit(1)).over(Window.partitionBy(*series_cols)))
         .withColumn("rk", F.col("series_size") - F.col("draw_idx"))
+        .drop("_position")
     )
