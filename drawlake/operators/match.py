@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from drawlake.functions.arrays import overlap
 from drawlake.operators.weights import profile_name
-from drawlake.spec import TIER_LABELS
+from drawlake.spec import MAX_BONUS, MAX_PICK, TIER_LABELS
 
 # Fixed values per pool: (main matches, bonus needed, tier or points), best first.
 TIERS = {
@@ -22,13 +22,25 @@ NEAR_MISS = {
 }
 
 
+_BONUS_WIDTH = MAX_BONUS + 1
+
+
+def _table(rules: dict, pool: str) -> Column:
+    """Rules of a pool as a constant array indexed by main * width + bonus."""
+    values = [
+        next((v for need, extra, v in rules[pool] if main == need and bonus >= extra), 0)
+        for main in range(MAX_PICK + 1)
+        for bonus in range(_BONUS_WIDTH)
+    ]
+    return F.array(*[F.lit(v) for v in values])
+
+
 def _lookup(rules: dict, lottery_type: Column, main: Column, bonus: Column) -> Column:
-    case = None
-    for pool, rows in rules.items():
-        for need, need_bonus, value in rows:
-            condition = (lottery_type == pool) & (main == need) & (bonus >= need_bonus)
-            case = F.when(condition, value) if case is None else case.when(condition, value)
-    return case.otherwise(0)
+    first, second = TIERS
+    table = F.when(lottery_type == first, _table(rules, first)).when(
+        lottery_type == second, _table(rules, second)
+    )
+    return F.get(table, main * _BONUS_WIDTH + F.least(bonus, F.lit(MAX_BONUS)))
 
 
 def prize_tier(lottery_type: Column, main: Column, bonus: Column) -> Column:
@@ -39,6 +51,26 @@ def near_miss(lottery_type: Column, main: Column, bonus: Column) -> Column:
     return _lookup(NEAR_MISS, lottery_type, main, bonus)
 
 
+def outcome_key(points: Column, main: Column, bonus: Column, tier: Column) -> Column:
+    """(points, main, bonus, tier) as one BIGINT in the same order.
+
+    A maximum over a number stays in hash aggregation; over a struct it would
+    fall back to sorting.
+    """
+    return ((points * 10 + main) * 10 + bonus) * 10 + tier
+
+
+def outcome_parts(key: Column) -> dict[str, Column]:
+    """The fields of an outcome key."""
+    digit = lambda place: F.floor(key / place).cast("int") % 10
+    return {
+        "near_miss_score": F.floor(key / 1000).cast("int"),
+        "main_match": digit(100),
+        "bonus_match": digit(10),
+        "prize_tier": digit(1),
+    }
+
+
 def tier_label(tier: Column) -> Column:
     case = F.when(tier == 1, TIER_LABELS[1])
     for value, label in TIER_LABELS.items():

@@ -155,55 +155,54 @@ def generate_tickets(
 def _ticket_batches(
     kept: list[str], count: int, strategy: str
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shift = MIXED_SEED_SHIFT if strategy == "mixed" else 0
+
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             types = batch["lottery_type"].to_numpy(zero_copy_only=False)
-            seeds = batch["seed"].to_numpy()
-            main = list_matrix(batch["main_scores"])
-            bonus, has_bonus = None, np.zeros(batch.num_rows, bool)
+            has_bonus = np.zeros(batch.num_rows, bool)
             if "bonus_scores" in batch.schema.names:
-                bonus = list_matrix(batch["bonus_scores"])
                 has_bonus = batch["bonus_scores"].is_valid().to_numpy(zero_copy_only=False)
-            tickets: list[list[list[int]]] = [[]] * batch.num_rows
-            masks: list[list[int]] = [[]] * batch.num_rows
-            errors: list[str | None] = [TOO_FEW] * batch.num_rows
             for name, pool in POOLS.items():
-                profiled = (types == name) & (name == "loto7") & (strategy != "default") & has_bonus
-                usual = (types == name) & ~profiled & (strategy != "second_prize_oriented")
-                shift = MIXED_SEED_SHIFT if strategy == "mixed" else 0
-                for chosen, is_profiled in ((profiled, True), (usual, False)):
+                of_pool = types == name
+                profiled = of_pool & has_bonus & (name == "loto7") & (strategy != "default")
+                for chosen, by_profile in ((profiled, True), (of_pool & ~profiled, False)):
                     rows = np.flatnonzero(chosen)
                     if not len(rows):
                         continue
-                    book = (
-                        profile_book(main[rows, : pool.high], bonus[rows, : pool.high], count, seeds[rows] + shift)
-                        if is_profiled
-                        else default_book(main[rows, : pool.high], pool, count, seeds[rows])
+                    part = batch.take(pa.array(rows))
+                    seeds = part["seed"].to_numpy()
+                    main = list_matrix(part["main_scores"])[:, : pool.high]
+                    message = TOO_FEW
+                    if by_profile:
+                        bonus = list_matrix(part["bonus_scores"])[:, : pool.high]
+                        book = profile_book(main, bonus, count, seeds + shift)
+                    elif strategy == "second_prize_oriented":
+                        message = ONLY_SEVEN
+                        book = K.TicketBook(len(rows), count, pool.pick, pool.high)
+                    else:
+                        book = default_book(main, pool, count, seeds)
+                    yield pa.RecordBatch.from_arrays(
+                        [*[part[c] for c in kept], *_book_columns(book, message)],
+                        names=[*kept, "tickets", "ticket_masks", "error"],
                     )
-                    _fill(book, rows, tickets, masks, errors)
-            if strategy == "second_prize_oriented":
-                for row in np.flatnonzero(types != "loto7"):
-                    errors[row] = ONLY_SEVEN
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *[batch[c] for c in kept],
-                    pa.array(tickets, pa.list_(pa.list_(pa.int32()))),
-                    pa.array(masks, pa.list_(pa.int64())),
-                    pa.array(errors, pa.string()),
-                ],
-                names=[*kept, "tickets", "ticket_masks", "error"],
-            )
 
     return generate
 
 
-def _fill(book: K.TicketBook, rows: np.ndarray, tickets: list, masks: list, errors: list) -> None:
-    numbers, sets = book.numbers.tolist(), book.masks.tolist()
-    for i, (row, found) in enumerate(zip(rows.tolist(), book.found.tolist())):
-        tickets[row] = numbers[i][:found]
-        masks[row] = sets[i][:found]
-        if found == book.count:
-            errors[row] = None
+def _book_columns(book: K.TicketBook, message: str) -> list[pa.Array]:
+    """tickets, ticket_masks and error of a batch, built without per-row objects."""
+    used = np.arange(book.count) < book.found[:, None]
+    ends = np.concatenate([[0], np.cumsum(book.found)]).astype(np.int32)
+    numbers = book.numbers[used]
+    starts = np.arange(0, numbers.size + 1, numbers.shape[1], dtype=np.int32)
+    tickets = pa.ListArray.from_arrays(starts, pa.array(numbers.ravel()))
+    failed = book.found < book.count
+    return [
+        pa.ListArray.from_arrays(ends, tickets),
+        pa.ListArray.from_arrays(ends, pa.array(book.masks[used])),
+        pa.array(np.full(len(failed), message, object), pa.string(), mask=~failed),
+    ]
 
 
 def list_matrix(column: pa.Array) -> np.ndarray:

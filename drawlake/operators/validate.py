@@ -25,11 +25,10 @@ def number_errors(
 ) -> Column:
     known = is_known_type(lottery_type)
     numbers = F.concat(main, bonus)
-    out = F.exists(
-        numbers,
-        lambda n: n.isNull()
-        | (n < by_pool(lottery_type, "low"))
-        | (n > by_pool(lottery_type, "high")),
+    out = (
+        (F.size(F.array_compact(numbers)) < F.size(numbers))
+        | (F.array_min(numbers) < by_pool(lottery_type, "low"))
+        | (F.array_max(numbers) > by_pool(lottery_type, "high"))
     )
     checks = {
         "unsupported_type": ~known,

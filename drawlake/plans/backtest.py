@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from drawlake.functions.arrays import from_mask
-from drawlake.operators.match import judged_tickets, tier_label, ticket_structs
+from drawlake.operators.match import (
+    judged_tickets, outcome_key, outcome_parts, tier_label, ticket_structs,
+)
 from drawlake.operators.rank import rank_draws
 from drawlake.operators.scores import ScoreWeights
 from drawlake.operators.sliding import window_features
@@ -104,27 +106,25 @@ def best_of_runs(runs: DataFrame) -> DataFrame:
     best = F.array_max(
         F.transform(
             F.col("_judged"),
-            lambda t: F.struct(
-                t["near_miss_score"].alias("score"),
-                t["main_match"].alias("main"),
-                t["bonus_match"].alias("bonus"),
-                t["prize_tier"].alias("tier"),
+            lambda t: outcome_key(
+                t["near_miss_score"], t["main_match"], t["bonus_match"], t["prize_tier"]
             ),
         )
     )
     judged = (
         runs.withColumn("_judged", ticket_structs())
-        .withColumn("_best", best)
+        .withColumn("best_key", F.coalesce(best, F.lit(0)))
         .withColumn("ticket_count", F.size("tickets"))
     )
-    zero = F.lit(0)
+    parts = outcome_parts(F.col("best_key"))
     return judged.select(
         *[c for c in runs.columns if c not in ("tickets", "ticket_masks")],
         "ticket_count",
-        F.coalesce("_best.main", zero).alias("best_main_match"),
-        F.coalesce("_best.bonus", zero).alias("best_bonus_match"),
-        F.coalesce("_best.score", zero).alias("best_near_miss_score"),
-        F.coalesce("_best.tier", zero).alias("best_tier"),
+        "best_key",
+        parts["main_match"].alias("best_main_match"),
+        parts["bonus_match"].alias("best_bonus_match"),
+        parts["near_miss_score"].alias("best_near_miss_score"),
+        parts["prize_tier"].alias("best_tier"),
         F.exists("_judged", lambda t: t["prize_tier"] == 1).alias("first_prize_found"),
         F.exists("_judged", lambda t: t["prize_tier"] == 2).alias("second_prize_found"),
         F.col("_judged").alias("judged"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from drawlake.operators.match import tier_label
+from drawlake.operators.match import outcome_key, outcome_parts, tier_label
 from drawlake.spec import TIER_LABELS
 
 TOP_ROWS = 30
@@ -29,12 +29,9 @@ def group_summary(runs: DataFrame, scope: list[str]) -> DataFrame:
     by_target = F.col("draw_no").alias("target_draw_no")
     keys = runs.select(
         *scope, by_target, "history_limit", "seed", "first_prize_found", "second_prize_found",
-        "best_near_miss_score", "best_main_match", "best_bonus_match", "best_tier",
+        "best_near_miss_score", "best_key",
     )
     sets = [[*scope, "target_draw_no"], [*scope, "history_limit"], [*scope, "seed"]]
-    best = F.max(
-        F.struct("best_near_miss_score", "best_main_match", "best_bonus_match", "best_tier")
-    )
     grouped = keys.groupingSets(
         [[F.col(c) for c in s] for s in sets], *scope, "target_draw_no", "history_limit", "seed"
     ).agg(
@@ -43,9 +40,10 @@ def group_summary(runs: DataFrame, scope: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("runs"),
         F.count_if("first_prize_found").alias("first_runs"),
         F.count_if("second_prize_found").alias("second_runs"),
-        best.alias("best"),
+        F.max("best_key").alias("best_key"),
         F.avg("best_near_miss_score").alias("avg_best_score"),
     )
+    best = outcome_parts(F.col("best_key"))
     return grouped.select(
         *scope,
         F.when(F.col("_no_target") == 0, "target")
@@ -56,20 +54,23 @@ def group_summary(runs: DataFrame, scope: list[str]) -> DataFrame:
         "runs",
         "first_runs",
         "second_runs",
-        F.col("best.best_main_match").alias("best_main_match"),
-        F.col("best.best_bonus_match").alias("best_bonus_match"),
-        tier_label(F.col("best.best_tier")).alias("best_prize"),
+        best["main_match"].alias("best_main_match"),
+        best["bonus_match"].alias("best_bonus_match"),
+        tier_label(best["prize_tier"]).alias("best_prize"),
         "avg_best_score",
     )
 
 
 def ticket_summary(tickets: DataFrame, scope: list[str]) -> DataFrame:
     """Per ticket number and profile: tier counts, best match, average points."""
-    best = F.max(F.struct("near_miss_score", "main_match", "bonus_match"))
+    key = outcome_key(
+        F.col("near_miss_score"), F.col("main_match"), F.col("bonus_match"), F.col("prize_tier")
+    )
+    best = outcome_parts(F.col("best_key"))
     grouped = tickets.groupBy(*scope, "ticket_no", "profile_name").agg(
         F.count(F.lit(1)).alias("tickets"),
         *[F.count_if(F.col("prize_tier") == t).alias(f"tier_{t}") for t in range(1, 7)],
-        best.alias("best"),
+        F.max(key).alias("best_key"),
         F.avg("near_miss_score").alias("avg_score"),
     )
     return grouped.select(
@@ -78,8 +79,8 @@ def ticket_summary(tickets: DataFrame, scope: list[str]) -> DataFrame:
         "profile_name",
         "tickets",
         *[f"tier_{t}" for t in range(1, 7)],
-        F.col("best.main_match").alias("best_main_match"),
-        F.col("best.bonus_match").alias("best_bonus_match"),
+        best["main_match"].alias("best_main_match"),
+        best["bonus_match"].alias("best_bonus_match"),
         "avg_score",
     )
 

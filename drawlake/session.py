@@ -17,6 +17,10 @@ DEFAULTS = {
 }
 
 
+# Where a local session without spark.checkpoint.dir remembers its scratch folder.
+LOCAL_SCRATCH = "spark.drawlake.scratch"
+
+
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     """Session for tests and the benchmark on one machine."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("drawlake")
@@ -39,12 +43,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     On a cluster the setting is required, because executors cannot share a
     machine-local folder; only a local master may fall back to one.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_SCRATCH, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="drawlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.conf.set(LOCAL_SCRATCH, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
