@@ -623,6 +623,7 @@ SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {_LISTS} FROM fre
 register("stage_outbox", D, INCOMING, _NEW, _METRICS, select="""
 SELECT lottery_type, total_rows, inserted_rows, total_rows - inserted_rows AS skipped_rows, draw_no FROM metrics""")
 register("stream_dedupe", MESSAGES, select="SELECT DISTINCT execution_id FROM sent WHERE NOT broken")
+ORACLE["stream_dedupe_stateful"] = ORACLE["stream_dedupe"]
 register("audit_trail", MESSAGES, select="""
 SELECT execution_id, 'stage_' || event_type AS stage, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
        object AS gcs_object, draw_no, ts::DATE::VARCHAR AS executed_date FROM located WHERE NOT broken""")

@@ -587,6 +587,16 @@ def stream_dedupe(spark, sf):
     return spark.read.parquet(table).select("execution_id")
 
 
+@query
+def stream_dedupe_stateful(spark, sf):
+    sent = fixtures.messages(spark, sf)
+    path = _landed(spark, sent, "messages", 4)
+    table, checkpoint = (scratch_path(spark, n) for n in ("deduped", "checkpoint"))
+    stream = jobs.file_stream(spark, path, sent.schema, files_per_batch=2)
+    jobs.dedupe_stateful(stream, table=table, checkpoint=checkpoint).awaitTermination()
+    return spark.read.parquet(table).select("execution_id")
+
+
 @query
 def audit_trail(spark, sf):
     """Audit rows of all messages, failed ones included."""

@@ -97,10 +97,13 @@ def _exponentials(text: str) -> np.ndarray:
 
 
 def exponentials(seeds: np.ndarray, tickets: np.ndarray, attempt: int, stage: str, width: int) -> np.ndarray:
-    """-ln(u) per run and number; u is the MD5 of ``seed|ticket|attempt|stage|number``."""
-    return np.stack(
-        [_exponentials(f"{s}|{t}|{attempt}|{stage}")[:width] for s, t in zip(seeds, tickets)]
-    )
+    """-ln(u) per run and number; u is the MD5 of ``seed|ticket|attempt|stage|number``.
+
+    Runs that share seed and ticket share the row, so it is hashed once.
+    """
+    pairs, which = np.unique(np.stack([seeds, tickets], axis=1), axis=0, return_inverse=True)
+    rows = np.stack([_exponentials(f"{s}|{t}|{attempt}|{stage}")[:width] for s, t in pairs])
+    return rows[which.reshape(-1)]
 
 
 def smallest(keys: np.ndarray, count: int) -> np.ndarray:
@@ -120,6 +123,8 @@ def sample(noise: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
 
 def ticket_weights(weights: np.ndarray, index: np.ndarray, usage: np.ndarray) -> np.ndarray:
     """Weights for the ticket at ``index``: flattened, and reduced by earlier use."""
+    if (index <= 0).all():
+        return weights
     power = np.maximum(TEMPERATURE_FLOOR, 1.0 - TEMPERATURE_STEP * index)[:, None]
     reduced = np.power(weights, power) / (1.0 + usage * USAGE_PENALTY)
     return np.where(index[:, None] <= 0, weights, reduced)

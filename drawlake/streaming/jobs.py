@@ -88,28 +88,50 @@ def _write_audit(rows: DataFrame, folder: str) -> None:
 def dedupe_stream(
     stream: DataFrame, *, table: str, dead_letters: str, checkpoint: str, delay: str = "40 days"
 ) -> StreamingQuery:
-    """One message per execution_id within ``delay`` of event time.
+    """One message per execution_id within ``delay`` of event time; for hot keys.
 
-    The delay bounds the state and must exceed the disorder of the transport.
-    Undecodable messages go to the dead-letter table of their batch.
+    Copies of one execution collapse on the map side of each batch, before any
+    shuffle; what is left is checked against the sent table, read only back to
+    ``delay`` before the batch. Undecodable messages go to the dead letters.
     """
-    good, bad = split_messages(stream)
-    unique = good.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["execution_id"])
+    spark = stream.sparkSession
+    schema = split_messages(stream)[0].schema
 
-    def write_letters(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(dead_letters, batch_id))
+    def send_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        good, bad = split_messages(batch)
+        bad.write.mode("overwrite").parquet(_batch_folder(dead_letters, batch_id))
+        once = one_per_key(good, ["execution_id"]).select(*schema.names)
+        if batch_id > 0:
+            first = batch.agg(F.min("event_time")).first()[0]
+            horizon = F.lit(first) - F.expr(f"INTERVAL {delay}")
+            sent = earlier_batches(spark, table, schema, batch_id).filter(F.col("event_time") >= horizon)
+            once = once.join(sent.select("execution_id"), "execution_id", "left_anti").select(*schema.names)
+        once.write.mode("overwrite").parquet(_batch_folder(table, batch_id))
+        batch.unpersist()
 
-    letters = (
-        bad.writeStream.foreachBatch(write_letters)
-        .option("checkpointLocation", f"{checkpoint}/letters")
+    return (
+        stream.writeStream.foreachBatch(send_batch)
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
-    letters.awaitTermination()
+
+
+def dedupe_stateful(
+    stream: DataFrame, *, table: str, checkpoint: str, delay: str = "40 days"
+) -> StreamingQuery:
+    """The same rule kept in the stream's own state, for evenly spread keys.
+
+    ``delay`` bounds the state and must exceed the disorder of the transport.
+    All copies of one execution meet in one task, hence ``dedupe_stream``.
+    """
+    good, _ = split_messages(stream)
+    unique = good.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["execution_id"])
     return (
         unique.writeStream.format("parquet")
         .option("path", table)
-        .option("checkpointLocation", f"{checkpoint}/messages")
+        .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
         .start()

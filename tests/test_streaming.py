@@ -54,5 +54,10 @@ def test_dedupe_stream_sends_each_execution_once(spark, small, tmp_path):
     got = spark.read.parquet(table)
     assert got.count() == got.select("execution_id").distinct().count() == 396
     assert spark.read.parquet(letters).select("reason").distinct().collect()[0][0] == "invalid_json"
+    other = str(tmp_path / "stateful")
+    jobs.dedupe_stateful(stream, table=other, checkpoint=str(tmp_path / "c2")).awaitTermination()
+    assert sorted(r[0] for r in spark.read.parquet(other).select("execution_id").collect()) == sorted(
+        r[0] for r in got.select("execution_id").collect()
+    )
     runs = got.limit(100)
     assert jobs.unsent(got, runs).count() == 296
