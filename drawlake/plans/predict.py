@@ -12,6 +12,11 @@ from drawlake.plans.tune import WEIGHT_COLUMNS, score_features, tune_weights
 from drawlake.spec import MAIN_COLUMNS, check_limits, check_ticket_count
 
 
+REQUEST_FIELDS = {
+    "_execution_id": "string", "_draw_no": "bigint", "_draw_date": "date", "_notify": "boolean",
+}
+
+
 def stable_seed(key: Column) -> Column:
     """28-bit seed from a key, so that a replayed run repeats its tickets."""
     return F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint")
@@ -52,11 +57,15 @@ def prediction_runs(
     strategy: str = "mixed",
     notify: bool = True,
     as_of: str,
+    requests: DataFrame | None = None,
 ) -> DataFrame:
     """Tune, score and generate for every series; one run payload per series.
 
     ``as_of`` is the run's timestamp text (UTC); together with the series it
     fixes execution_id and seed, which makes a replay idempotent.
+
+    With ``requests`` (series, execution_id, draw_no, draw_date, notify) one run
+    is made per request; its non-NULL values override the derived ones.
     """
     check_limits([history_limit])
     check_ticket_count(count)
@@ -70,9 +79,25 @@ def prediction_runs(
         "repeat_penalty": F.lit(defaults.repeat_penalty),
     }
     names = {w: f"tuned_{w}" for w in ("frequency", "recent", "recency")}
-    keyed = features.withColumn(
-        "execution_id", F.md5(F.concat_ws("|", *series_cols, F.lit(as_of)))
-    ).withColumn("seed", stable_seed(F.col("execution_id")))
+    if requests is None:
+        asked = features.select(
+            "*",
+            *[F.lit(None).cast(t).alias(c) for c, t in REQUEST_FIELDS.items()],
+        )
+    else:
+        asked = features.join(
+            requests.select(*series_cols, *[F.col(c.removeprefix("_")).cast(t).alias(c) for c, t in REQUEST_FIELDS.items()]),
+            series_cols,
+        )
+    derived_id = F.md5(F.concat_ws("|", *series_cols, F.lit(as_of)))
+    keyed = (
+        asked.withColumn("execution_id", F.coalesce("_execution_id", derived_id))
+        .withColumn("latest_draw_no", F.coalesce("_draw_no", "latest_draw_no"))
+        .withColumn("latest_draw_date", F.coalesce("_draw_date", "latest_draw_date"))
+        .withColumn("_notify", F.coalesce("_notify", F.lit(notify)))
+        .withColumn("seed", stable_seed(F.col("execution_id")))
+        .drop("_execution_id", "_draw_no", "_draw_date")
+    )
     weighted = keyed.withColumns(
         {**{names[w]: F.col(w) for w in names}, **main_weights}
     )
@@ -93,7 +118,8 @@ def prediction_runs(
         F.col("tickets").alias("predictions"),
         F.to_timestamp(F.lit(as_of)).alias("created_at"),
         F.when(F.col("error").isNotNull(), "FAILED")
-        .otherwise("SUCCESS" if notify else "DRY_RUN")
+        .when(F.col("_notify"), "SUCCESS")
+        .otherwise("DRY_RUN")
         .alias("status"),
         "latest_draw_no",
         F.col("latest_draw_date").alias("draw_date"),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from drawlake.operators.project import to_wide
+from drawlake.sources.history import existing_keys
 from drawlake.spec import BONUS_COLUMNS, CSV_COLUMNS, MAIN_COLUMNS, NULL_MARKER, check_pool
 
 INT_COLUMNS = ["draw_no", *MAIN_COLUMNS, *BONUS_COLUMNS]
@@ -138,5 +140,21 @@ def read_jsonl(
     return rows.filter(F.lower("lottery_type") == check_pool(lottery_type))
 
 
+def append_new_jsonl(spark: SparkSession, rows: DataFrame, path: str) -> None:
+    """Append rows whose (lottery_type, draw_no) the JSON-lines table does not hold.
+
+    Unnumbered rows cannot be duplicates and are kept.
+    """
+    try:
+        known = read_jsonl(spark, path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        write_jsonl(rows, path, mode="append")
+        return
+    fresh = rows.join(existing_keys(known, rows), ["lottery_type", "draw_no"], "left_anti")
+    write_jsonl(fresh, path, mode="append")
+
+
 def write_jsonl(rows: DataFrame, path: str, *, mode: str = "overwrite") -> None:
     rows.write.mode(mode).option("ignoreNullFields", False).json(path)

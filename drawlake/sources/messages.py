@@ -111,14 +111,21 @@ def resolve(decoded: DataFrame, *, default_bucket: str | None = None, notify_def
     return resolved.drop("payload", "value", *[c for c in resolved.columns if c.startswith("_")])
 
 
-def split_messages(messages: DataFrame, **options: object) -> tuple[DataFrame, DataFrame]:
-    """(usable messages, dead letters with a reason)."""
+def split_messages(
+    messages: DataFrame, *, need_uri: bool = True, **options: object
+) -> tuple[DataFrame, DataFrame]:
+    """(usable messages, dead letters with a reason).
+
+    The import stage needs the location of a file, the prediction stage
+    (``need_uri=False``) only the pool.
+    """
     resolved = resolve(decode(messages), **options)
+    need = F.lit(need_uri)
     reason = (
         F.when(F.col("problem").isNotNull(), F.col("problem"))
         .when(~is_known_type("lottery_type"), "unsupported_type")
-        .when(F.col("gcs_uri").isNull(), "missing_uri")
-        .when(F.col("bucket").isNull() | F.col("object").isNull(), "invalid_uri")
+        .when(need & F.col("gcs_uri").isNull(), "missing_uri")
+        .when(need & (F.col("bucket").isNull() | F.col("object").isNull()), "invalid_uri")
     )
     checked = pin(resolved, reason=reason).drop("problem")
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(

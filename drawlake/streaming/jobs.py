@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from drawlake.operators.rank import one_per_key
+from drawlake.operators.validate import parse_date
+from drawlake.plans.predict import prediction_runs, run_digest
 from drawlake.sources.audit import append_audit, audit_rows
 from drawlake.sources.history import KEYS, batch_latest_row, import_metrics, new_rows
 from drawlake.sources.messages import split_messages
@@ -143,3 +145,56 @@ def unsent(messages: DataFrame, runs: DataFrame) -> DataFrame:
     effective beyond the state retention of the stream."""
     once = one_per_key(messages, ["execution_id"])
     return once.join(runs.select("execution_id").distinct(), "execution_id", "left_anti")
+
+
+def predict_stream(
+    stream: DataFrame,
+    draws: DataFrame,
+    *,
+    runs: str,
+    outbox: str,
+    dead_letters: str,
+    audit: str,
+    checkpoint: str,
+    history_limit: int = 100,
+    count: int = 5,
+    strategy: str = "mixed",
+    as_of: str,
+) -> StreamingQuery:
+    """Prediction stage: one tuned run per requested pool and execution.
+
+    Messages name a pool. Executions that already have a run are skipped. Runs,
+    digest texts and audit rows of a batch are written before anything is sent,
+    so a repeated batch cannot deliver twice.
+    """
+    spark = stream.sparkSession
+
+    def predict_batch(batch: DataFrame, batch_id: int) -> None:
+        good, bad = split_messages(batch, need_uri=False)
+        bad.write.mode("overwrite").parquet(_batch_folder(dead_letters, batch_id))
+        requests = one_per_key(
+            good.select("execution_id", "lottery_type", "draw_no", "draw_date", "notify"), ["execution_id"]
+        ).withColumn("draw_date", parse_date(F.col("draw_date")))
+        if batch_id > 0:
+            done = spark.read.parquet(runs).filter(F.col("batch_id") < batch_id)
+            requests = requests.join(done.select("execution_id"), "execution_id", "left_anti")
+        folder = _batch_folder(runs, batch_id)
+        prediction_runs(
+            draws, series_cols=["lottery_type"], history_limit=history_limit, count=count,
+            strategy=strategy, as_of=as_of, requests=requests,
+        ).write.mode("overwrite").parquet(folder)
+        finished = spark.read.parquet(folder)
+        run_digest(finished).write.mode("overwrite").parquet(_batch_folder(outbox, batch_id))
+        rows = finished.select(
+            "execution_id", F.lit("generate_notify").alias("function_name"), "lottery_type",
+            F.when(F.col("status") == "FAILED", "FAILED").otherwise("SUCCESS").alias("status"),
+            F.col("latest_draw_no").alias("draw_no"), F.current_timestamp().alias("executed_at"),
+        )
+        _write_audit(rows, _batch_folder(audit, batch_id))
+
+    return (
+        stream.writeStream.foreachBatch(predict_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -117,3 +117,12 @@ def test_required_fields(spark):
     good, bad = validate.require_fields(rows, ["x", "y"])
     assert good.count() == 1
     assert sorted(",".join(r.missing) for r in bad.collect()) == ["x", "x,y"]
+
+
+def test_jsonl_table_appends_only_new_draws(spark, tmp_path):
+    path = str(tmp_path / "table")
+    make = lambda *numbers: spark.createDataFrame([("loto6", n) for n in numbers], "lottery_type string, draw_no bigint")
+    files.append_new_jsonl(spark, make(1, 2), path)
+    files.append_new_jsonl(spark, make(2, 3, None), path)
+    got = [r.draw_no for r in files.read_jsonl(spark, path, "loto6").collect()]
+    assert sorted(n for n in got if n) == [1, 2, 3] and got.count(None) == 1

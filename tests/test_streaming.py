@@ -61,3 +61,25 @@ def test_dedupe_stream_sends_each_execution_once(spark, small, tmp_path):
     )
     runs = got.limit(100)
     assert jobs.unsent(got, runs).count() == 296
+
+
+def test_predict_stream_runs_each_execution_once(spark, small, tmp_path):
+    draws = fixtures.draws(spark, small)
+    body = lambda e, k, extra="": f'{{"execution_id": "{e}", "lottery_type": "{k}"{extra}}}'.encode()
+    source = str(tmp_path / "source")
+    out = {n: str(tmp_path / n) for n in ("runs", "outbox", "dead_letters", "audit", "checkpoint")}
+
+    def send(*values):
+        spark.createDataFrame([(v,) for v in values], "value binary").coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema)
+        jobs.predict_stream(stream, draws, history_limit=60, count=2, as_of="2026-01-02 03:04:05", **out).awaitTermination()
+
+    send(body("a", "loto6"), body("a", "loto6"), body("b", "loto7", ', "draw_no": 77, "draw_date": "2026-01-01", "notify": false'), b"{")
+    send(body("a", "loto6"), body("c", "loto6"))
+    runs = {r.execution_id: r for r in spark.read.parquet(out["runs"]).collect()}
+    assert set(runs) == {"a", "b", "c"} and spark.read.parquet(out["runs"]).count() == 3
+    assert (runs["b"].latest_draw_no, str(runs["b"].draw_date), runs["b"].status) == (77, "2026-01-01", "DRY_RUN")
+    assert runs["a"].status == "SUCCESS" and runs["a"].seed != runs["c"].seed
+    assert spark.read.parquet(out["outbox"]).filter("message like '%2口目%'").count() == 3
+    assert spark.read.parquet(out["dead_letters"]).count() == 1
+    assert spark.read.parquet(out["audit"]).filter("stage = 'generate_notify'").count() == 3
