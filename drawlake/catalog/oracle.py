@@ -554,22 +554,30 @@ n{pool}_list AS (
 
 _TUNED_BONUS = ("(g.frequency * 0.9::DOUBLE)", "(g.recent * 0.8::DOUBLE)", "(g.recency * 1.0::DOUBLE)",
                 "(0.8::DOUBLE * 1.2::DOUBLE)", "(0.4::DOUBLE * 0.5::DOUBLE)")
-PREDICTED = (
-    *TUNED, coming("main", _GRID_W), coming("bonus", _TUNED_BONUS), f"""
-payload AS MATERIALIZED (
-  SELECT row_number() OVER (ORDER BY t.series) AS run, t.*, md5(t.series || '|{AS_OF}') AS execution_id,
-         ('0x' || substr(md5(md5(t.series || '|{AS_OF}')), 1, 7))::BIGINT AS seed, l.lottery_type, l.pool, l.pick, l.history_count,
-         l.latest_draw_no, l.draw_date, m.main_scores, b.bonus_scores
-  FROM tuned t JOIN nmain_list m USING (series) JOIN nbonus_list b USING (series) JOIN (
-    SELECT series, lottery_type, pool, pick, count(*) AS history_count, max(draw_no) AS latest_draw_no, arg_max(draw_date, draw_no)::VARCHAR AS draw_date
-    FROM ranked GROUP BY ALL) l USING (series))""",
-    "coming_six AS (SELECT * FROM payload WHERE lottery_type = 'loto6')",
-    "coming_seven AS (SELECT * FROM payload WHERE lottery_type = 'loto7')",
-    *default_ctes("coming_six", "nxt", "nxt_done"), *profile_ctes("coming_seven", 10000), """
+
+
+def predicted(payload: str, *extra: str, base: str = D) -> tuple[str, ...]:
+    """Tickets of prediction runs; ``payload`` has one row per run."""
+    return (
+        base, *TUNED[1:], coming("main", _GRID_W), coming("bonus", _TUNED_BONUS), """
+series_info AS (
+  SELECT series, lottery_type, pool, pick, count(*) AS history_count, max(draw_no) AS latest, arg_max(draw_date, draw_no)::VARCHAR AS draw_date
+  FROM ranked GROUP BY ALL)""",
+        *extra, f"payload AS MATERIALIZED ({payload})",
+        "coming_six AS (SELECT * FROM payload WHERE lottery_type = 'loto6')",
+        "coming_seven AS (SELECT * FROM payload WHERE lottery_type = 'loto7')",
+        *default_ctes("coming_six", "nxt", "nxt_done"), *profile_ctes("coming_seven", 10000), """
 predicted AS MATERIALIZED (
   SELECT p.*, t.ticket_no, t.ticket FROM payload p JOIN
     (SELECT run, ticket_no, ticket FROM nxt_done UNION ALL SELECT run, ticket_no, ticket FROM profile_done) t USING (run))""",
-)
+    )
+
+
+PREDICTED = predicted(f"""
+  SELECT row_number() OVER (ORDER BY t.series) AS run, t.*, md5(t.series || '|{AS_OF}') AS execution_id,
+         ('0x' || substr(md5(md5(t.series || '|{AS_OF}')), 1, 7))::BIGINT AS seed, l.lottery_type, l.pool, l.pick, l.history_count,
+         l.latest AS latest_draw_no, l.draw_date, m.main_scores, b.bonus_scores
+  FROM tuned t JOIN nmain_list m USING (series) JOIN nbonus_list b USING (series) JOIN series_info l USING (series)""")
 register("tuned_prediction_run", *PREDICTED, recursive=True, select=f"""
 SELECT execution_id, series, 100 AS history_limit, history_count, count(*) AS prediction_count,
        string_agg(array_to_string(ticket, ' '), ';' ORDER BY ticket_no) AS predictions, '{AS_OF}' AS created_at, 'SUCCESS' AS status,
@@ -630,3 +638,14 @@ SELECT execution_id, 'stage_' || event_type AS stage, CASE WHEN event_type = 'er
 register("unsent_messages", MESSAGES, select="""
 SELECT DISTINCT execution_id FROM sent WHERE NOT broken
   AND execution_id NOT IN (SELECT execution_id FROM sent WHERE NOT broken AND event_type = 'purchase')""")
+register("requested_runs", *predicted("""
+  SELECT row_number() OVER (ORDER BY q.execution_id) AS run, q.execution_id, ('0x' || substr(md5(q.execution_id), 1, 7))::BIGINT AS seed,
+         l.lottery_type, l.pool, l.pick, q.draw_no AS latest_draw_no, m.main_scores, b.bonus_scores
+  FROM requests q JOIN series_info l ON l.series = q.lottery_type JOIN nmain_list m ON m.series = l.series JOIN nbonus_list b ON b.series = l.series""",
+    MESSAGES, """
+requests AS (
+  SELECT execution_id, max(lottery_type) AS lottery_type, arg_max(draw_no, {'k': lottery_type, 'n': draw_no}) AS draw_no
+  FROM located WHERE NOT broken GROUP BY execution_id)""",
+    base=D.replace("lottery_type || ':' || priority AS series", "lottery_type AS series")), recursive=True, select="""
+SELECT execution_id, lottery_type, latest_draw_no, seed, string_agg(array_to_string(ticket, ' '), ';' ORDER BY ticket_no) AS predictions
+FROM predicted GROUP BY ALL""")

@@ -10,7 +10,7 @@ from drawlake import fixtures
 from drawlake.functions.arrays import distinct_numbers
 from drawlake.functions.rounding import round6
 from drawlake.operators import match, project, scores, tickets, validate, weights
-from drawlake.operators.rank import latest_per_series, rank_draws
+from drawlake.operators.rank import latest_per_series, one_per_key, rank_draws
 from drawlake.plans import backtest, predict, reports, tune
 from drawlake.session import scratch_path
 from drawlake.sources import audit, files, history, messages, pages
@@ -616,3 +616,15 @@ def unsent_messages(spark, sf):
     good, _ = messages.split_messages(fixtures.messages(spark, sf))
     runs = good.filter(F.col("event_type") == "purchase").select("execution_id")
     return jobs.unsent(good, runs).select("execution_id")
+
+
+@query
+def requested_runs(spark, sf):
+    """One tuned run per queued execution, pools as series."""
+    good, _ = messages.split_messages(fixtures.messages(spark, sf))
+    asked = one_per_key(good.select("execution_id", "lottery_type", "draw_no", "draw_date", "notify"), ["execution_id"])
+    runs = predict.prediction_runs(
+        fixtures.draws(spark, sf).drop("series"), series_cols=["lottery_type"], history_limit=WINDOW, count=TICKETS, as_of=AS_OF, requests=asked
+    )
+    lines = F.transform("predictions", lambda t: F.array_join(t.cast("array<string>"), " "))
+    return runs.select("execution_id", "lottery_type", "latest_draw_no", "seed", F.array_join(lines, ";").alias("predictions"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from drawlake.operators.rank import latest_per_series
 from drawlake.operators.scores import BONUS_FACTORS, ScoreWeights
-from drawlake.operators.sliding import window_features
+from drawlake.operators.sliding import task_count, window_features
 from drawlake.operators.tickets import generate_tickets
 from drawlake.plans.tune import WEIGHT_COLUMNS, score_features, tune_weights
 from drawlake.spec import MAIN_COLUMNS, check_limits, check_ticket_count
@@ -79,16 +79,28 @@ def prediction_runs(
         "repeat_penalty": F.lit(defaults.repeat_penalty),
     }
     names = {w: f"tuned_{w}" for w in ("frequency", "recent", "recency")}
+    weighted = features.withColumns(
+        {**{names[w]: F.col(w) for w in names}, **main_weights}
+    )
+    main = score_features(weighted, "main_features", "main_scores")
+    bonus = score_features(
+        main.withColumns({w: F.col(w) * F.lit(BONUS_FACTORS[w]) for w in WEIGHT_COLUMNS}),
+        "bonus_features",
+        "bonus_scores",
+    ).withColumn("bonus_scores", F.when(F.col("lottery_type") == "loto7", F.col("bonus_scores")))
+    # Scores belong to the series; only the tickets are made per request.
     if requests is None:
-        asked = features.select(
+        asked = bonus.select(
             "*",
             *[F.lit(None).cast(t).alias(c) for c, t in REQUEST_FIELDS.items()],
         )
     else:
-        asked = features.join(
-            requests.select(*series_cols, *[F.col(c.removeprefix("_")).cast(t).alias(c) for c, t in REQUEST_FIELDS.items()]),
-            series_cols,
-        )
+        # Few series, many requests: spreading the small request rows spreads the ticket work.
+        spread = requests.select(
+            *series_cols,
+            *[F.col(c.removeprefix("_")).cast(t).alias(c) for c, t in REQUEST_FIELDS.items()],
+        ).repartition(task_count(requests), "_execution_id")
+        asked = bonus.join(spread, series_cols)
     derived_id = F.md5(F.concat_ws("|", *series_cols, F.lit(as_of)))
     keyed = (
         asked.withColumn("execution_id", F.coalesce("_execution_id", derived_id))
@@ -98,16 +110,7 @@ def prediction_runs(
         .withColumn("seed", stable_seed(F.col("execution_id")))
         .drop("_execution_id", "_draw_no", "_draw_date")
     )
-    weighted = keyed.withColumns(
-        {**{names[w]: F.col(w) for w in names}, **main_weights}
-    )
-    main = score_features(weighted, "main_features", "main_scores")
-    bonus = score_features(
-        main.withColumns({w: F.col(w) * F.lit(BONUS_FACTORS[w]) for w in WEIGHT_COLUMNS}),
-        "bonus_features",
-        "bonus_scores",
-    ).withColumn("bonus_scores", F.when(F.col("lottery_type") == "loto7", F.col("bonus_scores")))
-    runs = generate_tickets(bonus, count=count, strategy=strategy)
+    runs = generate_tickets(keyed, count=count, strategy=strategy)
     return runs.select(
         "execution_id",
         *series_cols,
