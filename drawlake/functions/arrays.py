@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, functions as F
 
 from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS, MAX_NUMBER, by_pool
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body).getItem(0)
-
-
 def distinct_numbers(values: Column) -> Column:
     """Positive integers of a draw in first-seen order; unusable input becomes empty.
 
