@@ -9,8 +9,9 @@ Series are cut into chunks of consecutive positions. A chunk also receives the
 dominant series spreads over as many tasks as it has chunks.
 
 The running totals of 43 numbers x 3 counters as window functions need several
-hundred window expressions in one plan; measured, that is over ten times slower
-than the small array helper below, which Spark calls once per chunk.
+hundred window expressions in one plan. Measured on 150,000 draws, ranking
+included, that took 10 to 14 s warm against 3.5 s with the small array helper
+below, which Spark calls once per chunk.
 """
 
 from __future__ import annotations
