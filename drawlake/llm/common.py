@@ -111,13 +111,18 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return (values ^ (values >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hash of every word from running sums over the bytes, mixed."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: list[np.ndarray]) -> list[np.ndarray]:
+    """Polynomial hashes of the bytes from ``starts`` to each of ``ends``, from running sums, mixed."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return [np.zeros(0, np.uint64) for _ in ends]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * powers(UNDO, len(data))[starts] + (ends - starts).astype(np.uint64))
+    back = powers(UNDO, len(data))[starts]
+    return [mixed((sums[end] - sums[starts]) * back + (end - starts).astype(np.uint64)) for end in ends]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return span_hashes(data, starts, [ends])[0]
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from .common import pieces, ready, utf8, word_bounds, word_hashes
 from .labelled import Adam, labelled_sample, remainder, sigmoid
 
 WORD_BITS = 15
-STATISTICS = 14
+STATISTICS = 15
 BINS = 32
 FEATURES = (1 << WORD_BITS) + STATISTICS * BINS
 RANK = 4
@@ -68,6 +68,8 @@ def features(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> Rows
     )
     row, column = cells >> WORD_BITS, cells & ((1 << WORD_BITS) - 1)
     some = np.maximum(words, 1)
+    writer = np.repeat(np.arange(count), words)
+    again = (hashes[1:] == hashes[:-1]) & (writer[1:] == writer[:-1])
     shares = 1000 * kinds / np.maximum(sizes, 1)[:, None]
     letters = sizes - kinds[:, 3] - kinds[:, 4]
     statistics = np.stack(
@@ -78,6 +80,7 @@ def features(data: np.ndarray, offsets: np.ndarray, n_chars: np.ndarray) -> Rows
             _bins(letters / some, 4.0),
             _bins(1000 * np.bincount(row, minlength=count) / some),
             _bins(sizes / (kinds[:, 4] + 1), 2.0),
+            _bins(1000 * np.bincount(writer[1:][again], minlength=count) / some),
             # Metadata: the length that came with the row.
             _bins(n_chars, 1.0),
         ],
@@ -125,6 +128,8 @@ def fit(rows: Rows, labels: np.ndarray, rounds: int = 80, rate: float = 0.03, sh
         owner = np.repeat(np.arange(len(labels)), np.diff(rows.bounds))
         x = rows.values[:, None]
         adam = Adam([bias, weights, vectors], rate)
+        # The rarer label weighs up to four times as much.
+        weight = np.where(labels > 0, 1.0, np.clip(share / (1 - share), 0.25, 4.0))
         for _ in range(rounds):
             v = vectors[rows.columns] * x
             sums = np.add.reduceat(v, rows.bounds[:-1])
@@ -134,7 +139,7 @@ def fit(rows: Rows, labels: np.ndarray, rounds: int = 80, rate: float = 0.03, sh
                 + np.add.reduceat(weights[rows.columns] * rows.values, rows.bounds[:-1])
                 + 0.5 * (sums * sums - np.add.reduceat(v * v, rows.bounds[:-1])).sum(axis=1)
             )
-            error = ((sigmoid(z) - labels) / len(labels)).astype(np.float32)
+            error = ((sigmoid(z) - labels) * weight / len(labels)).astype(np.float32)
             per_cell = error[owner] * rows.values
             g_weights, g_vectors = shrink * weights, shrink * vectors
             g_weights[used] += np.add.reduceat(per_cell[order], first)

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: only documents have labels, sentences get scores.
 
-A sentence's logit is a weighted sum of its hashed words. A document is toxic unless
+A sentence's logit is a weighted sum of its hashed words and word beginnings. A document is toxic unless
 every sentence is clean: P = 1 - prod(1 - p_s), the noisy-or. With softplus(z) =
 -log(1 - p), the sum A of softplus over the sentences gives P = 1 - exp(-A), so the
 gradient of the document loss reaches each sentence through sigmoid(z_s).
@@ -16,30 +16,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ready, utf8, word_bounds, word_hashes
-from .labelled import Adam, labelled_sample, remainder, sigmoid
+from .common import pieces, ready, span_hashes, utf8, word_bounds
+from .labelled import labelled_sample, remainder, sigmoid
 from .quality import LOWER, NOT_ALNUM
 
 WORD_BITS = 18
+# Bytes of the word beginnings that are features beside the whole word, for compounds.
+BEGINNINGS = (4, 5, 6, 7)
 SENTENCE_END = np.zeros(256, bool)
 SENTENCE_END[[ord(c) for c in ".!?\n"]] = True
 
 
 @dataclass
 class Sentences:
-    """Sentences of a run of texts that have words; ``at`` bounds those of each text."""
+    """Sentences of a run of texts that have words: ``at`` bounds those of each text.
+
+    ``features`` are hash buckets, those of sentence i from ``features_at[i]`` on.
+    """
 
     at: np.ndarray
-    words_at: np.ndarray
-    words: np.ndarray
+    features_at: np.ndarray
+    features: np.ndarray
     opens: np.ndarray
     closes: np.ndarray
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> Sentences:
-    """Parts texts at ``.!?`` and line ends and hashes the lower-cased words of each sentence."""
+    """Parts texts at ``.!?`` and line ends and hashes the lower-cased words and beginnings of each sentence."""
     starts, ends, at = word_bounds(data, offsets, NOT_ALNUM)
-    words = word_hashes(LOWER[data], starts, ends) >> np.uint64(64 - WORD_BITS)
     stops = np.flatnonzero(SENTENCE_END[data])
     # Words of one text with no end of a sentence between them are together.
     passed = np.searchsorted(stops, starts)
@@ -48,10 +52,15 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> Sentences:
     first[1:] = (passed[1:] != passed[:-1]) | (text[1:] != text[:-1])
     opens = np.flatnonzero(first)
     closes = np.append(opens[1:], len(starts))[: len(opens)]
+    # One row of features a word: itself and, if it is longer, each beginning.
+    hashed = span_hashes(LOWER[data], starts, [ends, *(np.minimum(starts + k, ends) for k in BEGINNINGS)])
+    grid = np.stack(hashed, axis=1) >> np.uint64(64 - WORD_BITS)
+    real = np.stack([np.ones(len(starts), bool), *(ends - starts > k for k in BEGINNINGS)], axis=1)
+    before = np.concatenate(([0], np.cumsum(real.sum(axis=1))))
     return Sentences(
         np.searchsorted(opens, at),
-        np.append(opens, len(starts)),
-        words.astype(np.int32),
+        before[np.append(opens, len(starts))],
+        grid[real].astype(np.int32),
         starts[opens],
         ends[closes - 1],
     )
@@ -71,38 +80,77 @@ class SentenceModel:
     bias: float
     weights: np.ndarray
 
-    def logits(self, words: np.ndarray, words_at: np.ndarray) -> np.ndarray:
-        return self.bias + _sums(self.weights[words], words_at)
+    def logits(self, features: np.ndarray, features_at: np.ndarray) -> np.ndarray:
+        return self.bias + _sums(self.weights[features], features_at)
+
+
+class _Fit:
+    """Noisy-or log loss of labelled documents, with gradient steps over some of the features."""
+
+    def __init__(self, features: np.ndarray, features_at: np.ndarray, at: np.ndarray, labels: np.ndarray) -> None:
+        self.features, self.features_at, self.at, self.labels = features, features_at, at, labels
+        self.sentence = np.repeat(np.arange(len(features_at) - 1, dtype=np.int32), np.diff(features_at))
+        self.owner = np.repeat(np.arange(len(labels)), np.diff(at))
+        self.bias, self.weights = -4.0, np.zeros(1 << WORD_BITS)
+
+    def pull(self, features: np.ndarray, features_at: np.ndarray) -> np.ndarray:
+        """Loss gradient of each sentence's logit."""
+        z = self.bias + _sums(self.weights[features], features_at)
+        odds = np.exp(-np.maximum(_sums(softplus(z), self.at), 1e-6))
+        slope = ((1 - self.labels) - self.labels * odds / (1 - odds)) / len(self.labels)
+        return slope[self.owner] * sigmoid(z)
+
+    def gradient(self) -> np.ndarray:
+        """Loss gradient of every feature's weight."""
+        pull = self.pull(self.features, self.features_at)
+        return np.bincount(self.features, pull[self.sentence], minlength=len(self.weights))
+
+    def run(self, active: np.ndarray, rounds: int, rate: float, draw: float, shrink: float) -> None:
+        """Steps over the active features with an L1 penalty ``draw`` and an L2 penalty ``shrink``."""
+        own = active[self.features]
+        features, sentence = self.features[own], self.sentence[own]
+        features_at = np.concatenate(([0], np.cumsum(np.bincount(sentence, minlength=len(self.features_at) - 1))))
+        ids = np.flatnonzero(active)
+        squares, bias_square = np.full(len(ids), 1e-8), 1e-8
+        for _ in range(rounds):
+            pull = self.pull(features, features_at)
+            gradient = np.bincount(features, pull[sentence], minlength=len(self.weights))[ids]
+            gradient = gradient + shrink * self.weights[ids]
+            squares += gradient * gradient
+            bias_square += pull.sum() ** 2
+            step = rate / np.sqrt(squares)
+            moved = self.weights[ids] - step * gradient
+            self.weights[ids] = np.sign(moved) * np.maximum(np.abs(moved) - step * draw, 0)
+            self.bias -= rate / np.sqrt(bias_square) * pull.sum()
 
 
 def fit(
-    words: np.ndarray,
-    words_at: np.ndarray,
+    features: np.ndarray,
+    features_at: np.ndarray,
     at: np.ndarray,
     labels: np.ndarray,
-    rounds: int = 150,
-    rate: float = 0.1,
-    shrink: float = 3e-4,
+    rounds: int = 60,
+    rate: float = 0.5,
+    evidence: float = 4.0,
 ) -> SentenceModel:
-    """Fits by full-batch steps on the noisy-or log loss; small weights are drawn to zero."""
-    bias, weights = np.array([-4.0]), np.zeros(1 << WORD_BITS)
-    if len(labels) and 0 < labels.mean() < 1:
-        adam = Adam([bias, weights], rate)
-        sentence = np.repeat(np.arange(len(words_at) - 1), np.diff(words_at))
-        owner = np.repeat(np.arange(len(labels)), np.diff(at))
-        for _ in range(rounds):
-            z = bias[0] + _sums(weights[words], words_at)
-            clean = _sums(softplus(z), at)
-            odds = np.exp(-np.maximum(clean, 1e-6))
-            slope = ((1 - labels) - labels * odds / (1 - odds)) / len(labels)
-            pull = slope[owner] * sigmoid(z)
-            gradient = np.bincount(words, pull[sentence], minlength=len(weights))
-            adam.step([pull.sum(keepdims=True), gradient])
-            # Proximal step: words without a lasting pull go back to zero.
-            np.copyto(weights, np.sign(weights) * np.maximum(np.abs(weights) - shrink * rate * 10, 0))
-    elif len(labels) and labels.mean() == 1:
-        bias[0] = 4.0
-    return SentenceModel(float(bias[0]), weights.astype(np.float32))
+    """Fits by full-batch steps on the noisy-or log loss.
+
+    An L1 penalty worth ``evidence`` documents selects features: one that pulls less
+    stays at zero, so rare words of labelled documents aren't learnt by heart. Steps
+    run over features whose pull exceeds the penalty only, which are looked for anew
+    a few times. The chosen ones are then fitted on with a slight L2 penalty.
+    """
+    if not len(labels) or labels.min() == labels.max():
+        return SentenceModel(4.0 if len(labels) and labels[0] else -8.0, np.zeros(1 << WORD_BITS, np.float32))
+    state = _Fit(features, features_at, at, labels)
+    draw = evidence / len(labels)
+    active = np.zeros(1 << WORD_BITS, bool)
+    state.run(active, rounds, rate, 0, 0)
+    for _ in range(4):
+        active |= np.abs(state.gradient()) > draw
+        state.run(active, rounds, rate, draw, 0)
+    state.run(state.weights != 0, 2 * rounds, rate, 0, 1e-4)
+    return SentenceModel(float(state.bias), state.weights.astype(np.float32))
 
 
 def _parted(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, Sentences]]:
@@ -116,16 +164,16 @@ def _parted(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nd
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, stop, _, _, found in _parted(batch):
-            sizes = np.diff(found.words_at).astype(np.int32)
+            sizes = np.diff(found.features_at).astype(np.int32)
             at = found.at
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"][start:stop],
                     batch["label"][start:stop],
-                    pa.ListArray.from_arrays(pa.array(found.words_at[at].astype(np.int32)), pa.array(found.words)),
+                    pa.ListArray.from_arrays(pa.array(found.features_at[at].astype(np.int32)), pa.array(found.features)),
                     pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(sizes)),
                 ],
-                ["doc_id", "label", "words", "sizes"],
+                ["doc_id", "label", "features", "sizes"],
             )
 
 
@@ -135,14 +183,14 @@ def train_toxicity(
     label_col: str = "toxic",
     folds: int = 3,
     held_out: int = 1,
-    most_labelled: int = 6000,
+    most_labelled: int = 4000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> SentenceModel:
     """Fits on at most ``most_labelled`` labelled documents whose CRC-32 remainder isn't ``held_out``.
 
-    Their word hashes, made in Spark from whole texts, are the only rows that reach the
-    driver: about 2 KB each.
+    Their hashed features, made in Spark from whole texts, are the only rows that reach
+    the driver: about 10 KB each.
     """
     ready(docs.sparkSession)
     sample = labelled_sample(
@@ -153,14 +201,14 @@ def train_toxicity(
         most_labelled,
     )
     found = sample.mapInArrow(
-        _sample_rows, f"doc_id {dict(sample.dtypes)['doc_id']}, label int, words array<int>, sizes array<int>"
+        _sample_rows, f"doc_id {dict(sample.dtypes)['doc_id']}, label int, features array<int>, sizes array<int>"
     ).toArrow()
     # Partitions come in any order: sorted, a fit is the same each time.
     found = found.sort_by("doc_id")
-    words, sizes = found["words"].combine_chunks(), found["sizes"].combine_chunks()
+    features, sizes = found["features"].combine_chunks(), found["sizes"].combine_chunks()
     running = lambda x: np.concatenate(([0], np.cumsum(x))).astype(np.int64)
     return fit(
-        words.flatten().to_numpy(zero_copy_only=False),
+        features.flatten().to_numpy(zero_copy_only=False),
         running(sizes.flatten().to_numpy(zero_copy_only=False)),
         running(sizes.value_lengths().to_numpy(zero_copy_only=False)),
         found["label"].to_numpy().astype(np.float64),
@@ -191,7 +239,7 @@ def score_toxicity(
         for batch in batches:
             scores, starts, ends, marks, sizes = [np.zeros(0)], [], [], [], [np.zeros(1, np.int64)]
             for _, _, _, own, found in _parted(batch):
-                z = shared.value.logits(found.words, found.words_at)
+                z = shared.value.logits(found.features, found.features_at)
                 scores.append(-np.expm1(-_sums(softplus(z), found.at)))
                 bad = np.flatnonzero(sigmoid(z) >= offence)
                 text = np.searchsorted(found.at, bad, side="right") - 1
