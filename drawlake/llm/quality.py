@@ -119,7 +119,7 @@ def fit(rows: Rows, labels: np.ndarray, rounds: int = 80, rate: float = 0.03, sh
     bias = np.array([np.log((share + 1e-3) / (1 - share + 1e-3))], np.float32)
     weights = np.zeros(FEATURES, np.float32)
     vectors = np.zeros((FEATURES, RANK), np.float32)
-    if 0 < share < 1:
+    if len(labels) and 0 < share < 1:
         vectors += np.random.default_rng(seed).normal(0, 0.02, vectors.shape).astype(np.float32)
         order = np.argsort(rows.columns, kind="stable")
         columns = rows.columns[order]
