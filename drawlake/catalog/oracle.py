@@ -82,6 +82,8 @@ incoming AS (
 
 
 def with_(*parts: str, select: str, recursive: bool = False) -> str:
+    if not parts:
+        return select.strip()
     return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join(p.strip() for p in parts)} {select.strip()}"
 
 
@@ -102,6 +104,8 @@ QUALIFY row_number() OVER (PARTITION BY lottery_type ORDER BY draw_date DESC, dr
 register("latest_n_per_series", D, RANKED, select=f"""
 SELECT series, draw_no, n - rk AS draw_idx, least(n, 100) AS series_size, {text('main_numbers')} AS main_numbers
 FROM ranked WHERE n - rk < 100""")
+register("latest_n_beyond_group_limit", D, RANKED, select="""
+SELECT series, draw_no, n - rk AS draw_idx, least(n, 1500) AS series_size, least(n, 1500) - (n - rk) AS rk FROM ranked WHERE n - rk < 1500""")
 register("draw_positions", D, RANKED, select="SELECT series, draw_no, rk, n - rk AS draw_idx, n AS series_size FROM ranked")
 register("draw_validation_errors", D, FAULTY, select="SELECT draw_no, lottery_type, errors FROM checked")
 register("valid_draws", D, FAULTY, select=f"SELECT draw_no, lottery_type, draw_date, {_LISTS} FROM checked WHERE errors = ''")
@@ -111,8 +115,13 @@ register("array_projection", D, select=f"SELECT draw_no, lottery_type, {_LISTS}
 register("bonus_columns", D, select="SELECT draw_no, bonus_numbers[1] AS bonus1, bonus_numbers[2] AS bonus2 FROM d")
 register("target_sets", D, select=f"""
 SELECT draw_no, {text('list_sort(main_numbers)')} AS target_main, {text('list_sort(bonus_numbers)')} AS target_bonus FROM d""")
-register("row_normalise", D, FAULTY, select=f"""
-SELECT lottery_type, draw_no, {WIDE} FROM faulty WHERE lottery_type <> 'mini' AND draw_no > 0""")
+_WRITTEN = """CASE WHEN draw_no % 31 = 0 THEN 'mini' WHEN draw_no % 37 = 0 THEN NULL
+  WHEN draw_no % 29 = 0 THEN ' ' || upper(lottery_type) || ' ' ELSE lottery_type END"""
+register("row_normalise", D, FAULTY, f"""
+wide AS (SELECT trim(lower({_WRITTEN})) AS lottery_type, draw_no, {WIDE} FROM faulty),
+gaps AS (SELECT * REPLACE (CASE WHEN draw_no % 41 = 0 THEN NULL ELSE n3 END AS n3) FROM wide)""", select="""
+SELECT *, CASE WHEN lottery_type IS NULL OR lottery_type NOT IN ('loto6', 'loto7') THEN 'unknown_pool'
+  WHEN draw_no <= 0 THEN 'no_draw_no' WHEN n3 IS NULL THEN 'missing_main_number' END AS reason FROM gaps""")
 register("sample_rows", D, select=f"SELECT draw_no, draw_date::VARCHAR AS draw_date, {_LISTS} FROM d ORDER BY draw_no LIMIT 3")
 register("range_scan", D, select=f"""
 SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE}, source_url FROM d
@@ -139,10 +148,15 @@ register("import_append", D, select="SELECT lottery_type, draw_no, main_numbers[
 
 # --- files -----------------------------------------------------------------------
 
-register("csv_roundtrip", D, select=f"SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE}, source_url FROM d")
+register("csv_roundtrip", D, select=f"""
+SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE},
+       source_url || CASE WHEN draw_no % 13 = 0 THEN chr(10) || '"x", y' ELSE '' END AS source_url FROM d""")
 register("jsonl_roundtrip", D, select=f"""
 SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE}, source_url FROM d WHERE lottery_type = 'loto7'""")
-ORACLE["legacy_dialect_import"] = ORACLE["jsonl_roundtrip"]
+register("legacy_dialect_import", D, select=f"SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE}, source_url FROM d")
+register("jsonl_append", D, select="SELECT lottery_type, draw_no, main_numbers[1] AS n1 FROM d")
+register("missing_targets", D, select="""
+SELECT a.series, a.draw_no + 1 AS draw_no FROM d a WHERE NOT EXISTS (SELECT 1 FROM d b WHERE b.series = a.series AND b.draw_no = a.draw_no + 1)""")
 register("overwrite_load", D, select="SELECT draw_no, lottery_type, main_numbers[1] AS n1 FROM d WHERE status = 'F'")
 register("bulk_append", D, select="""
 SELECT lottery_type, status, count(*) AS row_count, sum(draw_no)::BIGINT AS draw_no_sum
@@ -417,7 +431,14 @@ def mixed(limits: str, seeds: str) -> tuple[str, ...]:
     )
 
 
-register("mixed_tickets", *mixed("100", "1"), recursive=True, select=_BY_RUN + "generated USING (run)")
+register("mixed_tickets", *mixed("100", "1"), f"written AS (SELECT *, {_WRITTEN} AS pool_text FROM runs)", recursive=True, select=f"""
+SELECT series, draw_no, pool_text AS lottery_type, NULL AS error, ticket_no, {text('ticket')} AS ticket FROM written JOIN generated USING (run)
+WHERE trim(lower(pool_text)) IN ('loto6', 'loto7')
+UNION ALL
+SELECT series, draw_no, pool_text, 'the run names no known pool', NULL, NULL FROM written
+WHERE pool_text IS NULL OR pool_text = 'mini'""")
+register("excluded_tickets", D, RANKED, select="""
+SELECT lottery_type, count(*) AS runs, count(*) * 5 AS tickets, 0 AS repeated FROM ranked WHERE rk > 1 GROUP BY lottery_type""")
 
 # --- backtest -------------------------------------------------------------------------------
 
@@ -606,12 +627,17 @@ register("missing_months", D, """
 spine AS (SELECT lottery_type, unnest(generate_series(date_trunc('month', min(draw_date) - INTERVAL 2 MONTH), date_trunc('month', max(draw_date)), INTERVAL 1 MONTH)) AS m
           FROM d GROUP BY lottery_type)""", select="""
 SELECT lottery_type, strftime(m, '%Y%m') AS month FROM spine s
-WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lottery_type = s.lottery_type AND date_trunc('month', d.draw_date) = s.m)""")
+WHERE strftime(m, '%Y%m')::INT % 5 = 0
+   OR NOT EXISTS (SELECT 1 FROM d WHERE d.lottery_type = s.lottery_type AND date_trunc('month', d.draw_date) = s.m)""")
 register("page_draws", D, select=f"""
 SELECT lottery_type, strftime(draw_date, '%Y%m') AS month, draw_no, draw_date::VARCHAR AS draw_date, {_LISTS}, '' AS errors FROM d""")
 register("page_latest", D, select=f"""
-SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {_LISTS} FROM d
+SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, CASE WHEN draw_no % 16 = 0
+    THEN array_to_string(list_prepend(77, main_numbers[2:]), ',') ELSE {text('main_numbers')} END AS main_numbers,
+  {text('bonus_numbers')} AS bonus_numbers, CASE WHEN draw_no % 16 = 0 THEN 'out_of_range' ELSE '' END AS errors FROM d
 QUALIFY row_number() OVER (PARTITION BY lottery_type, strftime(draw_date, '%Y%m'), draw_no // 256 ORDER BY draw_no DESC) = 1""")
+register("page_strict", D, select="SELECT DISTINCT lottery_type, 0 AS errors, 1 AS some FROM d")
+register("unknown_pool_pages", select="SELECT page_id, 'unknown' AS lottery_type, url FROM pages WHERE page_id % 17 = 0")
 register("page_dedupe", D, select=f"""
 SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {_LISTS} FROM d WHERE draw_date BETWEEN DATE '1996-02-10' AND DATE '2000-09-30'""")
 register("harvest_to_csv", D, select=f"SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE} FROM d")
@@ -625,6 +651,11 @@ sent AS (
 located AS (SELECT *, lottery_type || '/draw_no=' || draw_no || '/part.csv' AS object FROM sent)"""
 register("message_decode", MESSAGES, select="""
 SELECT event_id, execution_id, lottery_type, 'gs://raw/' || object AS gcs_uri, 'raw' AS bucket, object, draw_no, 1 AS notify FROM located WHERE NOT broken""")
+register("required_fields", MESSAGES, select="""
+SELECT CASE WHEN broken THEN 'lottery_type,gcs_uri' ELSE '' END AS missing, count(*) AS row_count FROM sent GROUP BY ALL""")
+register("message_encode", MESSAGES, select="""
+SELECT '{"execution_id":"' || execution_id || '","lottery_type":"' || lottery_type || '","draw_no":' || draw_no || '}' AS value
+FROM sent WHERE NOT broken""")
 register("dead_letters", MESSAGES, select="SELECT event_id, 'invalid_json' AS reason FROM sent WHERE broken")
 register("stream_import", D, INCOMING, _NEW, select=f"""
 SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {_LISTS} FROM fresh""")
@@ -632,9 +663,25 @@ register("stage_outbox", D, INCOMING, _NEW, _METRICS, select="""
 SELECT lottery_type, total_rows, inserted_rows, total_rows - inserted_rows AS skipped_rows, draw_no FROM metrics""")
 register("stream_dedupe", MESSAGES, select="SELECT DISTINCT execution_id FROM sent WHERE NOT broken")
 ORACLE["stream_dedupe_stateful"] = ORACLE["stream_dedupe"]
-register("audit_trail", MESSAGES, select="""
+ORACLE["stream_dedupe_regrouped"] = ORACLE["stream_dedupe"]
+register("stream_replay", D, INCOMING, _NEW, select="SELECT lottery_type, draw_no FROM fresh")
+register("stream_predictions", MESSAGES, """
+asked AS (SELECT execution_id, max(lottery_type) AS lottery_type FROM sent WHERE NOT broken GROUP BY execution_id)""", select="""
+SELECT lottery_type, 'SUCCESS' AS status, count(*) AS row_count, count(*) * 2 AS tickets FROM asked GROUP BY lottery_type
+UNION ALL SELECT '-', 'FAILED', count(*), 0 FROM sent WHERE broken""")
+register("prediction_sink", *PREDICTED, recursive=True, select="""
+SELECT execution_id, ticket_no AS prediction_index, ticket[1] AS n1, ticket[6] AS n6, ticket[7] AS n7, latest_draw_no AS draw_no, lottery_type FROM predicted""")
+register("audit_trail", MESSAGES, select=f"""
 SELECT execution_id, 'stage_' || event_type AS stage, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
-       object AS gcs_object, draw_no, ts::DATE::VARCHAR AS executed_date FROM located WHERE NOT broken""")
+       object AS gcs_object, draw_no, ts::DATE::VARCHAR AS executed_date, NULL AS error_type, NULL AS error_detail FROM located WHERE NOT broken
+UNION ALL
+SELECT 'event-' || event_id, 'decode', 'FAILED', NULL, NULL, '{AS_OF[:10]}', 'dead_letter', 'invalid_json' FROM sent WHERE broken""")
+register("audit_trace", MESSAGES, f"""
+noted AS (
+  SELECT execution_id, 'stage_' || event_type AS stage, CASE WHEN event_type = 'error' THEN 'FAILED' ELSE 'SUCCESS' END AS status,
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS executed_at FROM sent WHERE NOT broken
+  UNION ALL SELECT 'event-' || event_id, 'decode', 'FAILED', '{AS_OF}' FROM sent WHERE broken)""", select="""
+SELECT * FROM noted WHERE execution_id = (SELECT min(execution_id) FROM noted)""")
 register("unsent_messages", MESSAGES, select="""
 SELECT DISTINCT execution_id FROM sent WHERE NOT broken
   AND execution_id NOT IN (SELECT execution_id FROM sent WHERE NOT broken AND event_type = 'purchase')""")
@@ -647,5 +694,9 @@ requests AS (
   SELECT execution_id, max(lottery_type) AS lottery_type, arg_max(draw_no, {'k': lottery_type, 'n': draw_no}) AS draw_no
   FROM located WHERE NOT broken GROUP BY execution_id)""",
     base=D.replace("lottery_type || ':' || priority AS series", "lottery_type AS series")), recursive=True, select="""
-SELECT execution_id, lottery_type, latest_draw_no, seed, string_agg(array_to_string(ticket, ' '), ';' ORDER BY ticket_no) AS predictions
-FROM predicted GROUP BY ALL""")
+SELECT execution_id, lottery_type, latest_draw_no, seed, string_agg(array_to_string(ticket, ' '), ';' ORDER BY ticket_no) AS predictions,
+  'SUCCESS' AS status, 0 AS has_error
+FROM predicted GROUP BY ALL
+UNION ALL
+SELECT execution_id || '-x', 'mini', draw_no, ('0x' || substr(md5(execution_id || '-x'), 1, 7))::BIGINT, '', 'FAILED', 1
+FROM requests WHERE draw_no % 50 = 0""")

@@ -83,6 +83,12 @@ def latest_n_per_series(spark, sf):
     return latest_per_series(fixtures.draws(spark, sf), SERIES, WINDOW).select("series", "draw_no", "draw_idx", "series_size", "main_numbers")
 
 
+@query
+def latest_n_beyond_group_limit(spark, sf):
+    """A limit above what the optimiser trims before a shuffle."""
+    return latest_per_series(fixtures.draws(spark, sf), SERIES, 1500, span=512).select("series", "draw_no", "draw_idx", "series_size", "rk")
+
+
 @query
 def draw_positions(spark, sf):
     d = rank_draws(fixtures.draws(spark, sf), SERIES, unique=True)
@@ -129,10 +135,13 @@ def target_sets(spark, sf):
 
 @query
 def row_normalise(spark, sf):
-    wide = project.to_wide(fixtures.faulty_draws(spark, sf).filter(F.col("lottery_type") != "mini"))
-    text = wide.withColumns({c: F.col(c).cast("string") for c in ["draw_no", *MAIN_COLUMNS, *BONUS_COLUMNS]})
-    usable, _ = project.normalise_rows(text)
-    return usable.select("lottery_type", "draw_no", *MAIN_COLUMNS, *BONUS_COLUMNS)
+    """Usable rows, and all others with the reason."""
+    wide = project.to_wide(fixtures.written_pools(fixtures.faulty_draws(spark, sf)))
+    gap = F.when(F.col("draw_no") % 41 == 0, F.lit(None)).otherwise(F.col("n3"))
+    text = wide.withColumn("n3", gap).withColumns({c: F.col(c).cast("string") for c in ["draw_no", *MAIN_COLUMNS, *BONUS_COLUMNS]})
+    usable, rest = project.normalise_rows(text)
+    both = usable.withColumn("reason", F.lit(None).cast("string")).unionByName(rest)
+    return both.select("lottery_type", "draw_no", *MAIN_COLUMNS, *BONUS_COLUMNS, "reason")
 
 
 @query
@@ -192,7 +201,10 @@ def import_append(spark, sf):
 @query
 def csv_roundtrip(spark, sf):
     path = scratch_path(spark, "csv")
-    files.write_canonical_csv(fixtures.draws(spark, sf), path)
+    # Some cells hold line breaks, quotes and commas.
+    odd = F.concat("source_url", F.lit('\n"x", y'))
+    d = fixtures.draws(spark, sf).withColumn("source_url", F.when(F.col("draw_no") % 13 == 0, odd).otherwise(F.col("source_url")))
+    files.write_canonical_csv(d, path)
     return files.read_canonical_csv(spark, path)
 
 
@@ -205,11 +217,45 @@ def jsonl_roundtrip(spark, sf):
 
 @query
 def legacy_dialect_import(spark, sf):
-    path = scratch_path(spark, "legacy")
-    names = {"draw_no": "draw_number", **{f"n{i}": f"number{i}" for i in range(1, 8)}, "b1": "bonus1", "b2": "bonus2", "source_url": "source"}
-    wide = history.of_type(fixtures.wide_draws(spark, sf), "loto7").drop("series", "status", "lottery_type")
-    wide.withColumnsRenamed(names).write.option("header", True).csv(path)
-    return files.read_legacy_csv(spark, path, "loto7").drop("source_file_name")
+    """Both older dialects, each with its own column names."""
+    shared = {"draw_no": "draw_number", **{f"n{i}": f"number{i}" for i in range(1, 8)}, "source_url": "source"}
+    bonus = {"loto6": {"b1": "bonus_number"}, "loto7": {"b1": "bonus_number1", "b2": "bonus_number2"}}
+    parts = []
+    for kind, names in bonus.items():
+        path = scratch_path(spark, "legacy")
+        rows = history.of_type(fixtures.wide_draws(spark, sf), kind).drop("series", "status", "lottery_type")
+        rows = rows if kind == "loto7" else rows.drop("n7", "b2")
+        rows.withColumnsRenamed(shared | names).write.option("header", True).csv(path)
+        parts.append(files.read_legacy_csv(spark, path, kind).drop("source_file_name"))
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def jsonl_append(spark, sf):
+    """JSON lines appended twice; draws that are there already are not repeated."""
+    path = scratch_path(spark, "jsonl-table")
+    rows = fixtures.wide_draws(spark, sf).drop("series")
+    files.append_new_jsonl(spark, rows.filter(F.col("status") == "F").drop("status"), path)
+    files.append_new_jsonl(spark, rows.drop("status"), path)
+    return files.read_jsonl(spark, path).select("lottery_type", "draw_no", "n1")
+
+
+@query
+def required_fields(spark, sf):
+    """Messages by the required fields they lack."""
+    good, bad = messages.split_messages(fixtures.messages(spark, sf))
+    rows = good.unionByName(bad.drop("reason")).select("event_id", F.nullif("lottery_type", F.lit("")).alias("lottery_type"), "gcs_uri")
+    complete, lacking = validate.require_fields(rows, ["lottery_type", "gcs_uri"])
+    both = complete.withColumn("missing", F.array().cast("array<string>")).unionByName(lacking)
+    return both.groupBy(F.array_join("missing", ",").alias("missing")).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+@query
+def missing_targets(spark, sf):
+    """Targets that no draw has: here every target number moved on by one."""
+    d = fixtures.draws(spark, sf)
+    asked = d.select("series", (F.col("draw_no") + 1).alias("draw_no"))
+    return backtest.missing_targets(d, asked, SERIES)
 
 
 @query
@@ -340,7 +386,25 @@ def profile_tickets(spark, sf):
 
 @query
 def mixed_tickets(spark, sf):
-    return _ticket_rows(tickets.generate_tickets(_seeded(spark, sf), count=TICKETS, strategy="mixed"))
+    """Tickets of every run; runs of an unknown pool come out with their error."""
+    made = tickets.generate_tickets(fixtures.written_pools(_seeded(spark, sf)), count=TICKETS, strategy="mixed")
+    return made.select(*RUN, "lottery_type", "error", F.posexplode_outer("tickets").alias("pos", "ticket")).select(
+        *RUN, "lottery_type", "error", (F.col("pos") + 1).alias("ticket_no"), "ticket"
+    )
+
+
+@query
+def excluded_tickets(spark, sf):
+    """Default tickets that must differ from those of another seed: none is left of the excluded ones."""
+    earlier = tickets.generate_tickets(_seeded(spark, sf), count=TICKETS, strategy="default", drop=())
+    again = earlier.withColumnRenamed("ticket_masks", "taken").drop("tickets", "error")
+    later = tickets.generate_tickets(again, count=TICKETS, strategy="default", exclude_col="taken")
+    pairs = later.join(earlier.select(*RUN, F.col("ticket_masks").alias("before")), RUN)
+    return pairs.groupBy("lottery_type").agg(
+        F.count(F.lit(1)).alias("runs"),
+        F.sum(F.size("ticket_masks")).alias("tickets"),
+        F.sum(F.size(F.array_intersect("ticket_masks", "before"))).alias("repeated"),
+    )
 
 
 # --- backtest ---------------------------------------------------------------------
@@ -500,11 +564,12 @@ def page_months(spark, sf):
 
 @query
 def missing_months(spark, sf):
-    """Months of the harvest range without a page; here all draws of open orders lack theirs."""
+    """Months of the harvest range without a page: two before the first draw, and every fifth month, whose pages are taken away."""
     d = fixtures.draws(spark, sf)
     ranges = d.groupBy("lottery_type").agg(F.add_months(F.min("draw_date"), -2).alias("start_date"), F.max("draw_date").alias("end_date"))
     spine = pages.month_spine(spark, ranges)
-    return pages.missing_months(spine, fixtures.result_pages(spark, sf)).select("lottery_type", "month")
+    landed = fixtures.result_pages(spark, sf).filter(F.coalesce(F.col("month").cast("int") % 5 != 0, F.lit(True)))
+    return pages.missing_months(spine, landed).select("lottery_type", "month")
 
 
 @query
@@ -516,7 +581,22 @@ def page_draws(spark, sf):
 @query
 def page_latest(spark, sf):
     found = pages.latest_page_draws(fixtures.latest_pages(spark, sf))
-    return found.select("lottery_type", "draw_no", "draw_date", "main_numbers", "bonus_numbers")
+    return found.select("lottery_type", "draw_no", "draw_date", "main_numbers", "bonus_numbers", "errors")
+
+
+@query
+def page_strict(spark, sf):
+    """Draws of pages without any invalid draw; here the newest-first pages, read row by row."""
+    rows = fixtures.result_pages(spark, sf)
+    # A number that no pool has, on every page whose key is even.
+    spoilt = F.when(F.pmod("page_id", F.lit(2)) == 0, F.concat(F.lit("<tr><td>第1回 2001/01/01</td><td>1 2 3 4 5 77 7</td><td>8 9</td></tr>"), "html"))
+    found = pages.page_draws(rows.withColumn("html", F.coalesce(spoilt, "html")), strict_page=True)
+    return found.groupBy("lottery_type").agg(F.sum(F.size("errors")).cast("bigint").alias("errors"), (F.count(F.lit(1)) > 0).alias("some"))
+
+
+@query
+def unknown_pool_pages(spark, sf):
+    return pages.unknown_pool_pages(fixtures.result_pages(spark, sf))
 
 
 @query
@@ -547,15 +627,16 @@ def dead_letters(spark, sf):
     return bad.select("event_id", "reason")
 
 
-def _landed(spark, frame, label, parts):
+def _landed(spark, frame, label, parts=None):
+    """Rows as landed files: as they are partitioned, or dealt out anew."""
     path = scratch_path(spark, label)
-    frame.repartition(parts).write.parquet(path)
+    (frame.repartition(parts) if parts else frame).write.parquet(path)
     return path
 
 
 def _import_stream(spark, sf):
     incoming = fixtures.incoming(spark, sf).drop("series", "status")
-    path = _landed(spark, incoming, "incoming", 4)
+    path = _landed(spark, incoming, "incoming")
     out = {name: scratch_path(spark, name) for name in ("table", "outbox", "audit", "checkpoint")}
     stream = jobs.file_stream(spark, path, incoming.schema, files_per_batch=2)
     jobs.import_stream(stream, fixtures.history(spark, sf), **out).awaitTermination()
@@ -577,37 +658,114 @@ def stage_outbox(spark, sf):
     )
 
 
-@query
-def stream_dedupe(spark, sf):
+def _deduped(spark, sf, parts, per_batch):
     sent = fixtures.messages(spark, sf)
-    path = _landed(spark, sent, "messages", 4)
+    path = _landed(spark, sent, "messages", parts)
     table, letters, checkpoint = (scratch_path(spark, n) for n in ("deduped", "letters", "checkpoint"))
-    stream = jobs.file_stream(spark, path, sent.schema, files_per_batch=2)
+    stream = jobs.file_stream(spark, path, sent.schema, files_per_batch=per_batch)
     jobs.dedupe_stream(stream, table=table, dead_letters=letters, checkpoint=checkpoint).awaitTermination()
-    return spark.read.parquet(table).select("execution_id")
+    return spark.read.parquet(table)
+
+
+@query
+def stream_dedupe(spark, sf):
+    return _deduped(spark, sf, None, 2).select("execution_id")
+
+
+@query
+def stream_dedupe_regrouped(spark, sf):
+    """The same messages in other files and batches send the same."""
+    return _deduped(spark, sf, 3, 1).select("execution_id")
+
+
+@query
+def stream_replay(spark, sf):
+    """A stream that starts over without its checkpoint repeats its batches; each replaces itself."""
+    incoming = fixtures.incoming(spark, sf).drop("series", "status")
+    path = _landed(spark, incoming, "incoming")
+    out = {name: scratch_path(spark, name) for name in ("table", "outbox", "audit")}
+    for _ in range(2):
+        stream = jobs.file_stream(spark, path, incoming.schema, files_per_batch=2)
+        checkpoint = scratch_path(spark, "checkpoint")
+        jobs.import_stream(stream, fixtures.history(spark, sf), checkpoint=checkpoint, **out).awaitTermination()
+    return spark.read.parquet(out["table"]).select("lottery_type", "draw_no")
+
+
+@query
+def stream_predictions(spark, sf):
+    """Prediction stage over queued messages: every execution has one run, undecodable ones a FAILED audit row."""
+    sent = fixtures.messages(spark, sf)
+    path = _landed(spark, sent, "messages")
+    out = {name: scratch_path(spark, name) for name in ("runs", "outbox", "dead_letters", "audit", "checkpoint")}
+    stream = jobs.file_stream(spark, path, sent.schema)
+    draws = fixtures.draws(spark, sf).drop("series")
+    jobs.predict_stream(stream, draws, history_limit=60, count=2, as_of=AS_OF, **out).awaitTermination()
+    made = spark.read.parquet(out["runs"]).select("lottery_type", F.col("status"), F.size("predictions").alias("tickets"))
+    noted = spark.read.parquet(out["audit"]).filter("error_type = 'dead_letter'").select(
+        F.lit("-").alias("lottery_type"), "status", F.lit(0).alias("tickets")
+    )
+    return made.unionByName(noted).groupBy("lottery_type", "status").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("tickets").alias("tickets")
+    )
+
+
+@query
+def prediction_sink(spark, sf):
+    """Ticket rows appended to the flat table and read back."""
+    path = scratch_path(spark, "prediction-rows")
+    predict.append_prediction_rows(_runs(spark, sf), path)
+    rows = spark.read.parquet(path)
+    return rows.select("execution_id", "prediction_index", "n1", "n6", "n7", "draw_no", "lottery_type")
+
+
+@query
+def message_encode(spark, sf):
+    """Decoded messages encoded again as JSON values."""
+    good, _ = messages.split_messages(fixtures.messages(spark, sf))
+    return messages.encode(good, ["execution_id", "lottery_type", "draw_no"]).select(F.col("value").cast("string").alias("value"))
 
 
 @query
 def stream_dedupe_stateful(spark, sf):
     sent = fixtures.messages(spark, sf)
-    path = _landed(spark, sent, "messages", 4)
+    path = _landed(spark, sent, "messages")
     table, checkpoint = (scratch_path(spark, n) for n in ("deduped", "checkpoint"))
     stream = jobs.file_stream(spark, path, sent.schema, files_per_batch=2)
     jobs.dedupe_stateful(stream, table=table, checkpoint=checkpoint).awaitTermination()
     return spark.read.parquet(table).select("execution_id")
 
 
-@query
-def audit_trail(spark, sf):
-    """Audit rows of all messages, failed ones included."""
-    good, _ = messages.split_messages(fixtures.messages(spark, sf))
+def _audit_table(spark, sf):
+    """Audit table of all messages, undecodable ones included as FAILED."""
+    path = scratch_path(spark, "audit")
+    good, bad = messages.split_messages(fixtures.messages(spark, sf))
     rows = good.select(
         "execution_id", F.concat(F.lit("stage_"), "event_type").alias("function_name"), "lottery_type",
         F.when(F.col("event_type") == "error", "FAILED").otherwise("SUCCESS").alias("status"),
-        F.col("bucket").alias("gcs_bucket"), F.col("object").alias("gcs_object"), "draw_no",
-        F.col("event_time").alias("executed_at"),
+        F.lit(None).cast("string").alias("error_type"), F.lit(None).cast("string").alias("error_detail"),
+        F.col("object").alias("gcs_object"), "draw_no", F.col("event_time").alias("executed_at"),
+    )
+    lost = jobs.refused(bad.withColumn("execution_id", F.concat(F.lit("event-"), "event_id")), "decode")
+    timed = lost.drop("executed_at").withColumn("gcs_object", F.lit(None).cast("string")).withColumn(
+        "executed_at", F.to_timestamp(F.lit(AS_OF))
+    )
+    audit.append_audit(rows.unionByName(timed), path)
+    return spark.read.parquet(path)
+
+
+@query
+def audit_trail(spark, sf):
+    return _audit_table(spark, sf).select(
+        "execution_id", "stage", "status", "gcs_object", "draw_no", "executed_date", "error_type", "error_detail"
     )
-    return audit.audit_rows(rows).select("execution_id", "stage", "status", "gcs_object", "draw_no", "executed_date")
+
+
+@query
+def audit_trace(spark, sf):
+    """Stages of the execution with the smallest id, in time order."""
+    rows = _audit_table(spark, sf)
+    first = rows.agg(F.min("execution_id")).first()[0]
+    return audit.trace(rows, first).select("execution_id", "stage", "status", F.date_format("executed_at", "yyyy-MM-dd HH:mm:ss").alias("executed_at"))
 
 
 @query
@@ -620,11 +778,18 @@ def unsent_messages(spark, sf):
 
 @query
 def requested_runs(spark, sf):
-    """One tuned run per queued execution, pools as series."""
+    """One tuned run per queued execution, pools as series; requests for a pool without draws fail visibly."""
     good, _ = messages.split_messages(fixtures.messages(spark, sf))
     asked = one_per_key(good.select("execution_id", "lottery_type", "draw_no", "draw_date", "notify"), ["execution_id"])
+    strange = asked.filter(F.col("draw_no") % 50 == 0).withColumns(
+        {"execution_id": F.concat("execution_id", F.lit("-x")), "lottery_type": F.lit("mini")}
+    )
+    asked = asked.unionByName(strange)
     runs = predict.prediction_runs(
         fixtures.draws(spark, sf).drop("series"), series_cols=["lottery_type"], history_limit=WINDOW, count=TICKETS, as_of=AS_OF, requests=asked
     )
     lines = F.transform("predictions", lambda t: F.array_join(t.cast("array<string>"), " "))
-    return runs.select("execution_id", "lottery_type", "latest_draw_no", "seed", F.array_join(lines, ";").alias("predictions"))
+    return runs.select(
+        "execution_id", "lottery_type", "latest_draw_no", "seed", F.array_join(lines, ";").alias("predictions"), "status",
+        F.col("error").isNotNull().alias("has_error"),
+    )

@@ -94,6 +94,18 @@ def _replace_last(numbers: Column, value: Column) -> Column:
     return F.concat(F.slice(numbers, F.lit(1), F.size(numbers) - 1), F.array(value.cast("int")))
 
 
+def written_pools(rows: DataFrame) -> DataFrame:
+    """Pool names as people write them: padded, upper case, unknown, missing."""
+    kind = F.col("lottery_type")
+    return rows.withColumn(
+        "lottery_type",
+        F.when(F.col("draw_no") % 31 == 0, "mini")
+        .when(F.col("draw_no") % 37 == 0, F.lit(None))
+        .when(F.col("draw_no") % 29 == 0, F.concat(F.lit(" "), F.upper(kind), F.lit(" ")))
+        .otherwise(kind),
+    )
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws already imported: those of closed and partly shipped orders."""
     return draws(spark, sf_dir).filter(F.col("status").isin("F", "P"))
@@ -155,7 +167,10 @@ def _rendered_rows(d: DataFrame) -> DataFrame:
         "draw_no",
         F.date_format("draw_date", "yyyyMM").alias("month"),
         F.floor(F.col("draw_no") / PAGE_BLOCK).cast("bigint").alias("block"),
-        F.concat(F.lit("第"), label, F.lit("回")).alias("label"),
+        # Some labels are written as character references.
+        F.when(F.col("draw_no") % 7 == 1, F.concat(F.lit("&#31532;"), label, F.lit("&#x56DE;")))
+        .otherwise(F.concat(F.lit("第"), label, F.lit("回")))
+        .alias("label"),
         F.date_format("draw_date", "yyyy/MM/dd").alias("day"),
         F.when(F.col("draw_no") % 5 == 0, wide_digits(plain)).otherwise(plain).alias("main"),
         F.array_join(F.reverse("main_numbers").cast("array<string>"), " ").alias("provisional"),
@@ -184,11 +199,23 @@ def _document(pages: DataFrame) -> DataFrame:
         F.xxhash64(key).alias("page_id"),
         F.concat(F.lit(URL_ROOT), "lottery_type", F.lit("/"), "month", F.lit("/?p="), "block").alias("url"),
         html.alias("html"),
-        "lottery_type",
+        # The pool of every other page is written with capitals and a blank.
+        F.when(F.col("block") % 2 == 1, F.concat(F.lit(" "), F.upper("lottery_type"))).otherwise(
+            F.col("lottery_type")
+        ).alias("lottery_type"),
         "month",
     )
 
 
+def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web pages without draws, as they come along in a crawl; every seventeenth names no pool."""
+    return table(spark, sf_dir, "pages").select(
+        "page_id", "url", "html",
+        F.when(F.col("page_id") % 17 == 0, "unknown").when(F.col("page_id") % 2 == 0, "loto6").otherwise("loto7").alias("lottery_type"),
+        F.lit(None).cast("string").alias("month"),
+    )
+
+
 def result_pages(spark: SparkSession, sf_dir: str, *, provisional: bool = False) -> DataFrame:
     """Result pages of all draws plus the crawled ``pages`` as noise.
 
@@ -197,8 +224,10 @@ def result_pages(spark: SparkSession, sf_dir: str, *, provisional: bool = False)
     """
     rows = _rendered_rows(draws(spark, sf_dir))
     cells = lambda main: F.concat(
-        F.lit("<tr><td>"), "label", F.lit(" "), "day", F.lit("</td><td>"), main, F.lit("</td><td>"), "bonus",
-        F.lit("</td></tr>"),
+        F.lit("<tr><td>"), "label", F.when(F.col("draw_no") % 11 == 0, "&nbsp;").otherwise(" "), "day",
+        F.lit("</td><td>"), main, F.lit("</td><td>"), "bonus",
+        # Closing tags of cells and rows are optional.
+        F.when(F.col("draw_no") % 4 == 2, "").otherwise("</td></tr>"),
     )
     spread = F.array_join(F.transform(F.split("main", " "), lambda n: F.concat(F.lit("<td>"), n, F.lit("</td>"))), "")
     bonus = F.array_join(F.transform(F.split("bonus", " "), lambda n: F.concat(F.lit("<td>（"), n, F.lit("）</td>"))), "")
@@ -213,20 +242,19 @@ def result_pages(spark: SparkSession, sf_dir: str, *, provisional: bool = False)
         listed = _paged(rows, html, [F.col("version"), F.col("draw_no")])
     else:
         listed = _paged(rows, final, [F.col("draw_no")])
-    noise = table(spark, sf_dir, "pages").select(
-        "page_id", "url", "html",
-        F.when(F.col("page_id") % 2 == 0, "loto6").otherwise("loto7").alias("lottery_type"),
-        F.lit(None).cast("string").alias("month"),
-    )
-    return _document(listed).unionByName(noise)
+    return _document(listed).unionByName(crawled_pages(spark, sf_dir))
 
 
 def latest_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages in the newest-first form with one value per cell."""
+    """Pages in the newest-first form with one value per cell, plus the crawled ``pages`` as noise.
+
+    Draws with a number divisible by 16 show a first main number that no pool has.
+    """
     rows = _rendered_rows(draws(spark, sf_dir))
-    numbers = F.concat_ws(" ", "main", "bonus")
+    wrong = F.regexp_replace("main", r"^\S+", "77")
+    numbers = F.concat_ws(" ", F.when(F.col("draw_no") % 16 == 0, wrong).otherwise(F.col("main")), "bonus")
     cells = F.array_join(F.transform(F.split(numbers, " "), lambda n: F.concat(F.lit("<td>"), n, F.lit("</td>"))), "")
     html = F.concat(
         F.lit("<tr><td>"), "label", F.lit("</td><td>"), "day", F.lit("</td>"), cells, F.lit("</tr>")
     )
-    return _document(_paged(rows, html, [-F.col("draw_no")]))
+    return _document(_paged(rows, html, [-F.col("draw_no")])).unionByName(crawled_pages(spark, sf_dir))

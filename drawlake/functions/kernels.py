@@ -117,7 +117,7 @@ def smallest(keys: np.ndarray, count: int) -> np.ndarray:
 
 def sample(noise: np.ndarray, weights: np.ndarray, count: int) -> np.ndarray:
     if count > weights.shape[1]:
-        raise ValueError("sample size is larger than population")
+        raise ValueError("more numbers asked for than the pool has")
     return smallest(noise / np.maximum(weights, WEIGHT_FLOOR), count)
 
 
@@ -131,9 +131,18 @@ def ticket_weights(weights: np.ndarray, index: np.ndarray, usage: np.ndarray) ->
 
 
 class TicketBook:
-    """Accepted tickets of a batch of runs; refuses a number set a run already has."""
+    """Accepted tickets of a batch of runs; refuses a number set a run already has or must not get.
 
-    def __init__(self, runs: int, count: int, pick: int, width: int) -> None:
+    ``taken`` lists, per run, the masks of number sets that are refused from the start.
+    """
+
+    def __init__(
+        self, runs: int, count: int, pick: int, width: int, taken: list[list[int] | None] | None = None
+    ) -> None:
+        most = max((len(t or ()) for t in taken or ()), default=0)
+        self.taken = np.zeros((runs, most), np.int64)
+        for row, masks in enumerate(taken or ()):
+            self.taken[row, : len(masks or ())] = masks or ()
         self.numbers = np.zeros((runs, count, pick), np.int32)
         self.masks = np.zeros((runs, count), np.int64)
         self.found = np.zeros(runs, np.int64)
@@ -146,7 +155,7 @@ class TicketBook:
     def add(self, runs: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Offer one ticket per run, to be shown in order of ``weights``; True where accepted."""
         masks = number_masks(columns)
-        new = ~(self.masks[runs] == masks[:, None]).any(axis=1)
+        new = ~(self.masks[runs] == masks[:, None]).any(axis=1) & ~(self.taken[runs] == masks[:, None]).any(axis=1)
         rows, chosen = runs[new], columns[new]
         slot = self.found[rows]
         self.numbers[rows, slot] = in_weight_order(chosen, weights[new]) + 1

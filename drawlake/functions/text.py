@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, functions as F
 
 SPACE = r"[\s\x{00a0}\x{3000}]"
@@ -17,43 +20,47 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, "０１２３４５６７８９（）", "0123456789()")
 
 
+# Names of character references with their text, from the standard library's HTML table.
+NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+# References to the C1 range mean the Windows letters at these places.
+WINDOWS = {f"{b:X}": bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
+REFERENCE = r"^(?:#(\d+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));"
+
+
+def _table(texts: dict[str, str]) -> Column:
+    """A constant map; one literal that the optimiser folds."""
+    return F.from_json(F.lit(json.dumps(texts)), "map<string,string>")
+
+
 def unescape(text: Column) -> Column:
-    """HTML character references: common names, decimal and hexadecimal forms.
+    """HTML character references that end in a semicolon: names, decimal and hexadecimal forms.
 
-    ``&amp;`` goes last, so that an escaped reference stays text.
+    Each is read once, so an escaped reference stays text. Numbers beyond Unicode,
+    surrogates and zero become the replacement character; unknown names stay.
     """
 
-    def code_point(digits: Column, base: int) -> Column:
-        four = F.lpad(F.conv(digits, base, 16), 4, "0")
-        return F.decode(F.unhex(four), "UTF-16BE")
-
-    def numeric(value: Column, marker: str, base: int, digit_class: str) -> Column:
-        pieces = F.split(value, marker)
-        pattern = f"^({digit_class}{{1,4}});" if base == 16 else f"^({digit_class}{{1,5}});"
-        return F.array_join(
-            F.transform(
-                pieces,
-                lambda p, i: F.when(
-                    (i > 0) & p.rlike(pattern),
-                    F.concat(
-                        code_point(F.regexp_extract(p, pattern, 1), base),
-                        F.regexp_replace(p, pattern, ""),
-                    ),
-                )
-                .when(i > 0, F.concat(F.lit(marker.replace("(?i)", "")), p))
-                .otherwise(p),
-            ),
-            "",
+    def code_point(digits: Column) -> Column:
+        digits = F.upper(F.ltrim(digits, F.lit("0")))
+        short = F.length(digits) <= 6
+        value = F.when(short, F.conv(digits, 16, 10).cast("bigint"))
+        real = F.coalesce((value > 0) & (value <= 0x10FFFF) & ~value.between(0xD800, 0xDFFF), F.lit(False))
+        plain = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
+        return F.when(real, F.coalesce(F.try_element_at(_table(WINDOWS), digits), plain)).otherwise("\ufffd")
+
+    def piece(p: Column) -> Column:
+        decimal, hexadecimal, name = (F.regexp_extract(p, REFERENCE, g) for g in (1, 2, 3))
+        number = F.when(F.length(F.ltrim(decimal, F.lit("0"))) <= 7, F.conv(decimal, 10, 16)).otherwise("FFFFFFF")
+        read = (
+            F.when(decimal != "", code_point(number))
+            .when(hexadecimal != "", code_point(hexadecimal))
+            .when(name != "", F.try_element_at(_table(NAMED), name))
         )
+        rest = F.regexp_replace(p, REFERENCE, "")
+        return F.coalesce(F.concat(read, rest), F.concat(F.lit("&"), p))
 
-    def decoded(value: Column) -> Column:
-        out = numeric(value, "&#x", 16, "[0-9a-fA-F]")
-        out = numeric(out, "&#", 10, "[0-9]")
-        for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-            out = F.replace(out, F.lit(name), F.lit(char))
-        return out
-
-    return F.when(text.contains("&"), decoded(text)).otherwise(text)
+    pieces = F.split(text, "&")
+    decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))
+    return F.when(text.contains("&"), decoded).otherwise(text)
 
 
 def drop_invisible(html: Column) -> Column:

@@ -8,7 +8,7 @@ from drawlake.functions.arrays import (
     bonus_from_wide, main_from_wide, wide_bonus, wide_main,
 )
 from drawlake.operators.pin import pin
-from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS, by_pool, clean_type
+from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS, by_pool, clean_type, is_known_type
 
 WIDE_NUMBERS = [*MAIN_COLUMNS, *BONUS_COLUMNS]
 
@@ -60,18 +60,24 @@ def target_sets(draws: DataFrame) -> DataFrame:
 
 
 def normalise_rows(wide: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable rows with integer columns, rows lacking a main number).
+    """(usable rows with integer columns, all other rows with a ``reason``).
 
-    Rows without a positive draw_no are dropped; bonus columns may be NULL.
+    A row needs a known pool, a positive draw_no and every main number; bonus
+    columns may be NULL.
     """
     typed = pin(
         wide,
         lottery_type=clean_type("lottery_type"),
         draw_no=F.coalesce(F.col("draw_no").try_cast("bigint"), F.lit(0)),
         **{c: F.col(c).try_cast("int") for c in WIDE_NUMBERS},
-    ).filter(F.col("draw_no") > 0)
+    )
     needed = F.slice(
         F.array(*[F.col(c) for c in MAIN_COLUMNS]), F.lit(1), by_pool("lottery_type", "pick")
     )
-    lacking = F.exists(needed, lambda n: n.isNull())
-    return typed.filter(~lacking), typed.filter(lacking)
+    reason = (
+        F.when(~is_known_type("lottery_type"), "unknown_pool")
+        .when(F.col("draw_no") <= 0, "no_draw_no")
+        .when(F.exists(needed, lambda n: n.isNull()), "missing_main_number")
+    )
+    judged = pin(typed, reason=reason)
+    return judged.filter("reason IS NULL").drop("reason"), judged.filter("reason IS NOT NULL")

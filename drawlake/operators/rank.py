@@ -11,10 +11,12 @@ BUCKET_SPAN = 1 << 18
 
 
 def one_per_key(draws: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
-    """One row per key by hash aggregation, so copies collapse before the shuffle.
+    """One row per key; copies collapse before the shuffle.
 
     With ``newest`` the row with the largest value of that column wins,
-    otherwise the largest row by value; both are deterministic.
+    otherwise the largest row by value; both are deterministic. A whole row as
+    aggregate buffer makes Spark sort each partition by key; that is accepted,
+    because ties need all columns to be broken the same way every time.
     """
     rest = [c for c in draws.columns if c not in keys]
     order = [newest, *[c for c in rest if c != newest]] if newest else rest
@@ -37,14 +39,22 @@ def rank_draws(
     running offsets, and only the rows of one bucket are ever sorted together.
 
     ``unique`` states that (series, order_col) has no duplicates; otherwise
-    copies are removed first.
+    copies are removed first. Rows without an order value have no position and
+    are left out.
     """
     base = draws if unique else one_per_key(draws, [*series_cols, order_col])
+    return _ranked(base, series_cols, order_col, span)
+
+
+def _ranked(base: DataFrame, series_cols: list[str], order_col: str, span: int, newest: int | None = None) -> DataFrame:
+    """Positions inside the series; with ``newest`` only of rows in buckets that may hold that many newest ones."""
     base = base.withColumn("_bucket", F.floor(F.col(order_col) / F.lit(span)).cast("bigint"))
     offsets = _bucket_offsets(base.select(*series_cols, "_bucket"), series_cols)
+    if newest is not None:
+        offsets = offsets.filter(F.col("series_size") - F.col("_before") - F.col("_n") < newest)
     inside = Window.partitionBy(*series_cols, "_bucket").orderBy(order_col)
     return (
-        base.join(offsets, [*series_cols, "_bucket"])
+        base.join(offsets.drop("_n"), [*series_cols, "_bucket"])
         .withColumn("rk", F.col("_before") + F.row_number().over(inside))
         .withColumn("draw_idx", F.col("series_size") - F.col("rk"))
         .drop("_bucket", "_before")
@@ -63,25 +73,23 @@ def _bucket_offsets(keys: DataFrame, series_cols: list[str]) -> DataFrame:
     return counts.select(
         *series_cols,
         "_bucket",
+        "_n",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
         F.sum("_n").over(series).alias("series_size"),
     )
 
 
 def latest_per_series(
-    draws: DataFrame, series_cols: list[str], limit: int, *, order_col: str = "draw_no"
+    draws: DataFrame, series_cols: list[str], limit: int, *, order_col: str = "draw_no", span: int = BUCKET_SPAN
 ) -> DataFrame:
-    """Newest ``limit`` draws of each series.
+    """Newest ``limit`` draws of each series; rows without an order value are older than all others and left out.
 
-    The rank filter is planned as a window group limit: every task trims each
-    series to ``limit`` rows before the shuffle, so no series moves whole.
+    Bucket counts tell which draw-number buckets can hold the newest draws. Only
+    those are joined and sorted, each by itself, whatever the limit: no series
+    meets in one task.
     """
-    newest = Window.partitionBy(*series_cols).orderBy(F.desc(order_col))
-    return (
-        draws.withColumn("_position", F.row_number().over(newest))
-        .filter(F.col("_position") <= limit)
-        .withColumn("draw_idx", F.col("_position") - 1)
-        .withColumn("series_size", F.count(F.lit(1)).over(Window.partitionBy(*series_cols)))
-        .withColumn("rk", F.col("series_size") - F.col("draw_idx"))
-        .drop("_position")
-    )
+    known = draws.filter(F.col(order_col).isNotNull())
+    newest = _ranked(known, series_cols, order_col, span, limit).filter(F.col("draw_idx") < limit)
+    # Positions count inside the newest draws.
+    size = F.least(F.col("series_size"), F.lit(limit).cast("bigint"))
+    return newest.withColumn("series_size", size).withColumn("rk", F.col("series_size") - F.col("draw_idx"))

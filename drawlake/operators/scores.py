@@ -143,7 +143,7 @@ def combined_scores(
 ) -> DataFrame:
     """Weighted sum over the union of numbers; a missing score counts as 0."""
     if main_weight < 0 or bonus_weight < 0:
-        raise ValueError("main_weight and bonus_weight must be non-negative")
+        raise ValueError("blend weights below zero are not allowed")
     left = main.withColumnRenamed("score", "main_score")
     right = bonus.withColumnRenamed("score", "bonus_score")
     return left.join(right, [*series_cols, "number"], "full_outer").select(

@@ -25,8 +25,11 @@ MIXED_SEED_SHIFT = 10_000
 
 STRATEGIES = ("default", "second_prize_oriented", "mixed")
 RANK_TICKETS = ["anchor", "balanced", "even_odd", "spread", "mixed_depth"]
-TOO_FEW = "failed to generate enough unique predictions"
-ONLY_SEVEN = "second_prize_oriented is only supported for loto7"
+TOO_FEW = "too few different tickets were found for this run"
+ONLY_SEVEN = "profile tickets exist for the 7-pick pool only"
+NO_BONUS = "profile tickets need bonus scores, this run has none"
+NO_POOL = "the run names no known pool"
+NO_SCORES = "the run has no scores"
 
 TICKETS = T.ArrayType(T.ArrayType(T.IntegerType()))
 SCORES = T.ArrayType(T.DoubleType())
@@ -54,10 +57,12 @@ def rank_tickets(order: np.ndarray, pick: int) -> list[np.ndarray]:
     return [anchor, anchor, parity, order[:, 0 : 2 * pick : 2], order[:, depth]]
 
 
-def default_book(scores: np.ndarray, pool: PoolSpec, count: int, seeds: np.ndarray) -> K.TicketBook:
+def default_book(
+    scores: np.ndarray, pool: PoolSpec, count: int, seeds: np.ndarray, taken: list | None = None
+) -> K.TicketBook:
     """Rank tickets first, then weighted samples with flattened, usage-reduced weights."""
     weights = K.weight_matrix(K.scaled(scores), DEFAULT_TEMPERATURE)
-    book = K.TicketBook(len(scores), count, pool.pick, pool.high)
+    book = K.TicketBook(len(scores), count, pool.pick, pool.high, taken)
     for columns in rank_tickets(K.ranked(weights), pool.pick):
         runs = book.open_runs()
         book.add(runs, columns[runs], weights[runs])
@@ -72,7 +77,9 @@ def default_book(scores: np.ndarray, pool: PoolSpec, count: int, seeds: np.ndarr
     return book
 
 
-def profile_book(main: np.ndarray, bonus: np.ndarray, count: int, seeds: np.ndarray) -> K.TicketBook:
+def profile_book(
+    main: np.ndarray, bonus: np.ndarray, count: int, seeds: np.ndarray, taken: list | None = None
+) -> K.TicketBook:
     """One ticket per profile: mains from the best main pool, then bonus picks from the rest.
 
     A duplicate is retried with a penalty on its numbers; a run that cannot
@@ -81,7 +88,7 @@ def profile_book(main: np.ndarray, bonus: np.ndarray, count: int, seeds: np.ndar
     pool = POOLS["loto7"]
     m, b = K.scaled(main), K.scaled(bonus)
     display = K.weight_matrix(m * DISPLAY_BLEND[0] + b * DISPLAY_BLEND[1], 1.0)
-    book = K.TicketBook(len(main), count, pool.pick, pool.high)
+    book = K.TicketBook(len(main), count, pool.pick, pool.high, taken)
     for ticket in range(count):
         profile = PROFILES[ticket % len(PROFILES)]
         (ma, mb), (ba, bb) = profile.main_blend, profile.bonus_blend
@@ -105,9 +112,12 @@ def profile_book(main: np.ndarray, bonus: np.ndarray, count: int, seeds: np.ndar
             main_keys = keys(main_weights, "m")
             main_keys[closed[runs]] = np.inf
             mains = K.smallest(main_keys, profile.main_count)
-            bonus_keys = keys(bonus_weights, "b")
-            bonus_keys[bonus_closed[runs]] = np.inf
-            np.put_along_axis(bonus_keys, mains, np.inf, axis=1)
+            whole_keys = keys(bonus_weights, "b")
+            np.put_along_axis(whole_keys, mains, np.inf, axis=1)
+            bonus_keys = np.where(bonus_closed[runs], np.inf, whole_keys)
+            # Too few open bonus numbers beside the mains: the whole pool is open.
+            narrow = np.isfinite(bonus_keys).sum(axis=1) < profile.bonus_count
+            bonus_keys[narrow] = whole_keys[narrow]
             extra = K.smallest(bonus_keys, profile.bonus_count)
             columns = np.hstack([mains, extra])
             refused = ~book.add(runs, columns, display[runs])
@@ -127,19 +137,23 @@ def generate_tickets(
     *,
     count: int,
     strategy: str = "mixed",
+    exclude_col: str | None = None,
     drop: tuple[str, ...] = ("main_scores", "bonus_scores"),
 ) -> DataFrame:
     """Add ``tickets``, ``ticket_masks`` and ``error`` to runs with lottery_type, seed and scores.
 
     default: the default generator for both pools. second_prize_oriented: the
-    profile generator, an error for the 6-pick pool. mixed: profiles with a
-    shifted seed where pool and bonus scores allow it, otherwise default.
-    A run with fewer than ``count`` unique tickets gets an error text.
+    profile generator, an error for the 6-pick pool and for runs without bonus
+    scores. mixed: profiles with a shifted seed where pool and bonus scores allow it,
+    otherwise default. ``exclude_col`` holds masks of tickets a run must not get. A
+    run with fewer than ``count`` unique tickets, an unknown pool or no scores gets
+    an error text; every run comes out.
     """
     strategy = str(strategy).strip().lower()
     if strategy not in STRATEGIES:
-        raise ValueError(f"unsupported prediction strategy: {strategy}")
+        raise ValueError(f"no such ticket strategy: {strategy}")
     check_ticket_count(count)
+    drop = (*drop, *([exclude_col] if exclude_col else []))
     kept = [f for f in runs.schema.fields if f.name not in drop]
     schema = T.StructType(
         [
@@ -149,42 +163,59 @@ def generate_tickets(
             T.StructField("error", T.StringType()),
         ]
     )
-    return runs.mapInArrow(_ticket_batches([f.name for f in kept], count, strategy), schema)
+    return runs.mapInArrow(_ticket_batches([f.name for f in kept], count, strategy, exclude_col), schema)
+
+
+def pool_names(column: pa.Array) -> np.ndarray:
+    """Cleaned pool names; the empty text for NULL."""
+    return np.array([str(v or "").strip().lower() for v in column.to_pylist()], dtype=object)
 
 
 def _ticket_batches(
-    kept: list[str], count: int, strategy: str
+    kept: list[str], count: int, strategy: str, exclude_col: str | None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     shift = MIXED_SEED_SHIFT if strategy == "mixed" else 0
+    names = [*kept, "tickets", "ticket_masks", "error"]
+
+    def valid(batch: pa.RecordBatch, column: str) -> np.ndarray:
+        if column not in batch.schema.names:
+            return np.zeros(batch.num_rows, bool)
+        return batch[column].is_valid().to_numpy(zero_copy_only=False)
 
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types = batch["lottery_type"].to_numpy(zero_copy_only=False)
-            has_bonus = np.zeros(batch.num_rows, bool)
-            if "bonus_scores" in batch.schema.names:
-                has_bonus = batch["bonus_scores"].is_valid().to_numpy(zero_copy_only=False)
+            types, has_bonus, has_main = pool_names(batch["lottery_type"]), valid(batch, "bonus_scores"), valid(batch, "main_scores")
+            known = np.isin(types, list(POOLS))
+            refused = [(~known, NO_POOL), (known & ~has_main, NO_SCORES)]
+            if strategy == "second_prize_oriented":
+                refused += [
+                    (known & has_main & (types != "loto7"), ONLY_SEVEN),
+                    (known & has_main & (types == "loto7") & ~has_bonus, NO_BONUS),
+                ]
+            for chosen, message in refused:
+                if chosen.any():
+                    part = batch.take(pa.array(np.flatnonzero(chosen)))
+                    empty = K.TicketBook(part.num_rows, count, 1, 1)
+                    yield pa.RecordBatch.from_arrays([*[part[c] for c in kept], *_book_columns(empty, message)], names=names)
             for name, pool in POOLS.items():
-                of_pool = types == name
+                of_pool = (types == name) & has_main
                 profiled = of_pool & has_bonus & (name == "loto7") & (strategy != "default")
-                for chosen, by_profile in ((profiled, True), (of_pool & ~profiled, False)):
+                plain = of_pool & ~profiled & (strategy != "second_prize_oriented")
+                for chosen, by_profile in ((profiled, True), (plain, False)):
                     rows = np.flatnonzero(chosen)
                     if not len(rows):
                         continue
                     part = batch.take(pa.array(rows))
                     seeds = part["seed"].to_numpy()
+                    taken = part[exclude_col].to_pylist() if exclude_col else None
                     main = list_matrix(part["main_scores"])[:, : pool.high]
-                    message = TOO_FEW
                     if by_profile:
                         bonus = list_matrix(part["bonus_scores"])[:, : pool.high]
-                        book = profile_book(main, bonus, count, seeds + shift)
-                    elif strategy == "second_prize_oriented":
-                        message = ONLY_SEVEN
-                        book = K.TicketBook(len(rows), count, pool.pick, pool.high)
+                        book = profile_book(main, bonus, count, seeds + shift, taken)
                     else:
-                        book = default_book(main, pool, count, seeds)
+                        book = default_book(main, pool, count, seeds, taken)
                     yield pa.RecordBatch.from_arrays(
-                        [*[part[c] for c in kept], *_book_columns(book, message)],
-                        names=[*kept, "tickets", "ticket_masks", "error"],
+                        [*[part[c] for c in kept], *_book_columns(book, TOO_FEW)], names=names
                     )
 
     return generate
@@ -216,7 +247,8 @@ def list_matrix(column: pa.Array) -> np.ndarray:
 
 def rank_ticket_rows(runs: DataFrame, run_cols: list[str]) -> DataFrame:
     """Rank tickets of each run as rows: run, strategy_no, strategy, ticket; repeats of a
-    number set inside a run are dropped, the first strategy keeps it."""
+    number set inside a run are dropped, the first strategy keeps it. A run of an unknown
+    pool gives one row with neither number nor ticket."""
     schema = T.StructType(
         [runs.schema[c] for c in run_cols]
         + [
@@ -228,8 +260,15 @@ def rank_ticket_rows(runs: DataFrame, run_cols: list[str]) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types = batch["lottery_type"].to_numpy(zero_copy_only=False)
+            types = pool_names(batch["lottery_type"])
             main = list_matrix(batch["main_scores"])
+            other = np.flatnonzero(~np.isin(types, list(POOLS)))
+            if len(other):
+                picked = batch.select(run_cols).take(pa.array(other))
+                blank = [pa.nulls(len(other), t) for t in (pa.int32(), pa.string(), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(
+                    [*picked.columns, *blank], names=[*run_cols, "strategy_no", "strategy", "ticket"]
+                )
             for name, pool in POOLS.items():
                 rows = np.flatnonzero(types == name)
                 if not len(rows):
@@ -256,7 +295,7 @@ def rank_ticket_rows(runs: DataFrame, run_cols: list[str]) -> DataFrame:
 
 
 def weighted_sample(runs: DataFrame, run_cols: list[str], *, seed_col: str = "seed") -> DataFrame:
-    """One weighted sample of ``pick`` numbers per run from its base weights, ascending."""
+    """One weighted sample of ``pick`` numbers per run from its base weights, ascending; NULL for an unknown pool."""
     schema = T.StructType(
         [runs.schema[c] for c in run_cols]
         + [T.StructField("sample", T.ArrayType(T.IntegerType()))]
@@ -264,9 +303,15 @@ def weighted_sample(runs: DataFrame, run_cols: list[str], *, seed_col: str = "se
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            types = batch["lottery_type"].to_numpy(zero_copy_only=False)
+            types = pool_names(batch["lottery_type"])
             seeds = batch[seed_col].to_numpy()
             main = list_matrix(batch["main_scores"])
+            other = np.flatnonzero(~np.isin(types, list(POOLS)))
+            if len(other):
+                picked = batch.select(run_cols).take(pa.array(other))
+                yield pa.RecordBatch.from_arrays(
+                    [*picked.columns, pa.nulls(len(other), pa.list_(pa.int32()))], names=[*run_cols, "sample"]
+                )
             for name, pool in POOLS.items():
                 rows = np.flatnonzero(types == name)
                 if not len(rows):

@@ -55,14 +55,18 @@ def clean_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def pool_scores(scores: DataFrame, series_cols: list[str]) -> DataFrame:
+def pool_scores(scores: DataFrame, series_cols: list[str], *, order_col: str | None = None) -> DataFrame:
     """One row per number of the pool with its score over the series maximum.
 
-    ``scores``: lottery_type, series, number, score. A series holds at most one
-    row per number of its pool, so its map and window stay tiny.
+    ``scores``: lottery_type, series, number, score. Of several scores for a number
+    the one with the largest ``order_col`` counts (the last one), without that column
+    the largest score. A series holds at most one row per number of its pool, so its
+    map and window stay tiny.
     """
     scores = clean_scores(scores)
-    per_series = scores.groupBy(*series_cols, "lottery_type").agg(
+    last = F.max_by("score", order_col) if order_col else F.max("score")
+    single = scores.groupBy(*series_cols, "lottery_type", "number").agg(last.alias("score"))
+    per_series = single.groupBy(*series_cols, "lottery_type").agg(
         F.map_from_entries(F.collect_list(F.struct("number", "score"))).alias("by_number")
     )
     spine = per_series.withColumn(

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from drawlake.operators.rank import latest_per_series
 from drawlake.operators.scores import BONUS_FACTORS, ScoreWeights
 from drawlake.operators.sliding import task_count, window_features
-from drawlake.operators.tickets import generate_tickets
+from drawlake.operators.tickets import NO_SCORES, generate_tickets
 from drawlake.plans.tune import WEIGHT_COLUMNS, score_features, tune_weights
+from drawlake.session import written
 from drawlake.spec import MAIN_COLUMNS, check_limits, check_ticket_count
 
 
@@ -17,6 +18,11 @@ REQUEST_FIELDS = {
 }
 
 
+# Most series whose scores, under a kilobyte each, are broadcast to the requests.
+BROADCAST_SERIES = 20_000
+NO_DRAWS = "the requested series has no draws"
+
+
 def stable_seed(key: Column) -> Column:
     """28-bit seed from a key, so that a replayed run repeats its tickets."""
     return F.conv(F.substring(F.md5(key), 1, 7), 16, 10).cast("bigint")
@@ -65,12 +71,14 @@ def prediction_runs(
     fixes execution_id and seed, which makes a replay idempotent.
 
     With ``requests`` (series, execution_id, draw_no, draw_date, notify) one run
-    is made per request; its non-NULL values override the derived ones.
+    is made per request; its non-NULL values override the derived ones. A run that
+    can't be made, also for want of draws, is FAILED and says why in ``error``.
     """
     check_limits([history_limit])
     check_ticket_count(count)
-    tuned = tune_weights(draws, series_cols=series_cols, history_limit=history_limit, count=count)
-    latest = latest_per_series(draws, series_cols, history_limit)
+    # One pass over the history: the newest draws are few and feed the tuning, the features and the defaults.
+    latest = written(latest_per_series(draws, series_cols, history_limit), "latest")
+    tuned = tune_weights(draws, series_cols=series_cols, history_limit=history_limit, count=count, latest=latest)
     features = next_draw_features(latest, series_cols, history_limit).join(tuned, series_cols)
     defaults = ScoreWeights()
     main_weights = {
@@ -100,7 +108,11 @@ def prediction_runs(
             *series_cols,
             *[F.col(c.removeprefix("_")).cast(t).alias(c) for c, t in REQUEST_FIELDS.items()],
         ).repartition(task_count(requests), "_execution_id")
-        asked = bonus.join(spread, series_cols)
+        # One row per series: broadcast while there are few, else joined by series. A request
+        # whose series has no draws keeps no scores and fails visibly.
+        scored = written(bonus, "series-scores")
+        few = scored.count() <= BROADCAST_SERIES
+        asked = spread.join(F.broadcast(scored) if few else scored, series_cols, "left")
     derived_id = F.md5(F.concat_ws("|", *series_cols, F.lit(as_of)))
     keyed = (
         asked.withColumn("execution_id", F.coalesce("_execution_id", derived_id))
@@ -131,9 +143,17 @@ def prediction_runs(
         F.struct(*[F.col(names[w]).alias(w) for w in names]).alias("score_weights"),
         "optimizer_score",
         "optimizer_rounds",
+        F.when(F.col("history_count").isNull(), F.coalesce(F.nullif("error", F.lit(NO_SCORES)), F.lit(NO_DRAWS)))
+        .otherwise(F.col("error"))
+        .alias("error"),
     )
 
 
+def append_prediction_rows(runs: DataFrame, path: str) -> None:
+    """Append the ticket rows of runs to the flat prediction table."""
+    prediction_rows(runs).write.mode("append").partitionBy("lottery_type").parquet(path)
+
+
 def prediction_rows(runs: DataFrame) -> DataFrame:
     """One row per ticket, index from 1; n7 only for the 7-pick pool.
 
@@ -142,7 +162,7 @@ def prediction_rows(runs: DataFrame) -> DataFrame:
     """
     ticket = F.col("ticket")
     checked = F.when(
-        F.size(ticket) < 6, F.raise_error(F.lit("prediction must contain at least 6 numbers"))
+        F.size(ticket) < 6, F.raise_error(F.lit("a ticket needs six numbers or more"))
     ).otherwise(ticket)
     rows = runs.select(
         "execution_id",
@@ -164,7 +184,7 @@ def prediction_rows(runs: DataFrame) -> DataFrame:
 
 
 def run_digest(runs: DataFrame, *, zone: str = "Asia/Tokyo") -> DataFrame:
-    """Outbox text of each run: a header and one line per ticket."""
+    """Outbox text of each run: a header and one line per ticket (wording: fixed values)."""
     number = F.when(
         F.col("latest_draw_no").isNotNull(), F.concat(F.lit("第"), "latest_draw_no", F.lit("回"))
     ).otherwise("回号不明")

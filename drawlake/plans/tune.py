@@ -62,24 +62,33 @@ def tune_weights(
     series_cols: list[str],
     history_limit: int = 100,
     count: int = 5,
+    backtest_rounds: int | None = None,
+    min_train_draws: int | None = None,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """Best grid point of each series over its newest draws.
 
     Every round predicts one draw from all older draws of the history, with
     the default generator seeded by the round. A series too short for one
     round keeps the default weights with score 0 and 0 rounds.
+    ``backtest_rounds`` and ``min_train_draws`` replace the defaults, a tenth of the
+    history (8 to 20) and half the limit (40 to 80). ``latest`` are the newest draws
+    of each series, if the caller has them already.
     Output: series, frequency, recent, recency, optimizer_score, optimizer_rounds.
     """
-    check_limits([history_limit])
+    check_limits([n for n in (history_limit, backtest_rounds, min_train_draws) if n is not None])
     check_ticket_count(count)
-    least_training = min_training(history_limit)
-    latest = latest_per_series(draws, series_cols, history_limit)
+    least_training = min_train_draws or min_training(history_limit)
+    if latest is None:
+        latest = latest_per_series(draws, series_cols, history_limit)
     extra = [c for c in ("lottery_type",) if c not in series_cols]
     features = window_features(
         latest, series_cols, [history_limit], keep=[*extra, "series_size"], pools=("main",)
     )
     size = F.col("series_size")
     rounds = F.least(F.lit(20), F.greatest(F.lit(8), F.floor(size / 10).cast("bigint")))
+    if backtest_rounds is not None:
+        rounds = F.lit(backtest_rounds)
     offset = size - F.col("rk")
     evaluated = features.filter(
         (offset < rounds)

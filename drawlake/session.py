@@ -6,7 +6,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps date arithmetic stable; AQE coalesces small shuffles and splits skewed ones.
 DEFAULTS = {
@@ -52,6 +52,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """A small step that several plans read: written below the shared folder once and read again."""
+    path = scratch_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def prepare(spark: SparkSession, root: str | None = None) -> None:
     """Session settings the operators rely on, and the package for remote workers.
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 from drawlake.operators.project import to_wide
 from drawlake.sources.history import existing_keys
@@ -38,10 +38,12 @@ def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, no type inference pass.
 
     The header of one file fixes the column order; a file with another order
-    fails instead of being read into the wrong columns.
+    fails instead of being read into the wrong columns. Quoted cells may hold
+    line breaks, so files are not split: exports of many files read in parallel.
     """
     reader = (
         spark.read.option("header", True)
+        .option("multiLine", True)
         .option("nullValue", NULL_MARKER)
         .option("escape", '"')
         .option("enforceSchema", False)
@@ -114,10 +116,16 @@ def write_canonical_csv(draws: DataFrame, path: str, *, mode: str = "errorifexis
 
 
 def save_backfill(draws: DataFrame, path: str) -> None:
-    """Write harvested draws; an empty result is an error."""
-    if draws.isEmpty():
-        raise ValueError("No history found")
-    write_canonical_csv(draws, path)
+    """Write harvested draws in order of pool and draw number; an empty result is an error.
+
+    Sorting is by range, so files are ordered and no task holds all rows. The rows are
+    counted while they are written: the harvest runs once.
+    """
+    seen = Observation("backfill")
+    ordered = draws.repartitionByRange("lottery_type", "draw_no").sortWithinPartitions("lottery_type", "draw_no")
+    write_canonical_csv(ordered.observe(seen, F.count(F.lit(1)).alias("rows")), path)
+    if not seen.get["rows"]:
+        raise ValueError("the harvest holds no draw")
 
 
 def read_jsonl(

@@ -67,7 +67,7 @@ def range_scan(
 def date_range_scan(history: DataFrame, start: str, end: str) -> DataFrame:
     """Draws between two ISO dates, inclusive."""
     if start > end:
-        raise ValueError("start_date must be <= end_date")
+        raise ValueError("the range ends before it starts")
     return history.filter(F.col("draw_date").between(F.to_date(F.lit(start)), F.to_date(F.lit(end))))
 
 
@@ -78,7 +78,7 @@ def of_type(rows: DataFrame, lottery_type: str) -> DataFrame:
 def latest_n(history: DataFrame, limit: int, *order: str) -> DataFrame:
     """Newest rows by the given columns: a distributed top-k, no full sort."""
     if limit <= 0:
-        raise ValueError("history_limit must be greater than 0")
+        raise ValueError("the limit must be positive")
     return history.orderBy(*[F.desc(c) for c in (order or ("draw_no",))]).limit(limit)
 
 

@@ -8,12 +8,13 @@ from drawlake.functions.arrays import first_numbers
 from drawlake.functions.text import ascii_digits, drop_invisible, normalise_page, visible_text
 from drawlake.operators.pin import pin
 from drawlake.operators.validate import number_errors
-from drawlake.spec import POOLS, PoolSpec, by_pool
+from drawlake.spec import POOLS, PoolSpec, by_pool, clean_type, is_known_type
 
 # Labels and shapes of the result pages.
 ROW_PATTERN = r"^第0*(\d+)回\s+(\d{4}/\d{2}/\d{2})\s*\|\s*([\d ]+)\s*\|\s*([\d ]+)$"
 CELL_LABEL = r"^第0*(\d+)回$"
-TABLE_ROW = r"(?is)(<tr\b[^>]*>.*?</tr\s*>)"
+# A row ends at its closing tag, or where the next row, the table's end or the page's end comes first.
+TABLE_ROW = r"(?is)(<tr\b[^>]*>.*?)(?=</?tr\b|</table\b|\z)"
 
 
 def block_pattern(pool: PoolSpec) -> str:
@@ -40,7 +41,8 @@ def month_spine(spark: SparkSession, ranges: DataFrame) -> DataFrame:
 
 def missing_months(spine: DataFrame, pages: DataFrame) -> DataFrame:
     """Months without a landed page."""
-    return spine.join(pages.select("lottery_type", "month").distinct(), ["lottery_type", "month"], "left_anti")
+    landed = pages.select(clean_type("lottery_type").alias("lottery_type"), "month").distinct()
+    return spine.join(landed, ["lottery_type", "month"], "left_anti")
 
 
 def _draw(kind: Column, no: Column, day: Column, main: Column, bonus: Column) -> Column:
@@ -90,18 +92,33 @@ def row_draws(kind: Column, html: Column) -> Column:
     )
 
 
+def _known_pool(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("lottery_type", clean_type("lottery_type")).filter(is_known_type("lottery_type"))
+
+
+def unknown_pool_pages(pages: DataFrame) -> DataFrame:
+    """Pages whose pool is missing or unknown: the rejects of the page readers."""
+    return pages.filter(~is_known_type(clean_type("lottery_type"))).select("page_id", "lottery_type", "url")
+
+
+def _may_hold(label: str) -> Column:
+    """Most pages of a crawl hold no draw; a substring test skips their parsing.
+
+    A label may also be written as a numeric reference.
+    """
+    return F.col("html").contains(label) | F.col("html").contains("&#")
+
+
 def page_draws(pages: DataFrame, *, strict_page: bool = False) -> DataFrame:
     """Every draw found, with its page, position and ``errors``.
 
     Labelled text first; table rows only if that found nothing. Parsing stays
     inside the row of its page, so no shuffle. ``strict_page`` drops a page
-    that holds any invalid draw, otherwise the rows carry their errors.
+    that holds any invalid draw, otherwise the rows carry their errors. Pages of
+    an unknown pool have no row form; ``unknown_pool_pages`` lists them.
     """
     kind = F.col("lottery_type")
-    # Most pages of a crawl hold no draw; a plain substring test skips their parsing.
-    candidates = pages.filter(
-        F.col("html").contains("第") & F.col("html").contains("回") & kind.isin(*POOLS)
-    )
+    candidates = _known_pool(pages).filter(_may_hold("第") & _may_hold("回"))
     readable = pin(candidates, _html=drop_invisible(F.col("html")))
     labelled = pin(readable, _full=labelled_draws(kind, F.col("_html")))
     found = F.when(F.size("_full") > 0, F.col("_full")).otherwise(row_draws(kind, F.col("_html")))
@@ -129,7 +146,8 @@ def page_draws(pages: DataFrame, *, strict_page: bool = False) -> DataFrame:
 def latest_page_draws(pages: DataFrame) -> DataFrame:
     """First well-formed row of each page whose cells hold one value each.
 
-    Six-pick rows have exactly nine cells, seven-pick rows at least eleven.
+    Six-pick rows have exactly nine cells, seven-pick rows at least eleven. A draw
+    that breaks the rules of its pool carries its ``errors``.
     """
     kind = F.col("lottery_type")
     pick, bonus = by_pool(kind, "pick"), by_pool(kind, "bonus")
@@ -148,18 +166,20 @@ def latest_page_draws(pages: DataFrame) -> DataFrame:
             ),
         )
 
-    rows = pin(pages.filter(F.col("html").contains("第")), _rows=table_rows(drop_invisible(F.col("html"))))
+    rows = pin(_known_pool(pages).filter(_may_hold("第")), _rows=table_rows(drop_invisible(F.col("html"))))
     parsed = F.array_compact(
         F.transform(
             F.filter("_rows", lambda r: r.startswith("第")),
             lambda r: parse(F.filter(F.transform(F.split(r, r"\|"), lambda c: F.trim(c)), lambda c: c != "")),
         )
     )
-    return (
+    found = (
         pin(rows, _draw=F.get(parsed, F.lit(0)))
         .filter(F.col("_draw").isNotNull())
         .select("page_id", "lottery_type", F.col("url").alias("source_url"), "_draw.*")
     )
+    errors = number_errors(*(F.col(c) for c in ("main_numbers", "bonus_numbers", "lottery_type", "draw_no", "draw_date")))
+    return found.withColumn("errors", errors)
 
 
 def keep_last(found: DataFrame) -> DataFrame:
@@ -177,7 +197,7 @@ def harvest(
 ) -> DataFrame:
     """Valid draws of the landed pages in a date range, one row per draw number."""
     if start and end and start > end:
-        raise ValueError("start_date must be <= end_date")
+        raise ValueError("the range ends before it starts")
     found = page_draws(pages, strict_page=strict_page).filter(F.size("errors") == 0).drop("errors")
     dated = found.withColumn("draw_date", F.to_date("draw_date"))
     if start:

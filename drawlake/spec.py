@@ -80,23 +80,23 @@ def by_pool(column: str | Column, attribute: str) -> Column:
 def check_pool(name: str) -> str:
     cleaned = str(name).strip().lower()
     if cleaned not in POOLS:
-        raise ValueError(f"unsupported lottery_type: {name}")
+        raise ValueError(f"no such pool: {name}")
     return cleaned
 
 
 def check_ticket_count(count: int) -> int:
     """Ticket count must be positive and within every pool's number of combinations."""
     if count <= 0:
-        raise ValueError("prediction_count must be greater than 0")
+        raise ValueError("the number of tickets must be positive")
     if count > min(p.combinations for p in POOLS.values()):
-        raise ValueError("requested prediction_count exceeds maximum unique combinations")
+        raise ValueError("a pool has fewer combinations than tickets asked for")
     return count
 
 
 def check_limits(limits: list[int]) -> list[int]:
     """Distinct, sorted, positive history limits."""
     if not limits or any(limit <= 0 for limit in limits):
-        raise ValueError("history_limit must be greater than 0")
+        raise ValueError("limits and counts must be positive")
     return sorted(set(limits))
 
 

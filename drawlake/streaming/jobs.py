@@ -6,6 +6,10 @@ overwrite, so a batch repeated after a failure replaces itself.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -46,6 +50,10 @@ def import_stream(
     schema = stream.schema
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
+        with audited(spark, "import", _batch_folder(audit, batch_id)):
+            run_batch(batch, batch_id)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         known = history.select(*KEYS)
         if batch_id > 0:
@@ -79,6 +87,27 @@ def import_stream(
     )
 
 
+@contextmanager
+def audited(spark: SparkSession, stage: str, folder: str) -> Iterator[None]:
+    """A batch that fails leaves a FAILED audit row with error type and text, then fails as before."""
+    try:
+        yield
+    except Exception as error:
+        row = [(stage, "FAILED", type(error).__name__, str(error)[:1000])]
+        rows = spark.createDataFrame(row, "function_name string, status string, error_type string, error_detail string")
+        _write_audit(rows.withColumn("executed_at", F.current_timestamp()), f"{folder}-failed")
+        raise
+
+
+def refused(bad: DataFrame, stage: str) -> DataFrame:
+    """FAILED audit rows of messages that can't be used."""
+    return bad.select(
+        "execution_id", F.lit(stage).alias("function_name"), "lottery_type", F.lit("FAILED").alias("status"),
+        F.lit("dead_letter").alias("error_type"), F.col("reason").alias("error_detail"), "draw_no",
+        F.current_timestamp().alias("executed_at"),
+    )
+
+
 def _write_audit(rows: DataFrame, folder: str) -> None:
     """Audit rows of one batch; like ``append_audit`` it never breaks the batch."""
     try:
@@ -88,28 +117,38 @@ def _write_audit(rows: DataFrame, folder: str) -> None:
 
 
 def dedupe_stream(
-    stream: DataFrame, *, table: str, dead_letters: str, checkpoint: str, delay: str = "40 days"
+    stream: DataFrame, *, table: str, dead_letters: str, checkpoint: str, period_days: int = 40
 ) -> StreamingQuery:
-    """One message per execution_id within ``delay`` of event time; for hot keys.
-
-    Copies of one execution collapse on the map side of each batch, before any
-    shuffle; what is left is checked against the sent table, read only back to
-    ``delay`` before the batch. Undecodable messages go to the dead letters.
+    """One message per execution_id and period of event time; for hot keys.
+
+    Periods are fixed stretches of ``period_days``, so what is sent does not depend on
+    how files fall into batches; messages without a time form a period of their own. A
+    copy in the next period is sent again and left to ``unsent``. Copies of one
+    execution collapse on the map side of each batch to the earliest; what is left is
+    checked against the sent table, of which only the batch's periods are read. A
+    repeated batch replaces its own rows. Undecodable messages go to the dead letters.
     """
     spark = stream.sparkSession
-    schema = split_messages(stream)[0].schema
+    day = F.coalesce(F.unix_date(F.to_date("event_time")), F.lit(-1))
+    period = F.floor(day / F.lit(period_days)).cast("bigint")
 
     def send_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         good, bad = split_messages(batch)
         bad.write.mode("overwrite").parquet(_batch_folder(dead_letters, batch_id))
-        once = one_per_key(good, ["execution_id"]).select(*schema.names)
-        if batch_id > 0:
-            first = batch.agg(F.min("event_time")).first()[0]
-            horizon = F.lit(first) - F.expr(f"INTERVAL {delay}")
-            sent = earlier_batches(spark, table, schema, batch_id).filter(F.col("event_time") >= horizon)
-            once = once.join(sent.select("execution_id"), "execution_id", "left_anti").select(*schema.names)
-        once.write.mode("overwrite").parquet(_batch_folder(table, batch_id))
+        keys = ["period", "execution_id"]
+        rest = [c for c in good.columns if c != "execution_id"]
+        packed = F.min(F.struct("event_time", *[c for c in rest if c != "event_time"])).alias("_row")
+        once = good.withColumn("period", period).groupBy(*keys).agg(packed).select(*keys, "_row.*")
+        # A batch spans few periods; an older table is read in these partitions only.
+        spanned = [r.period for r in good.select(period.alias("period")).distinct().limit(MOST_PERIODS + 1).collect()]
+        sent = sent_before(spark, table, batch_id)
+        if sent is not None:
+            if len(spanned) <= MOST_PERIODS:
+                sent = sent.filter(F.col("period").isin(spanned))
+            once = once.join(sent.select(*keys), keys, "left_anti")
+        writer = once.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        writer.option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch_id").parquet(table)
         batch.unpersist()
 
     return (
@@ -120,6 +159,23 @@ def dedupe_stream(
     )
 
 
+# More periods than this in one batch are not listed; the sent table is then read whole.
+MOST_PERIODS = 400
+
+
+def sent_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
+    """Keys that batches before this one have sent; None before the first."""
+    if not batch_id:
+        return None
+    try:
+        sent = spark.read.parquet(table)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return sent.filter(F.col("batch_id") < batch_id)
+
+
 def dedupe_stateful(
     stream: DataFrame, *, table: str, checkpoint: str, delay: str = "40 days"
 ) -> StreamingQuery:
@@ -170,6 +226,11 @@ def predict_stream(
     spark = stream.sparkSession
 
     def predict_batch(batch: DataFrame, batch_id: int) -> None:
+        with audited(spark, "generate_notify", _batch_folder(audit, batch_id)):
+            run_batch(batch, batch_id)
+
+    def run_batch(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         good, bad = split_messages(batch, need_uri=False)
         bad.write.mode("overwrite").parquet(_batch_folder(dead_letters, batch_id))
         requests = one_per_key(
@@ -179,18 +240,23 @@ def predict_stream(
             done = spark.read.parquet(runs).filter(F.col("batch_id") < batch_id)
             requests = requests.join(done.select("execution_id"), "execution_id", "left_anti")
         folder = _batch_folder(runs, batch_id)
+        # Only requested pools are tuned; usable messages name one of two.
+        asked = draws.join(F.broadcast(requests.select("lottery_type").distinct()), "lottery_type", "left_semi")
         prediction_runs(
-            draws, series_cols=["lottery_type"], history_limit=history_limit, count=count,
+            asked, series_cols=["lottery_type"], history_limit=history_limit, count=count,
             strategy=strategy, as_of=as_of, requests=requests,
         ).write.mode("overwrite").parquet(folder)
         finished = spark.read.parquet(folder)
         run_digest(finished).write.mode("overwrite").parquet(_batch_folder(outbox, batch_id))
+        failed = F.col("status") == "FAILED"
         rows = finished.select(
             "execution_id", F.lit("generate_notify").alias("function_name"), "lottery_type",
-            F.when(F.col("status") == "FAILED", "FAILED").otherwise("SUCCESS").alias("status"),
+            F.when(failed, "FAILED").otherwise("SUCCESS").alias("status"),
+            F.when(failed, "run_failed").alias("error_type"), F.col("error").alias("error_detail"),
             F.col("latest_draw_no").alias("draw_no"), F.current_timestamp().alias("executed_at"),
         )
-        _write_audit(rows, _batch_folder(audit, batch_id))
+        _write_audit(rows.unionByName(refused(bad, "generate_notify")), _batch_folder(audit, batch_id))
+        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(predict_batch)

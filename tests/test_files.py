@@ -7,11 +7,13 @@ from drawlake.sources import files
 
 
 def draw_rows(spark):
+    """Invented draws: runs of numbers from a start; one without bonus and url."""
+    made = lambda start, count: list(range(start, start + count))
     return spark.createDataFrame(
         [
-            ("loto6", 2094, "2026-04-16", [3, 4, 7, 11, 24, 30], [16], "https://example.com/a"),
-            ("loto7", 673, "2026-04-17", [6, 9, 10, 12, 16, 24, 32], [17, 19], 'https://example.com/"q",b'),
-            ("loto6", 2095, "2026-04-20", [1, 2, 3, 4, 5, 6], [], ""),
+            ("loto6", 71, "2030-01-03", made(11, 6), [40], "https://example.com/a"),
+            ("loto7", 72, "2030-01-04", made(21, 7), [1, 2], 'https://example.com/"q",b\nsecond line'),
+            ("loto6", 73, "2030-01-07", made(31, 6), [], ""),
         ],
         "lottery_type string, draw_no bigint, draw_date string, main_numbers array<int>, bonus_numbers array<int>, source_url string",
     )
@@ -21,12 +23,13 @@ def test_csv_keeps_both_pools_and_missing_values(spark, tmp_path):
     path = str(tmp_path / "csv")
     files.write_canonical_csv(draw_rows(spark).coalesce(1), path)
     text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
-    assert text.splitlines()[0] == "lottery_type,draw_no,draw_date,n1,n2,n3,n4,n5,n6,n7,b1,b2,source_url"
-    assert "loto6,2094,2026-04-16,3,4,7,11,24,30,\\N,16,\\N,https://example.com/a" in text
+    assert text.splitlines()[0] == ",".join(files.CSV_COLUMNS)
+    assert "loto6,71,2030-01-03,11,12,13,14,15,16,\\N,40,\\N,https://example.com/a" in text
     back = {r.draw_no: r for r in files.read_canonical_csv(spark, path).collect()}
-    assert back[2094].n7 is None and back[2094].b2 is None and back[2094].n6 == 30
-    assert back[673].n7 == 32 and back[673].source_url == 'https://example.com/"q",b'
-    assert back[2095].b1 is None and back[2095].source_url is None
+    assert len(back) == 3
+    assert back[71].n7 is None and back[71].b2 is None and back[71].n6 == 16
+    assert back[72].n7 == 27 and back[72].source_url == 'https://example.com/"q",b\nsecond line'
+    assert back[73].b1 is None and back[73].source_url is None
 
 
 def test_csv_is_read_by_column_name(spark, tmp_path):
@@ -47,18 +50,17 @@ def test_csv_without_a_column_or_with_bad_integers_fails(spark, tmp_path):
 
 
 def test_older_exports_map_to_the_canonical_columns(spark, tmp_path):
+    six_names = [*(f"number{i}" for i in range(1, 7)), "bonus1"]
     (tmp_path / "six.csv").write_text(
-        "draw_date,draw_number,number1,number2,number3,number4,number5,number6,bonus1,source\n2026-04-02,2000,3,8,14,21,33,41,17,manual\n"
-    )
-    (tmp_path / "seven.csv").write_text(
-        "draw_no,draw_date,number1,number2,number3,number4,number5,number6,number7,bonus_number1,bonus_number2\n"
-        "650,2026-04-03,2,6,11,17,24,29,35,9,\n"
+        f"draw_date,draw_number,{','.join(six_names)},source\n2029-08-09,12,{','.join(map(str, range(31, 38)))},by hand\n"
     )
+    seven_names = [*(f"number{i}" for i in range(1, 8)), "bonus_number1", "bonus_number2"]
+    (tmp_path / "seven.csv").write_text(f"draw_no,draw_date,{','.join(seven_names)}\n13,2029-08-10,{','.join(map(str, range(1, 9)))},\n")
     six = files.read_legacy_csv(spark, str(tmp_path / "six.csv"), "loto6").first()
-    assert (six.lottery_type, six.draw_no, six.n6, six.n7, six.b1, six.b2, six.source_url) == ("loto6", 2000, 41, None, 17, None, "manual")
+    assert (six.lottery_type, six.draw_no, six.n6, six.n7, six.b1, six.b2, six.source_url) == ("loto6", 12, 36, None, 37, None, "by hand")
     assert six.source_file_name == "six.csv"
     seven = files.read_legacy_csv(spark, str(tmp_path / "seven.csv"), "loto7").first()
-    assert (seven.draw_no, seven.n7, seven.b1, seven.b2) == (650, 35, 9, None)
+    assert (seven.draw_no, seven.n7, seven.b1, seven.b2) == (13, 7, 8, None)
     with pytest.raises(ValueError, match="n7"):
         files.read_legacy_csv(spark, str(tmp_path / "six.csv"), "loto7")
 
@@ -75,7 +77,7 @@ def test_jsonl_filters_type_skips_blanks_and_reports_bad_lines(spark, tmp_path):
 
 
 def test_empty_backfill_is_an_error(spark, tmp_path):
-    with pytest.raises(ValueError, match="No history"):
+    with pytest.raises(ValueError, match="no draw"):
         files.save_backfill(draw_rows(spark).limit(0), str(tmp_path / "x"))
 
 
@@ -126,3 +128,19 @@ def test_jsonl_table_appends_only_new_draws(spark, tmp_path):
     files.append_new_jsonl(spark, make(2, 3, None), path)
     got = [r.draw_no for r in files.read_jsonl(spark, path, "loto6").collect()]
     assert sorted(n for n in got if n) == [1, 2, 3] and got.count(None) == 1
+
+
+def test_backfill_is_written_in_order(spark, small, tmp_path):
+    path = str(tmp_path / "sorted")
+    d = fixtures.draws(spark, small).repartition(5)
+    files.save_backfill(d, path)
+    lines = [line for f in sorted((tmp_path / "sorted").glob("part-*.csv")) for line in f.read_text().splitlines()[1:]]
+    keys = [(line.split(",")[0], int(line.split(",")[1])) for line in lines]
+    assert len(keys) == d.count() and keys == sorted(keys)
+
+
+def test_every_row_is_usable_or_has_a_reason(spark, small):
+    wide = project.to_wide(fixtures.written_pools(fixtures.faulty_draws(spark, small))).withColumn("draw_no", F.col("draw_no").cast("string"))
+    usable, rest = project.normalise_rows(wide)
+    assert usable.count() + rest.count() == wide.count()
+    assert {r.reason for r in rest.select("reason").distinct().collect()} == {"unknown_pool", "no_draw_no"}

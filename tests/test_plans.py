@@ -54,20 +54,34 @@ def test_prize_counts_list_all_tiers(spark, small):
     assert sum(r.tickets for r in rows) == 1490 * 5
 
 
-def periodic(spark, count):
-    sets = [[6, 9, 10, 12, 16, 24, 32], [1, 5, 9, 12, 16, 20, 24], [3, 6, 10, 14, 18, 24, 32]]
-    rows = [("s", "loto7", count - i, sets[i % 3], [1, 2]) for i in range(count)]
-    return spark.createDataFrame(rows, "series string, lottery_type string, draw_no bigint, main_numbers array<int>, bonus_numbers array<int>")
+def drifting(spark, count):
+    """A history by rule: draw k holds every fifth number of the pool from k squared on."""
+    rows = spark.range(1, count + 1).select(F.lit("s").alias("series"), F.lit("loto7").alias("lottery_type"), F.col("id").alias("draw_no"))
+    main = F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: ((F.col("draw_no") * F.col("draw_no") + i * 5) % 37 + 1).cast("int"))
+    return rows.withColumns({"main_numbers": main, "bonus_numbers": F.array(F.lit(1), F.lit(2))})
 
 
 def test_tuning_evaluates_rounds_and_short_histories_keep_defaults(spark):
-    tuned = tune.tune_weights(periodic(spark, 120), series_cols=["series"], history_limit=120).first()
-    assert tuned.optimizer_rounds == 12 and tuned.optimizer_score > 0
+    tuned = tune.tune_weights(drifting(spark, 110), series_cols=["series"], history_limit=110).first()
+    assert tuned.optimizer_rounds == 11 and tuned.optimizer_score > 0
     assert (tuned.frequency, tuned.recent, tuned.recency) in set(tune.GRID)
-    short = tune.tune_weights(periodic(spark, 20), series_cols=["series"], history_limit=120).first()
+    short = tune.tune_weights(drifting(spark, 25), series_cols=["series"], history_limit=110).first()
     assert short[:] == ("s", 1.0, 2.0, 1.5, 0.0, 0)
+    own = tune.tune_weights(drifting(spark, 25), series_cols=["series"], history_limit=110, backtest_rounds=3, min_train_draws=10)
+    assert own.first().optimizer_rounds == 3
     with pytest.raises(ValueError):
-        tune.tune_weights(periodic(spark, 20), series_cols=["series"], history_limit=0)
+        tune.tune_weights(drifting(spark, 20), series_cols=["series"], history_limit=0)
+
+
+def test_requests_without_draws_fail_visibly(spark, small):
+    d = fixtures.draws(spark, small).drop("series").filter("lottery_type = 'loto6'")
+    asked = spark.createDataFrame(
+        [("a", "loto6"), ("b", "loto7"), ("c", "mini")], "execution_id string, lottery_type string"
+    ).selectExpr("*", "cast(null as bigint) draw_no", "cast(null as date) draw_date", "cast(null as boolean) notify")
+    runs = predict.prediction_runs(d, series_cols=["lottery_type"], history_limit=60, count=2, as_of="2026-01-02 03:04:05", requests=asked)
+    got = {r.execution_id: (r.status, r.error) for r in runs.collect()}
+    assert got["a"] == ("SUCCESS", None)
+    assert got["b"] == ("FAILED", predict.NO_DRAWS) and got["c"][0] == "FAILED" and got["c"][1]
 
 
 def test_prediction_run_payload(spark, small):
@@ -97,7 +111,7 @@ def test_prediction_rows_of_hand_payloads(spark):
     )).collect()
     assert [(r.execution_id, r.prediction_index, r.n1, r.n6, r.n7, r.message_sent) for r in rows] == [
         ("e1", 1, 1, 6, None, True), ("e1", 2, 7, 12, None, True), ("e2", 1, 1, 6, 7, False)]
-    with pytest.raises(Exception, match="at least 6 numbers"):
+    with pytest.raises(Exception, match="six numbers"):
         predict.prediction_rows(make(("e", "loto6", 1, "SUCCESS", [[1, 2]]))).collect()
 
 

@@ -38,7 +38,18 @@ def test_one_per_key_takes_newest(spark):
     assert sorted(map(tuple, one_per_key(rows, ["k"], newest="v").collect())) == [(1, 9, "new"), (2, 1, "x")]
 
 
-def test_latest_per_series_trims_before_the_shuffle(spark, small):
-    got = latest_per_series(fixtures.draws(spark, small), ["series"], 20)
-    assert got.groupBy("series").count().filter("count <> 20").count() == 0
-    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+def test_latest_per_series_sorts_buckets_only(spark, small):
+    d = fixtures.draws(spark, small)
+    plain = d.withColumn("want", F.row_number().over(Window.partitionBy("series").orderBy(F.desc("draw_no"))))
+    for limit, span in ((20, 64), (2000, 64), (20, 1 << 18)):
+        got = latest_per_series(d, ["series"], limit, span=span)
+        want = plain.filter(F.col("want") <= limit)
+        assert got.count() == want.count()
+        assert got.join(want.select("draw_no", "want"), "draw_no").filter("draw_idx + 1 <> want or rk <> series_size - draw_idx").count() == 0
+        plan = got._jdf.queryExecution().toString()
+        assert all("_bucket" in line for line in plan.splitlines() if "row_number()" in line)
+
+
+def test_rows_without_order_are_left_out(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", None)], "series string, draw_no int")
+    assert [r.draw_no for r in latest_per_series(rows, ["series"], 5).collect()] == [1]

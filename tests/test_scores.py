@@ -44,7 +44,7 @@ def test_combined_scores_fill_missing_sides(spark):
     bonus = spark.createDataFrame([("s", 2, 4.0), ("s", 9, 1.0)], "series string, number int, score double")
     got = {r.number: r.score for r in scores.combined_scores(main, bonus, ["series"]).collect()}
     assert got == pytest.approx({1: 1.6, 2: 1.6, 9: 0.2})
-    with pytest.raises(ValueError, match="non-negative"):
+    with pytest.raises(ValueError, match="below zero"):
         scores.combined_scores(main, bonus, ["series"], main_weight=-1.0)
 
 
@@ -97,5 +97,5 @@ def test_marked_targets_only(spark):
 
 def test_limits_must_be_positive(spark):
     d, _ = synthetic(spark, 5)
-    with pytest.raises(ValueError, match="history_limit"):
+    with pytest.raises(ValueError, match="must be positive"):
         window_features(rank_draws(d, ["series"], unique=True), ["series"], [0])

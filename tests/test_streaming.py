@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from drawlake import fixtures
@@ -82,4 +83,29 @@ def test_predict_stream_runs_each_execution_once(spark, small, tmp_path):
     assert runs["a"].status == "SUCCESS" and runs["a"].seed != runs["c"].seed
     assert spark.read.parquet(out["outbox"]).filter("message like '%2口目%'").count() == 3
     assert spark.read.parquet(out["dead_letters"]).count() == 1
-    assert spark.read.parquet(out["audit"]).filter("stage = 'generate_notify'").count() == 3
+    audit = spark.read.parquet(out["audit"]).filter("stage = 'generate_notify'")
+    assert audit.filter("status = 'SUCCESS'").count() == 3
+    assert [r.error_detail for r in audit.filter("status = 'FAILED'").collect()] == ["invalid_json"]
+
+
+def test_failed_batch_leaves_an_audit_row(spark, tmp_path):
+    with pytest.raises(ZeroDivisionError), jobs.audited(spark, "import", str(tmp_path / "b")):
+        1 / 0
+    row = spark.read.parquet(f"{tmp_path}/b-failed").first()
+    assert (row.stage, row.status, row.error_type, row.error_detail) == ("import", "FAILED", "ZeroDivisionError", "division by zero")
+
+
+def test_dedupe_does_not_depend_on_batches(spark, tmp_path):
+    body = '{"execution_id": "a", "lottery_type": "loto6", "gcs_uri": "gs://b/o"}'
+    days = ["2030-01-01", "2030-02-05", "2030-06-01", None, None]
+    rows = spark.createDataFrame([(body.encode(), d) for d in days], "value binary, day string").select(
+        "value", F.to_timestamp("day").alias("event_time")
+    )
+    sent = []
+    for name, parts, per_batch in (("one", 1, 9), ("many", 5, 1)):
+        source, table = str(tmp_path / f"{name}-s"), str(tmp_path / f"{name}-t")
+        rows.repartition(parts).write.parquet(source)
+        stream = jobs.file_stream(spark, source, rows.schema, files_per_batch=per_batch)
+        jobs.dedupe_stream(stream, table=table, dead_letters=f"{table}-l", checkpoint=f"{table}-c").awaitTermination()
+        sent.append(sorted(r.period for r in spark.read.parquet(table).collect()))
+    assert sent[0] == sent[1] and len(sent[0]) == 4

@@ -41,8 +41,10 @@ def test_same_seed_same_tickets_other_seed_other_tickets(spark):
 
 
 def test_numbers_are_shown_by_weight_then_number(spark):
-    got = generate_tickets(runs(spark, {5: 10, 2: 10, 9: 2, 1: 0, 3: 0}, "loto6"), count=1, strategy="default").first()
-    assert got.tickets == [[2, 5, 9, 1, 3, 4]]
+    """Three pairs of equal scores: pairs by score, and inside a pair the smaller number first."""
+    scores = {40: 6, 17: 6, 33: 4, 8: 4, 21: 3, 12: 3}
+    got = generate_tickets(runs(spark, scores, "loto6"), count=1, strategy="default").first()
+    assert got.tickets == [[17, 40, 8, 33, 12, 21]]
 
 
 def test_rank_tickets_use_the_documented_ranks():
@@ -64,13 +66,13 @@ def test_parity_ticket_fills_up_from_the_top_pool():
 
 def test_wrong_arguments_are_refused(spark):
     frame = runs(spark, SIX, "loto6")
-    with pytest.raises(ValueError, match="prediction_count"):
+    with pytest.raises(ValueError, match="must be positive"):
         generate_tickets(frame, count=0)
-    with pytest.raises(ValueError, match="maximum unique combinations"):
+    with pytest.raises(ValueError, match="fewer combinations"):
         generate_tickets(frame, count=6_500_000)
-    with pytest.raises(ValueError, match="unsupported"):
+    with pytest.raises(ValueError, match="no such"):
         generate_tickets(frame, count=1, strategy="lucky")
-    with pytest.raises(ValueError, match="unsupported"):
+    with pytest.raises(ValueError, match="no such"):
         check_pool("mini")
 
 
@@ -79,6 +81,42 @@ def test_profile_strategy_is_for_the_seven_pool(spark):
     assert row.error == tickets.ONLY_SEVEN and row.tickets == []
 
 
+def test_every_run_comes_out(spark):
+    frame = runs(spark, SEVEN, "loto7")
+    for kind in (" LOTO7 ", "mini", None):
+        frame = frame.unionByName(runs(spark, SEVEN, "loto7").withColumn("lottery_type", F.lit(kind)))
+    frame = frame.unionByName(runs(spark, SEVEN, "loto7").withColumn("main_scores", F.lit(None).cast("array<double>")))
+    got = generate_tickets(frame, count=2, strategy="default").collect()
+    assert len(got) == 5
+    by_kind = {(r.lottery_type, bool(r.tickets)): r.error for r in got}
+    assert by_kind == {
+        ("loto7", True): None, (" LOTO7 ", True): None, ("mini", False): tickets.NO_POOL,
+        (None, False): tickets.NO_POOL, ("loto7", False): tickets.NO_SCORES,
+    }
+    assert tickets.weighted_sample(frame.limit(4), ["lottery_type"]).count() == 4
+    assert tickets.rank_ticket_rows(frame.limit(4), ["lottery_type"]).filter("ticket is null").count() == 2
+
+
+def test_profiles_need_bonus_scores(spark):
+    row = generate_tickets(runs(spark, SEVEN, "loto7"), count=2, strategy="second_prize_oriented").first()
+    assert row.error == tickets.NO_BONUS
+
+
+def test_excluded_tickets_are_not_made(spark):
+    first = generate_tickets(runs(spark, SEVEN, "loto7"), count=4, strategy="default", drop=()).withColumnRenamed("ticket_masks", "taken")
+    again = generate_tickets(first.drop("tickets", "error"), count=4, strategy="default", exclude_col="taken").first()
+    assert len(again.tickets) == 4 and not set(again.ticket_masks) & set(first.first().taken)
+
+
+def test_narrow_bonus_pool_opens_up(monkeypatch):
+    """All open bonus numbers are mains: the pick comes from the rest of the pool, without repeats."""
+    monkeypatch.setattr(tickets, "PROFILES", [Profile("narrow", 6, 3, 6, 1, (1.0, 0.0), (1.0, 0.0), 1.0)])
+    main = np.tile(np.arange(37, 0, -1.0), (2, 1))
+    book = tickets.profile_book(main, main, 3, np.arange(2))
+    assert book.found.tolist() == [3, 3]
+    assert all(len(set(t)) == 7 for run in book.numbers.tolist() for t in run)
+
+
 def test_mixed_falls_back_without_bonus_scores(spark):
     plain = generate_tickets(runs(spark, SEVEN, "loto7"), count=5, strategy="default").first()
     mixed = generate_tickets(runs(spark, SEVEN, "loto7"), count=5, strategy="mixed").first()
@@ -97,7 +135,7 @@ def test_inclusion_frequencies_follow_successive_draws():
 
 
 def test_sample_larger_than_population_is_an_error():
-    with pytest.raises(ValueError, match="population"):
+    with pytest.raises(ValueError, match="than the pool has"):
         K.sample(np.ones((1, 3)), np.ones((1, 3)), 4)
 
 
@@ -139,3 +177,13 @@ def test_ticket_labels(spark):
     rows = spark.createDataFrame([("loto7", 1), ("loto7", 5), ("loto7", 6), ("loto6", 2)], "k string, n int")
     names = [r[0] for r in rows.select(profile_name(F.col("k"), F.col("n"))).collect()]
     assert names == ["main_hot", "main5_bonus2_explore", "profile_6", "ticket_2"]
+
+
+def test_last_score_of_a_number_counts(spark):
+    from drawlake.operators.weights import pool_scores
+
+    rows = [("s", "loto6", 3, 9.0, 1), ("s", "loto6", 3, 4.0, 2), ("s", "loto6", 5, 8.0, 1)]
+    frame = spark.createDataFrame(rows, "series string, lottery_type string, number int, score double, seen int")
+    last = {r.number: r.scaled for r in pool_scores(frame, ["series"], order_col="seen").collect()}
+    assert (last[3], last[5]) == (0.5, 1.0)
+    assert {r.number: r.scaled for r in pool_scores(frame, ["series"]).collect()}[3] == 1.0
