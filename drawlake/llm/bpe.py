@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import pieces, ready, utf8, word_hashes
 
 # Encodings kept from one batch to the next in a worker; the table starts anew beyond.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 
 
 def byte_letters() -> list[str]:
@@ -128,12 +128,9 @@ class Encoder:
             self.rank[ids[a], ids[b]] = rank
             self.born.setdefault(ids[a + b], (rank, ids[a], ids[b]))
         self.size = max([*ids.values(), *added.values()]) + 1
-        self.spelled = [b""] * self.size
+        self.lengths = [0] * self.size
         for spelling, i in ids.items():
-            self.spelled[i] = spelling
-        for text, i in added.items():
-            self.spelled[i] = text.encode()
-        self.lengths = [len(t) for t in self.spelled]
+            self.lengths[i] = len(spelling)
         self.suffixes = _SuffixAutomaton(ids)
         self.fits: dict[int, bool] = {}
         self.known: dict[bytes, bytes] = {}
@@ -309,11 +306,21 @@ class _SuffixAutomaton:
         return found
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(path: str, vocabulary: Broadcast) -> Encoder:
     return Encoder(vocabulary.value)
 
 
+@lru_cache(maxsize=1)
+def _spellings(path: str, vocabulary: Broadcast) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all tokens in one array, with the start and length of each; all that decoding needs."""
+    ids, added = vocabulary.value["ids"], vocabulary.value["added"]
+    spelled = {**{i: t for t, i in ids.items()}, **{i: t.encode() for t, i in added.items()}}
+    listed = [spelled.get(i, b"") for i in range(max(spelled) + 1)]
+    lengths = np.fromiter(map(len, listed), np.int64, len(listed))
+    return np.frombuffer(b"".join(listed), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
 class Tokenizer:
     """A vocabulary file for use in Spark plans; ``path`` is read on the driver and broadcast (a few megabytes)."""
 
@@ -336,7 +343,7 @@ class Tokenizer:
             for texts in batches:
                 _, offsets = utf8(texts)
                 flat, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-                for start, stop in pieces(offsets):
+                for start, stop in pieces(offsets, 1 << 18):
                     values, ends = encoder.encode([t or "" for t in texts[start:stop].to_pylist()])
                     flat.append(values)
                     bounds.append(ends[1:] + bounds[-1][-1])
@@ -354,18 +361,16 @@ class Tokenizer:
         path, vocabulary = self.path, self.vocabulary
 
         def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            spelled = _encoder(path, vocabulary).spelled
-            lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
-            starts = np.concatenate(([0], np.cumsum(lengths)))
-            letters = np.frombuffer(b"".join(spelled), np.uint8)
+            # Spark runs this in a worker of its own, which needs no encoder.
+            letters, starts, lengths = _spellings(path, vocabulary)
             for lists in batches:
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 out = []
-                for start, stop in pieces(ends, 1 << 18):
+                for start, stop in pieces(ends, 1 << 17):
                     own = ids[ends[start] : ends[stop]]
-                    valid = (own >= 0) & (own < len(spelled))
+                    valid = (own >= 0) & (own < len(lengths))
                     own = np.where(valid, own, 0)
                     sizes = np.where(valid, lengths[own], 0)
                     closes = np.cumsum(sizes)
