@@ -113,7 +113,7 @@ class FactorisationMachine:
         return self.bias + linear + 0.5 * (sums * sums - squares).sum(axis=1)
 
 
-def fit(rows: Rows, labels: np.ndarray, rounds: int = 80, rate: float = 0.03, shrink: float = 2e-5, seed: int = 7):
+def fit(rows: Rows, labels: np.ndarray, rounds: int = 80, rate: float = 0.03, shrink: float = 5e-4, seed: int = 7):
     """Fits by full-batch gradient steps on the log loss; without both labels, the constant share of ones."""
     share = float(labels.mean()) if len(labels) else 0.5
     bias = np.array([np.log((share + 1e-3) / (1 - share + 1e-3))], np.float32)
