@@ -6,10 +6,44 @@ operators; it states the same semantics a second time, set-based.
 
 from __future__ import annotations
 
-from drawlake.operators.match import NEAR_MISS, TIERS
-from drawlake.operators.weights import DISPLAY_BLEND, PROFILES
-from drawlake.plans.tune import GRID
-from drawlake.spec import TIER_LABELS
+# Fixed values, stated here a second time so that the SQL does not lean on the operators.
+# Profiles: name, main pool, bonus pool, mains, bonuses, main blend, bonus blend, temperature.
+PROFILES = [
+    ("main_hot", 18, 37, 6, 1, (0.94, 0.06), (0.30, 0.70), 0.75),
+    ("main_balanced", 24, 37, 6, 1, (0.88, 0.12), (0.35, 0.65), 0.95),
+    ("main_wide_bonus_hot", 30, 37, 6, 1, (0.82, 0.18), (0.22, 0.78), 1.05),
+    ("main5_bonus2_balanced", 24, 37, 5, 2, (0.90, 0.10), (0.25, 0.75), 0.95),
+    ("main5_bonus2_explore", 30, 37, 5, 2, (0.84, 0.16), (0.18, 0.82), 1.15),
+]
+DISPLAY_BLEND = (0.75, 0.25)
+# Prize tier and near-miss points by pool: main matches, bonus matches needed, value; the first that fits.
+TIERS = """
+  WHEN lottery_type = 'loto6' AND main_match = 6 THEN 1
+  WHEN lottery_type = 'loto6' AND main_match = 5 AND bonus_match >= 1 THEN 2
+  WHEN lottery_type = 'loto6' AND main_match = 5 THEN 3
+  WHEN lottery_type = 'loto6' AND main_match = 4 THEN 4
+  WHEN lottery_type = 'loto6' AND main_match = 3 THEN 5
+  WHEN lottery_type = 'loto7' AND main_match = 7 THEN 1
+  WHEN lottery_type = 'loto7' AND main_match = 6 AND bonus_match >= 1 THEN 2
+  WHEN lottery_type = 'loto7' AND main_match = 6 THEN 3
+  WHEN lottery_type = 'loto7' AND main_match = 5 THEN 4
+  WHEN lottery_type = 'loto7' AND main_match = 4 THEN 5
+  WHEN lottery_type = 'loto7' AND main_match = 3 AND bonus_match >= 1 THEN 6"""
+NEAR_MISS = """
+  WHEN lottery_type = 'loto6' AND main_match = 6 THEN 5000
+  WHEN lottery_type = 'loto6' AND main_match = 5 AND bonus_match >= 1 THEN 3000
+  WHEN lottery_type = 'loto6' AND main_match = 5 THEN 1500
+  WHEN lottery_type = 'loto6' AND main_match = 4 THEN 500
+  WHEN lottery_type = 'loto6' AND main_match = 3 THEN 100
+  WHEN lottery_type = 'loto7' AND main_match = 7 THEN 5000
+  WHEN lottery_type = 'loto7' AND main_match = 6 AND bonus_match >= 1 THEN 3000
+  WHEN lottery_type = 'loto7' AND main_match = 6 THEN 1500
+  WHEN lottery_type = 'loto7' AND main_match = 5 AND bonus_match >= 1 THEN 800
+  WHEN lottery_type = 'loto7' AND main_match = 5 THEN 500
+  WHEN lottery_type = 'loto7' AND main_match = 4 AND bonus_match >= 1 THEN 200
+  WHEN lottery_type = 'loto7' AND main_match = 4 THEN 100
+  WHEN lottery_type = 'loto7' AND main_match = 3 AND bonus_match >= 1 THEN 50"""
+TIER_LABELS = [(1, "1等相当"), (2, "2等相当"), (3, "3等相当"), (4, "4等相当"), (5, "5等相当"), (6, "6等相当"), (0, "該当なし")]
 
 ORACLE: dict[str, str] = {}
 
@@ -248,7 +282,7 @@ scored AS MATERIALIZED (
 
 
 _NUMBERED = "list_transform({0}, lambda v, i: {{'k': -v, 'n': i::INT}})"
-register("sliding_scores", *scored("20, 100"), select=f"""
+register("sliding_scores", *scored("20, 100, 3000"), select=f"""
 SELECT series, draw_no, history_limit, history_count,
   {text("list_transform(list_sort(list_filter(" + _NUMBERED.format('main_scores') + ", lambda e: e.k IS NOT NULL)), lambda e: e.n)")} AS ranking,
   {r6("list_sum(list_transform(main_scores, lambda v: coalesce(v, 0.0::DOUBLE)))")} AS main_total,
@@ -275,9 +309,9 @@ SELECT series, lottery_type, number, {r6('w')} AS weight,
        row_number() OVER (PARTITION BY series ORDER BY {QUANT.format('w')} DESC, number) AS weight_rank
 FROM (SELECT *, 1.0::DOUBLE + pow(scaled, 0.85::DOUBLE) AS w FROM sm)""")
 _ROLES = ", ".join(
-    f"({i}, '{p.name}', '{role}', {blend[0]}::DOUBLE, {blend[1]}::DOUBLE, {p.temperature}::DOUBLE, {size})"
-    for i, p in enumerate(PROFILES, start=1)
-    for role, blend, size in (("main", p.main_blend, p.main_pool), ("bonus", p.bonus_blend, p.bonus_pool))
+    f"({i}, '{name}', '{role}', {blend[0]}::DOUBLE, {blend[1]}::DOUBLE, {heat}::DOUBLE, {size})"
+    for i, (name, wide, wide_bonus, _, _, main, bonus, heat) in enumerate(PROFILES, start=1)
+    for role, blend, size in (("main", main, wide), ("bonus", bonus, wide_bonus))
 )
 register("blended_weights", D, RANKED, whole("ms", "main", MAIN_W), whole("bs", "bonus", BONUS_W), spine("sm", "ms"), spine("sb", "bs"),
          f"roles(profile_no, profile, role, a, b, t, size) AS (VALUES {_ROLES})", """
@@ -371,9 +405,9 @@ def profile_ctes(source: str, shift: int) -> tuple[str, ...]:
     made when a run repeats a number set, which would show as a mismatch.
     """
     roles = ", ".join(
-        f"({t}, {p.main_pool}, {p.main_count}, {p.bonus_count}, {p.main_blend[0]}::DOUBLE, {p.main_blend[1]}::DOUBLE, "
-        f"{p.bonus_blend[0]}::DOUBLE, {p.bonus_blend[1]}::DOUBLE, {p.temperature}::DOUBLE)"
-        for t, p in enumerate(PROFILES)
+        f"({t}, {wide}, {mains}, {bonuses}, {main[0]}::DOUBLE, {main[1]}::DOUBLE, "
+        f"{bonus[0]}::DOUBLE, {bonus[1]}::DOUBLE, {heat}::DOUBLE)"
+        for t, (_, wide, _, mains, bonuses, main, bonus, heat) in enumerate(PROFILES)
     )
     flat = "CASE WHEN t <= 0 THEN x ELSE pow(x, greatest(0.55::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * t)) END"
 
@@ -443,17 +477,13 @@ SELECT lottery_type, count(*) AS runs, count(*) * 5 AS tickets, 0 AS repeated FR
 # --- backtest -------------------------------------------------------------------------------
 
 
-def case(rules: dict) -> str:
-    rows = [
-        f"WHEN lottery_type = '{pool}' AND main_match = {main} AND bonus_match >= {bonus} THEN {value}"
-        for pool, entries in rules.items() for main, bonus, value in entries
-    ]
-    return f"CASE {' '.join(rows)} ELSE 0 END"
+def case(rules: str) -> str:
+    return f"CASE {rules} ELSE 0 END"
 
 
-LABEL = "CASE {0} " + " ".join(f"WHEN {t} THEN '{label}'" for t, label in TIER_LABELS.items()) + " END"
+LABEL = "CASE {0} " + " ".join(f"WHEN {t} THEN '{label}'" for t, label in TIER_LABELS) + " END"
 _PROFILE = "CASE WHEN lottery_type <> 'loto7' THEN 'ticket_' || ticket_no " + " ".join(
-    f"WHEN ticket_no = {i} THEN '{p.name}'" for i, p in enumerate(PROFILES, start=1)) + " ELSE 'profile_' || ticket_no END"
+    f"WHEN ticket_no = {i} THEN '{p[0]}'" for i, p in enumerate(PROFILES, start=1)) + " ELSE 'profile_' || ticket_no END"
 JUDGED = f"""
 matched AS (
   SELECT r.*, g.ticket_no, g.ticket, len(list_intersect(g.ticket, r.main_numbers)) AS main_match,
@@ -491,7 +521,7 @@ SELECT draw_no AS target_draw_no, draw_date::VARCHAR AS target_draw_date, {text(
 register("backtest_jsonl", *_PLAIN, recursive=True, select=f"""
 SELECT draw_no AS target_draw_no, {text('list_sort(main_numbers)')} AS target_main, {_BEST_LABEL} AS best_prize, tickets AS ticket_count FROM bests""")
 register("untrainable_targets", D, select="SELECT series, min(draw_no) AS draw_no FROM d GROUP BY series")
-_TIER_ROWS = ", ".join(f"({i}, {tier}, '{label}')" for i, (tier, label) in enumerate(TIER_LABELS.items(), start=1))
+_TIER_ROWS = ", ".join(f"({i}, {tier}, '{label}')" for i, (tier, label) in enumerate(TIER_LABELS, start=1))
 register("prize_counts", *_GRID, f"tiers(position, tier, prize) AS (VALUES {_TIER_ROWS})", recursive=True, select="""
 SELECT k.lottery_type, position, prize, count(j.run) AS tickets
 FROM (SELECT DISTINCT lottery_type FROM judged) k CROSS JOIN tiers t LEFT JOIN judged j ON j.lottery_type = k.lottery_type AND j.tier = t.tier
@@ -526,7 +556,9 @@ ORDER BY rank LIMIT 30""")
 
 # --- tuning and prediction -------------------------------------------------------------------
 
-_GRID_ROWS = ", ".join(f"({i}, {f}::DOUBLE, {r}::DOUBLE, {y}::DOUBLE)" for i, (f, r, y) in enumerate(GRID))
+# The grid, recency changing fastest.
+_GRID_POINTS = [(f, r, y) for f in (0.8, 0.9, 1.0, 1.2) for r in (0.5, 1.0, 1.5, 2.0, 2.8) for y in (1.0, 1.5, 2.0)]
+_GRID_ROWS = ", ".join(f"({i}, {f}::DOUBLE, {r}::DOUBLE, {y}::DOUBLE)" for i, (f, r, y) in enumerate(_GRID_POINTS))
 _GRID_W = ("g.frequency", "g.recent", "g.recency", "0.8::DOUBLE", "0.4::DOUBLE")
 # The newest 100 draws of each series, positions counted inside them.
 LATEST = """

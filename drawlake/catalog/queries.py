@@ -321,8 +321,8 @@ def _scored(spark, sf, limits=LIMITS):
 
 @query
 def sliding_scores(spark, sf):
-    """All windows of all draws: the full ranking by score, and the scores' sum."""
-    s = _scored(spark, sf)
+    """All windows of all draws: the full ranking by score, and the scores' sum; one limit exceeds most series."""
+    s = _scored(spark, sf, [*LIMITS, 3000])
     keyed = F.transform("main_scores", lambda v, i: F.struct((-v).alias("key"), (i + 1).alias("number")))
     ordered = F.array_sort(F.filter(keyed, lambda e: e["key"].isNotNull()))
     return s.select(

@@ -5,8 +5,11 @@ windows overlap almost fully, so counts come from running totals: the count in
 a window is the difference of two totals, O(1) per target and number.
 
 Series are cut into chunks of consecutive positions. A chunk also receives the
-``limit`` draws before it, so chunks are independent, bounded groups and a
-dominant series spreads over as many tasks as it has chunks.
+``limit`` draws before it, so chunks are independent groups and a dominant series
+spreads over as many tasks as it has chunks. A group holds two number masks a draw,
+at most twice the limit and ``LARGEST_ADDED`` draws; running totals are kept for one
+slice of ``SLICE`` draws at a time, and results leave slice by slice. So what grows
+with the limit is some sixty bytes a draw, not the counter matrices.
 
 The running totals of 43 numbers x 3 counters as window functions need several
 hundred window expressions in one plan. Measured on 150,000 draws, ranking
@@ -16,7 +19,7 @@ below, which Spark calls once per chunk.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from drawlake.operators.scores import ScoreWeights, bonus_weights
 from drawlake.spec import MAX_NUMBER, check_limits
 
 MIN_CHUNK = 1024
+LARGEST_ADDED = 1 << 16
+SLICE = 1 << 13
 COUNTS = T.ArrayType(T.IntegerType())
 SCORES = T.ArrayType(T.DoubleType())
 FEATURES = T.StructType(
@@ -36,8 +41,8 @@ FEATURES = T.StructType(
 
 
 def chunk_size(limit: Column) -> Column:
-    """At most one eighth of a chunk is borrowed from its predecessor."""
-    return F.greatest(F.lit(MIN_CHUNK), limit * 8).cast("bigint")
+    """An eighth of a chunk is borrowed from its predecessor, more for limits above ``LARGEST_ADDED`` / 7."""
+    return F.greatest(F.lit(MIN_CHUNK), F.least(limit * 8, limit + LARGEST_ADDED)).cast("bigint")
 
 
 def task_count(frame: DataFrame) -> int:
@@ -114,37 +119,77 @@ def window_features(
     )
 
 
+class _Totals:
+    """Counts per number over all draws before given rows, for rows that only move on."""
+
+    def __init__(self, masks: np.ndarray) -> None:
+        self.masks, self.at, self.total = masks, 0, np.zeros(MAX_NUMBER, np.int64)
+
+    def before(self, rows: np.ndarray) -> np.ndarray:
+        first, last = int(rows[0]), int(rows[-1])
+        while self.at < first:
+            stop = min(first, self.at + SLICE)
+            self.total = self.total + _bits(self.masks[self.at : stop]).sum(axis=0)
+            self.at = stop
+        steps = np.vstack([self.total, _bits(self.masks[first:last])]).cumsum(axis=0)
+        return steps[rows - first]
+
+
+class _LastSeen:
+    """Row of the latest draw before given rows that holds each number, -1 if none."""
+
+    def __init__(self, masks: np.ndarray) -> None:
+        self.masks, self.at, self.row = masks, 0, np.full(MAX_NUMBER, -1)
+
+    def before(self, rows: np.ndarray) -> np.ndarray:
+        while rows[0] - self.at > SLICE:
+            self.before(np.array([self.at + SLICE]))
+        first = self.at
+        spots = np.where(_bits(self.masks[first : rows[-1]]) == 1, np.arange(first, rows[-1])[:, None], -1)
+        seen = np.maximum.accumulate(np.vstack([self.row, spots]), axis=0)
+        self.at, self.row = int(rows[-1]), seen[-1]
+        return seen[rows - first]
+
+
+def _bits(masks: np.ndarray) -> np.ndarray:
+    return (masks[:, None] >> LANES) & 1
+
+
 def chunk_counter(
     carried: list[str], pools: dict[str, ScoreWeights | None], names: list[str]
-) -> Callable[[pa.Table], pa.Table]:
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts for the draws of one chunk; borrowed draws only feed the totals."""
 
-    def count(chunk: pa.Table) -> pa.Table:
-        chunk = chunk.sort_by("rk")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = pa.Table.from_batches(list(batches)).sort_by("rk").combine_chunks()
         rk = chunk["rk"].to_numpy()
         limit = int(chunk["history_limit"][0].as_py())
         at_home = chunk["_home"].to_numpy() == chunk["_chunk"].to_numpy()
-        own = at_home & (rk > 1) & chunk["_is_target"].to_numpy()
-        rows = np.flatnonzero(own)
-        trained = np.minimum(limit, rk[rows] - 1)
-        recent_share = np.maximum(1, trained * 3 // 10)
-        columns = [chunk[c].filter(pa.array(own)) for c in carried] + [pa.array(trained)]
-        for pool, weights in pools.items():
-            present = (chunk[f"{pool}_mask"].to_numpy()[:, None] >> LANES) & 1
-            totals = np.vstack([np.zeros(MAX_NUMBER, np.int64), present.cumsum(axis=0)])
-            spots = np.where(present == 1, np.arange(len(rk))[:, None], -1)
-            last = np.maximum.accumulate(spots, axis=0)
-            frequency = totals[rows] - totals[rows - trained]
-            recent = totals[rows] - totals[rows - recent_share]
-            idx = np.where(frequency > 0, rows[:, None] - 1 - last[rows - 1], -1)
-            if weights is None:
-                parts = [_lists(frequency), _lists(recent), _lists(idx, idx < 0)]
-                fields = [pa.field(n, pa.list_(pa.int32())) for n in FEATURES.names]
-                columns.append(pa.StructArray.from_arrays(parts, fields=fields))
-            else:
-                scores = score_matrix(frequency, recent, idx, weights.__dict__)
-                columns.append(_lists(scores, np.isnan(scores), np.float64))
-        return pa.table(columns, names=names)
+        own = np.flatnonzero(at_home & (rk > 1) & chunk["_is_target"].to_numpy())
+        masks = {pool: chunk[f"{pool}_mask"].to_numpy() for pool in pools}
+        totals = {pool: [_Totals(m) for _ in range(3)] for pool, m in masks.items()}
+        seen = {pool: _LastSeen(m) for pool, m in masks.items()}
+        for start in range(0, len(rk), SLICE):
+            rows = own[np.searchsorted(own, start) : np.searchsorted(own, start + SLICE)]
+            if not len(rows):
+                continue
+            trained = np.minimum(limit, rk[rows] - 1)
+            recent_share = np.maximum(1, trained * 3 // 10)
+            columns = [chunk[c].take(pa.array(rows)).combine_chunks() for c in carried] + [pa.array(trained)]
+            for pool, weights in pools.items():
+                until, since, lately = (
+                    t.before(r) for t, r in zip(totals[pool], (rows, rows - trained, rows - recent_share))
+                )
+                frequency, recent = until - since, until - lately
+                idx = np.where(frequency > 0, rows[:, None] - 1 - seen[pool].before(rows), -1)
+                if weights is None:
+                    parts = [_lists(frequency), _lists(recent), _lists(idx, idx < 0)]
+                    fields = [pa.field(n, pa.list_(pa.int32())) for n in FEATURES.names]
+                    columns.append(pa.StructArray.from_arrays(parts, fields=fields))
+                else:
+                    scores = score_matrix(frequency, recent, idx, weights.__dict__)
+                    columns.append(_lists(scores, np.isnan(scores), np.float64))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return count
 

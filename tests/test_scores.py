@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,3 +100,36 @@ def test_limits_must_be_positive(spark):
     d, _ = synthetic(spark, 5)
     with pytest.raises(ValueError, match="must be positive"):
         window_features(rank_draws(d, ["series"], unique=True), ["series"], [0])
+
+
+def test_slices_do_not_change_a_chunk(monkeypatch):
+    """Counters of one chunk, in one piece and in pieces of seven draws, with targets far apart."""
+    import pyarrow as pa
+
+    from drawlake.operators import sliding
+
+    rng = np.random.default_rng(5)
+    size = 400
+    rk = rng.permutation(np.arange(51, 51 + size))
+    # The first fifty draws are borrowed from the chunk before.
+    table = pa.table({
+        "rk": pa.array(rk), "history_limit": pa.array(np.full(size, 50)),
+        "_home": pa.array((rk > 100).astype(np.int64)), "_chunk": pa.array(np.ones(size, np.int64)),
+        "_is_target": pa.array(rng.random(size) < 0.2), "main_mask": pa.array(rng.integers(0, 1 << 44, size)),
+    })
+
+    def made():
+        count = sliding.chunk_counter(["rk"], {"main": None}, ["rk", "history_count", "main_features"])
+        return pa.Table.from_batches(list(count(iter(table.to_batches())))).to_pylist()
+
+    whole = made()
+    monkeypatch.setattr(sliding, "SLICE", 7)
+    assert made() == whole and len(whole) > 40
+
+
+def test_groups_grow_by_draws_not_by_counters(spark):
+    from drawlake.operators import sliding
+
+    limits = spark.createDataFrame([(n,) for n in (1, 100, 9000, 10**6)], "n bigint")
+    sizes = [r[0] for r in limits.select(sliding.chunk_size(F.col("n"))).collect()]
+    assert sizes == [1024, 1024, 72000, 10**6 + sliding.LARGEST_ADDED]
