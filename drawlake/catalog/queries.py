@@ -310,9 +310,8 @@ def bonus_scores(spark, sf):
 
 @query
 def combined_scores(spark, sf):
-    p = _positions(spark, sf)
-    both = scores.combined_scores(scores.main_scores(p, SERIES), scores.bonus_scores(p, SERIES), SERIES)
-    return scores.rank_scores(both, SERIES)
+    both = scores.role_scores(_positions(spark, sf), SERIES)
+    return scores.rank_scores(scores.blended_roles(both, SERIES), SERIES)
 
 
 def _scored(spark, sf, limits=LIMITS):
@@ -333,21 +332,17 @@ def sliding_scores(spark, sf):
     )
 
 
-def _series_scores(spark, sf):
-    p = _positions(spark, sf)
-    kinds = F.substring_index("series", ":", 1).alias("lottery_type")
-    return [s.select("*", kinds) for s in (scores.main_scores(p, SERIES), scores.bonus_scores(p, SERIES))]
-
-
 @query
 def base_weights(spark, sf):
-    return weights.base_weights(_series_scores(spark, sf)[0], SERIES)
+    main = scores.main_scores(_positions(spark, sf), SERIES)
+    return weights.base_weights(main.withColumn("lottery_type", F.substring_index("series", ":", 1)), SERIES)
 
 
 @query
 def blended_weights(spark, sf):
-    main, bonus = (s.filter(F.col("lottery_type") == "loto7") for s in _series_scores(spark, sf))
-    return weights.blended_weights(main, bonus, SERIES)
+    seven = rank_draws(history.of_type(fixtures.draws(spark, sf), "loto7"), SERIES, unique=True)
+    both = scores.role_scores(seven, SERIES).withColumn("lottery_type", F.substring_index("series", ":", 1))
+    return weights.blended_weights(both, SERIES)
 
 
 def _seeded(spark, sf, limits=(WINDOW,), seed=SEEDS[0]):

@@ -67,7 +67,7 @@ def number_scores(
     series_cols: list[str],
     *,
     numbers_col: str = "main_numbers",
-    weights: ScoreWeights = ScoreWeights(),
+    weights: ScoreWeights | dict[str, Column] = ScoreWeights(),
 ) -> DataFrame:
     """Score every number between the smallest and largest one seen in a series.
 
@@ -114,7 +114,7 @@ def number_scores(
             F.col("max_recent"),
             F.col("count_of.idx"),
             F.col("max_idx"),
-            weights.columns(),
+            weights if isinstance(weights, dict) else weights.columns(),
         ).alias("score"),
     )
 
@@ -133,6 +133,26 @@ def bonus_scores(
     )
 
 
+def role_scores(
+    positioned: DataFrame, series_cols: list[str], weights: ScoreWeights = ScoreWeights()
+) -> DataFrame:
+    """Main and bonus scores of one pass over the draws: series, role (main or bonus), number, score."""
+    roles = [F.struct(F.lit(r).alias("role"), F.col(f"{r}_numbers").alias("numbers")) for r in ("main", "bonus")]
+    tagged = positioned.select(*series_cols, "draw_idx", "series_size", F.inline(F.array(*roles)))
+    main, bonus = weights.columns(), bonus_weights(weights).columns()
+    by_role = {k: F.when(F.col("role") == "main", main[k]).otherwise(bonus[k]) for k in main}
+    return number_scores(tagged, [*series_cols, "role"], numbers_col="numbers", weights=by_role)
+
+
+def blended_roles(both: DataFrame, series_cols: list[str], *, main_weight: float = 0.8, bonus_weight: float = 0.2) -> DataFrame:
+    """Weighted sum of the two roles' scores per number; a missing score counts as 0."""
+    if main_weight < 0 or bonus_weight < 0:
+        raise ValueError("blend weights below zero are not allowed")
+    of = lambda role: F.coalesce(F.max(F.when(F.col("role") == role, F.col("score"))), F.lit(0.0))
+    score = of("main") * F.lit(float(main_weight)) + of("bonus") * F.lit(float(bonus_weight))
+    return both.groupBy(*series_cols, "number").agg(score.alias("score"))
+
+
 def combined_scores(
     main: DataFrame,
     bonus: DataFrame,

@@ -95,10 +95,14 @@ def base_weights(
     ).select(*series_cols, "lottery_type", "number", "weight", "weight_rank")
 
 
-def blended_weights(main: DataFrame, bonus: DataFrame, series_cols: list[str]) -> DataFrame:
-    """Main and bonus sampling weights of every profile, one row per (series, profile, role, number)."""
-    left = pool_scores(main, series_cols).withColumnRenamed("scaled", "m")
-    right = pool_scores(bonus, series_cols).select(*series_cols, "number", F.col("scaled").alias("b"))
+def blended_weights(both: DataFrame, series_cols: list[str]) -> DataFrame:
+    """Main and bonus sampling weights of every profile, one row per (series, profile, role, number).
+
+    ``both`` holds the scores of the two roles (series, lottery_type, role, number, score).
+    """
+    rows = pool_scores(both, [*series_cols, "role"])
+    of = lambda role: F.max(F.when(F.col("role") == role, F.col("scaled")))
+    left = rows.groupBy(*series_cols, "lottery_type", "number").agg(of("main").alias("m"), of("bonus").alias("b"))
     roles = [
         F.struct(
             F.lit(i).alias("profile_no"),
@@ -116,7 +120,7 @@ def blended_weights(main: DataFrame, bonus: DataFrame, series_cols: list[str]) -
         )
     ]
     joined = (
-        left.join(right, [*series_cols, "number"], "left")
+        left.filter("m IS NOT NULL")
         .withColumn("_role", F.explode(F.array(*roles)))
         .select("*", "_role.*")
     )

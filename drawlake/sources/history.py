@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drawlake.operators.rank import one_per_key
+from drawlake.session import written
 from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS, POOLS, check_pool, clean_type
 
 KEYS = ["lottery_type", "draw_no"]
 
-# Key lists up to this many rows are broadcast; 1M keys are about 40 MB.
-BROADCAST_ROWS = 1_000_000
-
 # Landing files are grouped by blocks of draw numbers, not one folder per draw.
 LANDING_BLOCK = 100_000
 
@@ -82,27 +80,30 @@ def latest_n(history: DataFrame, limit: int, *order: str) -> DataFrame:
     return history.orderBy(*[F.desc(c) for c in (order or ("draw_no",))]).limit(limit)
 
 
-def existing_keys(history: DataFrame, rows: DataFrame) -> DataFrame:
-    """Keys of ``rows`` that the history already holds.
+def near_batch(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keys of the history inside the draw_no range of a batch, which prunes the scan.
 
-    One small aggregate of the batch gives its draw_no range, which prunes the
-    history scan, and its size, which decides about broadcasting the keys.
+    The range takes an action over ``rows``, so they should be a written or cached batch.
     """
+    low, high = rows.agg(F.min("draw_no"), F.max("draw_no")).first()
+    return history.select(*KEYS).filter(F.col("draw_no").between(F.lit(low), F.lit(high)))
+
+
+def existing_keys(history: DataFrame, rows: DataFrame) -> DataFrame:
+    """Keys of ``rows`` that the history already holds."""
     keys = rows.filter(F.col("draw_no").isNotNull()).select(*KEYS).distinct()
-    low, high, size = keys.agg(F.min("draw_no"), F.max("draw_no"), F.count(F.lit(1))).first()
-    near = history.select(*KEYS).filter(F.col("draw_no").between(F.lit(low), F.lit(high)))
-    return near.join(F.broadcast(keys) if size <= BROADCAST_ROWS else keys, KEYS, "left_semi")
+    return history.select(*KEYS).join(keys, KEYS, "left_semi")
 
 
 def new_rows(history: DataFrame, rows: DataFrame, *, dedupe: bool = True) -> DataFrame:
-    """Numbered rows whose key is not in the history.
+    """Numbered rows whose key is not in the history: one anti join, nothing runs while it is planned.
 
     Copies inside the batch collapse to one row before any shuffle;
     ``dedupe=False`` keeps them.
     """
     numbered = rows.filter(F.col("draw_no").isNotNull())
     candidates = one_per_key(numbered, KEYS) if dedupe else numbered
-    return candidates.join(existing_keys(history, rows), KEYS, "left_anti")
+    return candidates.join(history.select(*KEYS), KEYS, "left_anti")
 
 
 def import_metrics(rows: DataFrame, inserted: DataFrame) -> DataFrame:
@@ -134,14 +135,13 @@ def import_rows(
     ``check_existing=False`` is the bulk load without a key check. Metrics are
     taken from the rows as written, so they report the true insert count.
     """
-    from drawlake.session import scratch_path
-
     fresh = rows
     if check_existing:
-        fresh = new_rows(spark.read.parquet(path), rows, dedupe=dedupe)
+        # The batch is read once here; its numbered rows, without copies, tell which part of the history is near.
+        numbered = rows.filter(F.col("draw_no").isNotNull())
+        batch = written(one_per_key(numbered, KEYS) if dedupe else numbered, "import-batch")
+        fresh = new_rows(near_batch(spark.read.parquet(path), batch), batch, dedupe=False)
     # Fix the new rows in a staged table first: the append changes the history they depend on.
-    staged_path = scratch_path(spark, "import")
-    fresh.write.parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    staged = written(fresh, "import")
     write_history(staged, path, unique=dedupe and check_existing)
     return import_metrics(rows, staged)

@@ -17,7 +17,7 @@ from drawlake.operators.rank import one_per_key
 from drawlake.operators.validate import parse_date
 from drawlake.plans.predict import prediction_runs, run_digest
 from drawlake.sources.audit import append_audit, audit_rows
-from drawlake.sources.history import KEYS, batch_latest_row, import_metrics, new_rows
+from drawlake.sources.history import KEYS, batch_latest_row, import_metrics, near_batch, new_rows
 from drawlake.sources.messages import split_messages
 
 
@@ -59,7 +59,7 @@ def import_stream(
         if batch_id > 0:
             known = known.unionByName(earlier_batches(spark, table, schema, batch_id).select(*KEYS))
         folder = _batch_folder(table, batch_id)
-        new_rows(known, batch).write.mode("overwrite").parquet(folder)
+        new_rows(near_batch(known, batch), batch).write.mode("overwrite").parquet(folder)
         inserted = spark.read.schema(schema).parquet(folder)
         done = (
             import_metrics(batch, inserted)

@@ -19,12 +19,20 @@ def test_new_rows_skip_known_unnumbered_and_repeated(spark):
     assert [r.lottery_type for r in history.new_rows(known, other).collect()] == ["loto7"]
 
 
-def test_large_key_lists_use_a_shuffle_join(spark, monkeypatch):
-    monkeypatch.setattr(history, "BROADCAST_ROWS", 1)
+def test_keys_are_found_and_pruned_by_range(spark):
     known, batch = keyed(spark, range(1, 50)), keyed(spark, range(40, 60))
-    plan = history.existing_keys(known, batch)._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" not in plan
     assert history.existing_keys(known, batch).count() == 10
+    assert sorted(r.draw_no for r in history.near_batch(known, batch).collect()) == list(range(40, 50))
+    assert history.near_batch(known, batch.limit(0)).count() == 0
+
+
+def test_import_is_planned_without_running(spark, small):
+    started = spark.sparkContext.statusTracker()
+    known, batch = fixtures.history(spark, small), fixtures.incoming(spark, small)
+    spark.sparkContext.setJobGroup("plan-only", "no job may start")
+    history.new_rows(known, batch)
+    assert started.getJobIdsForGroup("plan-only") in ([], (), None)
+    spark.sparkContext.setJobGroup("rest", "")
 
 
 def test_copies_of_one_key_collapse_before_the_shuffle(spark):
