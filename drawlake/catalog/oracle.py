@@ -198,6 +198,10 @@ FROM (SELECT * FROM d UNION ALL SELECT * FROM d WHERE status = 'F') GROUP BY ALL
 register("partitioned_landing", D, select="""
 SELECT lottery_type, draw_no // 100000 AS draw_block, count(*) AS row_count, max(draw_no) AS last_draw_no FROM d GROUP BY ALL""")
 
+register("landing_latest", D, select="""
+SELECT lottery_type, draw_no, main_numbers[1] AS n1 FROM d WHERE lottery_type = 'loto6' OR draw_no <= 1000
+QUALIFY row_number() OVER (PARTITION BY lottery_type ORDER BY draw_no DESC) = 1""")
+
 # --- scores ------------------------------------------------------------------------
 
 # Default weights of main and bonus scores.
@@ -282,12 +286,14 @@ scored AS MATERIALIZED (
 
 
 _NUMBERED = "list_transform({0}, lambda v, i: {{'k': -v, 'n': i::INT}})"
-register("sliding_scores", *scored("20, 100, 3000"), select=f"""
+_WINDOWS = f"""
 SELECT series, draw_no, history_limit, history_count,
   {text("list_transform(list_sort(list_filter(" + _NUMBERED.format('main_scores') + ", lambda e: e.k IS NOT NULL)), lambda e: e.n)")} AS ranking,
   {r6("list_sum(list_transform(main_scores, lambda v: coalesce(v, 0.0::DOUBLE)))")} AS main_total,
   {r6("list_sum(list_transform(bonus_scores, lambda v: coalesce(v, 0.0::DOUBLE)))")} AS bonus_total
-FROM scored""")
+FROM scored"""
+register("sliding_scores", *scored("20, 100"), select=_WINDOWS)
+register("sliding_scores_long", *scored("3000"), select=_WINDOWS)
 
 # --- weights -----------------------------------------------------------------------------
 

@@ -285,6 +285,17 @@ def partitioned_landing(spark, sf):
     return landed.groupBy("lottery_type", F.col("draw_block").cast("bigint").alias("draw_block")).agg(F.count(F.lit(1)).alias("row_count"), F.max("draw_no").alias("last_draw_no"))
 
 
+@query
+def landing_latest(spark, sf):
+    """The newest draw of each pool, landed twice; the second landing has one pool only and replaces that one."""
+    path = scratch_path(spark, "latest")
+    wide = fixtures.wide_draws(spark, sf).drop("series", "status")
+    history.write_latest(wide.filter(F.col("draw_no") % 2 == 0), path)
+    history.write_latest(wide.filter(F.col("draw_no") <= 1000), path)
+    history.write_latest(history.of_type(wide, "loto6"), path)
+    return spark.read.parquet(path).select("lottery_type", "draw_no", "n1")
+
+
 # --- scores and weights ----------------------------------------------------------
 
 
@@ -318,13 +329,11 @@ def _scored(spark, sf, limits=LIMITS):
     return backtest.scored_targets(fixtures.draws(spark, sf), series_cols=SERIES, limits=limits, unique=True)
 
 
-@query
-def sliding_scores(spark, sf):
-    """All windows of all draws: the full ranking by score, and the scores' sum; one limit exceeds most series."""
-    s = _scored(spark, sf, [*LIMITS, 3000])
+def _window_rankings(scored):
+    """The full ranking of each window by score, and the scores' sum."""
     keyed = F.transform("main_scores", lambda v, i: F.struct((-v).alias("key"), (i + 1).alias("number")))
     ordered = F.array_sort(F.filter(keyed, lambda e: e["key"].isNotNull()))
-    return s.select(
+    return scored.select(
         "series", "draw_no", "history_limit", "history_count",
         F.transform(ordered, lambda e: e["number"]).alias("ranking"),
         F.aggregate("main_scores", F.lit(0.0), lambda t, v: t + F.coalesce(v, F.lit(0.0))).alias("main_total"),
@@ -332,6 +341,18 @@ def sliding_scores(spark, sf):
     )
 
 
+@query
+def sliding_scores(spark, sf):
+    """All windows of all draws."""
+    return _window_rankings(_scored(spark, sf))
+
+
+@query
+def sliding_scores_long(spark, sf):
+    """A limit beyond most series: windows that hold all earlier draws."""
+    return _window_rankings(_scored(spark, sf, [3000]))
+
+
 @query
 def base_weights(spark, sf):
     main = scores.main_scores(_positions(spark, sf), SERIES)

@@ -42,6 +42,13 @@ def write_landing(rows: DataFrame, path: str) -> None:
     )
 
 
+def write_latest(rows: DataFrame, path: str) -> None:
+    """Replaceable landing of the newest draw of each pool; pools that ``rows`` lack keep what they have."""
+    newest = batch_latest_row(rows.filter(F.col("draw_no").isNotNull()))
+    writer = newest.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("lottery_type").parquet(path)
+
+
 def overwrite_table(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").parquet(path)
 
