@@ -333,8 +333,19 @@ SCALED = """list_transform({0}[1:{1}], lambda v: CASE WHEN list_max(list_transfo
   THEN coalesce(v, 0.0::DOUBLE) / list_max(list_transform({0}[1:{1}], lambda z: coalesce(z, 0.0::DOUBLE))) ELSE 0.0::DOUBLE END)"""
 
 
-def uniform(prefix: str, number: str) -> str:
-    return f"((('0x' || substr(md5({prefix} || {number}), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
+# Multipliers of seed, ticket, attempt, stage and number, and the mixing rounds, in 128-bit arithmetic.
+_COUNTER = (11400714819323198485, 14029467366897019727, 1609587929392839161, 15485907386658061715, 11562461410679940143)
+_MIX = ((30, 13787848793156543929), (27, 10723151780598845931))
+
+
+def uniform(seed: str, ticket: str, attempt: str, stage: int, number: str) -> str:
+    """Random number in (0, 1) from a mixed 64-bit counter."""
+    low = lambda e: f"(({e}) & 18446744073709551615::UHUGEINT)::UBIGINT"
+    parts = zip((seed, ticket, attempt, str(stage), number), _COUNTER)
+    z = "[" + low(" + ".join(f"({v})::UHUGEINT * {k}::UHUGEINT" for v, k in parts)) + "]"
+    for shift, factor in _MIX:
+        z = f"list_transform({z}, lambda z: " + low(f"xor(z, z >> {shift})::UHUGEINT * {factor}::UHUGEINT") + ")"
+    return f"((list_transform({z}, lambda z: xor(z, z >> 31) >> 12)[1]::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)"
 
 
 def keyed(weights: str) -> str:
@@ -386,7 +397,7 @@ gen(run, pool, pick, seed, w, tickets, keys, attempt) AS (
          CASE WHEN list_contains(keys, key) THEN keys ELSE list_append(keys, key) END, attempt + 1
   FROM (
     SELECT *, list_sort(list_transform(list_sort(list_transform(tw, lambda x, i:
-             {{'k': -ln({uniform("(seed || '|' || len(tickets) || '|' || attempt || '|m|')", 'i')}) / greatest(x, 1e-6::DOUBLE), 'n': i::INT}}))[1:pick], lambda e: e.n)) AS key
+             {{'k': -ln({uniform("seed", "len(tickets)", "attempt", 0, "i")}) / greatest(x, 1e-6::DOUBLE), 'n': i::INT}}))[1:pick], lambda e: e.n)) AS key
     FROM (
       SELECT *, list_transform(w, lambda x, i: CASE WHEN len(tickets) <= 0 THEN x ELSE
                pow(x, greatest(0.55::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * len(tickets)))
@@ -417,9 +428,8 @@ def profile_ctes(source: str, shift: int) -> tuple[str, ...]:
     )
     flat = "CASE WHEN t <= 0 THEN x ELSE pow(x, greatest(0.55::DOUBLE, 1.0::DOUBLE - 0.1::DOUBLE * t)) END"
 
-    def pick(pool_numbers: str, weights: str, stage: str, count: str) -> str:
-        prefix = f"((seed + {shift}) || '|' || t || '|0|{stage}|')"
-        key = f"-ln({uniform(prefix, 'm')}) / greatest(list_transform([{weights}[m]], lambda x: {flat})[1], 1e-6::DOUBLE)"
+    def pick(pool_numbers: str, weights: str, stage: int, count: str) -> str:
+        key = f"-ln({uniform(f'seed + {shift}', 't', '0', stage, 'm')}) / greatest(list_transform([{weights}[m]], lambda x: {flat})[1], 1e-6::DOUBLE)"
         return f"list_transform(list_sort(list_transform({pool_numbers}, lambda m: {{'k': {key}, 'n': m}}))[1:{count}], lambda e: e.n)"
 
     def blend(a: str, b: str, power: str) -> str:
@@ -433,10 +443,10 @@ pro_w AS MATERIALIZED (
   SELECT run, seed, t, size, mains, bonuses, {blend('ma', 'mb', 'temp')} AS mw, {blend('ba', 'bb', 'temp')} AS bw,
          {blend(f'{DISPLAY_BLEND[0]}::DOUBLE', f'{DISPLAY_BLEND[1]}::DOUBLE', '1.0::DOUBLE')} AS dw
   FROM pro_s, roles)""",
-        f"pro_m AS MATERIALIZED (SELECT *, {pick(keyed('mw') + '[1:size]', 'mw', 'm', 'mains')} AS chosen FROM pro_w)",
+        f"pro_m AS MATERIALIZED (SELECT *, {pick(keyed('mw') + '[1:size]', 'mw', 0, 'mains')} AS chosen FROM pro_w)",
         f"""
 pro_b AS MATERIALIZED (
-  SELECT *, {pick("list_filter(range(1, 38), lambda v: NOT list_contains(chosen, v::INT))", 'bw', 'b', 'bonuses')} AS extra FROM pro_m)""",
+  SELECT *, {pick("list_filter(range(1, 38), lambda v: NOT list_contains(chosen, v::INT))", 'bw', 1, 'bonuses')} AS extra FROM pro_m)""",
         f"""
 profile_done AS MATERIALIZED (
   SELECT run, (t + 1)::INT AS ticket_no, {shown('list_concat(chosen, extra)', 'dw')} AS ticket FROM pro_b)""",
@@ -456,7 +466,7 @@ register("strategy_tickets", *_ONE, *default_ctes("runs")[:4], recursive=True, s
 SELECT series, draw_no, no AS strategy_no, ['anchor', 'balanced', 'even_odd', 'spread', 'mixed_depth'][no] AS strategy, {text('ticket')} AS ticket
 FROM runs JOIN gen_s USING (run)""")
 register("weighted_sample", *_ONE, *default_ctes("runs")[:1], recursive=True, select=f"""
-SELECT r.series, r.draw_no, {text("list_sort(list_transform(list_sort(list_transform(w, lambda x, i: {'k': -ln(" + uniform("(g.seed || '|0|0|m|')", "i") + ") / greatest(x, 1e-6::DOUBLE), 'n': i::INT}))[1:g.pick], lambda e: e.n))")} AS sample
+SELECT r.series, r.draw_no, {text("list_sort(list_transform(list_sort(list_transform(w, lambda x, i: {'k': -ln(" + uniform("g.seed", "0", "0", 0, "i") + ") / greatest(x, 1e-6::DOUBLE), 'n': i::INT}))[1:g.pick], lambda e: e.n))")} AS sample
 FROM runs r JOIN gen_w g USING (run)""")
 register("default_tickets", *_ONE, *default_ctes("runs"), recursive=True, select=_BY_RUN + "default_done USING (run)")
 _SEVEN = "seven AS (SELECT * FROM runs WHERE lottery_type = 'loto7')"

@@ -8,9 +8,6 @@ numbers are hashes of (seed, ticket, attempt, number).
 
 from __future__ import annotations
 
-from functools import lru_cache
-from hashlib import md5
-
 import numpy as np
 
 from drawlake.spec import MAX_NUMBER
@@ -87,23 +84,28 @@ def in_weight_order(columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return take(ascending, rank_keys(take(weights, ascending)).argsort(axis=1, kind="stable"))
 
 
-@lru_cache(maxsize=1 << 16)
-def _exponentials(text: str) -> np.ndarray:
-    values = np.array(
-        [int(md5(f"{text}|{n}".encode()).hexdigest()[:13], 16) for n in range(1, MAX_NUMBER + 1)],
-        dtype=np.float64,
-    )
-    return -np.log((values + 0.5) / 2.0**52)
+# Odd multipliers of seed, ticket, attempt, stage and number, and of the two mixing rounds.
+COUNTER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+MIX = ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB))
+STAGES = {"m": 0, "b": 1}
 
 
-def exponentials(seeds: np.ndarray, tickets: np.ndarray, attempt: int, stage: str, width: int) -> np.ndarray:
-    """-ln(u) per run and number; u is the MD5 of ``seed|ticket|attempt|stage|number``.
+def uniforms(seeds: np.ndarray, tickets: np.ndarray, attempt: int, stage: str, width: int) -> np.ndarray:
+    """A number in (0, 1) per run and pool number: a mixed 64-bit counter, the same wherever it is computed."""
+    of_seed, of_ticket, of_attempt, of_stage, of_number = COUNTER
+    fixed = (attempt * of_attempt + STAGES[stage] * of_stage) % (1 << 64)
+    run = seeds.astype(np.int64).view(np.uint64) * np.uint64(of_seed) + tickets.astype(np.uint64) * np.uint64(of_ticket)
+    number = np.arange(1, width + 1, dtype=np.uint64) * np.uint64(of_number) + np.uint64(fixed)
+    z = run[:, None] + number
+    for shift, factor in MIX:
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    z = (z ^ (z >> np.uint64(31))) >> np.uint64(12)
+    return (z.astype(np.float64) + 0.5) / 2.0**52
 
-    Runs that share seed and ticket share the row, so it is hashed once.
-    """
-    pairs, which = np.unique(np.stack([seeds, tickets], axis=1), axis=0, return_inverse=True)
-    rows = np.stack([_exponentials(f"{s}|{t}|{attempt}|{stage}")[:width] for s, t in pairs])
-    return rows[which.reshape(-1)]
+
+def exponentials(seeds: np.ndarray, tickets: np.ndarray, attempt: int, stage: str, width: int) -> np.ndarray:
+    """-ln(u) per run and number."""
+    return -np.log(uniforms(seeds, tickets, attempt, stage, width))
 
 
 def smallest(keys: np.ndarray, count: int) -> np.ndarray:
