@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -48,6 +49,8 @@ def scratch_path(spark: SparkSession, label: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="drawlake-")
+        # Nobody else knows this folder: it goes with the process.
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set(LOCAL_SCRATCH, root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
