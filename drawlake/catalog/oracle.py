@@ -185,6 +185,7 @@ register("import_append", D, select="SELECT lottery_type, draw_no, main_numbers[
 register("csv_roundtrip", D, select=f"""
 SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE},
        source_url || CASE WHEN draw_no % 13 = 0 THEN chr(10) || '"x", y' ELSE '' END AS source_url FROM d""")
+register("csv_mixed_headers", D, select=f"SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE}, source_url FROM d")
 register("jsonl_roundtrip", D, select=f"""
 SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE}, source_url FROM d WHERE lottery_type = 'loto7'""")
 register("legacy_dialect_import", D, select=f"SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {WIDE}, source_url FROM d")

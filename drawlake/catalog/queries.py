@@ -208,6 +208,17 @@ def csv_roundtrip(spark, sf):
     return files.read_canonical_csv(spark, path)
 
 
+@query
+def csv_mixed_headers(spark, sf):
+    """A folder whose files order their columns in two ways."""
+    path = scratch_path(spark, "csv-mixed")
+    wide = project.to_wide(fixtures.draws(spark, sf).drop("series", "status"))
+    for part, columns in enumerate((wide.columns, wide.columns[::-1])):
+        rows = wide.filter(F.col("draw_no") % 2 == part).select(*columns)
+        rows.write.mode("append").option("header", True).option("nullValue", "\\N").csv(path)
+    return files.read_canonical_csv(spark, path, mixed_headers=True)
+
+
 @query
 def jsonl_roundtrip(spark, sf):
     path = scratch_path(spark, "jsonl")

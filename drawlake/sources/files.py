@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
@@ -34,7 +36,7 @@ HISTORY_SCHEMA = T.StructType(
 )
 
 
-def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
+def _read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All columns as text, no type inference pass.
 
     The header of one file fixes the column order; a file with another order
@@ -51,6 +53,19 @@ def _read_text_columns(spark: SparkSession, path: str) -> DataFrame:
     return reader.schema(reader.csv(path).schema).csv(path)
 
 
+def _by_header(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The files of a folder in groups of equal header lines, each read by its own header.
+
+    Costs a pass over the text; what reaches the driver is a line per file, like its listing.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value"
+    )
+    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head"))
+    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
+    return [_read_text_columns(spark, g.files) for g in groups]
+
+
 def _typed(columns: DataFrame) -> DataFrame:
     empty_to_null = {c: F.nullif(F.col(c), F.lit("")) for c in CSV_COLUMNS}
     return columns.select(
@@ -63,13 +78,17 @@ def _typed(columns: DataFrame) -> DataFrame:
     )
 
 
-def read_canonical_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Canonical CSV by column name; ``\\N`` and empty cells are NULL, bad integers fail."""
-    raw = _read_text_columns(spark, path)
-    absent = [c for c in CSV_COLUMNS if c not in raw.columns]
-    if absent:
-        raise ValueError(f"missing CSV columns: {absent}")
-    return _typed(raw)
+def read_canonical_csv(spark: SparkSession, path: str, *, mixed_headers: bool = False) -> DataFrame:
+    """Canonical CSV by column name; ``\\N`` and empty cells are NULL, bad integers fail.
+
+    With ``mixed_headers`` the files of a folder may order their columns differently.
+    """
+    parts = _by_header(spark, path) if mixed_headers else [_read_text_columns(spark, path)]
+    for raw in parts:
+        absent = [c for c in CSV_COLUMNS if c not in raw.columns]
+        if absent:
+            raise ValueError(f"missing CSV columns: {absent}")
+    return reduce(DataFrame.unionByName, [_typed(raw) for raw in parts])
 
 
 def read_legacy_csv(spark: SparkSession, path: str, lottery_type: str) -> DataFrame:
