@@ -32,15 +32,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated lines; documents of which nothing is left go."""
-    cut = remove_repeated_lines(docs).filter("n_removed > 0").select(
-        F.col("doc_id").alias("cut_id"), "n_lines", "n_removed", "kept"
+    cut = remove_repeated_lines(docs).filter("n_removed > 0").distinct()
+    whole = cut["doc_id"].isNull()
+    changed = {
+        "text": F.when(whole, docs["text"]).otherwise(cut["kept"]),
+        "n_chars": F.when(whole, docs["n_chars"]).otherwise(F.length(cut["kept"]).cast("bigint")),
+    }
+    # Columns are named by their table, because documents may have columns of the same names.
+    return (
+        docs.join(cut, docs["doc_id"] == cut["doc_id"], "left")
+        .filter(whole | (cut["n_removed"] < cut["n_lines"]))
+        .select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
     )
-    changed = docs.join(cut.distinct(), F.col("doc_id") == F.col("cut_id"), "left").filter(
-        "cut_id IS NULL OR n_removed < n_lines"
-    )
-    text = F.when(F.col("cut_id").isNull(), F.col("text")).otherwise(F.col("kept"))
-    n_chars = F.when(F.col("cut_id").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("bigint"))
-    return changed.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

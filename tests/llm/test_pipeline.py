@@ -4,6 +4,7 @@ import corpus_pipeline as pipeline
 import pytest
 from brute_llm import fingerprint, leak_rows, lined, near_components, removed_units, sha
 from drawlake.llm.quality import score_quality, train_quality
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 
@@ -78,3 +79,16 @@ def test_odd_rows_pass_every_stage(spark, small, tmp_path):
         for _, stage in pipeline.STAGES:
             docs = stage(spark, docs, small)
             docs.collect()
+
+
+def test_clashing_columns_pass_every_stage(spark, small):
+    extra = ["kept", "n_lines", "n_removed", "found", "items", "score", "predicted", "component_id", "cut_id", "hashes"]
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.lit(c).alias(c) for c in extra])
+    for name, stage in pipeline.STAGES[:-1]:
+        plain = {r.doc_id: r.text for r in stage(spark, docs, small).collect()}
+        full = stage(spark, wide, small)
+        assert full.columns == wide.columns
+        rows = full.collect()
+        assert {r.doc_id: r.text for r in rows} == plain and all(r[c] == c for r in rows for c in extra), name
+    assert pipeline.STAGES[-1][1](spark, wide, small).count() == 60
