@@ -124,7 +124,7 @@ def _window_keys(width: int, inner: int):
         for batch in batches:
             ids, texts = batch["doc_id"].to_numpy(zero_copy_only=False), batch["text"]
             for start, words, found in _candidates(batch, width, inner):
-                rolling = window_hashes(words.hashes, width)
+                rolling, rows = window_hashes(words.hashes, width), []
                 for i, windows in enumerate(found):
                     if not len(windows):
                         continue
@@ -137,15 +137,18 @@ def _window_keys(width: int, inner: int):
                     second = np.frombuffer(
                         b"".join([xxhash.xxh3_64_digest(line[a:b]) for a, b in zip(opens, closes)]), np.uint64
                     )
-                    _, first = np.unique(np.stack((rolling[windows], second)), axis=1, return_index=True)
-                    first.sort()
+                    own_rolling = rolling[windows]
+                    # Stable order by both hashes: the first of each kind is the earliest.
+                    order = np.lexsort((second, own_rolling))
+                    a, b = own_rolling[order], second[order]
+                    opens_kind = np.ones(len(order), bool)
+                    opens_kind[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+                    first = order[opens_kind]
+                    rows.append((own_rolling[first], second[first], np.full(len(first), ids[start + i]), position[first]))
+                if rows:
+                    h1, h2, doc, place = (np.concatenate(x) for x in zip(*rows))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(rolling[windows][first].view(np.int64)),
-                            pa.array(second[first].view(np.int64)),
-                            pa.array(np.full(len(first), ids[start + i])),
-                            pa.array(position[first].astype(np.int32)),
-                        ],
+                        [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(doc), pa.array(place.astype(np.int32))],
                         ["h1", "h2", "doc_id", "position"],
                     )
 
