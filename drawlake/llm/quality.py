@@ -113,39 +113,63 @@ class FactorisationMachine:
         return self.bias + linear + 0.5 * (sums * sums - squares).sum(axis=1)
 
 
-def fit(rows: Rows, labels: np.ndarray, rounds: int = 80, rate: float = 0.03, shrink: float = 5e-4, seed: int = 7):
-    """Fits by full-batch gradient steps on the log loss; without both labels, the constant share of ones."""
+class _Block:
+    """Rows that are fitted together, with their cells in column order for the gradient."""
+
+    def __init__(self, rows: Rows, start: int, stop: int) -> None:
+        a, b = rows.bounds[start], rows.bounds[stop]
+        self.start, self.stop = start, stop
+        self.rows = Rows(rows.bounds[start : stop + 1] - a, rows.columns[a:b], rows.values[a:b])
+        self.owner = np.repeat(np.arange(stop - start), np.diff(self.rows.bounds))
+        self.order = np.argsort(self.rows.columns, kind="stable")
+        columns = self.rows.columns[self.order]
+        self.first = np.flatnonzero(np.concatenate(([True], columns[1:] != columns[:-1])))
+        self.used = columns[self.first]
+
+    def gradient(self, model: FactorisationMachine, error_of, g_weights: np.ndarray, g_vectors: np.ndarray) -> float:
+        """Adds the block's loss gradient; returns that of the bias."""
+        x, at = self.rows.values[:, None], self.rows.bounds[:-1]
+        v = model.vectors[self.rows.columns] * x
+        sums = np.add.reduceat(v, at)
+        linear = np.add.reduceat(model.weights[self.rows.columns] * self.rows.values, at)
+        z = model.bias + linear + 0.5 * (sums * sums - np.add.reduceat(v * v, at)).sum(axis=1)
+        error = error_of(z, self.start, self.stop).astype(np.float32)
+        cells = error[self.owner] * self.rows.values
+        g_weights[self.used] += np.add.reduceat(cells[self.order], self.first)
+        pull = cells[:, None] * (sums[self.owner] - v)
+        g_vectors[self.used] += np.add.reduceat(pull[self.order], self.first)
+        return float(error.sum())
+
+
+def fit(
+    rows: Rows,
+    labels: np.ndarray,
+    rounds: int = 80,
+    rate: float = 0.03,
+    shrink: float = 5e-4,
+    seed: int = 7,
+    block_rows: int = 1000,
+) -> FactorisationMachine:
+    """Fits by full-batch gradient steps on the log loss; without both labels, the constant share of ones.
+
+    Gradients are summed over blocks of rows, so the driver holds the cells of one at a time.
+    """
     share = float(labels.mean()) if len(labels) else 0.5
     bias = np.array([np.log((share + 1e-3) / (1 - share + 1e-3))], np.float32)
     weights = np.zeros(FEATURES, np.float32)
     vectors = np.zeros((FEATURES, RANK), np.float32)
     if len(labels) and 0 < share < 1:
         vectors += np.random.default_rng(seed).normal(0, 0.02, vectors.shape).astype(np.float32)
-        order = np.argsort(rows.columns, kind="stable")
-        columns = rows.columns[order]
-        first = np.flatnonzero(np.concatenate(([True], columns[1:] != columns[:-1])))
-        used = columns[first]
-        owner = np.repeat(np.arange(len(labels)), np.diff(rows.bounds))
-        x = rows.values[:, None]
         adam = Adam([bias, weights, vectors], rate)
         # The rarer label weighs up to four times as much.
         weight = np.where(labels > 0, 1.0, np.clip(share / (1 - share), 0.25, 4.0))
+        error_of = lambda z, a, b: (sigmoid(z) - labels[a:b]) * weight[a:b] / len(labels)
+        blocks = [_Block(rows, a, min(a + block_rows, len(labels))) for a in range(0, len(labels), block_rows)]
         for _ in range(rounds):
-            v = vectors[rows.columns] * x
-            sums = np.add.reduceat(v, rows.bounds[:-1])
             model = FactorisationMachine(float(bias[0]), weights, vectors)
-            z = (
-                model.bias
-                + np.add.reduceat(weights[rows.columns] * rows.values, rows.bounds[:-1])
-                + 0.5 * (sums * sums - np.add.reduceat(v * v, rows.bounds[:-1])).sum(axis=1)
-            )
-            error = ((sigmoid(z) - labels) * weight / len(labels)).astype(np.float32)
-            per_cell = error[owner] * rows.values
             g_weights, g_vectors = shrink * weights, shrink * vectors
-            g_weights[used] += np.add.reduceat(per_cell[order], first)
-            pull = per_cell[:, None] * (sums[owner] - v)
-            g_vectors[used] += np.add.reduceat(pull[order], first)
-            adam.step([error.sum(keepdims=True), g_weights, g_vectors])
+            g_bias = sum(b.gradient(model, error_of, g_weights, g_vectors) for b in blocks)
+            adam.step([np.array([g_bias], np.float32), g_weights, g_vectors])
     return FactorisationMachine(float(bias[0]), weights, vectors)
 
 
