@@ -89,8 +89,9 @@ def remove_repeated_lines(
         (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start"))
     )
     starts = saved(repeats.groupBy("doc_id").agg(F.collect_set("start").alias("starts")), "line-removals")
+    # Always a shuffle by document: a broadcast that holds for small tables only would hide what large ones cost.
     return (
-        chosen.join(starts, "doc_id", "left")
+        chosen.join(starts.hint("merge"), "doc_id", "left")
         .select("doc_id", "text", "starts")
         .mapInArrow(_kept_lines(width), "doc_id long, n_lines long, n_removed long, kept string")
     )
