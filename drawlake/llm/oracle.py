@@ -101,6 +101,47 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM doc WINDOW g AS (PARTITION BY text_sha256)
 """
 
+OP11 = r"""
+WITH doc AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+),
+src AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM doc GROUP BY source)
+),
+-- Sources in the order in which a rising level fills them; the level after the first k are full.
+filling AS (
+  SELECT *, (3 * source_size) / CAST(weight AS DOUBLE) AS full_at,
+    coalesce(sum(3 * source_size) OVER before, 0) AS given, coalesce(sum(weight) OVER before, 0) AS used,
+    sum(source_size) OVER () AS words, sum(weight) OVER () AS all_weights
+  FROM src
+  WINDOW before AS (ORDER BY (3 * source_size) / CAST(weight AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+level AS (
+  SELECT min_by(level, used) AS level
+  FROM (SELECT CAST(words - given AS DOUBLE) / CAST(all_weights - used AS DOUBLE) AS level, used, full_at FROM filling)
+  WHERE level < full_at
+),
+target AS (
+  SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce(level, 0) * weight) AS target FROM src, level
+),
+plan AS (
+  SELECT *, CAST('0x' || substr(md5('mix:' || coalesce('s' || source, 'n')), 1, 7) AS HUGEINT) * 4 AS shift,
+    CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * 1073741824) AS HUGEINT) ELSE 0 END AS rate
+  FROM target
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST) AS number FROM doc
+)
+SELECT doc_id, ranked.source, size, source_size, target,
+  CASE WHEN size > 0 THEN copies ELSE 0 END AS copies, size * copies AS taken
+FROM (
+  SELECT ranked.*, source_size, target,
+    CAST((shift + rate * number) // 1073741824 - (shift + rate * (number - 1)) // 1073741824 AS BIGINT) AS copies
+  FROM ranked JOIN plan ON ranked.source IS NOT DISTINCT FROM plan.source
+) AS ranked
+"""
+
 ORACLE = {
     "op2_decontamination": OP2,
     "op3_url_filter": OP3,
@@ -108,4 +149,5 @@ ORACLE = {
     "op6_substring_dedup": OP6,
     "op7_chat_format": OP7,
     "op8_exact_dedup": OP8,
+    "op11_mix": OP11,
 }

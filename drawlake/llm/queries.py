@@ -11,11 +11,13 @@ from .chat import format_chats
 from .decontaminate import decontaminate
 from .exact_dedup import exact_duplicates
 from .line_dedup import remove_repeated_lines
+from .mix import mix_sources
 from .quality import score_quality, train_quality
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
 from .toxicity import score_toxicity, train_toxicity
 from .url_filter import filter_urls
+from .whiten import whiten
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -103,6 +105,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, train_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all sources takes of each document."""
+    return mix_sources(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "source"
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixteen whitened components of all embeddings."""
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -116,5 +130,7 @@ QUERIES = {
         op8_exact_dedup,
         op9_quality,
         op10_toxicity,
+        op11_mix,
+        op13_whitening,
     )
 }
