@@ -12,6 +12,7 @@ from .decontaminate import decontaminate
 from .exact_dedup import exact_duplicates
 from .line_dedup import remove_repeated_lines
 from .mix import mix_sources
+from .negatives import hard_negatives
 from .quality import score_quality, train_quality
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_windows
@@ -112,6 +113,12 @@ def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth embedding; some labels are moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first sixteen whitened components of all embeddings."""
     return whiten(table(spark, sf_dir, "embeddings"))
@@ -131,6 +138,7 @@ QUERIES = {
         op9_quality,
         op10_toxicity,
         op11_mix,
+        op12_hard_negatives,
         op13_whitening,
     )
 }

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 
 def is_finite(vector: Column) -> Column:
     """Neither null nor with a null, NaN or infinite component."""
-    fine = F.forall(
-        vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
-    )
+    fine = F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     return vector.isNotNull() & F.coalesce(fine, F.lit(False))
 
 
@@ -36,4 +34,5 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(rows, -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return flat.reshape(rows, len(flat) // rows if rows else 0)

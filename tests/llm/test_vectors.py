@@ -93,3 +93,67 @@ def test_whitening_large_entries(spark):
     got = whiten(frame_of(spark, rows)).collect()
     assert {(r.vec_id, r.deviation) for r in got} == {(i, d if d < 2**63 else None) for i, rs in want.items() for d, _ in rs}
     assert all(math.isclose(r.explained, explained[r.component - 1], rel_tol=1e-6) for r in got)
+
+
+def mined_brute(rows, every=50, positives=5, negatives=3):
+    """All scores of every anchor, sorted."""
+    usable = [(i, v, label) for i, v, label in rows if v is not None and label is not None]
+    usable = [u for u in usable if all(c is not None and math.isfinite(c) for c in u[1])]
+    width = max((len(v) for _, v, _ in usable), default=0)
+    whole = [(i, [math.floor(256 * c) for c in v] + [0] * (width - len(v)), label) for i, v, label in usable]
+    out = []
+    for a, (anchor, x, label) in enumerate(whole):
+        if anchor is None or anchor % every:
+            continue
+        scored = sorted(
+            (-sum(p * q for p, q in zip(x, y, strict=True)), i is None, i or 0, other)
+            for b, (i, y, other) in enumerate(whole)
+            if a != b
+        )
+        for p in [s for s in scored if s[3] == label][:positives]:
+            inside = [s for s in scored if s[3] != label and -50 * p[0] <= -100 * s[0] <= -95 * p[0]]
+            for rank, n in enumerate(inside[:negatives], 1):
+                out.append((anchor, None if p[1] else p[2], rank, None if n[1] else n[2], -p[0], -n[0]))
+    return sorted(out, key=str)
+
+
+MINED = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+def mined(frame):
+    return sorted((tuple(r[c] for c in MINED) for r in frame.collect()), key=str)
+
+
+@pytest.mark.parametrize("width, tree_bytes", [(3, 1 << 20), (8, 1)])
+def test_hard_negatives(spark, monkeypatch, width, tree_bytes):
+    from drawlake.llm import negatives
+
+    monkeypatch.setattr(negatives, "ROOTS", 2)
+    monkeypatch.setattr(negatives, "SLICE", 3)
+    rows = [(i % 400, v, label) for i, v, label in random_vectors(width, 500, width)]
+    # Repeated and missing ids, ties by equal vectors, one vector of very many rows, useless rows, a short vector.
+    rows += [(None, rows[50][1], 1), (None, rows[50][1], 1), (50, rows[0][1], 1), (50, rows[0][1], 1)]
+    rows += [(k, rows[0][1], k % 3) for k in range(1000, 1150)]
+    rows += [(2000 + k, v, 1) for k, v in enumerate(BAD)] + [(2050, rows[3][1], None), (2100, rows[3][1][:-1], 2)]
+    random.Random(2).shuffle(rows)
+    want = mined_brute(rows)
+    assert len(want) > 100
+    assert mined(negatives.hard_negatives(frame_of(spark, rows).repartition(4), tree_bytes=tree_bytes)) == want
+
+
+def test_hard_negatives_small(spark):
+    from drawlake.llm.negatives import hard_negatives
+
+    for rows in (
+        [],
+        [(50, None, 1), (100, [1.0], None)],
+        [(50, [1.0, 2.0], 1)],
+        [(50, [1.0], 1), (1, [1.0], 1)],
+        [(50, [], 1), (1, [], 1), (2, [], 2)],
+        [(0, [0.0], 1), (1, [0.0], 1), (2, [0.0], 2), (3, [5.0], 2)],
+        [(0, [1.0], 1), (1, [-1.0], 1), (2, [-0.7], 2)],
+        [(0, [2.0**40, 1.0], 1), (1, [2.0**3, 1.0], 1), (2, [2.0**2, 3.0], 2), (3, [2.0**2.5, 3.0], 2)],
+    ):
+        assert mined(hard_negatives(frame_of(spark, rows))) == mined_brute(rows)
+    # Beyond 64 bits scores are cut, and nothing fails.
+    assert mined(hard_negatives(frame_of(spark, [(0, [1e18], 1), (1, [1e18], 1), (2, [1e18], 2)]))) == []
