@@ -142,7 +142,7 @@ def bounds(queries: np.ndarray, centres: np.ndarray, radius: np.ndarray, norm) -
     """Least and largest inner product of each query with any point within ``radius`` of each centre.
 
     The ball and the cap that it cuts out of the sphere of radius ``norm`` both bound; the closer
-    bound holds. Rounding is covered by a margin.
+    bound holds. Rounding is covered by a margin, and bounds are cut where scores are.
     """
     q, c = queries.astype(np.float64), centres.astype(np.float64)
     straight = q @ c.T
@@ -154,7 +154,7 @@ def bounds(queries: np.ndarray, centres: np.ndarray, radius: np.ndarray, norm) -
     margin = 1e-6 * (1 + scale)
     high = np.minimum(straight + length * radius, scale * np.cos(np.maximum(0.0, angle - spread)))
     low = np.maximum(straight - length * radius, scale * np.cos(np.minimum(np.pi, angle + spread)))
-    return low - margin, high + margin
+    return np.minimum(low - margin, float(HIGHEST)), np.maximum(high + margin, float(LOWEST))
 
 
 def within(least, most, low, high) -> np.ndarray:

@@ -21,11 +21,11 @@ def test_windows(count, width, scale):
             below = range(tree.child[node], tree.child_end[node])
             assert [tree.first[node], *(tree.last[c] for c in below)] == [*(tree.first[c] for c in below), tree.last[node]]
     queries = np.vstack([points[draw.integers(0, count, 15)], (draw.normal(size=(15, width)) * scale).astype(np.int64)])
-    scores = queries.astype(object) @ tree.points.T.astype(object)
-    ends = np.sort(np.array([[draw.choice(row, 2) for _ in range(3)] for row in scores]), -1).astype(np.int64)
+    scores = np.clip(queries.astype(object) @ tree.points.T.astype(object), LOWEST, HIGHEST).astype(np.int64)
+    ends = np.sort(np.array([[draw.choice(row, 2) for _ in range(3)] for row in scores]), -1)
     low, high = ends[..., 0], ends[..., 1]
     low[0, 0], high[0, 0] = LOWEST, HIGHEST
-    low[1, 1], high[1, 1] = high[1, 1] + 1, low[1, 1]
+    low[1, 1], high[1, 1] = 5, 4
     skip = np.where(np.arange(30) % 3 == 0, draw.integers(0, count, 30), -1)
     found, names = search(tree, queries, low, high, 4, skip)
     for q in range(30):
