@@ -51,6 +51,22 @@ def test_decontamination_without_rows(spark):
     assert decontaminate(docs_frame(spark, []), none).collect() == []
 
 
+def test_decontamination_judges_rows(spark):
+    bench = spark.createDataFrame([(1, "x y z"), (2, "p q")], "item_id long, text string")
+    rows = [(None, "x y z"), (None, "clean"), (None, "a p q"), (7, "x y z p q"), (7, "also clean"), (7, None), (7, "x y")]
+    for order in (rows, rows[::-1]):
+        got = decontaminate(docs_frame(spark, order).repartition(3), bench).collect()
+        assert sorted((str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in got) == [
+            ("7", 0, 0, []),
+            ("7", 2, 0, []),
+            ("7", 2, 0, []),
+            ("7", 5, 5, ["1", "2"]),
+            ("None", 1, 0, []),
+            ("None", 3, 2, ["2"]),
+            ("None", 3, 3, ["1"]),
+        ]
+
+
 URLS = {
     "http://A.Example.com/en/1?x=/": ("a.example.com", "/en/1", "example.com/en/", "block"),
     "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
