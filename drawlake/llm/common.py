@@ -7,7 +7,8 @@ import os
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import prepare, scratch_path
 
@@ -32,7 +33,7 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def saved(frame: DataFrame, label: str) -> DataFrame:
+def saved(frame: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``frame`` written below the shared folder and read again.
 
     A step that is used twice, or whose result feeds a join that may be skewed,
@@ -40,10 +41,29 @@ def saved(frame: DataFrame, label: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = scratch_path(spark, label)
-    frame.write.parquet(path)
+    frame.write.parquet(path, compression=compression)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def numbered_rows(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str | Column] | None = None
+) -> DataFrame:
+    """``docs`` as a stored table: row, doc_id (whole number), text, and ``carry`` as the fields of ``carried``.
+
+    ``row`` is unique and rises with (id, hash of the text), rows without an id last.
+    Rows that share an id have an order that way which doesn't depend on the order of
+    the input; rows that share id and text are alike. They are dealt out by one range
+    shuffle, in which a last, arbitrary key parts even rows that are alike.
+    """
+    fields = [F.struct(*carry).alias("carried")] if carry else []
+    keyed = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), *fields).withColumns(
+        {"mark": F.xxhash64("text"), "salt": F.monotonically_increasing_id()}
+    )
+    order = [F.col("doc_id").asc_nulls_last(), F.col("mark"), F.col("salt")]
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    return saved(dealt.select(F.monotonically_increasing_id().alias("row"), *keyed.columns[:-2]), "rows", "zstd")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts of an Arrow string column and the n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

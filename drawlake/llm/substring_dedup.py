@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ready, saved, utf8, window_hashes, word_bounds, word_hashes
+from .common import numbered_rows, pieces, ready, saved, utf8, window_hashes, word_bounds, word_hashes
 
 
 class Words:
@@ -208,16 +208,17 @@ def remove_repeated_windows(
     """One row per document: doc_id, n_words, n_removed, removed (intervals of word positions), kept (text).
 
     Words are parted at ASCII white space and left as they are. A window is ``width``
-    consecutive words of one document. Every word of a window whose words also start
-    earlier (smaller id, or earlier in the document) is removed; windows are judged on
+    consecutive words of one row's text. Every word of a window whose words also start
+    earlier (smaller id, or earlier in the text) is removed; windows are judged on
     the input. Kept words are joined by one space. Null and short texts have no
-    window. Ids are whole numbers; rows that repeat an id count as one document, so
-    neither is earlier than the other. Rows without an id stay whole and are earlier
-    than nothing. Other columns are not read.
+    window. Ids are whole numbers. Rows that repeat an id are rows of their own, ordered
+    by a hash of the text; of rows alike in both one is the first. Rows without an id
+    stay whole and are earlier than nothing. Other columns are not read.
     """
     ready(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    known = chosen.filter("doc_id IS NOT NULL")
+    # The row number takes the place of the id: it keeps its order and is unique.
+    table = numbered_rows(docs, id_col, text_col)
+    known = table.filter("doc_id IS NOT NULL").select(F.col("row").alias("doc_id"), "text")
     inner_hashes = known.mapInArrow(_inner_hashes(width, inner), "hash long, doc_id long, places int")
     repeated = saved(
         inner_hashes.groupBy("hash").agg(F.sum("places").alias("places")).filter("places > 1").select("hash"),
@@ -237,9 +238,9 @@ def remove_repeated_windows(
         "first-places",
     )
     # A window that may repeat and is not the first of its words repeats an earlier one.
-    noted = hashes.join(firsts, "doc_id", "left")
+    noted = hashes.join(firsts, "doc_id", "left").withColumnRenamed("doc_id", "row")
     return (
-        chosen.join(noted, "doc_id", "left")
+        table.join(noted, "row", "left")
         .select("doc_id", "text", "hashes", "firsts")
         .mapInArrow(
             _removals(width, inner),

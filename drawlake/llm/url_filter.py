@@ -2,15 +2,16 @@
 
 The rule list is packed once: 64-bit xxhash keys in sorted order, and the full
 rule strings in the same order. Spark ships the packed files to every executor,
-where workers map them and share the pages. A url yields one key per host suffix
-and rule path length; equal keys are confirmed against the stored string.
+where workers map them and share the pages. A url yields one key per host suffix of
+as many labels, and path of as many characters, as some rule has; equal keys are
+confirmed against the stored string.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,17 +34,27 @@ def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode())
 
 
-def _pack(rules: list[tuple[str, str]], folder: str, name: str) -> str:
+def _pack(rules: list[tuple[str, str]]) -> bytes:
     keyed = sorted((_key(rule), rule, verdict) for rule, verdict in rules)
     texts = [f"{verdict} {rule}".encode() for _, rule, verdict in keyed]
-    path = os.path.join(folder, name)
-    with open(path, "wb") as out:
-        lengths = sorted({len(rule) - rule.index("/") for rule, _ in rules})
-        np.array([len(keyed), len(lengths)], np.int64).tofile(out)
-        np.array([k for k, _, _ in keyed], np.uint64).tofile(out)
-        np.cumsum([0, *map(len, texts)], dtype=np.int64).tofile(out)
-        np.array(lengths, np.int64).tofile(out)
-        out.write(b"".join(texts))
+    lengths = sorted({len(rule) - rule.index("/") for rule, _ in rules})
+    labels = sorted({rule[: rule.index("/")].count(".") + 1 for rule, _ in rules})
+    parts = [
+        np.array([len(keyed), len(lengths), len(labels)], np.int64),
+        np.array([k for k, _, _ in keyed], np.uint64),
+        np.cumsum([0, *map(len, texts)], dtype=np.int64),
+        np.array([*lengths, *labels], np.int64),
+    ]
+    return b"".join([*(p.tobytes() for p in parts), *texts])
+
+
+def _stored(packed: bytes) -> str:
+    """Local file of a packed array, named by its content: equal rules are written and shipped once."""
+    path = os.path.join(tempfile.gettempdir(), f"url-rules-{hashlib.sha256(packed).hexdigest()[:32]}")
+    if not os.path.exists(path):
+        with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as out:
+            out.write(packed)
+        os.replace(out.name, path)
     return path
 
 
@@ -53,16 +64,15 @@ def pack_rules(spark: SparkSession, rules: Iterable[Rule], array_rules: int = AR
     A rule is verdict, host and a path that starts with ``/``; hosts are lower-cased.
     A host and path given twice keeps its last verdict.
     """
-    folder = tempfile.mkdtemp(prefix="url-rules-")
     merged = {host.lower() + path: verdict for verdict, host, path in rules}
     for rule in merged:
         if "/" not in rule:
             raise ValueError(f"the rule {rule!r} has no path")
     listed, names = list(merged.items()), []
     for start in range(0, max(1, len(listed)), array_rules):
-        name = f"url-rules-{uuid.uuid4().hex}"
-        spark.sparkContext.addFile(_pack(listed[start : start + array_rules], folder, name))
-        names.append(name)
+        path = _stored(_pack(listed[start : start + array_rules]))
+        spark.sparkContext.addFile(path)
+        names.append(os.path.basename(path))
     return names
 
 
@@ -71,13 +81,16 @@ class DigestArray:
 
     def __init__(self, path: str) -> None:
         raw = np.memmap(path, np.uint8, "r")
-        count, lengths = (int(x) for x in raw[:16].view(np.int64))
-        at = 16 + 8 * count
-        self.keys = raw[16:at].view(np.uint64)
+        count, lengths, labels = (int(x) for x in raw[:24].view(np.int64))
+        at = 24 + 8 * count
+        self.keys = raw[24:at].view(np.uint64)
         self.ends = raw[at : at + 8 * (count + 1)].view(np.int64)
         at += 8 * (count + 1)
+        # Path lengths, and numbers of host labels, that rules have.
         self.lengths = raw[at : at + 8 * lengths].view(np.int64).tolist()
-        self.texts = raw[at + 8 * lengths :]
+        at += 8 * lengths
+        self.labels = raw[at : at + 8 * labels].view(np.int64).tolist()
+        self.texts = raw[at + 8 * labels :]
 
     def text(self, k: int) -> str:
         return bytes(self.texts[self.ends[k] : self.ends[k + 1]]).decode()
@@ -106,12 +119,13 @@ def _opened(path: str) -> DigestArray:
     return DigestArray(path)
 
 
-def host_suffixes(host: str) -> list[str]:
-    out = [host]
-    while "." in host:
-        host = host.split(".", 1)[1]
-        out.append(host)
-    return out
+def host_suffixes(host: str, labels: list[int]) -> list[str]:
+    """Ends of the host of so many labels each, without the ones it is too short for."""
+    most = labels[-1] if labels else 0
+    last = host.rsplit(".", most)
+    # What stands before the last ``most`` labels is one piece, whatever its length.
+    count = len(last) if len(last) <= most else most
+    return [host if k == len(last) else ".".join(last[-k:]) for k in labels if k <= count]
 
 
 def judge(hosts: list[str], paths: list[str], arrays: list[DigestArray], default: str) -> tuple[list, list]:
@@ -120,7 +134,7 @@ def judge(hosts: list[str], paths: list[str], arrays: list[DigestArray], default
     for array in arrays:
         wanted, owner, host_size = [], [], []
         for i, (host, path) in enumerate(zip(hosts, paths)):
-            for suffix in host_suffixes(host):
+            for suffix in host_suffixes(host, array.labels):
                 for size in array.lengths:
                     if size <= len(path):
                         wanted.append(suffix + path[:size])

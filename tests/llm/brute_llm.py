@@ -38,6 +38,21 @@ def removed_units(rows, split, join, width):
     return out
 
 
+def removed_rows(rows, split, join, width):
+    """(doc_id, units, removed, kept) of every row; ids may repeat or miss, rows of an id are ordered by text hash."""
+    order = sorted((i, text_hash(t), k) for k, (i, t) in enumerate(rows) if i is not None)
+    named = {number: rows[k][1] for number, (_, _, k) in enumerate(order)}
+    cut = removed_units(named.items(), split, join, width)
+    out = [(order[number][0], *cut[number]) for number in named]
+    return sorted(out + [(None, len(split(t)), 0, join.join(split(t))) for i, t in rows if i is None], key=str)
+
+
+def text_hash(text):
+    """Spark's xxhash64 of one string: the seed passes through a null."""
+    value = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
 def spaced(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 

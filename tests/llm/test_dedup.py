@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from brute_llm import by_id, docs_frame, fingerprint, lined, near_components, removed_units, sha, spaced
+from brute_llm import by_id, docs_frame, fingerprint, lined, near_components, removed_rows, removed_units, sha, spaced
 from drawlake.llm import simhash
 from drawlake.llm.common import powers, window_hashes, word_bounds, word_hashes
 from drawlake.llm.exact_dedup import exact_duplicates
@@ -86,7 +86,7 @@ def test_rows_without_or_with_equal_ids(spark, operator):
     text = "\n".join(f"word{i}" for i in range(30))
     frame = docs_frame(spark, [(None, text), (None, text), (4, text), (4, text), (7, text)])
     got = sorted((str(r.doc_id), r.n_removed) for r in operator(frame).collect())
-    assert got == [("4", 0), ("4", 0), ("7", 30), ("None", 0), ("None", 0)]
+    assert got == [("4", 0), ("4", 30), ("7", 30), ("None", 0), ("None", 0)]
 
 
 @pytest.mark.parametrize("operator", [exact_duplicates, remove_repeated_lines, remove_repeated_windows, near_duplicates])
@@ -166,3 +166,33 @@ def test_components_of_long_chains(spark):
     roots = components(spark.createDataFrame(links, "a long, b long")).collect()
     want = {n: min(g) for g in (nodes[:201], nodes[201:]) for n in g}
     assert {r.node: r.root for r in roots} == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rows_that_share_ids(spark, seed):
+    pick = random.Random(seed)
+    lines, words = ["a", "b", "c", "d", "e"], [f"w{k}" for k in range(40)]
+    passages = [[pick.choice(words) for _ in range(26)] for _ in range(3)]
+    by_line, by_word = [], []
+    for _ in range(40):
+        by_line.append((pick.choice([None, 1, 1, 2, 3, 9]), "\n".join(pick.choice(lines) for _ in range(pick.randrange(9)))))
+        body = [pick.choice(words) for _ in range(pick.randrange(12))] + pick.choice(passages)
+        by_word.append((pick.choice([None, 1, 1, 2, 3, 9]), " ".join(body)))
+    by_line += [(1, "a\nb\nc\nonlyA\ne"), (1, "x\na\nb\nc\ny"), (2, None), (2, "a\nb\nc"), (2, "a\nb\nc")]
+    by_word += [by_word[0], by_word[0], (4, None), (4, None), (5, "")]
+    want = removed_rows(by_line, lined, "\n", 3), removed_rows(by_word, spaced, " ", 20)
+    for order in range(2):
+        random.Random(order).shuffle(by_line)
+        random.Random(order).shuffle(by_word)
+        cut = remove_repeated_lines(docs_frame(spark, by_line).repartition(order + 2), carry=["doc_id", "lang", "n_chars"])
+        rows = cut.collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_removed, r.kept) for r in rows), key=str) == want[0]
+        assert all(r.carried.doc_id == r.doc_id and r.carried.lang == "en" for r in rows)
+        rows = remove_repeated_windows(docs_frame(spark, by_word).repartition(order + 2)).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in rows), key=str) == want[1]
+
+
+def test_line_found_once_stays(spark):
+    rows = [(1, "a\nb\nc\nonlyA\ne"), (1, "x\na\nb\nc\ny")]
+    kept = {r.kept for r in remove_repeated_lines(docs_frame(spark, rows)).collect()}
+    assert any("onlyA" in k for k in kept) and sum("a\nb\nc" in k for k in kept) == 1

@@ -85,19 +85,39 @@ URLS = {
 
 
 @pytest.mark.parametrize("collide", [False, True])
-def test_urls(collide, monkeypatch):
+def test_urls(collide, monkeypatch, tmp_path):
     # With one key for all strings only the stored strings tell rules apart.
     if collide:
         monkeypatch.setattr(url_filter, "_key", lambda text: 7)
-    import tempfile
-
     rules = {host + path: verdict for verdict, host, path in URL_RULES}
-    array = url_filter.DigestArray(url_filter._pack(list(rules.items()), tempfile.mkdtemp(), "r"))
+    (tmp_path / "r").write_bytes(url_filter._pack(list(rules.items())))
+    array = url_filter.DigestArray(str(tmp_path / "r"))
     hosts, paths = [v[0] for v in URLS.values()], [v[1] for v in URLS.values()]
     found = url_filter.judge(hosts, paths, [array], "allow")
     assert list(zip(*found)) == [v[2:] for v in URLS.values()]
 
 
+@pytest.mark.parametrize("labels", [100_000])
+def test_urls_of_very_many_labels_take_linear_memory(labels, tmp_path):
+    import tracemalloc
+
+    (tmp_path / "r").write_bytes(url_filter._pack([("com/", "allow"), ("b.example.com/x", "block")]))
+    array = url_filter.DigestArray(str(tmp_path / "r"))
+    host = "y." * labels + "b.example.com"
+    tracemalloc.start()
+    found = url_filter.judge([host, host, "com", "example.com"], ["/x" + "z" * 500_000, "/", "/", "/x"], [array], "allow")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == (["b.example.com/x", "com/", "com/", "com/"], ["block", "allow", "allow", "allow"])
+    assert peak < 5_000_000
+
+
+def test_suffixes():
+    assert url_filter.host_suffixes("a.b.c", [1, 2, 3, 4]) == ["c", "b.c", "a.b.c"]
+    assert url_filter.host_suffixes("a.b.c.d", [1, 3]) == ["d", "b.c.d"]
+    assert url_filter.host_suffixes("", [1, 2]) == [""] and url_filter.host_suffixes("a", []) == []
+
+
 def test_url_operator(spark):
     rows = [(k, u, "x", "y") for k, u in enumerate(URLS)] + [(None, "http://x.net/es/", "x", "y")]
     frame = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
