@@ -92,3 +92,32 @@ def test_clashing_columns_pass_every_stage(spark, small):
         rows = full.collect()
         assert {r.doc_id: r.text for r in rows} == plain and all(r[c] == c for r in rows for c in extra), name
     assert pipeline.STAGES[-1][1](spark, wide, small).count() == 60
+
+
+def test_rows_that_share_ids_pass_every_stage(spark, small):
+    from brute_llm import removed_rows
+
+    rows = [(1, "a\nb\nc\nd1\ne1\nf1"), (1, "x\na\nb\nc\ny\nz"), (0, "a\nb\nc"), (None, "a\nb\nc\nq"), (1, None), (2, "")]
+    rows += [(1, "some text of five words"), (None, "some text of five words"), (7, "some text of five words")]
+    items = [r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
+    leaked = max(items, key=len)
+    rows += [(1, f"before {leaked} after"), (None, leaked + " once more"), (None, "nothing of a benchmark")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, carried string"
+    docs = spark.createDataFrame([(i, t, f"l{k}", "s", len(t or ""), k, "c") for k, (i, t) in enumerate(rows)], schema)
+    stage = dict(pipeline.STAGES)
+
+    got = stage["lines"](spark, docs.repartition(3), small)
+    assert got.columns == docs.columns
+    want = [(i, kept) for i, n, gone, kept in removed_rows(rows, lined, "\n", 3) if not gone or gone < n]
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == sorted(want, key=str)
+    assert {r.row for r in got.collect() if r.text is None} == {4}
+
+    got = stage["leaks"](spark, docs.repartition(2), small).collect()
+    assert {r.row for r in got} == {k for k, (_, t) in enumerate(rows) if leaked not in (t or "")}
+
+    got = stage["near_dedup"](spark, docs.repartition(2), small).collect()
+    alike = [r for r in got if r.text == "some text of five words"]
+    assert [r.doc_id for r in alike] == [1]
+    assert len({r.text or "" for r in got}) == len(got)
+    got = stage["quality"](spark, docs, small).collect()
+    assert len({r.row for r in got}) == len(got) <= len(rows)
