@@ -1,6 +1,7 @@
 """Corpus pipeline: quality, repeated lines, near duplicates, benchmark leaks, tokens.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. A stage
+judges rows, not ids: rows that repeat an id or have none are kept or dropped by their own text.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlake.llm.bpe import Tokenizer, ids_digest
-from drawlake.llm.common import ready, saved
+from drawlake.llm.common import numbered_rows, ready, saved
 from drawlake.llm.decontaminate import decontaminate
 from drawlake.llm.line_dedup import remove_repeated_lines
 from drawlake.llm.quality import score_quality, train_quality
@@ -19,41 +20,58 @@ from drawlake.llm.queries import VOCABULARY, table
 from drawlake.llm.simhash import near_duplicates
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the listed ids; rows without an id stay."""
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+def _rows(docs: DataFrame) -> DataFrame:
+    """Stored rows of ``docs`` under a number of their own: row, doc_id, text, and the other columns in ``carried``.
+
+    Every stage judges rows by this number, so rows that repeat an id, or have none,
+    are rows like others: each stage puts out at most the rows that it got.
+    """
+    return numbered_rows(docs, carry=[c for c in docs.columns if c != "text"])
+
+
+def _without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose number isn't among ``dropped``, with the columns of the documents."""
+    kept = rows.join(dropped.select("row"), "row", "left_anti")
+    return kept.select(*[F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in columns])
+
+
+def _judged(rows: DataFrame) -> DataFrame:
+    return rows.select("row", "text", F.col("carried")["n_chars"].alias("n_chars"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
-    scored = score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
-    return _without(docs, scored.filter("predicted = 0"))
+    """Drops the rows that the quality classifier rejects."""
+    rows, model = _rows(docs), train_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(_judged(rows), model, id_col="row").withColumnRenamed("doc_id", "row")
+    return _without(rows, scored.filter("predicted = 0"), docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated lines; documents of which nothing is left go."""
-    cut = remove_repeated_lines(docs).filter("n_removed > 0").distinct()
-    whole = cut["doc_id"].isNull()
-    changed = {
-        "text": F.when(whole, docs["text"]).otherwise(cut["kept"]),
-        "n_chars": F.when(whole, docs["n_chars"]).otherwise(F.length(cut["kept"]).cast("bigint")),
-    }
-    # Columns are named by their table, because documents may have columns of the same names.
-    return (
-        docs.join(cut, docs["doc_id"] == cut["doc_id"], "left")
-        .filter(whole | (cut["n_removed"] < cut["n_lines"]))
-        .select(*[changed[c].alias(c) if c in changed else docs[c] for c in docs.columns])
+    """Removes repeated lines of each row; rows of which nothing is left go."""
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("others")
+    cut = remove_repeated_lines(docs, carry=[others, F.col("text").isNull().alias("no_text")]).filter(
+        "n_removed = 0 OR n_removed < n_lines"
     )
+    changed, rest = F.col("n_removed") > 0, F.col("carried")["others"]
+    columns = {
+        "text": F.when(~F.col("carried")["no_text"], F.col("kept")),
+        "n_chars": F.when(changed, F.length("kept").cast("bigint")).otherwise(rest["n_chars"]),
+    }
+    return cut.select(*[columns.get(c, rest[c]).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group."""
-    return _without(docs, near_duplicates(docs).filter("doc_id != component_id"))
+    """Keeps the row with the smallest id of each near-duplicate group; row numbers rise with the ids."""
+    rows = _rows(docs)
+    groups = near_duplicates(_judged(rows), id_col="row").withColumnRenamed("doc_id", "row")
+    return _without(rows, groups.filter("row != component_id"), docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain benchmark phrases."""
-    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    """Drops the rows that contain benchmark phrases."""
+    rows = _rows(docs)
+    found = decontaminate(_judged(rows), table(spark, sf_dir, "benchmark"), id_col="row").withColumnRenamed("doc_id", "row")
+    return _without(rows, found.filter("contaminated"), docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
