@@ -22,8 +22,12 @@ from pyspark.sql import functions as F
 
 from .common import pieces, ready, utf8, word_hashes
 
-# Encodings kept from one batch to the next in a worker; the table starts anew beyond.
-KEPT_WORDS = 150_000
+# Encodings, in bytes, and answered steps, in entries of about 100 bytes, that a worker keeps;
+# a table that is full starts anew.
+KEPT_BYTES = 24 << 20
+KEPT_STEPS = 600_000
+# Characters of a text, and ids of a list, that are worked on at once; longer ones are cut at words.
+CHUNK = 1 << 18
 
 
 def byte_letters() -> list[str]:
@@ -113,6 +117,20 @@ class WordSplitter:
         return np.flatnonzero(opens), sizes
 
 
+# A space between two characters that aren't white space opens a word, whatever stands around it.
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
+
+
+def chunks(text: str, most: int = CHUNK) -> list[str]:
+    """``text`` in pieces of about ``most`` characters that begin where a word begins."""
+    out, start = [], 0
+    while len(text) - start > most and (cut := _BORDER.search(text, start + most)):
+        out.append(text[start : cut.start()])
+        start = cut.start()
+    out.append(text[start:] if start else text)
+    return out
+
+
 class Encoder:
     """Encodes words by walking their trie."""
 
@@ -134,6 +152,7 @@ class Encoder:
         self.suffixes = _SuffixAutomaton(ids)
         self.fits: dict[int, bool] = {}
         self.known: dict[bytes, bytes] = {}
+        self.known_bytes = 0
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
         """Tokens at the left (1) or right (2) edge while ``token`` grows, with the rank at which each is absorbed."""
@@ -177,6 +196,10 @@ class Encoder:
         states, last = [0], [-1]  # automaton state and last token of each prefix on the path
         before = b""
         for word in sorted(words):
+            if len(fits) > KEPT_STEPS:
+                fits.clear()
+            if len(moves) > KEPT_STEPS:
+                moves.clear()
             depth, most = 0, min(len(before), len(word))
             while depth < most and before[depth] == word[depth]:
                 depth += 1
@@ -204,9 +227,24 @@ class Encoder:
                 tokens.append(last[at])
                 at -= lengths[last[at]]
             known[word] = array("i", tokens[::-1]).tobytes()
+            # Two objects of a dictionary take some 200 bytes besides what they hold.
+            self.known_bytes += 200 + len(word) + 4 * len(tokens)
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts without added tokens, one after the other, and their n + 1 offsets."""
+        """Ids of texts without added tokens, one after the other, and their n + 1 offsets; long texts in chunks."""
+        cut = [chunks(t) for t in texts]
+        parts = [c for t in cut for c in t]
+        ends = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))))
+        ids, offsets = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for start, stop in pieces(ends, CHUNK):
+            own, at = self._run(parts[start:stop])
+            ids.append(own)
+            offsets.append(at[1:] + offsets[-1][-1])
+        of_text = np.concatenate(([0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))))
+        return np.concatenate(ids), np.concatenate(offsets)[of_text]
+
+    def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of bounded length together."""
         bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))))
         if not bounds[-1]:
             return np.zeros(0, np.int32), bounds
@@ -233,8 +271,9 @@ class Encoder:
                 [listed.setdefault(raw[a:b], len(listed)) for a, b in zip(starts.tolist(), ends.tolist())]
             )
             words = list(listed)
-        if len(self.known) > KEPT_WORDS:
+        if self.known_bytes > KEPT_BYTES:
             self.known.clear()
+            self.known_bytes = 0
         self.learn([w for w in words if w not in self.known])
         packed = [self.known[w] for w in words]
         counts = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
@@ -343,7 +382,7 @@ class Tokenizer:
             for texts in batches:
                 _, offsets = utf8(texts)
                 flat, bounds = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-                for start, stop in pieces(offsets, 1 << 18):
+                for start, stop in pieces(offsets, CHUNK):
                     values, ends = encoder.encode([t or "" for t in texts[start:stop].to_pylist()])
                     flat.append(values)
                     bounds.append(ends[1:] + bounds[-1][-1])
@@ -360,23 +399,31 @@ class Tokenizer:
         """
         path, vocabulary = self.path, self.vocabulary
 
+        def spelled(own: np.ndarray) -> tuple[bytes, np.ndarray]:
+            """Bytes of some ids, and where each ends."""
+            letters, starts, lengths = _spellings(path, vocabulary)
+            valid = (own >= 0) & (own < len(lengths))
+            own = np.where(valid, own, 0)
+            sizes = np.where(valid, lengths[own], 0)
+            closes = np.cumsum(sizes)
+            total = int(closes[-1]) if len(closes) else 0
+            source = np.repeat(starts[own] - (closes - sizes), sizes) + np.arange(total)
+            return letters[source].tobytes(), closes
+
         def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             # Spark runs this in a worker of its own, which needs no encoder.
-            letters, starts, lengths = _spellings(path, vocabulary)
             for lists in batches:
                 counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 ids = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 ends = np.concatenate(([0], np.cumsum(counts)))
                 out = []
-                for start, stop in pieces(ends, 1 << 17):
-                    own = ids[ends[start] : ends[stop]]
-                    valid = (own >= 0) & (own < len(lengths))
-                    own = np.where(valid, own, 0)
-                    sizes = np.where(valid, lengths[own], 0)
-                    closes = np.cumsum(sizes)
-                    total = int(closes[-1]) if len(closes) else 0
-                    source = np.repeat(starts[own] - (closes - sizes), sizes) + np.arange(total)
-                    raw = letters[source].tobytes()
+                for start, stop in pieces(ends, CHUNK // 2):
+                    if stop - start == 1:
+                        parts = range(ends[start], ends[stop], CHUNK // 2)
+                        raw = b"".join(spelled(ids[at : min(at + CHUNK // 2, ends[stop])])[0] for at in parts)
+                        out.append(raw.decode("utf-8", "replace"))
+                        continue
+                    raw, closes = spelled(ids[ends[start] : ends[stop]])
                     cuts = np.concatenate(([0], closes))[ends[start : stop + 1] - ends[start]].tolist()
                     out += [raw[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
                 yield pa.array(out, pa.string())

@@ -33,7 +33,7 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def saved(frame: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def saved(frame: DataFrame, label: str, compression: str = "snappy", partition_by: str | None = None) -> DataFrame:
     """``frame`` written below the shared folder and read again.
 
     A step that is used twice, or whose result feeds a join that may be skewed,
@@ -41,7 +41,7 @@ def saved(frame: DataFrame, label: str, compression: str = "snappy") -> DataFram
     """
     spark = frame.sparkSession
     path = scratch_path(spark, label)
-    frame.write.parquet(path, compression=compression)
+    frame.write.parquet(path, compression=compression, partitionBy=partition_by)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -3,11 +3,14 @@
 DataFrame functions only. The first pass reads the texts once and keeps a digest
 row per document. Digest rows set bits in a blocked Bloom filter that remembers
 "set by two rows or more"; the second pass probes it. Rows with an unshared bit
-are unique and go straight to the result; the others are grouped by digest.
+are unique and go straight to the result; the others are grouped by digest. A filter
+that is too large to broadcast is cut into ranges of blocks, probed one after the
+other, so unique rows never shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -48,6 +51,17 @@ def _bit_is_set(bit: Column) -> Column:
     return F.getbit(byte, (bit % 8).cast("int")) == 1
 
 
+def _probed(digests: DataFrame) -> DataFrame:
+    """``digests`` with ``repeats``: false for rows that have a bit of their own, and so a digest of their own."""
+    bits = saved(shared_bits(digests), "shared-bits")
+    return digests.join(F.broadcast(bits), "block", "left").select(
+        "doc_id",
+        "digest",
+        "row",
+        (F.col("bitmap").isNotNull() & F.forall(_probes("digest"), _bit_is_set)).alias("repeats"),
+    )
+
+
 def exact_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -62,10 +76,10 @@ def exact_duplicates(
     a group stays. Among rows that repeat this id exactly one stays. Rows without
     an id come after all others: one stays only if its group has no id at all, and
     keep_id is then null. Other columns are not read. The Bloom filter has
-    ``bits_per_row`` bits a row and is broadcast up to ``broadcast_bytes``; beyond,
-    digest rows meet it by a shuffle on the block. Results don't depend on either.
+    ``bits_per_row`` bits a row; at most ``broadcast_bytes`` of it are broadcast at a
+    time, each to the digests of its own range. Results don't depend on either.
     """
-    spark = ready(docs.sparkSession)
+    ready(docs.sparkSession)
     digests = saved(
         docs.select(
             F.col(id_col).alias("doc_id"), F.unhex(F.sha2(normal_text(F.col(text_col)), 256)).alias("digest")
@@ -74,12 +88,15 @@ def exact_duplicates(
     )
     blocks = max(1, ceil(digests.count() * bits_per_row / BLOCK_BITS))
     digests = digests.withColumn("block", F.pmod(F.xxhash64("digest"), F.lit(blocks)))
-    bits = saved(shared_bits(digests), "shared-bits")
-    if blocks * BLOCK_BITS // 8 <= broadcast_bytes:
-        bits = F.broadcast(bits)
-    probed = digests.join(bits, "block", "left").withColumn(
-        "repeats", F.col("bitmap").isNotNull() & F.forall(_probes("digest"), _bit_is_set)
-    )
+    together = max(1, broadcast_bytes * 8 // BLOCK_BITS)
+    if blocks <= together:
+        probed = _probed(digests)
+    else:
+        # Written once, a folder for each range; one range's filter is in memory at a time.
+        ranged = digests.withColumn("span", F.floor(F.col("block") / together).cast("int"))
+        ranges = saved(ranged, "digest-ranges", partition_by="span")
+        spans = [ranges.filter(F.col("span") == k).drop("span") for k in range(ceil(blocks / together))]
+        probed = reduce(DataFrame.unionByName, [saved(_probed(own), "probed") for own in spans])
     possible = probed.filter("repeats").select("doc_id", "digest", "row")
     groups = saved(
         possible.groupBy("digest").agg(

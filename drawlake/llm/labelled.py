@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -13,12 +13,21 @@ def remainder(id_col: str, folds: int) -> Column:
 
 
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label_col: str, learnable: Column, most: int, id_col: str = "doc_id"
+    docs: DataFrame,
+    labels: DataFrame,
+    label_col: str,
+    learnable: Column,
+    most: int,
+    id_col: str = "doc_id",
+    most_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """``docs`` rows with a 0/1 ``label``, of at most ``most`` different ids, chosen by a hash of the id.
+    """At most ``most`` rows of ``docs`` with a 0/1 ``label``, whose texts have at most ``most_bytes`` together.
 
-    The chosen ids are a bounded table, so they are broadcast and texts don't shuffle.
-    Null labels are left out; of several labels for an id the largest counts.
+    Ids are chosen in the order of their hash, one row each: of rows that repeat an id
+    the one whose text has the smallest hash. Where the bytes of the texts so far exceed
+    the bound, the sample ends. Null labels are left out; of several labels for an id the
+    largest counts. What is chosen is a bounded table, so it is broadcast and texts shuffle
+    only once chosen. ``docs`` has doc_id, text and columns that go with them.
     """
     chosen = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
@@ -29,7 +38,19 @@ def labelled_sample(
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(most)
     )
-    return docs.join(F.broadcast(chosen), "doc_id")
+    mark, size = F.xxhash64("text"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
+    one = (
+        docs.join(F.broadcast(chosen), "doc_id")
+        .select("doc_id", "label", mark.alias("mark"), size.alias("size"))
+        .groupBy("doc_id", "label")
+        .agg(F.min("mark").alias("mark"), F.min_by("size", "mark").alias("size"))
+    )
+    # One task sorts at most ``most`` rows of numbers.
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = one.withColumn("so_far", so_far).filter(F.col("so_far") <= most_bytes).drop("so_far", "size")
+    matched = docs.withColumn("mark", mark).join(F.broadcast(within), ["doc_id", "mark"]).drop("mark")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return matched.groupBy("doc_id", "label", "text").agg(*[F.min(c).alias(c) for c in rest], F.count(F.lit(1)).alias("rows"))
 
 
 class Adam:

@@ -211,11 +211,13 @@ def train_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     chars_col: str = "n_chars",
+    most_bytes: int = 64 << 20,
 ) -> FactorisationMachine:
-    """Fits on at most ``most_labelled`` labelled documents whose CRC-32 remainder isn't ``held_out``.
+    """Fits on at most ``most_labelled`` labelled rows whose CRC-32 remainder isn't ``held_out``.
 
     Their features, made in Spark from whole texts, are the only rows that reach the
-    driver: about 3 KB each, so the bound keeps them under 20 MB for usual texts.
+    driver. Their texts have at most ``most_bytes`` together, and features take less
+    than two bytes per byte of text and a kilobyte per row.
     """
     ready(docs.sparkSession)
     sample = labelled_sample(
@@ -224,6 +226,7 @@ def train_quality(
         label_col,
         remainder("doc_id", folds) != held_out,
         most_labelled,
+        most_bytes=most_bytes,
     )
     found = sample.mapInArrow(
         _sample_rows,

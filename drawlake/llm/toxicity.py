@@ -186,11 +186,13 @@ def train_toxicity(
     most_labelled: int = 4000,
     id_col: str = "doc_id",
     text_col: str = "text",
+    most_bytes: int = 32 << 20,
 ) -> SentenceModel:
-    """Fits on at most ``most_labelled`` labelled documents whose CRC-32 remainder isn't ``held_out``.
+    """Fits on at most ``most_labelled`` labelled rows whose CRC-32 remainder isn't ``held_out``.
 
     Their hashed features, made in Spark from whole texts, are the only rows that reach
-    the driver: about 10 KB each.
+    the driver. Their texts have at most ``most_bytes`` together, and each word yields
+    a few features of four bytes.
     """
     ready(docs.sparkSession)
     sample = labelled_sample(
@@ -199,6 +201,7 @@ def train_toxicity(
         label_col,
         remainder("doc_id", folds) != held_out,
         most_labelled,
+        most_bytes=most_bytes,
     )
     found = sample.mapInArrow(
         _sample_rows, f"doc_id {dict(sample.dtypes)['doc_id']}, label int, features array<int>, sizes array<int>"

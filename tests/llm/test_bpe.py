@@ -56,3 +56,47 @@ def test_each_token_is_its_own_encoding():
 def test_empty_table(spark):
     tokenizer = SparkTokenizer(spark, PATH)
     assert tokenizer.decode(tokenizer.encode(docs_frame(spark, []))).collect() == []
+
+
+def test_long_texts_are_cut_at_words(library, monkeypatch):
+    from drawlake.llm import bpe
+
+    monkeypatch.setattr(bpe, "CHUNK", 50)
+    pick = random.Random(4)
+    text = "".join(pick.choice(["word", " it's", "  two", " \n", " 12", " é日", "'s 's", " ", "\t x", ". ", " ½", "\xa0y", "\x1c z"]) for _ in range(3000))
+    parts = bpe.chunks(text, 50)
+    assert len(parts) > 100 and "".join(parts) == text
+    ids, ends = Encoder(load_vocabulary(PATH)).encode([text, "", text[:70], "x" * 500])
+    want = [library.encode(t, add_special_tokens=False).ids for t in (text, "", text[:70], "x" * 500)]
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+
+
+LONG = """
+import random, resource, sys
+import numpy as np
+import pyarrow as pa
+from drawlake.llm import bpe
+pick = random.Random(1)
+words = ["".join(pick.choice("abcdefghijé") for _ in range(pick.randrange(3, 12))) for _ in range(400_000)]
+encoder = bpe.Encoder(bpe.load_vocabulary(sys.argv[1]))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = " ".join(pick.choice(words) for _ in range(int(sys.argv[2])))
+ids, ends = encoder.encode([text])
+size = len(text.encode())
+assert sum(encoder.lengths[i] for i in ids.tolist()) == size
+print(size >> 20, encoder.known_bytes >> 20, len(encoder.fits), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before >> 10)
+"""
+
+
+def test_memory_of_a_text_of_50_megabytes():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run(
+        [sys.executable, "-c", LONG, PATH, str(6_000_000)], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": root}
+    )
+    assert done.returncode == 0, done.stderr
+    size, known, fits, peak = map(int, done.stdout.split())
+    assert size >= 45 and known <= 64 and fits <= 700_000 and peak < 1000, done.stdout

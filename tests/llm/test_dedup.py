@@ -47,8 +47,24 @@ def test_exact_groups(spark, texts):
     frame = docs_frame(spark, texts)
     columns = ("keep_id", "group_size", "kept", "text_sha256")
     assert by_id(exact_duplicates(frame), *columns) == rows
-    # A crowded filter and one that isn't broadcast give the same.
-    assert by_id(exact_duplicates(frame, bits_per_row=1, broadcast_bytes=0), *columns) == rows
+    # A crowded filter and one that is broadcast in a dozen ranges give the same.
+    assert by_id(exact_duplicates(frame, bits_per_row=1), *columns) == rows
+    ranged = exact_duplicates(frame, bits_per_row=12 * 32768 // len(texts), broadcast_bytes=4096)
+    assert by_id(ranged, *columns) == rows
+
+
+def test_exact_groups_of_many_rows_in_ranges(spark):
+    pick = random.Random(8)
+    rows = [(i, f"text {pick.randrange(6000) if i % 3 else -1}") for i in range(9000)]
+    want = {}
+    for i, t in rows:
+        want.setdefault(t, []).append(i)
+    frame = exact_duplicates(docs_frame(spark, rows).repartition(6), broadcast_bytes=2 * 4096)
+    expected = sorted((i, min(g), len(g), i == min(g), sha(t)) for t, g in want.items() for i in g)
+    assert by_id(frame, "keep_id", "group_size", "kept", "text_sha256") == expected
+    # Rows with a digest of their own reach the result without a shuffle.
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan and plan.count("Exchange hashpartitioning(digest") <= 2
 
 
 def test_exact_repeated_and_missing_ids(spark):

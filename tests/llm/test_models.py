@@ -87,3 +87,112 @@ def test_offending_sentences_are_located(spark):
     row = toxicity.score_toxicity(docs_frame(spark, [(1, text)]), toxicity.SentenceModel(-6.0, weights)).first()
     assert [text.encode()[s.start : s.end].decode() for s in row.offending] == ["So VILE, no"]
     assert row.predicted == 1
+
+
+def bucket(word, bits):
+    """Hash bucket of one word's bytes."""
+    from drawlake.llm.common import word_hashes
+
+    data = np.frombuffer(word, np.uint8)
+    return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0] >> np.uint64(64 - bits))
+
+
+def plain(raw):
+    return bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+
+
+TEXTS = ["", "!!", "One two, one ONE.\n", "Größe | 12 34\n\nx\ty", "a a a b b", "word. " * 300, "€uro $5 {x} [y] <z>", "x" * 5000]
+
+
+def test_quality_features_word_by_word():
+    import math
+    import re
+    from collections import Counter
+
+    import pyarrow as pa
+
+    chars = np.array([7, 0, 3, 1 << 40, 5, 6, 7, 8])
+    rows = quality.features(*utf8(pa.array(TEXTS)), chars)
+    for k, text in enumerate(TEXTS):
+        raw = text.encode()
+        words = [plain(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", raw)]
+        want = {bucket(w, quality.WORD_BITS): 0.0 for w in words}
+        for word, times in Counter(words).items():
+            want[bucket(word, quality.WORD_BITS)] += times / len(words)
+        some = max(len(words), 1)
+        kinds = Counter(int(quality.KIND[b]) for b in raw)
+        numbers = [
+            *((1000 * kinds[c] / max(len(raw), 1), 2) for c in range(1, quality.KINDS)),
+            (len(raw), 1),
+            (len(words), 1),
+            ((len(raw) - kinds[3] - kinds[4]) / some, 4),
+            (1000 * len(want) / some, 2),
+            (len(raw) / (kinds[4] + 1), 2),
+            (1000 * sum(a == b for a, b in zip(words, words[1:])) / some, 2),
+            (int(chars[k]), 1),
+        ]
+        for place, (value, scale) in enumerate(numbers):
+            bin_ = int(min(math.log2(1 + value) * scale, quality.BINS - 1))
+            want[(1 << quality.WORD_BITS) + place * quality.BINS + bin_] = 1.0
+        own = slice(rows.bounds[k], rows.bounds[k + 1])
+        got = dict(zip(rows.columns[own].tolist(), rows.values[own].tolist()))
+        assert set(got) == set(want) and all(math.isclose(got[c], v, rel_tol=1e-6) for c, v in want.items()), text
+
+
+def test_quality_score_is_the_sum_over_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    model = quality.FactorisationMachine(
+        -0.2, rng.normal(0, 0.3, quality.FEATURES).astype(np.float32), rng.normal(0, 0.2, (quality.FEATURES, 4)).astype(np.float32)
+    )
+    import pyarrow as pa
+
+    lengths = np.array([len(t) for t in TEXTS])
+    rows = quality.features(*utf8(pa.array(TEXTS)), lengths)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs_frame(spark, list(enumerate(TEXTS))), model).collect()}
+    for k in range(len(TEXTS)):
+        own = slice(rows.bounds[k], rows.bounds[k + 1])
+        c, x = rows.columns[own], rows.values[own].astype(float)
+        z = model.bias + sum(model.weights[i] * v for i, v in zip(c, x))
+        for a in range(len(c)):
+            for b in range(a):
+                z += float(model.vectors[c[a]].astype(float) @ model.vectors[c[b]].astype(float)) * x[a] * x[b]
+        assert abs(got[k] - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_toxicity_score_is_the_noisy_or_of_its_sentences(spark):
+    import re
+
+    rng = np.random.default_rng(3)
+    weights = rng.normal(0, 0.8, 1 << toxicity.WORD_BITS).astype(np.float32)
+    model = toxicity.SentenceModel(-1.5, weights)
+    texts = [None, *TEXTS, "First one here. Second, LONGERWORDS! third?\nfourth… still fourth. ", "a.b.c", "über schön. Ärger"]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs_frame(spark, list(enumerate(texts))), model).collect()}
+    for k, text in enumerate(texts):
+        clean, marked = 1.0, 0
+        for sentence in re.split(rb"[.!?\n]", (text or "").encode()):
+            words = [plain(w) for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", sentence)]
+            if not words:
+                continue
+            parts = [p for w in words for p in (w, *(w[:n] for n in toxicity.BEGINNINGS if len(w) > n))]
+            z = model.bias + sum(float(weights[bucket(p, toxicity.WORD_BITS)]) for p in parts)
+            p = 1 / (1 + np.exp(-z))
+            clean *= 1 - p
+            marked += p >= 0.5
+        assert abs(got[k].score - (1 - clean)) < 1e-6, text
+        assert len(got[k].offending) == marked and got[k].predicted == (got[k].score >= 0.7)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    from drawlake.llm.labelled import labelled_sample
+
+    docs = spark.range(20_000).selectExpr("id % 4 AS doc_id", "IF(id % 4 = 1, 'other', repeat('x', 100)) AS text", "id AS n_chars")
+    docs = docs.unionByName(spark.createDataFrame([(5, "y" * 100_000, 0)], docs.schema))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(8)], "doc_id long, quality int")
+    from pyspark.sql import functions as F
+
+    sample = lambda **k: labelled_sample(docs, labels, "quality", F.lit(True), **k).collect()
+    rows = sample(most=100)
+    assert sorted(r.doc_id for r in rows) == [0, 1, 2, 3, 5] and all(r.label == r.doc_id % 2 for r in rows)
+    assert len(sample(most=1)) <= 1
+    assert sum(len(r.text) for r in sample(most=100, most_bytes=250)) <= 250
+    assert len(labelled_sample(docs.limit(0), labels, "quality", F.lit(True), most=9).collect()) == 0
