@@ -24,7 +24,7 @@ from .common import pieces, ready, utf8, word_hashes
 
 # Encodings, in bytes, and answered steps, in entries of about 100 bytes, that a worker keeps;
 # a table that is full starts anew.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 36 << 20
 KEPT_STEPS = 600_000
 # Characters of a text, and ids of a list, that are worked on at once; longer ones are cut at words.
 CHUNK = 1 << 18
