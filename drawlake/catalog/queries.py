@@ -15,7 +15,7 @@ from drawlake.plans import backtest, predict, reports, tune
 from drawlake.session import scratch_path
 from drawlake.sources import audit, files, history, messages, pages
 from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS
-from drawlake.streaming import jobs
+from drawlake.streaming import dedupe, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -686,11 +686,11 @@ def stage_outbox(spark, sf):
 
 
 def _deduped(spark, sf, parts, per_batch):
-    sent = fixtures.messages(spark, sf)
+    sent = fixtures.redelivered(fixtures.messages(spark, sf))
     path = _landed(spark, sent, "messages", parts)
     table, letters, checkpoint = (scratch_path(spark, n) for n in ("deduped", "letters", "checkpoint"))
     stream = jobs.file_stream(spark, path, sent.schema, files_per_batch=per_batch)
-    jobs.dedupe_stream(stream, table=table, dead_letters=letters, checkpoint=checkpoint).awaitTermination()
+    dedupe.dedupe_stream(stream, table=table, dead_letters=letters, checkpoint=checkpoint).awaitTermination()
     return spark.read.parquet(table)
 
 

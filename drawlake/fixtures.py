@@ -152,6 +152,15 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def redelivered(sent: DataFrame) -> DataFrame:
+    """Messages with copies: some a few minutes later, some weeks later, on the other side of any border in between."""
+    late = F.when(F.col("event_id") % 11 == 3, F.expr("INTERVAL 35 DAYS")).when(
+        F.col("event_id") % 11 == 4, F.expr("INTERVAL 2 MINUTES")
+    )
+    copies = sent.withColumn("event_time", F.col("event_time") + late).filter(F.col("event_id") % 11 > 2)
+    return sent.unionByName(copies.filter(F.col("event_id") % 11 < 5))
+
+
 PAGE_BLOCK = 256
 
 

@@ -111,10 +111,8 @@ def resolve(decoded: DataFrame, *, default_bucket: str | None = None, notify_def
     return resolved.drop("payload", "value", *[c for c in resolved.columns if c.startswith("_")])
 
 
-def split_messages(
-    messages: DataFrame, *, need_uri: bool = True, **options: object
-) -> tuple[DataFrame, DataFrame]:
-    """(usable messages, dead letters with a reason).
+def check_messages(messages: DataFrame, *, need_uri: bool = True, **options: object) -> DataFrame:
+    """Resolved messages with ``reason``: NULL for usable ones, else why they are dead letters.
 
     The import stage needs the location of a file, the prediction stage
     (``need_uri=False``) only the pool.
@@ -127,7 +125,14 @@ def split_messages(
         .when(need & F.col("gcs_uri").isNull(), "missing_uri")
         .when(need & (F.col("bucket").isNull() | F.col("object").isNull()), "invalid_uri")
     )
-    checked = pin(resolved, reason=reason).drop("problem")
+    return pin(resolved, reason=reason).drop("problem")
+
+
+def split_messages(
+    messages: DataFrame, *, need_uri: bool = True, **options: object
+) -> tuple[DataFrame, DataFrame]:
+    """(usable messages, dead letters with a reason)."""
+    checked = check_messages(messages, need_uri=need_uri, **options)
     return checked.filter(F.col("reason").isNull()).drop("reason"), checked.filter(
         F.col("reason").isNotNull()
     )

@@ -19,6 +19,7 @@ from drawlake.plans.predict import prediction_runs, run_digest
 from drawlake.sources.audit import append_audit, audit_rows
 from drawlake.sources.history import KEYS, batch_latest_row, import_metrics, near_batch, new_rows
 from drawlake.sources.messages import split_messages
+from drawlake.streaming.batches import batch_folder
 
 
 def file_stream(
@@ -28,10 +29,6 @@ def file_stream(
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def _batch_folder(root: str, batch_id: int) -> str:
-    return f"{root}/batch_id={batch_id}"
-
-
 def earlier_batches(spark: SparkSession, root: str, schema: T.StructType, batch_id: int) -> DataFrame:
     """Rows written by batches before this one; a repeated batch does not see itself."""
     with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
@@ -50,7 +47,7 @@ def import_stream(
     schema = stream.schema
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
-        with audited(spark, "import", _batch_folder(audit, batch_id)):
+        with audited(spark, "import", batch_folder(audit, batch_id)):
             run_batch(batch, batch_id)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
@@ -58,7 +55,7 @@ def import_stream(
         known = history.select(*KEYS)
         if batch_id > 0:
             known = known.unionByName(earlier_batches(spark, table, schema, batch_id).select(*KEYS))
-        folder = _batch_folder(table, batch_id)
+        folder = batch_folder(table, batch_id)
         new_rows(near_batch(known, batch), batch).write.mode("overwrite").parquet(folder)
         inserted = spark.read.schema(schema).parquet(folder)
         done = (
@@ -66,7 +63,7 @@ def import_stream(
             .join(batch_latest_row(batch).select("lottery_type", "draw_no", "draw_date"), "lottery_type")
             .withColumn("execution_id", F.md5(F.concat_ws("|", F.lit(f"import-{batch_id}"), "lottery_type")))
         )
-        done.write.mode("overwrite").parquet(_batch_folder(outbox, batch_id))
+        done.write.mode("overwrite").parquet(batch_folder(outbox, batch_id))
         note = F.format_string(
             "draw_no=%d total_rows=%d inserted_rows=%d skipped_rows=%d",
             "draw_no", "total_rows", "inserted_rows", "skipped_rows",
@@ -76,7 +73,7 @@ def import_stream(
             F.lit("SUCCESS").alias("status"), note.alias("message"), "draw_no",
             F.current_timestamp().alias("executed_at"),
         )
-        _write_audit(rows, _batch_folder(audit, batch_id))
+        _write_audit(rows, batch_folder(audit, batch_id))
         batch.unpersist()
 
     return (
@@ -116,73 +113,14 @@ def _write_audit(rows: DataFrame, folder: str) -> None:
         append_audit(rows, f"{folder}-retry")
 
 
-def dedupe_stream(
-    stream: DataFrame, *, table: str, dead_letters: str, checkpoint: str, period_days: int = 40
-) -> StreamingQuery:
-    """One message per execution_id and period of event time; for hot keys.
-
-    Periods are fixed stretches of ``period_days``, so what is sent does not depend on
-    how files fall into batches; messages without a time form a period of their own. A
-    copy in the next period is sent again and left to ``unsent``. Copies of one
-    execution collapse on the map side of each batch to the earliest; what is left is
-    checked against the sent table, of which only the batch's periods are read. A
-    repeated batch replaces its own rows. Undecodable messages go to the dead letters.
-    """
-    spark = stream.sparkSession
-    day = F.coalesce(F.unix_date(F.to_date("event_time")), F.lit(-1))
-    period = F.floor(day / F.lit(period_days)).cast("bigint")
-
-    def send_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        good, bad = split_messages(batch)
-        bad.write.mode("overwrite").parquet(_batch_folder(dead_letters, batch_id))
-        keys = ["period", "execution_id"]
-        rest = [c for c in good.columns if c != "execution_id"]
-        packed = F.min(F.struct("event_time", *[c for c in rest if c != "event_time"])).alias("_row")
-        once = good.withColumn("period", period).groupBy(*keys).agg(packed).select(*keys, "_row.*")
-        # A batch spans few periods; an older table is read in these partitions only.
-        spanned = [r.period for r in good.select(period.alias("period")).distinct().limit(MOST_PERIODS + 1).collect()]
-        sent = sent_before(spark, table, batch_id)
-        if sent is not None:
-            if len(spanned) <= MOST_PERIODS:
-                sent = sent.filter(F.col("period").isin(spanned))
-            once = once.join(sent.select(*keys), keys, "left_anti")
-        writer = once.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-        writer.option("partitionOverwriteMode", "dynamic").partitionBy("period", "batch_id").parquet(table)
-        batch.unpersist()
-
-    return (
-        stream.writeStream.foreachBatch(send_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-# More periods than this in one batch are not listed; the sent table is then read whole.
-MOST_PERIODS = 400
-
-
-def sent_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    """Keys that batches before this one have sent; None before the first."""
-    if not batch_id:
-        return None
-    try:
-        sent = spark.read.parquet(table)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-    return sent.filter(F.col("batch_id") < batch_id)
-
-
 def dedupe_stateful(
     stream: DataFrame, *, table: str, checkpoint: str, delay: str = "40 days"
 ) -> StreamingQuery:
-    """The same rule kept in the stream's own state, for evenly spread keys.
+    """The built-in operator, for evenly spread keys and transports in order.
 
-    ``delay`` bounds the state and must exceed the disorder of the transport.
-    All copies of one execution meet in one task, hence ``dedupe_stream``.
+    ``delay`` bounds the state and must exceed the disorder of the transport: later
+    messages are dropped. All copies of one execution meet in one task. Neither
+    holds for ``streaming.dedupe``.
     """
     good, _ = split_messages(stream)
     unique = good.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["execution_id"])
@@ -226,20 +164,20 @@ def predict_stream(
     spark = stream.sparkSession
 
     def predict_batch(batch: DataFrame, batch_id: int) -> None:
-        with audited(spark, "generate_notify", _batch_folder(audit, batch_id)):
+        with audited(spark, "generate_notify", batch_folder(audit, batch_id)):
             run_batch(batch, batch_id)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         good, bad = split_messages(batch, need_uri=False)
-        bad.write.mode("overwrite").parquet(_batch_folder(dead_letters, batch_id))
+        bad.write.mode("overwrite").parquet(batch_folder(dead_letters, batch_id))
         requests = one_per_key(
             good.select("execution_id", "lottery_type", "draw_no", "draw_date", "notify"), ["execution_id"]
         ).withColumn("draw_date", parse_date(F.col("draw_date")))
         if batch_id > 0:
             done = spark.read.parquet(runs).filter(F.col("batch_id") < batch_id)
             requests = requests.join(done.select("execution_id"), "execution_id", "left_anti")
-        folder = _batch_folder(runs, batch_id)
+        folder = batch_folder(runs, batch_id)
         # Only requested pools are tuned; usable messages name one of two.
         asked = draws.join(F.broadcast(requests.select("lottery_type").distinct()), "lottery_type", "left_semi")
         prediction_runs(
@@ -247,7 +185,7 @@ def predict_stream(
             strategy=strategy, as_of=as_of, requests=requests,
         ).write.mode("overwrite").parquet(folder)
         finished = spark.read.parquet(folder)
-        run_digest(finished).write.mode("overwrite").parquet(_batch_folder(outbox, batch_id))
+        run_digest(finished).write.mode("overwrite").parquet(batch_folder(outbox, batch_id))
         failed = F.col("status") == "FAILED"
         rows = finished.select(
             "execution_id", F.lit("generate_notify").alias("function_name"), "lottery_type",
@@ -255,7 +193,7 @@ def predict_stream(
             F.when(failed, "run_failed").alias("error_type"), F.col("error").alias("error_detail"),
             F.col("latest_draw_no").alias("draw_no"), F.current_timestamp().alias("executed_at"),
         )
-        _write_audit(rows.unionByName(refused(bad, "generate_notify")), _batch_folder(audit, batch_id))
+        _write_audit(rows.unionByName(refused(bad, "generate_notify")), batch_folder(audit, batch_id))
         batch.unpersist()
 
     return (

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from drawlake import fixtures
 from drawlake.sources import history
-from drawlake.streaming import jobs
+from drawlake.streaming import dedupe, jobs
 
 
 def start(spark, source, known, root):
@@ -51,7 +51,7 @@ def test_dedupe_stream_sends_each_execution_once(spark, small, tmp_path):
     sent.repartition(3).write.parquet(source)
     stream = jobs.file_stream(spark, source, sent.schema, files_per_batch=1)
     table, letters = str(tmp_path / "t"), str(tmp_path / "l")
-    jobs.dedupe_stream(stream, table=table, dead_letters=letters, checkpoint=str(tmp_path / "c")).awaitTermination()
+    dedupe.dedupe_stream(stream, table=table, dead_letters=letters, checkpoint=str(tmp_path / "c")).awaitTermination()
     got = spark.read.parquet(table)
     assert got.count() == got.select("execution_id").distinct().count() == 396
     assert spark.read.parquet(letters).select("reason").distinct().collect()[0][0] == "invalid_json"
@@ -95,17 +95,58 @@ def test_failed_batch_leaves_an_audit_row(spark, tmp_path):
     assert (row.stage, row.status, row.error_type, row.error_detail) == ("import", "FAILED", "ZeroDivisionError", "division by zero")
 
 
-def test_dedupe_does_not_depend_on_batches(spark, tmp_path):
-    body = '{"execution_id": "a", "lottery_type": "loto6", "gcs_uri": "gs://b/o"}'
-    days = ["2030-01-01", "2030-02-05", "2030-06-01", None, None]
-    rows = spark.createDataFrame([(body.encode(), d) for d in days], "value binary, day string").select(
-        "value", F.to_timestamp("day").alias("event_time")
-    )
-    sent = []
-    for name, parts, per_batch in (("one", 1, 9), ("many", 5, 1)):
-        source, table = str(tmp_path / f"{name}-s"), str(tmp_path / f"{name}-t")
-        rows.repartition(parts).write.parquet(source)
-        stream = jobs.file_stream(spark, source, rows.schema, files_per_batch=per_batch)
-        jobs.dedupe_stream(stream, table=table, dead_letters=f"{table}-l", checkpoint=f"{table}-c").awaitTermination()
-        sent.append(sorted(r.period for r in spark.read.parquet(table).collect()))
-    assert sent[0] == sent[1] and len(sent[0]) == 4
+def executions(spark, rows):
+    """Messages (execution, time) as a transport brings them; a missing execution is no JSON."""
+    body = '{"execution_id": "%s", "lottery_type": "loto6", "gcs_uri": "gs://b/o"}'
+    values = [((body % e if e else "{").encode(), t) for e, t in rows]
+    return spark.createDataFrame(values, "value binary, day string").select("value", F.to_timestamp("day").alias("event_time"))
+
+
+def run_dedupe(spark, root, batches, **options):
+    """One landed file and one micro-batch per list of messages; returns what was sent and the dead letters."""
+    sent, source = [], f"{root}/source"
+    for batch in batches:
+        executions(spark, batch).coalesce(1).write.mode("append").parquet(source)
+        stream = jobs.file_stream(spark, source, spark.read.parquet(source).schema)
+        dedupe.dedupe_stream(
+            stream, table=f"{root}/t", dead_letters=f"{root}/l", checkpoint=f"{root}/c", **options
+        ).awaitTermination()
+    sent = sorted(r.execution_id for r in spark.read.parquet(f"{root}/t").collect())
+    return sent, spark.read.parquet(f"{root}/l").count()
+
+
+# 2030-02-24 begins a stretch of forty days since 1970.
+COPIES = [("a", "2030-02-23 23:59:00"), ("a", "2030-02-24 00:01:00"), ("b", "2030-01-20"), ("b", "2030-02-26"), ("c", None), ("c", None), (None, None)]
+
+
+def test_copies_across_borders_are_sent_once(spark, tmp_path):
+    groupings = [[COPIES], [[c] for c in COPIES], [COPIES[::2], COPIES[1::2]], [COPIES[3:], COPIES[:3]]]
+    for k, batches in enumerate(groupings):
+        assert run_dedupe(spark, tmp_path / str(k), batches) == (["a", "b", "c"], 1), k
+
+
+def test_late_first_copies_are_sent_and_old_ones_forgotten(spark, tmp_path):
+    batches = [[("new", "2030-06-01")], [("late", "2030-01-01")], [("late", "2030-01-02"), ("x", "2030-07-20")], [("y", "2030-07-21")]]
+    sent, _ = run_dedupe(spark, tmp_path / "a", batches)
+    assert sent == ["late", "new", "x", "y"]
+    # Stream time has moved on by more than the retention since "new" came, not since "late" did.
+    sent, _ = run_dedupe(spark, tmp_path / "a", [[("late", "2030-01-02"), ("new", "2030-06-01"), ("x", "2030-07-20")]])
+    assert sent == ["late", "new", "new", "x", "y"]
+    sent, _ = run_dedupe(spark, tmp_path / "a", [[("z", "2030-12-01")], [("late", "2030-01-02")]])
+    assert sent == ["late", "late", "new", "new", "x", "y", "z"]
+
+
+def test_hot_keys_collapse_before_the_state(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(dedupe, "HELD_ROWS", 100)
+    keys = ["hot"] * 5000 + [f"k{i % 150}" for i in range(600)] + [dedupe.BAD + "1"] * 7
+    rows = pa.table({"_key": keys, "_us": [10_000 - i for i in range(len(keys))], "_clock": pa.array([None] * len(keys), pa.int64())})
+    out = pa.Table.from_batches(list(dedupe.collapse(iter(rows.to_batches(max_chunksize=400)))))
+    got = out["_key"].to_pylist()
+    assert got.count("hot") <= 15 and got.count(dedupe.BAD + "1") == 7 and got.count(dedupe.TICK) == 1
+    assert {*got} == {*keys, dedupe.TICK} and len(got) < 800
+    assert out.filter(pa.compute.equal(out["_key"], dedupe.TICK))["_clock"].to_pylist() == [10_000]
+    whole = [r for b in dedupe.collapse(iter(rows.slice(0, 90).to_batches())) for r in b.to_pylist()]
+    assert [(r["_key"], r["_us"]) for r in whole][0] == ("hot", 9911)
+    assert list(dedupe.collapse(iter([]))) == []
