@@ -116,6 +116,7 @@ def test_slices_do_not_change_a_chunk(monkeypatch):
         "rk": pa.array(rk), "history_limit": pa.array(np.full(size, 50)),
         "_home": pa.array((rk > 100).astype(np.int64)), "_chunk": pa.array(np.ones(size, np.int64)),
         "_is_target": pa.array(rng.random(size) < 0.2), "main_mask": pa.array(rng.integers(0, 1 << 44, size)),
+        "_place": pa.array([None] * size, pa.string()),
     })
 
     def made():
@@ -127,9 +128,62 @@ def test_slices_do_not_change_a_chunk(monkeypatch):
     assert made() == whole and len(whole) > 40
 
 
-def test_groups_grow_by_draws_not_by_counters(spark):
+def group_sizes(spark, count, limit):
+    """Draws per group of a series of ``count`` draws, its busiest group last."""
     from drawlake.operators import sliding
 
-    limits = spark.createDataFrame([(n,) for n in (1, 100, 9000, 10**6)], "n bigint")
-    sizes = [r[0] for r in limits.select(sliding.chunk_size(F.col("n"))).collect()]
-    assert sizes == [1024, 1024, 72000, 10**6 + sliding.LARGEST_ADDED]
+    rk, n = F.col("id") + 1, F.lit(limit).cast("bigint")
+    chunks = spark.range(count).select(F.explode(sliding.chunks_of(rk, n)).alias("chunk"))
+    last = (count - 1) // (sliding.LONG_CHUNK if limit > sliding.LONG_LIMIT else max(sliding.MIN_CHUNK, 8 * limit))
+    return sorted(r["count"] for r in chunks.filter(F.col("chunk") <= last).groupBy("chunk").count().collect())
+
+
+def test_group_sizes_do_not_grow_with_the_limit(spark):
+    from drawlake.operators import sliding
+
+    most = 5 * sliding.LONG_CHUNK + 2
+    assert max(max(group_sizes(spark, 2_200_000, n)) for n in (1000, sliding.LONG_LIMIT, 2049, 50_000, 1_000_000)) <= most
+    # A shorter window borrows what it spans, at most an eighth of a chunk.
+    assert group_sizes(spark, 300_000, 1000)[-1] == 9000
+
+
+@pytest.mark.parametrize("limit", [65, 66, 100, 127, 128, 129, 200, 333, 640, 1000, 5000])
+def test_long_windows_equal_borrowed_ones(spark, monkeypatch, limit):
+    """Carried totals at small chunk sizes against windows that borrow all their draws."""
+    from drawlake.operators import prefix, sliding
+
+    d, rows = synthetic(spark, 1500)
+    other, _ = synthetic(spark, 70, series="t")
+    ranked = rank_draws(d.unionByName(other), ["series"], unique=True)
+    want = window_features(ranked, ["series"], [limit]).collect()
+    monkeypatch.setattr(sliding, "LONG_LIMIT", 64)
+    monkeypatch.setattr(sliding, "LONG_CHUNK", 64)
+    monkeypatch.setattr(prefix, "SPAN", 5)
+    got = window_features(ranked, ["series"], [limit, 3]).filter("history_limit != 3").collect()
+    key = lambda r: (r.series, r.rk)
+    assert sorted(got, key=key) == sorted(want, key=key) and len(got) == len(rows) + 70 - 2
+    marked = ranked.withColumn("wanted", F.col("rk").isin(1, 2, 64, 65, 700, 1400))
+    some = window_features(marked, ["series"], [limit], target_col="wanted").collect()
+    assert sorted(some, key=key) == sorted((r for r in want if r.rk in (2, 64, 65, 700, 1400)), key=key)
+
+
+def test_carried_totals(spark):
+    import random
+
+    from drawlake.operators import prefix
+
+    pick = random.Random(3)
+    rows = [("s" if k % 3 else "t", k // 3 + 1 if k % 3 == 0 else None, pick.randrange(1 << 44) & ~1) for k in range(3000)]
+    place = 0
+    for k, (series, rk, mask) in enumerate(rows):
+        if rk is None:
+            place += 1
+            rows[k] = (series, place, mask)
+    frame = spark.createDataFrame(rows, "series string, rk bigint, main_mask bigint")
+    got = prefix.carried_totals(frame, ["series"], ("main",), 10)
+    seen = got.collect()
+    assert len(seen) == 300
+    for r in seen:
+        before = [(rk, m) for s, rk, m in rows if s == r.series and rk <= r._chunk * 10]
+        assert r.main_count == [sum(m >> n & 1 for _, m in before) for n in range(1, 44)]
+        assert r.main_last == [max((rk for rk, m in before if m >> n & 1), default=0) for n in range(1, 44)]
