@@ -714,6 +714,13 @@ register("stream_dedupe", MESSAGES, select="SELECT DISTINCT execution_id FROM se
 ORACLE["stream_dedupe_stateful"] = ORACLE["stream_dedupe"]
 ORACLE["stream_dedupe_regrouped"] = ORACLE["stream_dedupe"]
 register("stream_replay", D, INCOMING, _NEW, select="SELECT lottery_type, draw_no FROM fresh")
+# One landed file is one batch, number 0.
+register("import_to_digest", D, INCOMING, select="""
+SELECT md5('import-0|' || lottery_type) AS execution_id, lottery_type, 'SUCCESS' AS status,
+  upper(lottery_type) || ' 予想|回号: 第' || max(draw_no) || '回|実行日時: 2026-01-02 12:04:05|対象履歴: 直近'
+    || least(60, (SELECT count(*) FROM d WHERE d.lottery_type = i.lottery_type)) || '件|予想口数: 2口|戦略: mixed' AS header,
+  2 AS tickets
+FROM incoming i GROUP BY lottery_type""")
 register("stream_predictions", MESSAGES, """
 asked AS (SELECT execution_id, max(lottery_type) AS lottery_type FROM sent WHERE NOT broken GROUP BY execution_id)""", select="""
 SELECT lottery_type, 'SUCCESS' AS status, count(*) AS row_count, count(*) * 2 AS tickets FROM asked GROUP BY lottery_type

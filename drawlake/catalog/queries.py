@@ -672,8 +672,9 @@ def _import_stream(spark, sf):
 
 @query
 def stream_import(spark, sf):
-    table = spark.read.parquet(_import_stream(spark, sf)["table"])
-    return table.select("lottery_type", "draw_no", "draw_date", "main_numbers", "bonus_numbers")
+    table = _import_stream(spark, sf)["table"]
+    rows = jobs.imported(spark, table, fixtures.incoming(spark, sf).drop("series", "status").schema).read()
+    return rows.select("lottery_type", "draw_no", "draw_date", "main_numbers", "bonus_numbers")
 
 
 @query
@@ -715,7 +716,28 @@ def stream_replay(spark, sf):
         stream = jobs.file_stream(spark, path, incoming.schema, files_per_batch=2)
         checkpoint = scratch_path(spark, "checkpoint")
         jobs.import_stream(stream, fixtures.history(spark, sf), checkpoint=checkpoint, **out).awaitTermination()
-    return spark.read.parquet(out["table"]).select("lottery_type", "draw_no")
+    return jobs.imported(spark, out["table"], incoming.schema).read().select("lottery_type", "draw_no")
+
+
+@query
+def import_to_digest(spark, sf):
+    """From a landed file to the digest texts: the import stage's outbox is the prediction stage's stream."""
+    incoming = fixtures.incoming(spark, sf).drop("series", "status")
+    known = fixtures.history(spark, sf).select(incoming.columns)
+    path = _landed(spark, incoming, "incoming", 1)
+    first = {name: scratch_path(spark, name) for name in ("table", "outbox", "audit", "checkpoint")}
+    jobs.import_stream(jobs.file_stream(spark, path, incoming.schema), known, **first).awaitTermination()
+    draws = known.unionByName(jobs.imported(spark, first["table"], incoming.schema).read())
+    second = {name: scratch_path(spark, name) for name in ("runs", "outbox", "dead_letters", "audit", "checkpoint")}
+    asked = jobs.file_stream(spark, first["outbox"], jobs.OUTBOX).select("value")
+    jobs.predict_stream(asked, draws, history_limit=60, count=2, as_of=AS_OF, **second).awaitTermination()
+    digest = spark.read.parquet(second["outbox"])
+    lines = F.split("message", "\n")
+    # The lines after the blank one are the tickets.
+    return digest.select(
+        "execution_id", "lottery_type", "status",
+        F.array_join(F.slice(lines, 1, 6), "|").alias("header"), (F.size(lines) - 7).alias("tickets"),
+    )
 
 
 @query

@@ -17,8 +17,10 @@ from drawlake.operators.rank import one_per_key
 from drawlake.operators.validate import parse_date
 from drawlake.plans.predict import prediction_runs, run_digest
 from drawlake.sources.audit import append_audit, audit_rows
-from drawlake.sources.history import KEYS, batch_latest_row, import_metrics, near_batch, new_rows
+from drawlake.sources.history import KEYS, batch_latest_row, import_metrics
+from drawlake.sources.known import index_of, known_numbers, lookup, mark_known
 from drawlake.sources.messages import split_messages
+from drawlake.sources.segments import SegmentedTable
 from drawlake.streaming.batches import batch_folder
 
 
@@ -29,10 +31,13 @@ def file_stream(
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def earlier_batches(spark: SparkSession, root: str, schema: T.StructType, batch_id: int) -> DataFrame:
-    """Rows written by batches before this one; a repeated batch does not see itself."""
-    with_batch = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(with_batch).parquet(root).filter(F.col("batch_id") < batch_id)
+def imported(spark: SparkSession, table: str, schema: T.StructType) -> SegmentedTable:
+    """The table that ``import_stream`` appends to; ``read`` gives its rows."""
+    return SegmentedTable(spark, table, schema)
+
+
+# What the outbox of the import stage holds besides its metrics: the message and the batch it comes from.
+OUTBOX = T.StructType([T.StructField("value", T.BinaryType()), T.StructField("batch_id", T.LongType())])
 
 
 def import_stream(
@@ -40,41 +45,54 @@ def import_stream(
 ) -> StreamingQuery:
     """Append draws not seen in the history or in earlier batches.
 
-    Each batch writes its new rows, one outbox message per pool for the next
-    stage, and one audit row per pool.
+    Known draw numbers are a bitmap index below the table. The numbers of ``history``
+    go into it when it is first used; later, a batch reads only the index rows of the
+    numbers that it brings, and no rows of earlier batches. Each batch writes its new
+    rows, one message per pool for the next stage, and one audit row per pool.
     """
     spark = stream.sparkSession
-    schema = stream.schema
+    target = imported(spark, table, stream.schema)
+    index = known_numbers(spark, f"{table}/known")
+    # The index numbers its parts from the history, 0, on.
+    if index.merged_upto() < 0 and 0 not in index.open_batches(-1):
+        index.write(index_of(history), 0)
 
     def import_batch(batch: DataFrame, batch_id: int) -> None:
+        # A batch that a segment covers was done long ago.
+        if batch_id <= target.merged_upto():
+            return
         with audited(spark, "import", batch_folder(audit, batch_id)):
-            run_batch(batch, batch_id)
+            batch = batch.persist()
+            try:
+                run_batch(batch, batch_id)
+            finally:
+                batch.unpersist()
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        known = history.select(*KEYS)
-        if batch_id > 0:
-            known = known.unionByName(earlier_batches(spark, table, schema, batch_id).select(*KEYS))
-        folder = batch_folder(table, batch_id)
-        new_rows(near_batch(known, batch), batch).write.mode("overwrite").parquet(folder)
-        inserted = spark.read.schema(schema).parquet(folder)
+        target.merge(before=batch_id)
+        index.merge(before=batch_id + 1)
+        once = one_per_key(batch.filter(F.col("draw_no").isNotNull()), KEYS)
+        marked = mark_known(once, lookup(index, batch, before=batch_id + 1))
+        fresh = marked.filter(~F.col("known")).select(*batch.columns)
+        inserted = target.write(fresh, batch_id)
+        index.write(index_of(inserted), batch_id + 1)
         done = (
             import_metrics(batch, inserted)
             .join(batch_latest_row(batch).select("lottery_type", "draw_no", "draw_date"), "lottery_type")
             .withColumn("execution_id", F.md5(F.concat_ws("|", F.lit(f"import-{batch_id}"), "lottery_type")))
         )
-        done.write.mode("overwrite").parquet(batch_folder(outbox, batch_id))
+        message = F.to_json(F.struct("execution_id", "lottery_type", "draw_no", F.col("draw_date").cast("string")))
+        done.withColumn("value", message.cast("binary")).write.mode("overwrite").parquet(batch_folder(outbox, batch_id))
         note = F.format_string(
             "draw_no=%d total_rows=%d inserted_rows=%d skipped_rows=%d",
             "draw_no", "total_rows", "inserted_rows", "skipped_rows",
         )
-        rows = done.select(
+        rows = spark.read.parquet(batch_folder(outbox, batch_id)).select(
             "execution_id", F.lit("import").alias("function_name"), "lottery_type",
             F.lit("SUCCESS").alias("status"), note.alias("message"), "draw_no",
             F.current_timestamp().alias("executed_at"),
         )
         _write_audit(rows, batch_folder(audit, batch_id))
-        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(import_batch)
@@ -157,18 +175,22 @@ def predict_stream(
 ) -> StreamingQuery:
     """Prediction stage: one tuned run per requested pool and execution.
 
-    Messages name a pool. Executions that already have a run are skipped. Runs,
-    digest texts and audit rows of a batch are written before anything is sent,
-    so a repeated batch cannot deliver twice.
+    ``stream`` has ``value``, also the outbox of the import stage. Messages name a pool.
+    Executions that already have a run are skipped. Runs, digest texts and audit rows
+    of a batch are written before anything is sent, so a repeated batch cannot deliver
+    twice.
     """
     spark = stream.sparkSession
 
     def predict_batch(batch: DataFrame, batch_id: int) -> None:
         with audited(spark, "generate_notify", batch_folder(audit, batch_id)):
-            run_batch(batch, batch_id)
+            batch = batch.persist()
+            try:
+                run_batch(batch, batch_id)
+            finally:
+                batch.unpersist()
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
         good, bad = split_messages(batch, need_uri=False)
         bad.write.mode("overwrite").parquet(batch_folder(dead_letters, batch_id))
         requests = one_per_key(
@@ -194,7 +216,6 @@ def predict_stream(
             F.col("latest_draw_no").alias("draw_no"), F.current_timestamp().alias("executed_at"),
         )
         _write_audit(rows.unionByName(refused(bad, "generate_notify")), batch_folder(audit, batch_id))
-        batch.unpersist()
 
     return (
         stream.writeStream.foreachBatch(predict_batch)
