@@ -109,7 +109,7 @@ def word_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.size("words").cast("bigint").alias("n_words"),
         F.array_join("words", " ").alias("line"),
     )
-    return saved(counted, "words")
+    return saved(counted, "words", "zstd")
 
 
 def build_index(

@@ -196,9 +196,10 @@ def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str) -> DataFrame:
+def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str, carry: list | None = None) -> DataFrame:
     chars = F.col(chars_col).cast("bigint") if chars_col in docs.columns else F.lit(0).cast("bigint")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), chars.alias("n_chars"))
+    fields = [F.struct(*carry).alias("carried")] if carry else []
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), chars.alias("n_chars"), *fields)
 
 
 def train_quality(
@@ -253,11 +254,13 @@ def score_quality(
     id_col: str = "doc_id",
     text_col: str = "text",
     chars_col: str = "n_chars",
+    carry: list | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, held_out, score (0 to 1), predicted (1 if score >= threshold).
 
     Null and empty texts are scored by their statistics. Rows that repeat get equal
-    scores. Rows without an id are not held out. A null length counts as zero.
+    scores. Rows without an id are not held out. A null length counts as zero. Columns
+    in ``carry`` come out beside each row, in the struct ``carried``; no row moves.
     """
     spark = ready(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
@@ -268,11 +271,15 @@ def score_quality(
             for _, _, rows in _featured(batch):
                 scores.append(sigmoid(shared.value.logits(rows).astype(np.float64)))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.concatenate(scores))], ["doc_id", "score"]
+                [batch["doc_id"], pa.array(np.concatenate(scores)), *batch.columns[3:]],
+                ["doc_id", "score", *batch.schema.names[3:]],
             )
 
-    chosen = _inputs(docs, id_col, text_col, chars_col)
-    return chosen.mapInArrow(scored, f"doc_id {dict(chosen.dtypes)['doc_id']}, score double").select(
+    chosen = _inputs(docs, id_col, text_col, chars_col, carry)
+    rest = ["carried"] if carry else []
+    schema = chosen.select("doc_id", F.lit(0.0).alias("score"), *rest).schema
+    return chosen.mapInArrow(scored, schema).select(
+        *rest,
         "doc_id",
         F.coalesce(remainder("doc_id", folds) == held_out, F.lit(False)).alias("held_out"),
         "score",
