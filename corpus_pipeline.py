@@ -23,7 +23,7 @@ from drawlake.llm.simhash import near_duplicates
 def _rows(docs: DataFrame) -> DataFrame:
     """Stored rows of ``docs`` under a number of their own: row, doc_id, text, and the other columns in ``carried``.
 
-    Every stage judges rows by this number, so rows that repeat an id, or have none,
+    Stages that join judge rows by this number, so rows that repeat an id, or have none,
     are rows like others: each stage puts out at most the rows that it got.
     """
     return numbered_rows(docs, carry=[c for c in docs.columns if c != "text"])
@@ -40,10 +40,10 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that the quality classifier rejects."""
-    rows, model = _rows(docs), train_quality(docs, table(spark, sf_dir, "labels"))
-    scored = score_quality(_judged(rows), model, id_col="row").withColumnRenamed("doc_id", "row")
-    return _without(rows, scored.filter("predicted = 0"), docs.columns)
+    """Drops the rows that the quality classifier rejects; every row is scored where it lies."""
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    kept = score_quality(docs, model, carry=list(docs.columns)).filter("predicted = 1")
+    return kept.select("carried.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
