@@ -167,8 +167,11 @@ SELECT lottery_type, draw_no FROM hist h WHERE EXISTS (SELECT 1 FROM incoming i
 _NEW = """
 fresh AS (SELECT * FROM incoming i WHERE draw_no IS NOT NULL AND NOT EXISTS
   (SELECT 1 FROM hist h WHERE h.lottery_type = i.lottery_type AND h.draw_no = i.draw_no))"""
+ORACLE["scanned_keys"] = ORACLE["existing_keys"]
 register("import_new_rows", D, INCOMING, _NEW, select=f"""
-SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {text('main_numbers')} AS main_numbers FROM fresh""")
+SELECT lottery_type, draw_no, draw_date::VARCHAR AS draw_date, {text('main_numbers')} AS main_numbers FROM (
+  SELECT lottery_type, draw_no, draw_date, main_numbers FROM fresh
+  UNION ALL (SELECT lottery_type, draw_no + 1000000000000, draw_date, main_numbers FROM d WHERE status = 'O' ORDER BY draw_no DESC LIMIT 1))""")
 _METRICS = """
 metrics AS (SELECT lottery_type, count(*) AS total_rows,
   (SELECT count(*) FROM fresh f WHERE f.lottery_type = i.lottery_type) AS inserted_rows, max(draw_no) AS draw_no

@@ -13,7 +13,7 @@ from drawlake.operators import match, project, scores, tickets, validate, weight
 from drawlake.operators.rank import latest_per_series, one_per_key, rank_draws
 from drawlake.plans import backtest, predict, reports, tune
 from drawlake.session import scratch_path
-from drawlake.sources import audit, files, history, messages, pages
+from drawlake.sources import audit, files, history, known, messages, pages
 from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS
 from drawlake.streaming import dedupe, jobs
 
@@ -162,17 +162,37 @@ def date_range_scan(spark, sf):
 # --- import ------------------------------------------------------------------
 
 
+def _indexed(spark, sf):
+    """Index lookup for a batch with one number far beyond all others; the index has two parts."""
+    table = known.known_numbers(spark, scratch_path(spark, "known"))
+    old = fixtures.history(spark, sf)
+    for part in range(2):
+        table.write(known.index_of(old.filter(F.col("draw_no") % 2 == part)), part)
+    batch = fixtures.incoming(spark, sf)
+    # The last draw comes once more under a number that a range of the batch would stretch to.
+    last = batch.filter("status = 'O'").orderBy(F.desc_nulls_last("draw_no")).limit(1)
+    batch = batch.unionByName(last.withColumn("draw_no", F.col("draw_no") + 10**12))
+    return known.lookup(table, batch), batch
+
+
 @query
 def existing_keys(spark, sf):
-    return history.existing_keys(fixtures.history(spark, sf), fixtures.incoming(spark, sf))
+    return history.indexed_keys(*_indexed(spark, sf))
 
 
 @query
 def import_new_rows(spark, sf):
-    fresh = history.new_rows(fixtures.history(spark, sf), fixtures.incoming(spark, sf))
+    fresh = history.indexed_new_rows(*_indexed(spark, sf))
     return fresh.select("lottery_type", "draw_no", "draw_date", "main_numbers")
 
 
+@query
+def scanned_keys(spark, sf):
+    """Keys already in the history, by a semi-join with a narrowed scan."""
+    batch = fixtures.incoming(spark, sf)
+    return history.existing_keys(history.near_batch(fixtures.history(spark, sf), batch), batch)
+
+
 @query
 def import_metrics(spark, sf):
     incoming = fixtures.incoming(spark, sf)

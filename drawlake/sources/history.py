@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from drawlake.operators.rank import one_per_key
+from drawlake.sources.known import MOST_LISTED, mark_known
 from drawlake.session import written
 from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS, POOLS, check_pool, clean_type
 
@@ -87,13 +91,46 @@ def latest_n(history: DataFrame, limit: int, *order: str) -> DataFrame:
     return history.orderBy(*[F.desc(c) for c in (order or ("draw_no",))]).limit(limit)
 
 
+# Numbers of a stretch, and stretches that a scan is narrowed to; beyond, the closest ones join.
+STRETCH = 32_768
+MOST_STRETCHES = 64
+
+
 def near_batch(history: DataFrame, rows: DataFrame) -> DataFrame:
-    """Keys of the history inside the draw_no range of a batch, which prunes the scan.
+    """Keys of the history in the stretches of draw numbers that a batch touches, which prunes the scan.
 
-    The range takes an action over ``rows``, so they should be a written or cached batch.
+    One far number in the batch adds its own stretch, not all numbers in between.
+    Finding them takes an action over ``rows``, so they should be a written or cached batch.
     """
-    low, high = rows.agg(F.min("draw_no"), F.max("draw_no")).first()
-    return history.select(*KEYS).filter(F.col("draw_no").between(F.lit(low), F.lit(high)))
+    found = (
+        rows.filter(F.col("draw_no").isNotNull())
+        .groupBy(F.floor(F.col("draw_no") / STRETCH).cast("bigint").alias("stretch"))
+        .agg(F.min("draw_no").alias("low"), F.max("draw_no").alias("high"))
+        .orderBy("stretch")
+        .limit(MOST_LISTED + 1)
+        .collect()
+    )
+    keys = history.select(*KEYS)
+    if not found:
+        return keys.filter(F.lit(False))
+    if len(found) > MOST_LISTED:
+        low, high = rows.agg(F.min("draw_no"), F.max("draw_no")).first()
+        return keys.filter(F.col("draw_no").between(F.lit(low), F.lit(high)))
+    spans = merged_spans([(r.low, r.high) for r in found], MOST_STRETCHES)
+    return keys.filter(reduce(or_, [F.col("draw_no").between(F.lit(low), F.lit(high)) for low, high in spans]))
+
+
+def merged_spans(spans: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Ordered spans joined over their smallest gaps until at most ``most`` are left; adjoining stretches join anyway."""
+    gaps = [b[0] - a[1] for a, b in zip(spans, spans[1:])]
+    least = sorted(gaps, reverse=True)[most - 2] if len(gaps) >= most else 0
+    out = [spans[0]]
+    for gap, span in zip(gaps, spans[1:]):
+        if gap <= STRETCH or gap < least or len(out) == most:
+            out[-1] = (out[-1][0], span[1])
+        else:
+            out.append(span)
+    return out
 
 
 def existing_keys(history: DataFrame, rows: DataFrame) -> DataFrame:
@@ -102,6 +139,19 @@ def existing_keys(history: DataFrame, rows: DataFrame) -> DataFrame:
     return history.select(*KEYS).join(keys, KEYS, "left_semi")
 
 
+def indexed_keys(index_rows: DataFrame, rows: DataFrame) -> DataFrame:
+    """The same from the bitmap index of the history (``known.lookup``), which is all that is read of it."""
+    keys = rows.filter(F.col("draw_no").isNotNull()).select(*KEYS).distinct()
+    return mark_known(keys, index_rows).filter("known").drop("known")
+
+
+def indexed_new_rows(index_rows: DataFrame, rows: DataFrame, *, dedupe: bool = True) -> DataFrame:
+    """Numbered rows whose key the bitmap index of the history lacks; copies as in ``new_rows``."""
+    numbered = rows.filter(F.col("draw_no").isNotNull())
+    candidates = one_per_key(numbered, KEYS) if dedupe else numbered
+    return mark_known(candidates, index_rows).filter(~F.col("known")).drop("known")
+
+
 def new_rows(history: DataFrame, rows: DataFrame, *, dedupe: bool = True) -> DataFrame:
     """Numbered rows whose key is not in the history: one anti join, nothing runs while it is planned.
 

@@ -17,8 +17,8 @@ from drawlake.operators.rank import one_per_key
 from drawlake.operators.validate import parse_date
 from drawlake.plans.predict import prediction_runs, run_digest
 from drawlake.sources.audit import append_audit, audit_rows
-from drawlake.sources.history import KEYS, batch_latest_row, import_metrics
-from drawlake.sources.known import index_of, known_numbers, lookup, mark_known
+from drawlake.sources.history import batch_latest_row, import_metrics, indexed_new_rows
+from drawlake.sources.known import index_of, known_numbers, lookup
 from drawlake.sources.messages import split_messages
 from drawlake.sources.segments import SegmentedTable
 from drawlake.streaming.batches import batch_folder
@@ -71,9 +71,7 @@ def import_stream(
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         target.merge(before=batch_id)
         index.merge(before=batch_id + 1)
-        once = one_per_key(batch.filter(F.col("draw_no").isNotNull()), KEYS)
-        marked = mark_known(once, lookup(index, batch, before=batch_id + 1))
-        fresh = marked.filter(~F.col("known")).select(*batch.columns)
+        fresh = indexed_new_rows(lookup(index, batch, before=batch_id + 1), batch).select(*batch.columns)
         inserted = target.write(fresh, batch_id)
         index.write(index_of(inserted), batch_id + 1)
         done = (
