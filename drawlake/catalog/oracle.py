@@ -759,3 +759,54 @@ FROM predicted GROUP BY ALL
 UNION ALL
 SELECT execution_id || '-x', 'mini', draw_no, ('0x' || substr(md5(execution_id || '-x'), 1, 7))::BIGINT, '', 'FAILED', 1
 FROM requests WHERE draw_no % 50 = 0""")
+
+
+_ODD = """
+turns AS (SELECT event_id AS i, event_id // 5 % 9 AS place, event_id // 45 % 9 AS flag, event_id % 19 AS bad,
+  'o/' || event_id AS path FROM events),
+odd AS (
+  SELECT *, CASE WHEN i % 13 = 0 THEN 'mini' WHEN i % 2 = 0 THEN 'loto6' ELSE 'loto7' END AS kind,
+    ['true', 'false', '"yes"', '""', '0', '1', '"false"', 'null'][flag] AS flag_text
+  FROM turns),
+told AS (
+  SELECT *, '{' || concat_ws(',', '"draw_no":' || (i + 1), CASE WHEN i % 5 > 0 THEN '"execution_id":"e' || i || '"' END,
+      CASE WHEN place IN (1, 2, 3, 4, 6) THEN '"gcs_bucket":"box"' END,
+      CASE WHEN place IN (1, 5) THEN '"gcs_object":"' || path || '"' END,
+      CASE WHEN place = 2 THEN '"gcs_path":"' || path || '"' END,
+      CASE place WHEN 0 THEN '"gcs_uri":"gs://raw/' || path || '"' WHEN 6 THEN '"gcs_uri":" "' WHEN 7 THEN '"gcs_uri":"http://raw/' || path || '"' END,
+      '"lottery_type":"' || CASE kind WHEN 'loto6' THEN ' LOTO6 ' ELSE kind END || '"',
+      CASE WHEN place IN (4, 6) THEN '"name":"' || path || '"' END,
+      '"notify":' || flag_text,
+      CASE WHEN place = 3 THEN '"object":"' || path || '"' END) || '}' AS body,
+    CASE WHEN place = 0 THEN 'raw' WHEN place IN (1, 2, 3, 4, 6) THEN 'box' WHEN place = 5 THEN 'spare' END AS bucket,
+    CASE WHEN bad IN (0) THEN 'invalid_json' WHEN bad IN (1, 4) THEN 'not_object' WHEN bad IN (2, 5) THEN 'empty_data'
+      WHEN bad IN (3, 6) THEN 'invalid_data' WHEN kind = 'mini' THEN 'unsupported_type'
+      WHEN place = 8 THEN 'missing_uri' WHEN place = 7 THEN 'invalid_uri' END AS reason
+  FROM odd)"""
+register("message_forms", _ODD, select="""
+SELECT i AS event_id, CASE WHEN i % 5 > 0 THEN 'e' || i ELSE sha256(body) END AS execution_id, kind AS lottery_type,
+  'gs://' || bucket || '/' || path AS gcs_uri, bucket, path AS object, i + 1 AS draw_no,
+  CASE WHEN flag IN (0, 1, 3, 6, 7) THEN 1 ELSE 0 END AS notify
+FROM told WHERE reason IS NULL""")
+register("dead_letter_reasons", _ODD, select="SELECT i AS event_id, reason FROM told WHERE reason IS NOT NULL")
+register("prediction_requests", _ODD, select="""
+SELECT kind AS lottery_type, CASE WHEN flag IN (1, 3, 6, 7) THEN 1 ELSE 0 END AS notify, count(*) AS row_count
+FROM told WHERE bad > 6 AND kind <> 'mini' GROUP BY ALL""")
+_REQUESTS = """
+asked AS (
+  SELECT o_orderkey AS k, CASE WHEN k % 23 = 0 THEN 'mini' WHEN k % 2 = 0 THEN 'loto6' ELSE 'loto7' END AS lottery_type,
+    CASE WHEN k % 29 = 1 THEN [] WHEN k % 29 = 2 THEN [-1] ELSE [k % 5 * 10 + 10, k % 3 * 10 + 10, 20] END AS limits,
+    k % 4 AS seed_from, CASE WHEN k % 31 = 3 THEN k % 4 - 2 ELSE k % 4 + k % 3 END AS seed_to,
+    CASE WHEN k % 37 = 4 THEN 0 WHEN k % 37 = 5 THEN 7000000 ELSE k % 2 + 5 END AS ticket_count
+  FROM orders),
+judged_requests AS (
+  SELECT *, concat_ws(',', CASE WHEN lottery_type = 'mini' THEN 'pool' END, CASE WHEN k % 29 IN (1, 2) THEN 'limits' END,
+    CASE WHEN seed_to < seed_from THEN 'seeds' END, CASE WHEN ticket_count <= 0 THEN 'count' END,
+    CASE WHEN ticket_count > CASE lottery_type WHEN 'loto6' THEN 6096454 WHEN 'loto7' THEN 10295472 END THEN 'combinations' END) AS errors
+  FROM asked)"""
+register("request_errors", _REQUESTS, select="SELECT k AS request_id, errors FROM judged_requests WHERE errors <> ''")
+register("requested_grid", _REQUESTS, select="""
+SELECT lottery_type, history_limit, seed, ticket_count, count(*) AS requests
+FROM (SELECT lottery_type, ticket_count, unnest(list_distinct(limits)) AS history_limit, seed_from, seed_to FROM judged_requests WHERE errors = ''),
+  unnest(range(seed_from, seed_to + 1)) AS seeds(seed)
+GROUP BY ALL""")

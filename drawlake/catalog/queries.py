@@ -11,7 +11,7 @@ from drawlake.functions.arrays import distinct_numbers
 from drawlake.functions.rounding import round6
 from drawlake.operators import match, project, scores, tickets, validate, weights
 from drawlake.operators.rank import latest_per_series, one_per_key, rank_draws
-from drawlake.plans import backtest, predict, reports, tune
+from drawlake.plans import backtest, grid, predict, reports, tune
 from drawlake.session import scratch_path
 from drawlake.sources import audit, files, history, known, messages, pages
 from drawlake.spec import BONUS_COLUMNS, MAIN_COLUMNS
@@ -478,6 +478,19 @@ def near_miss(spark, sf):
     return judged.groupBy("lottery_type", "near_miss_score").agg(F.count(F.lit(1)).alias("tickets"))
 
 
+@query
+def request_errors(spark, sf):
+    """Requests whose parameters no run may have, and why."""
+    checked = grid.checked_requests(fixtures.grid_requests(spark, sf)).filter(F.size("errors") > 0)
+    return checked.select("request_id", "errors")
+
+
+@query
+def requested_grid(spark, sf):
+    """Distinct grid points of all usable requests."""
+    return grid.requested_grid(fixtures.grid_requests(spark, sf))
+
+
 @query
 def backtest_runs(spark, sf):
     best = backtest.best_of_runs(_grid(spark, sf))
@@ -674,6 +687,26 @@ def dead_letters(spark, sf):
     return bad.select("event_id", "reason")
 
 
+@query
+def message_forms(spark, sf):
+    """Messages that name file, flag and execution in every accepted way."""
+    good, _ = messages.split_messages(fixtures.odd_messages(spark, sf), default_bucket="spare")
+    return good.select("event_id", "execution_id", "lottery_type", "gcs_uri", "bucket", "object", "draw_no", "notify")
+
+
+@query
+def dead_letter_reasons(spark, sf):
+    _, bad = messages.split_messages(fixtures.odd_messages(spark, sf), default_bucket="spare")
+    return bad.select("event_id", "reason")
+
+
+@query
+def prediction_requests(spark, sf):
+    """The same messages at the prediction stage, which needs no file; the flag counts as set where it is missing."""
+    good, _ = messages.split_messages(fixtures.odd_messages(spark, sf), need_uri=False, notify_default=False)
+    return good.groupBy("lottery_type", "notify").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def _landed(spark, frame, label, parts=None):
     """Rows as landed files: as they are partitioned, or dealt out anew."""
     path = scratch_path(spark, label)

@@ -152,6 +152,59 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def odd_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message per event: every accepted way to name a file, a flag and an execution, every kind of dead letter."""
+    i = F.col("event_id")
+    turn = lambda step, of: F.floor(i / step).cast("bigint") % of
+    text = lambda name, value: F.concat(F.lit(f'"{name}":"'), value, F.lit('"'))
+    place, path = turn(5, 9), F.concat(F.lit("o/"), i)
+    flags = ["true", "false", '"yes"', '""', "0", "1", '"false"', "null"]
+    flag = turn(45, 9)
+    notify = F.when(flag > 0, F.concat(F.lit('"notify":'), F.element_at(F.array(*map(F.lit, flags)), flag.cast("int"))))
+    kind = F.when(i % 13 == 0, "mini").when(i % 2 == 0, " LOTO6 ").otherwise("loto7")
+    # Keys in alphabetical order, as a parsed message is written again.
+    parts = [
+        F.concat(F.lit('"draw_no":'), i + 1),
+        F.when(i % 5 > 0, text("execution_id", F.concat(F.lit("e"), i))),
+        F.when(place.isin(1, 2, 3, 4, 6), text("gcs_bucket", F.lit("box"))),
+        F.when(place.isin(1, 5), text("gcs_object", path)),
+        F.when(place == 2, text("gcs_path", path)),
+        F.when(place == 0, text("gcs_uri", F.concat(F.lit("gs://raw/"), path)))
+        .when(place == 6, text("gcs_uri", F.lit(" ")))
+        .when(place == 7, text("gcs_uri", F.concat(F.lit("http://raw/"), path))),
+        text("lottery_type", kind),
+        F.when(place.isin(4, 6), text("name", path)),
+        notify,
+        F.when(place == 3, text("object", path)),
+    ]
+    body = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    # Base64 breaks lines, which a JSON text may not hold.
+    packed = F.regexp_replace(F.base64(body.cast("binary")), r"\s", "")
+    broken = ['{"x": ', "[1]", '{"data":""}', '{"data":"###"}', '{"data":"WzFd"}', '{"message":{}}', '{"data":"eHl6"}']
+    bad, wrap = i % 19, turn(7, 3)
+    value = (
+        F.when(bad < len(broken), F.element_at(F.array(*map(F.lit, broken)), (bad + 1).cast("int")))
+        .when(wrap == 0, body)
+        .when(wrap == 1, F.concat(F.lit('{"message":{"data":"'), packed, F.lit('"}}')))
+        .otherwise(F.concat(F.lit('{"data":"'), packed, F.lit('"}')))
+    )
+    return table(spark, sf_dir, "events").select("event_id", value.cast("binary").alias("value"))
+
+
+def grid_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One request for a backtest per order; some with parameters out of range."""
+    key = F.col("o_orderkey")
+    limits = F.array(key % 5 * 10 + 10, key % 3 * 10 + 10, F.lit(20).cast("bigint"))
+    return table(spark, sf_dir, "orders").select(
+        key.alias("request_id"),
+        F.when(key % 23 == 0, "mini").when(key % 2 == 0, " LOTO6").otherwise("loto7").alias("lottery_type"),
+        F.when(key % 29 == 1, F.array().cast("array<bigint>")).when(key % 29 == 2, F.array(F.lit(-1).cast("bigint"))).otherwise(limits).alias("limits"),
+        (key % 4).alias("seed_from"),
+        F.when(key % 31 == 3, key % 4 - 2).otherwise(key % 4 + key % 3).alias("seed_to"),
+        F.when(key % 37 == 4, F.lit(0)).when(key % 37 == 5, F.lit(7_000_000)).otherwise(key % 2 + 5).cast("bigint").alias("ticket_count"),
+    )
+
+
 def redelivered(sent: DataFrame) -> DataFrame:
     """Messages with copies: some a few minutes later, some weeks later, on the other side of any border in between."""
     late = F.when(F.col("event_id") % 11 == 3, F.expr("INTERVAL 35 DAYS")).when(

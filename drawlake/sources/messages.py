@@ -91,9 +91,10 @@ def resolve(decoded: DataFrame, *, default_bucket: str | None = None, notify_def
         _flag_type=F.schema_of_variant(F.try_variant_get(payload, "$.notify", "variant")),
     )
     flag = F.col("_flag")
-    # A text flag is true unless empty; a boolean or number counts by value.
+    # A text flag is true unless empty; a boolean or number counts by value; a null that is there is false.
     notify = (
-        F.when(flag.isNull(), F.lit(notify_default))
+        F.when(F.col("_flag_type") == "VOID", F.lit(False))
+        .when(flag.isNull(), F.lit(notify_default))
         .when(F.col("_flag_type") == "STRING", flag != "")
         .otherwise(~flag.isin("false", "0", "0.0"))
     )
