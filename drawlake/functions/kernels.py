@@ -132,6 +132,40 @@ def ticket_weights(weights: np.ndarray, index: np.ndarray, usage: np.ndarray) ->
     return np.where(index[:, None] <= 0, weights, reduced)
 
 
+# Bits of a number set; the run stands above them in a key.
+SET_BITS = MAX_NUMBER + 1
+
+
+class NumberSets:
+    """Number sets of the runs of a batch, for lookups by binary search.
+
+    Sorted arrays of (run, set) keys whose sizes at least double from the last to the
+    first: a new array merges with those that are not larger, like the carry of a counter.
+    """
+
+    def __init__(self) -> None:
+        self.levels: list[np.ndarray] = []
+
+    @staticmethod
+    def keys(runs: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        return runs.astype(np.int64) << np.int64(SET_BITS) | masks
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(keys), bool)
+        for level in self.levels:
+            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            found |= level[at] == keys
+        return found
+
+    def add(self, keys: np.ndarray) -> None:
+        if not len(keys):
+            return
+        keys = np.sort(keys)
+        while self.levels and len(self.levels[-1]) <= len(keys):
+            keys = np.sort(np.concatenate([self.levels.pop(), keys]), kind="stable")
+        self.levels.append(keys)
+
+
 class TicketBook:
     """Accepted tickets of a batch of runs; refuses a number set a run already has or must not get.
 
@@ -141,10 +175,11 @@ class TicketBook:
     def __init__(
         self, runs: int, count: int, pick: int, width: int, taken: list[list[int] | None] | None = None
     ) -> None:
-        most = max((len(t or ()) for t in taken or ()), default=0)
-        self.taken = np.zeros((runs, most), np.int64)
+        self.sets = NumberSets()
         for row, masks in enumerate(taken or ()):
-            self.taken[row, : len(masks or ())] = masks or ()
+            # Sets with other bits than the pool's can't be drawn.
+            fits = np.array([m for m in masks or () if m is not None and 0 <= m < 1 << SET_BITS], np.int64)
+            self.sets.add(NumberSets.keys(np.full(len(fits), row), fits))
         self.numbers = np.zeros((runs, count, pick), np.int32)
         self.masks = np.zeros((runs, count), np.int64)
         self.found = np.zeros(runs, np.int64)
@@ -157,7 +192,9 @@ class TicketBook:
     def add(self, runs: np.ndarray, columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Offer one ticket per run, to be shown in order of ``weights``; True where accepted."""
         masks = number_masks(columns)
-        new = ~(self.masks[runs] == masks[:, None]).any(axis=1) & ~(self.taken[runs] == masks[:, None]).any(axis=1)
+        keys = NumberSets.keys(runs, masks)
+        new = ~self.sets.has(keys)
+        self.sets.add(keys[new])
         rows, chosen = runs[new], columns[new]
         slot = self.found[rows]
         self.numbers[rows, slot] = in_weight_order(chosen, weights[new]) + 1

@@ -171,6 +171,16 @@ def pool_names(column: pa.Array) -> np.ndarray:
     return np.array([str(v or "").strip().lower() for v in column.to_pylist()], dtype=object)
 
 
+# Tickets that the books of one slice of runs hold, some forty bytes each.
+SLICE_TICKETS = 1 << 20
+
+
+def _slices(rows: np.ndarray, count: int) -> list[np.ndarray]:
+    """Rows in parts whose tickets are bounded together; a run is one part at least."""
+    most = max(1, SLICE_TICKETS // count)
+    return [rows[at : at + most] for at in range(0, len(rows), most)]
+
+
 def _ticket_batches(
     kept: list[str], count: int, strategy: str, exclude_col: str | None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -193,18 +203,16 @@ def _ticket_batches(
                     (known & has_main & (types == "loto7") & ~has_bonus, NO_BONUS),
                 ]
             for chosen, message in refused:
-                if chosen.any():
-                    part = batch.take(pa.array(np.flatnonzero(chosen)))
+                for rows in _slices(np.flatnonzero(chosen), count):
+                    part = batch.take(pa.array(rows))
                     empty = K.TicketBook(part.num_rows, count, 1, 1)
                     yield pa.RecordBatch.from_arrays([*[part[c] for c in kept], *_book_columns(empty, message)], names=names)
             for name, pool in POOLS.items():
                 of_pool = (types == name) & has_main
                 profiled = of_pool & has_bonus & (name == "loto7") & (strategy != "default")
                 plain = of_pool & ~profiled & (strategy != "second_prize_oriented")
-                for chosen, by_profile in ((profiled, True), (plain, False)):
-                    rows = np.flatnonzero(chosen)
-                    if not len(rows):
-                        continue
+                kinds = ((profiled, True), (plain, False))
+                for rows, by_profile in ((r, b) for chosen, b in kinds for r in _slices(np.flatnonzero(chosen), count)):
                     part = batch.take(pa.array(rows))
                     seeds = part["seed"].to_numpy()
                     taken = part[exclude_col].to_pylist() if exclude_col else None

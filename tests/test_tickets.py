@@ -187,3 +187,60 @@ def test_last_score_of_a_number_counts(spark):
     last = {r.number: r.scaled for r in pool_scores(frame, ["series"], order_col="seen").collect()}
     assert (last[3], last[5]) == (0.5, 1.0)
     assert {r.number: r.scaled for r in pool_scores(frame, ["series"]).collect()}[3] == 1.0
+
+
+def test_number_sets_equal_python_sets():
+    from drawlake.functions.kernels import SET_BITS, NumberSets
+
+    rng, sets, have = np.random.default_rng(3), NumberSets(), set()
+    for _ in range(200):
+        runs = rng.integers(0, 5, 9)
+        keys = np.unique(NumberSets.keys(runs, rng.integers(0, 300, 9)))
+        want = np.array([k in have for k in keys.tolist()])
+        assert (sets.has(keys) == want).all()
+        sets.add(keys[~want])
+        have |= set(keys.tolist())
+    sizes = [len(level) for level in sets.levels]
+    assert sum(sizes) == len(have) and all(a > b for a, b in zip(sizes, sizes[1:]))
+    top = NumberSets.keys(np.array([1 << 18]), np.array([(1 << SET_BITS) - 1]))
+    assert top[0] > 0 and not sets.has(top)[0] and not NumberSets().has(top)[0]
+
+
+def test_slices_do_not_change_tickets(spark, monkeypatch):
+    from drawlake.operators import tickets
+
+    scores = [[float((7 * n + k) % 11) for n in range(43)] for k in range(6)]
+    kinds = ["loto6", "loto7", "loto7", "mini", None, "loto6"]
+    rows = [(k, kind, 10 + k, s, s if k % 2 else None, [] if k else None) for k, (kind, s) in enumerate(zip(kinds, scores))]
+    runs = spark.createDataFrame(
+        rows, "k int, lottery_type string, seed bigint, main_scores array<double>, bonus_scores array<double>, ex array<bigint>"
+    ).coalesce(1)
+    made = lambda: sorted(map(str, tickets.generate_tickets(runs, count=30, exclude_col="ex").collect()))
+    whole = made()
+    monkeypatch.setattr(tickets, "SLICE_TICKETS", 60)
+    assert made() == whole and len(whole) == 6
+
+
+def test_ten_thousand_tickets_a_run_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from drawlake.operators import tickets
+
+    runs = 250
+    scores = [[float((7 * n + k) % 11) for n in range(43)] for k in range(runs)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(["loto6"] * runs), pa.array(range(runs), pa.int64()), pa.array(scores)], names=["lottery_type", "seed", "main_scores"]
+    )
+    make = tickets._ticket_batches(["lottery_type"], 10_000, "default", None)
+    tracemalloc.start()
+    slices = 0
+    for out in make(iter([batch])):
+        assert out["tickets"].value_lengths().to_pylist() == [10_000] * out.num_rows
+        assert all(len(set(m)) == 10_000 for m in out["ticket_masks"].to_pylist())
+        slices += 1
+        break
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert slices == 1 and out.num_rows == 104 and peak < 400 << 20
