@@ -229,8 +229,9 @@ def _rendered_rows(d: DataFrame) -> DataFrame:
         "draw_no",
         F.date_format("draw_date", "yyyyMM").alias("month"),
         F.floor(F.col("draw_no") / PAGE_BLOCK).cast("bigint").alias("block"),
-        # Some labels are written as character references.
+        # Some labels are written as character references, with and without their semicolon.
         F.when(F.col("draw_no") % 7 == 1, F.concat(F.lit("&#31532;"), label, F.lit("&#x56DE;")))
+        .when(F.col("draw_no") % 7 == 2, F.concat(F.lit("第"), label, F.lit("&#x56DE")))
         .otherwise(F.concat(F.lit("第"), label, F.lit("回")))
         .alias("label"),
         F.date_format("draw_date", "yyyy/MM/dd").alias("day"),
@@ -286,7 +287,7 @@ def result_pages(spark: SparkSession, sf_dir: str, *, provisional: bool = False)
     """
     rows = _rendered_rows(draws(spark, sf_dir))
     cells = lambda main: F.concat(
-        F.lit("<tr><td>"), "label", F.when(F.col("draw_no") % 11 == 0, "&nbsp;").otherwise(" "), "day",
+        F.lit("<tr><td>"), "label", F.when(F.col("draw_no") % 11 == 0, "&nbsp;").when(F.col("draw_no") % 11 == 5, "&nbsp").otherwise(" "), "day",
         F.lit("</td><td>"), main, F.lit("</td><td>"), "bonus",
         # Closing tags of cells and rows are optional.
         F.when(F.col("draw_no") % 4 == 2, "").otherwise("</td></tr>"),

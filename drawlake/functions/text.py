@@ -22,9 +22,14 @@ def ascii_digits(text: Column) -> Column:
 
 # Names of character references with their text, from the standard library's HTML table.
 NAMED = {name[:-1]: text for name, text in html5.items() if name.endswith(";")}
+# Those that also hold without a semicolon, as the beginning of a longer word too.
+LENIENT = {name: text for name, text in html5.items() if not name.endswith(";")}
+# Looked for before the whole table, which is searched from its start.
+USUAL = ("nbsp", "amp", "lt", "gt", "quot", "apos")
 # References to the C1 range mean the Windows letters at these places.
 WINDOWS = {f"{b:X}": bytes([b]).decode("cp1252", "replace") for b in range(0x80, 0xA0)}
-REFERENCE = r"^(?:#(\d+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*));"
+REFERENCE = r"^(?:#(\d+)|#[xX]([0-9a-fA-F]+)|([A-Za-z][A-Za-z0-9]*)(?=;));?"
+WORD = r"^[A-Za-z][A-Za-z0-9]*"
 
 
 def _table(texts: dict[str, str]) -> Column:
@@ -33,10 +38,12 @@ def _table(texts: dict[str, str]) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """HTML character references that end in a semicolon: names, decimal and hexadecimal forms.
+    """HTML character references as browsers take them: names, decimal and hexadecimal forms.
 
-    Each is read once, so an escaped reference stays text. Numbers beyond Unicode,
-    surrogates and zero become the replacement character; unknown names stay.
+    Numbers need no semicolon, and neither do the old names: of a word that is no name
+    the longest beginning that is one of these counts. Each reference is read once, so
+    an escaped one stays text. Numbers beyond Unicode, surrogates and zero become the
+    replacement character; unknown names stay.
     """
 
     def code_point(digits: Column) -> Column:
@@ -47,16 +54,28 @@ def unescape(text: Column) -> Column:
         plain = F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")
         return F.when(real, F.coalesce(F.try_element_at(_table(WINDOWS), digits), plain)).otherwise("\ufffd")
 
+    def named(name: Column) -> Column:
+        usual = F.when(name == USUAL[0], F.lit(NAMED[USUAL[0]]))
+        for known in USUAL[1:]:
+            usual = usual.when(name == known, F.lit(NAMED[known]))
+        return usual.otherwise(F.try_element_at(_table(NAMED), name))
+
+    def lenient(p: Column) -> Column:
+        word = F.regexp_extract(p, WORD, 0)
+        sizes = sorted({len(n) for n in LENIENT}, reverse=True)
+        found = [F.concat(F.try_element_at(_table(LENIENT), F.substring(p, 1, n)), F.substr(p, F.lit(n + 1))) for n in sizes]
+        return F.coalesce(*[F.when(F.length(word) >= n, f) for n, f in zip(sizes, found)])
+
     def piece(p: Column) -> Column:
         decimal, hexadecimal, name = (F.regexp_extract(p, REFERENCE, g) for g in (1, 2, 3))
         number = F.when(F.length(F.ltrim(decimal, F.lit("0"))) <= 7, F.conv(decimal, 10, 16)).otherwise("FFFFFFF")
         read = (
             F.when(decimal != "", code_point(number))
             .when(hexadecimal != "", code_point(hexadecimal))
-            .when(name != "", F.try_element_at(_table(NAMED), name))
+            .when(name != "", named(name))
         )
         rest = F.regexp_replace(p, REFERENCE, "")
-        return F.coalesce(F.concat(read, rest), F.concat(F.lit("&"), p))
+        return F.coalesce(F.concat(read, rest), lenient(p), F.concat(F.lit("&"), p))
 
     pieces = F.split(text, "&")
     decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), piece), ""))

@@ -124,3 +124,16 @@ def test_character_references(spark):
     }
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert [r[0] for r in df.select(unescape(F.col("t"))).collect()] == list(cases.values())
+
+
+def test_references_without_semicolons_equal_the_standard_library(spark):
+    import html
+    import random
+
+    pick = random.Random(2)
+    parts = ["&nbsp", "&nbsp;", "&amp", "&ampx;", "&notit;", "&notin;", "&no", "&#31532", "&#31532;1", "&#x56DE ", "&#X41z", "&#65 ", "&eacute", "&lt&gt",
+             "&AMPB", "&copy2", "& ", "&;", "&#;", "&unknown", "&unknown;", "&sup2x", "&frac12", "x", "1996/01/02", ";", "é", "&acE;", "&#128"]
+    cases = parts + ["".join(pick.choice(parts) for _ in range(6)) for _ in range(300)]
+    df = spark.createDataFrame([(c,) for c in cases], "t string")
+    got = [r[0] for r in df.select(unescape(F.col("t"))).collect()]
+    assert got == [html.unescape(c) for c in cases]
