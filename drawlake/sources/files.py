@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, DataFrameReader, Observation, SparkSession, functions as F, types as T
 
 from drawlake.operators.project import to_wide
 from drawlake.sources.history import existing_keys
@@ -36,34 +37,59 @@ HISTORY_SCHEMA = T.StructType(
 )
 
 
-def _read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """All columns as text, no type inference pass.
-
-    The header of one file fixes the column order; a file with another order
-    fails instead of being read into the wrong columns. Quoted cells may hold
-    line breaks, so files are not split: exports of many files read in parallel.
-    """
-    reader = (
+def _csv_reader(spark: SparkSession, whole: bool) -> DataFrameReader:
+    return (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", whole)
         .option("nullValue", NULL_MARKER)
         .option("escape", '"')
         .option("enforceSchema", False)
     )
-    return reader.schema(reader.csv(path).schema).csv(path)
 
 
-def _by_header(spark: SparkSession, path: str) -> list[DataFrame]:
-    """The files of a folder in groups of equal header lines, each read by its own header.
+def _files_of(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per file: its header line, and whether a quoted cell goes on in the next line.
 
-    Costs a pass over the text; what reaches the driver is a line per file, like its listing.
+    That is so exactly if some line has an odd number of quotes. One pass over the text,
+    with as many tasks as it has splits; lines combine to files before the shuffle.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"), "value"
     )
-    heads = lines.groupBy("file").agg(F.min_by("value", "line").alias("head"))
-    groups = heads.groupBy("head").agg(F.collect_list("file").alias("files")).collect()
-    return [_read_text_columns(spark, g.files) for g in groups]
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return lines.groupBy("file").agg(
+        F.min_by("value", "line").alias("head"), F.max(quotes % 2 == 1).alias("broken")
+    )
+
+
+def _read_text_columns(
+    spark: SparkSession, path: str | list[str], broken: bool | None = None, file_col: str | None = None
+) -> DataFrame:
+    """All columns as text, no type inference pass; ``file_col`` adds the name of a row's file.
+
+    The header of one file fixes the column order; a file with another order
+    fails instead of being read into the wrong columns. Only files with line breaks
+    inside quoted cells are read whole, each by one task; all others are split.
+    """
+    groups = {broken: path}
+    if broken is None:
+        # A path per file reaches the driver, like its listing.
+        found = _files_of(spark, path).groupBy("broken").agg(F.collect_list("file").alias("files")).collect()
+        # Without a mixture the path is read as it was given.
+        groups = {g.broken: [unquote(f) for f in g.files] for g in found} if len(found) > 1 else {
+            found[0].broken if found else True: path
+        }
+    schema = _csv_reader(spark, True).csv(path).schema
+    parts = [_csv_reader(spark, whole).schema(schema).csv(files) for whole, files in groups.items()]
+    if file_col:
+        parts = [p.withColumn(file_col, F.col("_metadata.file_name")) for p in parts]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _by_header(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The files of a folder in groups of equal header lines, each read by its own header."""
+    groups = _files_of(spark, path).groupBy("head", "broken").agg(F.collect_list("file").alias("files")).collect()
+    return [_read_text_columns(spark, [unquote(f) for f in g.files], g.broken) for g in groups]
 
 
 def _typed(columns: DataFrame) -> DataFrame:
@@ -94,7 +120,7 @@ def read_canonical_csv(spark: SparkSession, path: str, *, mixed_headers: bool =
 def read_legacy_csv(spark: SparkSession, path: str, lottery_type: str) -> DataFrame:
     """Older exports renamed to the canonical columns, with the source file name."""
     kind = check_pool(lottery_type)
-    raw = _read_text_columns(spark, path)
+    raw = _read_text_columns(spark, path, file_col="source_file_name")
     names = {old: new for old, new in LEGACY_NAMES.items() if old in raw.columns}
     renamed = raw.withColumnsRenamed(names)
     needed = ["draw_no", "draw_date", *MAIN_COLUMNS[: 6 if kind == "loto6" else 7]]
@@ -105,12 +131,11 @@ def read_legacy_csv(spark: SparkSession, path: str, lottery_type: str) -> DataFr
         if column not in renamed.columns:
             value = F.lit(kind) if column == "lottery_type" else F.lit(None).cast("string")
             renamed = renamed.withColumn(column, value)
-    named = renamed.withColumn("source_file_name", F.col("_metadata.file_name"))
     typed = {
         c: F.nullif(F.col(c), F.lit("")).cast("bigint" if c == "draw_no" else "int")
         for c in INT_COLUMNS
     }
-    return named.withColumns(typed).select(*CSV_COLUMNS, "source_file_name")
+    return renamed.withColumns(typed).select(*CSV_COLUMNS, "source_file_name")
 
 
 def write_canonical_csv(draws: DataFrame, path: str, *, mode: str = "errorifexists") -> None:

@@ -144,3 +144,36 @@ def test_every_row_is_usable_or_has_a_reason(spark, small):
     usable, rest = project.normalise_rows(wide)
     assert usable.count() + rest.count() == wide.count()
     assert {r.reason for r in rest.select("reason").distinct().collect()} == {"unknown_pool", "no_draw_no"}
+
+
+def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
+    folder = tmp_path / "in put"
+    folder.mkdir()
+    head, line = ",".join(files.CSV_COLUMNS), "loto6,{},2026-01-02,1,2,3,4,5,6,,9,,{}"
+    plain = [line.format(k, f"u{k}" if k % 2 else f'"say ""{k}"", twice"') for k in range(20_000)]
+    (folder / "plain.csv").write_text("\n".join([head, *plain]) + "\n")
+    broken = [line.format(100_000 + k, f'"two\nlines, {k} ""x"""') for k in range(50)]
+    (folder / "broken.csv").write_text("\n".join([head, *broken]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    try:
+        only = files.read_canonical_csv(spark, str(folder / "plain.csv"))
+        assert only.rdd.getNumPartitions() > 8
+        for mixed in (False, True):
+            rows = {r.draw_no: r.source_url for r in files.read_canonical_csv(spark, str(folder), mixed_headers=mixed).collect()}
+            assert len(rows) == 20_050 and rows[100_007] == 'two\nlines, 7 "x"'
+            assert rows[4] == 'say "4", twice' and rows[5] == "u5"
+        both = files.read_canonical_csv(spark, str(folder))
+        assert both.rdd.getNumPartitions() >= only.rdd.getNumPartitions() + 1
+        alone = files.read_canonical_csv(spark, str(folder / "broken.csv"))
+        assert alone.count() == 50 and alone.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_legacy_files_keep_their_names_in_a_mixture(spark, tmp_path):
+    head = "draw_number,draw_date,number1,number2,number3,number4,number5,number6,bonus_number,source"
+    (tmp_path / "a.csv").write_text(head + "\n1,2029-08-10,1,2,3,4,5,6,7,x\n")
+    (tmp_path / "b.csv").write_text(head + '\n2,2029-08-11,1,2,3,4,5,6,7,"y\nz"\n')
+    rows = {r.draw_no: (r.source_file_name, r.source_url) for r in files.read_legacy_csv(spark, str(tmp_path), "loto6").collect()}
+    assert rows == {1: ("a.csv", "x"), 2: ("b.csv", "y\nz")}
