@@ -141,6 +141,10 @@ FROM ranked WHERE n - rk < 100""")
 register("latest_n_beyond_group_limit", D, RANKED, select="""
 SELECT series, draw_no, n - rk AS draw_idx, least(n, 1500) AS series_size, least(n, 1500) - (n - rk) AS rk FROM ranked WHERE n - rk < 1500""")
 register("draw_positions", D, RANKED, select="SELECT series, draw_no, rk, n - rk AS draw_idx, n AS series_size FROM ranked")
+register("draw_positions_sparse", D, select="""
+SELECT series, h AS draw_no, row_number() OVER s AS rk, count(*) OVER (PARTITION BY series) - row_number() OVER s AS draw_idx,
+  count(*) OVER (PARTITION BY series) AS series_size
+FROM (SELECT series, draw_no * 2654435761 % 4294967296 * 1048576 AS h FROM d) WINDOW s AS (PARTITION BY series ORDER BY h)""")
 register("draw_validation_errors", D, FAULTY, select="SELECT draw_no, lottery_type, errors FROM checked")
 register("valid_draws", D, FAULTY, select=f"SELECT draw_no, lottery_type, draw_date, {_LISTS} FROM checked WHERE errors = ''")
 register("unknown_types", D, FAULTY, select="SELECT draw_no, lottery_type FROM faulty WHERE lottery_type NOT IN ('loto6', 'loto7')")

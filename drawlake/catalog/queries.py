@@ -95,6 +95,14 @@ def draw_positions(spark, sf):
     return d.select("series", "draw_no", "rk", "draw_idx", "series_size")
 
 
+@query
+def draw_positions_sparse(spark, sf):
+    """Positions where draw numbers are hashes: no two of them share a bucket."""
+    hashed = (F.col("draw_no") * 2654435761) % 4294967296 * 1048576
+    d = rank_draws(fixtures.draws(spark, sf).withColumn("draw_no", hashed), SERIES, unique=True, sparse=True)
+    return d.select("series", "draw_no", "rk", "draw_idx", "series_size")
+
+
 @query
 def draw_validation_errors(spark, sf):
     d = validate.with_errors(fixtures.faulty_draws(spark, sf))

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from drawlake.session import written
+
 # A bucket spans this many draw numbers, hence at most this many rows once
 # draw numbers are unique inside a series. Draw numbers are counters, so a
-# bucket is also well filled; raise the span for numbering with wide gaps.
+# bucket is also well filled; numbering with wide gaps is ranked as ``sparse``.
 BUCKET_SPAN = 1 << 18
+# Row number inside a task's part of monotonically_increasing_id.
+ROW_BITS = 33
 
 
 def one_per_key(draws: DataFrame, keys: list[str], newest: str | None = None) -> DataFrame:
@@ -31,6 +35,7 @@ def rank_draws(
     order_col: str = "draw_no",
     unique: bool = False,
     span: int = BUCKET_SPAN,
+    sparse: bool = False,
 ) -> DataFrame:
     """Add ``rk`` (1 = oldest), ``series_size`` and ``draw_idx`` (0 = newest).
 
@@ -40,9 +45,12 @@ def rank_draws(
 
     ``unique`` states that (series, order_col) has no duplicates; otherwise
     copies are removed first. Rows without an order value have no position and
-    are left out.
+    are left out. ``sparse`` is for order values with wide or uneven gaps, hashes
+    for instance, of which fixed buckets would hold a row or so each.
     """
     base = draws if unique else one_per_key(draws, [*series_cols, order_col])
+    if sparse:
+        return _ranked_by_range(base, series_cols, order_col)
     return _ranked(base, series_cols, order_col, span)
 
 
@@ -61,6 +69,35 @@ def _ranked(base: DataFrame, series_cols: list[str], order_col: str, span: int,
     )
 
 
+def _ranked_by_range(base: DataFrame, series_cols: list[str], order_col: str) -> DataFrame:
+    """Positions from sampled splitters: rows are dealt to tasks by range, whatever the values.
+
+    Ranges hold about equal numbers of rows and are sorted where they are. One count per
+    series and range becomes the running offset, so a window spans as many rows as there
+    are tasks. The ranges are written, because both the counts and the rows read them.
+    """
+    order = [*series_cols, order_col]
+    dealt = base.filter(F.col(order_col).isNotNull()).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(dealt.withColumn("_place", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_part", F.shiftright("_place", ROW_BITS))
+    counts = placed.groupBy(*series_cols, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    series = Window.partitionBy(*series_cols)
+    earlier = series.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        *series_cols,
+        "_part",
+        "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_n").over(series).alias("series_size"),
+    )
+    return (
+        placed.join(offsets, [*series_cols, "_part"])
+        .withColumn("rk", F.col("_before") + F.col("_place") - F.col("_first") + 1)
+        .withColumn("draw_idx", F.col("series_size") - F.col("rk"))
+        .drop("_part", "_place", "_first", "_before")
+    )
+
+
 def _bucket_offsets(keys: DataFrame, series_cols: list[str]) -> DataFrame:
     """Rows before each bucket, and rows per series, from one count per bucket.
 

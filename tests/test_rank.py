@@ -53,3 +53,19 @@ def test_latest_per_series_sorts_buckets_only(spark, small):
 def test_rows_without_order_are_left_out(spark):
     rows = spark.createDataFrame([("a", 1), ("a", None)], "series string, draw_no int")
     assert [r.draw_no for r in latest_per_series(rows, ["series"], 5).collect()] == [1]
+
+
+def test_sparse_positions_equal_dense_ones(spark):
+    import random
+
+    pick = random.Random(5)
+    rows = [("s" if pick.random() < 0.7 else "t", pick.choice([pick.randrange(10), pick.randrange(1 << 62)])) for _ in range(800)]
+    rows += [("u", 5), ("u", None), (None, 4), (None, 9)]
+    frame = spark.createDataFrame(rows, "series string, draw_no bigint").repartition(6)
+    got = {(r.series, r.draw_no): (r.rk, r.draw_idx, r.series_size) for r in rank_draws(frame, ["series"], sparse=True).collect() if r.series}
+    want = {}
+    for series in "stu":
+        own = sorted({n for s, n in rows if s == series and n is not None})
+        want |= {(series, n): (k + 1, len(own) - 1 - k, len(own)) for k, n in enumerate(own)}
+    assert got == want
+    assert rank_draws(frame.limit(0), ["series"], sparse=True).count() == 0
