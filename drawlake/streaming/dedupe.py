@@ -90,8 +90,8 @@ class SendOnce(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        # Own time of the message sent, and when to forget it; 0 until that is known.
-        self.sent = handle.getValueState("sent", "at bigint, until bigint")
+        # Own time of the message sent, and when its first timer fires.
+        self.sent = handle.getValueState("sent", "at bigint, first bigint")
 
     def handleInputRows(self, key, rows, timerValues):
         if key[0].startswith("\x00"):
@@ -102,18 +102,16 @@ class SendOnce(StatefulProcessor):
         if self.sent.exists():
             return
         now = timerValues.getCurrentWatermarkInMs()
-        self.sent.update((now if first["_us"] is None else first["_us"] // 1000, 0))
+        self.sent.update((now if first["_us"] is None else first["_us"] // 1000, now + 1))
         self.handle.registerTimer(now + 1)
         yield first
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at, until = self.sent.get()
-        if until:
-            self.sent.clear()
+        at, first = self.sent.get()
+        if expiredTimerInfo.getExpiryTimeInMs() == first:
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + self.retention_ms)
         else:
-            until = max(at, timerValues.getCurrentWatermarkInMs()) + self.retention_ms
-            self.sent.update((at, until))
-            self.handle.registerTimer(until)
+            self.sent.clear()
         return iter(())
 
 
