@@ -265,9 +265,12 @@ def _first(found: DataFrame, keep: int) -> DataFrame:
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= keep)
 
 
-def _share(score: str, percent: int) -> str:
-    """SQL of floor(score * percent / 100) whose steps stay within 64 bits."""
-    return f"({percent} * (({score} - pmod({score}, 100)) DIV 100) + ({percent} * pmod({score}, 100)) DIV 100)"
+def _share(score: str, percent: int, up: int) -> str:
+    """SQL of score * percent / 100 in whole numbers, for scores from 0 on; ``up`` 99 rounds up, 0 down.
+
+    No step leaves 64 bits.
+    """
+    return f"({percent} * (({score} - pmod({score}, 100)) DIV 100) + ({percent} * pmod({score}, 100) + {up}) DIV 100)"
 
 
 def plant_forest(rows: DataFrame, tree_rows: int, sample_rows: int, pivot_count: int) -> DataFrame:
@@ -355,8 +358,9 @@ def hard_negatives(
     best = _first(near, positives).groupBy("uid").agg(
         F.sort_array(F.collect_list(F.struct("place", "score", "id"))).alias("positives")
     )
-    low = F.expr(f"transform(positives, p -> -{_share('(-p.score)', least)})")
-    high = F.expr(f"transform(positives, p -> {_share('p.score', most)})")
+    # A negative score has no window: its upper end is below its lower one.
+    low = F.expr(f"transform(positives, p -> {_share('greatest(p.score, 0L)', least, 99)})")
+    high = F.expr(f"transform(positives, p -> IF(p.score < 0, -1L, {_share('greatest(p.score, 0L)', most, 0)}))")
     windows = saved(
         anchors.select("uid", "home", "label", "vec_id", "x")
         .join(best, "uid")
