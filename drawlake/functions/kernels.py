@@ -65,9 +65,18 @@ def rank_keys(weights: np.ndarray) -> np.ndarray:
     return -np.floor(weights * 1e12 + 0.5).astype(np.int64)
 
 
+# Bits of a column number below a rank key; keys of weights up to 2**17 leave room for them.
+COLUMN_BITS = 6
+
+
 def ranked(weights: np.ndarray) -> np.ndarray:
-    """Columns by weight descending, then number."""
-    return rank_keys(weights).argsort(axis=1, kind="stable")
+    """Columns by weight descending, then number.
+
+    Key and column are sorted as one number: no ties, so no stable sort of indices is needed.
+    """
+    packed = rank_keys(weights) << COLUMN_BITS | np.arange(weights.shape[1])
+    packed.sort(axis=1)
+    return packed & ((1 << COLUMN_BITS) - 1)
 
 
 def take(matrix: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -81,7 +90,7 @@ def number_masks(columns: np.ndarray) -> np.ndarray:
 
 def in_weight_order(columns: np.ndarray, weights: np.ndarray) -> np.ndarray:
     ascending = np.sort(columns, axis=1)
-    return take(ascending, rank_keys(take(weights, ascending)).argsort(axis=1, kind="stable"))
+    return take(ascending, ranked(take(weights, ascending)))
 
 
 # Odd multipliers of seed, ticket, attempt, stage and number, and of the two mixing rounds.
@@ -114,6 +123,12 @@ def smallest(keys: np.ndarray, count: int) -> np.ndarray:
     With keys -ln(u) / weight this is a weighted sample without replacement,
     distributed like successive weighted draws (Efraimidis and Spirakis, 2006).
     """
+    last = np.partition(keys, count - 1, axis=1)[:, count - 1 : count]
+    chosen = keys <= last
+    places = np.flatnonzero(chosen)
+    if len(places) == len(keys) * count:
+        return places.reshape(-1, count) % keys.shape[1]
+    # Equal keys at the border.
     return np.argpartition(keys, count - 1, axis=1)[:, :count]
 
 

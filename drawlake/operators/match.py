@@ -126,3 +126,15 @@ def ticket_structs() -> Column:
         )
 
     return F.transform(F.arrays_zip("tickets", "ticket_masks"), judged)
+
+
+def ticket_keys() -> Column:
+    """The outcome keys of a run's tickets as an array, without a shuffle."""
+    kind = F.col("lottery_type")
+
+    def key(mask: Column) -> Column:
+        main = overlap(mask, F.col("main_mask"))
+        bonus = overlap(mask, F.col("bonus_mask"))
+        return outcome_key(near_miss(kind, main, bonus), main, bonus, prize_tier(kind, main, bonus))
+
+    return F.transform("ticket_masks", key)

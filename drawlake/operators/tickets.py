@@ -58,14 +58,19 @@ def rank_tickets(order: np.ndarray, pick: int) -> list[np.ndarray]:
 
 
 def default_book(
-    scores: np.ndarray, pool: PoolSpec, count: int, seeds: np.ndarray, taken: list | None = None
+    scores: np.ndarray, pool: PoolSpec, count: int, seeds: np.ndarray, taken: list | None = None, of: np.ndarray | None = None
 ) -> K.TicketBook:
-    """Rank tickets first, then weighted samples with flattened, usage-reduced weights."""
-    weights = K.weight_matrix(K.scaled(scores), DEFAULT_TEMPERATURE)
-    book = K.TicketBook(len(scores), count, pool.pick, pool.high, taken)
-    for columns in rank_tickets(K.ranked(weights), pool.pick):
+    """Rank tickets first, then weighted samples with flattened, usage-reduced weights.
+
+    ``of`` is each run's row of ``scores``: seeds of a window share what depends on its scores.
+    """
+    of = np.arange(len(scores)) if of is None else of
+    shared = K.weight_matrix(K.scaled(scores), DEFAULT_TEMPERATURE)
+    weights = shared[of]
+    book = K.TicketBook(len(of), count, pool.pick, pool.high, taken)
+    for columns in rank_tickets(K.ranked(shared), pool.pick):
         runs = book.open_runs()
-        book.add(runs, columns[runs], weights[runs])
+        book.add(runs, columns[of[runs]], weights[runs])
     for attempt in range(max(ATTEMPTS_PER_TICKET, ATTEMPTS_PER_TICKET * count)):
         runs = book.open_runs()
         if not len(runs):
@@ -78,7 +83,7 @@ def default_book(
 
 
 def profile_book(
-    main: np.ndarray, bonus: np.ndarray, count: int, seeds: np.ndarray, taken: list | None = None
+    main: np.ndarray, bonus: np.ndarray, count: int, seeds: np.ndarray, taken: list | None = None, of: np.ndarray | None = None
 ) -> K.TicketBook:
     """One ticket per profile: mains from the best main pool, then bonus picks from the rest.
 
@@ -86,9 +91,10 @@ def profile_book(
     complete a ticket stops there.
     """
     pool = POOLS["loto7"]
+    of = np.arange(len(main)) if of is None else of
     m, b = K.scaled(main), K.scaled(bonus)
     display = K.weight_matrix(m * DISPLAY_BLEND[0] + b * DISPLAY_BLEND[1], 1.0)
-    book = K.TicketBook(len(main), count, pool.pick, pool.high, taken)
+    book = K.TicketBook(len(of), count, pool.pick, pool.high, taken)
     for ticket in range(count):
         profile = PROFILES[ticket % len(PROFILES)]
         (ma, mb), (ba, bb) = profile.main_blend, profile.bonus_blend
@@ -96,39 +102,54 @@ def profile_book(
         bonus_weights = K.weight_matrix(m * ba + b * bb, profile.temperature)
         closed = _outside_pool(main_weights, profile.main_pool)
         bonus_closed = _outside_pool(bonus_weights, profile.bonus_pool)
-        penalty = np.zeros(main_weights.shape, np.int64)
+        # Until a ticket is refused its weights are those of all seeds.
+        fresh = {
+            stage: _sampled(K.ticket_weights(weights, np.full(len(main), ticket), np.zeros((), np.int64)))
+            for stage, weights in (("m", main_weights), ("b", bonus_weights))
+        }
+        penalty = np.zeros((len(of), pool.high), np.int64)
         runs = np.flatnonzero(book.found == ticket)
         for attempt in range(PROFILE_ATTEMPTS):
             if not len(runs):
                 break
+            window = of[runs]
             index = np.full(len(runs), ticket + attempt // ATTEMPTS_PER_STEP)
             slot = np.full(len(runs), ticket)
+            line = np.arange(len(runs))[:, None]
 
             def keys(weights: np.ndarray, stage: str) -> np.ndarray:
-                adjusted = K.ticket_weights(weights[runs], index, penalty[runs])
                 noise = K.exponentials(seeds[runs], slot, attempt, stage, pool.high)
-                return noise / np.maximum(adjusted, K.WEIGHT_FLOOR)
+                if attempt == 0:
+                    return noise / fresh[stage][window]
+                return noise / _sampled(K.ticket_weights(weights[window], index, penalty[runs]))
 
             main_keys = keys(main_weights, "m")
-            main_keys[closed[runs]] = np.inf
+            main_keys[closed[window]] = np.inf
             mains = K.smallest(main_keys, profile.main_count)
-            whole_keys = keys(bonus_weights, "b")
-            np.put_along_axis(whole_keys, mains, np.inf, axis=1)
-            bonus_keys = np.where(bonus_closed[runs], np.inf, whole_keys)
-            # Too few open bonus numbers beside the mains: the whole pool is open.
-            narrow = np.isfinite(bonus_keys).sum(axis=1) < profile.bonus_count
-            bonus_keys[narrow] = whole_keys[narrow]
+            bonus_keys = keys(bonus_weights, "b")
+            bonus_keys[line, mains] = np.inf
+            if bonus_closed.any():
+                whole_keys = bonus_keys
+                bonus_keys = np.where(bonus_closed[window], np.inf, whole_keys)
+                # Too few open bonus numbers beside the mains: the whole pool is open.
+                narrow = np.isfinite(bonus_keys).sum(axis=1) < profile.bonus_count
+                bonus_keys[narrow] = whole_keys[narrow]
             extra = K.smallest(bonus_keys, profile.bonus_count)
             columns = np.hstack([mains, extra])
-            refused = ~book.add(runs, columns, display[runs])
+            refused = ~book.add(runs, columns, display[window])
             penalty[runs[refused][:, None], columns[refused]] += 1
             runs = runs[refused]
     return book
 
 
+def _sampled(weights: np.ndarray) -> np.ndarray:
+    return np.maximum(weights, K.WEIGHT_FLOOR)
+
+
 def _outside_pool(weights: np.ndarray, size: int) -> np.ndarray:
-    closed = np.ones(weights.shape, bool)
-    np.put_along_axis(closed, K.ranked(weights)[:, :size], False, axis=1)
+    closed = np.zeros(weights.shape, bool)
+    if size < weights.shape[1]:
+        closed[np.arange(len(weights))[:, None], K.ranked(weights)[:, size:]] = True
     return closed
 
 
@@ -139,9 +160,12 @@ def generate_tickets(
     strategy: str = "mixed",
     exclude_col: str | None = None,
     drop: tuple[str, ...] = ("main_scores", "bonus_scores"),
+    seeds: list[int] | None = None,
 ) -> DataFrame:
     """Add ``tickets``, ``ticket_masks`` and ``error`` to runs with lottery_type, seed and scores.
 
+    With ``seeds`` the rows are windows without a seed, and each becomes a run per seed.
+
     default: the default generator for both pools. second_prize_oriented: the
     profile generator, an error for the 6-pick pool and for runs without bonus
     scores. mixed: profiles with a shifted seed where pool and bonus scores allow it,
@@ -158,40 +182,58 @@ def generate_tickets(
     schema = T.StructType(
         [
             *kept,
+            *([T.StructField("seed", T.LongType())] if seeds else []),
             T.StructField("tickets", TICKETS),
             T.StructField("ticket_masks", T.ArrayType(T.LongType())),
             T.StructField("error", T.StringType()),
         ]
     )
-    return runs.mapInArrow(_ticket_batches([f.name for f in kept], count, strategy, exclude_col), schema)
+    return runs.mapInArrow(_ticket_batches([f.name for f in kept], count, strategy, exclude_col, seeds), schema)
 
 
 def pool_names(column: pa.Array) -> np.ndarray:
     """Cleaned pool names; the empty text for NULL."""
-    return np.array([str(v or "").strip().lower() for v in column.to_pylist()], dtype=object)
+    coded = column.dictionary_encode()
+    # The last name is that of NULL.
+    names = np.array([*(str(v or "").strip().lower() for v in coded.dictionary.to_pylist()), ""], dtype=object)
+    return names[coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)]
 
 
-# Tickets that the books of one slice of runs hold, some forty bytes each.
+# Tickets that the books of one slice of runs hold, some forty bytes each, and its runs:
+# their matrices stay in the cache of a core.
 SLICE_TICKETS = 1 << 20
+SLICE_RUNS = 1 << 10
 
 
 def _slices(rows: np.ndarray, count: int) -> list[np.ndarray]:
     """Rows in parts whose tickets are bounded together; a run is one part at least."""
-    most = max(1, SLICE_TICKETS // count)
+    most = max(1, min(SLICE_RUNS, SLICE_TICKETS // count))
     return [rows[at : at + most] for at in range(0, len(rows), most)]
 
 
 def _ticket_batches(
-    kept: list[str], count: int, strategy: str, exclude_col: str | None
+    kept: list[str], count: int, strategy: str, exclude_col: str | None, seeds: list[int] | None = None
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     shift = MIXED_SEED_SHIFT if strategy == "mixed" else 0
-    names = [*kept, "tickets", "ticket_masks", "error"]
+    names = [*kept, *(["seed"] if seeds else []), "tickets", "ticket_masks", "error"]
+    each = len(seeds or [0])
 
     def valid(batch: pa.RecordBatch, column: str) -> np.ndarray:
         if column not in batch.schema.names:
             return np.zeros(batch.num_rows, bool)
         return batch[column].is_valid().to_numpy(zero_copy_only=False)
 
+    def finished(part: pa.RecordBatch, of: np.ndarray, of_seed: np.ndarray, book: K.TicketBook, message: str) -> pa.RecordBatch:
+        columns = [part[c].take(pa.array(of)) if seeds else part[c] for c in kept]
+        return pa.RecordBatch.from_arrays(
+            [*columns, *([pa.array(of_seed)] if seeds else []), *_book_columns(book, message)], names=names
+        )
+
+    def runs_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """Row and seed of every run."""
+        of = np.repeat(np.arange(part.num_rows), each)
+        return of, np.tile(np.array(seeds, np.int64), part.num_rows) if seeds else part["seed"].to_numpy(zero_copy_only=False)
+
     def generate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             types, has_bonus, has_main = pool_names(batch["lottery_type"]), valid(batch, "bonus_scores"), valid(batch, "main_scores")
@@ -203,28 +245,26 @@ def _ticket_batches(
                     (known & has_main & (types == "loto7") & ~has_bonus, NO_BONUS),
                 ]
             for chosen, message in refused:
-                for rows in _slices(np.flatnonzero(chosen), count):
+                for rows in _slices(np.flatnonzero(chosen), count * each):
                     part = batch.take(pa.array(rows))
-                    empty = K.TicketBook(part.num_rows, count, 1, 1)
-                    yield pa.RecordBatch.from_arrays([*[part[c] for c in kept], *_book_columns(empty, message)], names=names)
+                    of, of_seed = runs_of(part)
+                    yield finished(part, of, of_seed, K.TicketBook(len(of), count, 1, 1), message)
             for name, pool in POOLS.items():
                 of_pool = (types == name) & has_main
                 profiled = of_pool & has_bonus & (name == "loto7") & (strategy != "default")
                 plain = of_pool & ~profiled & (strategy != "second_prize_oriented")
                 kinds = ((profiled, True), (plain, False))
-                for rows, by_profile in ((r, b) for chosen, b in kinds for r in _slices(np.flatnonzero(chosen), count)):
+                for rows, by_profile in ((r, b) for chosen, b in kinds for r in _slices(np.flatnonzero(chosen), count * each)):
                     part = batch.take(pa.array(rows))
-                    seeds = part["seed"].to_numpy()
-                    taken = part[exclude_col].to_pylist() if exclude_col else None
+                    of, of_seed = runs_of(part)
+                    taken = part[exclude_col].take(pa.array(of)).to_pylist() if exclude_col else None
                     main = list_matrix(part["main_scores"])[:, : pool.high]
                     if by_profile:
                         bonus = list_matrix(part["bonus_scores"])[:, : pool.high]
-                        book = profile_book(main, bonus, count, seeds + shift, taken)
+                        book = profile_book(main, bonus, count, of_seed + shift, taken, of)
                     else:
-                        book = default_book(main, pool, count, seeds, taken)
-                    yield pa.RecordBatch.from_arrays(
-                        [*[part[c] for c in kept], *_book_columns(book, TOO_FEW)], names=names
-                    )
+                        book = default_book(main, pool, count, of_seed, taken, of)
+                    yield finished(part, of, of_seed, book, TOO_FEW)
 
     return generate
 

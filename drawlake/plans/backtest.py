@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from drawlake.functions.arrays import from_mask
 from drawlake.operators.match import (
-    judged_tickets, outcome_key, outcome_parts, tier_label, ticket_structs,
+    judged_tickets, outcome_parts, ticket_keys, tier_label, ticket_structs,
 )
+from drawlake.operators.pin import pin
 from drawlake.operators.rank import rank_draws
 from drawlake.operators.scores import ScoreWeights
 from drawlake.operators.sliding import window_features
@@ -87,15 +88,13 @@ def run_grid(
         targets=targets,
         unique=unique,
     )
-    runs = scored.withColumn(
-        "seed", F.explode(F.array(*[F.lit(s).cast("bigint") for s in sorted(set(seeds))]))
-    )
+    seeds = sorted(set(seeds))
     if strategy == "second_prize_oriented":
         seven = F.col("lottery_type") == "loto7"
-        return generate_tickets(runs.filter(seven), count=count, strategy=strategy).unionByName(
-            generate_tickets(runs.filter(~seven), count=count, strategy="default")
+        return generate_tickets(scored.filter(seven), count=count, strategy=strategy, seeds=seeds).unionByName(
+            generate_tickets(scored.filter(~seven), count=count, strategy="default", seeds=seeds)
         )
-    return generate_tickets(runs, count=count, strategy=strategy)
+    return generate_tickets(scored, count=count, strategy=strategy, seeds=seeds)
 
 
 def best_of_runs(runs: DataFrame) -> DataFrame:
@@ -103,31 +102,22 @@ def best_of_runs(runs: DataFrame) -> DataFrame:
 
     Best is the largest (points, main, bonus); equal triples have equal tiers.
     """
-    best = F.array_max(
-        F.transform(
-            F.col("_judged"),
-            lambda t: outcome_key(
-                t["near_miss_score"], t["main_match"], t["bonus_match"], t["prize_tier"]
-            ),
-        )
-    )
-    judged = (
-        runs.withColumn("_judged", ticket_structs())
-        .withColumn("best_key", F.coalesce(best, F.lit(0)))
-        .withColumn("ticket_count", F.size("tickets"))
-    )
+    # Keys are made once a run; the tickets themselves only where they are read.
+    judged = pin(runs, _keys=ticket_keys())
+    judged = pin(judged, best_key=F.coalesce(F.array_max("_keys"), F.lit(0)))
     parts = outcome_parts(F.col("best_key"))
+    won = lambda tier: F.exists("_keys", lambda k: k % 10 == tier)
     return judged.select(
         *[c for c in runs.columns if c not in ("tickets", "ticket_masks")],
-        "ticket_count",
+        F.size("tickets").alias("ticket_count"),
         "best_key",
         parts["main_match"].alias("best_main_match"),
         parts["bonus_match"].alias("best_bonus_match"),
         parts["near_miss_score"].alias("best_near_miss_score"),
         parts["prize_tier"].alias("best_tier"),
-        F.exists("_judged", lambda t: t["prize_tier"] == 1).alias("first_prize_found"),
-        F.exists("_judged", lambda t: t["prize_tier"] == 2).alias("second_prize_found"),
-        F.col("_judged").alias("judged"),
+        won(1).alias("first_prize_found"),
+        won(2).alias("second_prize_found"),
+        ticket_structs().alias("judged"),
     )
 
 

@@ -244,3 +244,15 @@ def test_ten_thousand_tickets_a_run_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert slices == 1 and out.num_rows == 104 and peak < 400 << 20
+
+
+def test_seeds_of_a_window_give_the_tickets_of_its_exploded_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, kind, [float(v) for v in rng.random(43)], [float(v) for v in rng.random(43)]) for i, kind in enumerate(["loto6", "loto7", "mini"] * 4)]
+    windows = spark.createDataFrame(rows, "draw_no bigint, lottery_type string, main_scores array<double>, bonus_scores array<double>")
+    one_by_one = windows.withColumn("seed", F.explode(F.array(*[F.lit(s).cast("bigint") for s in (1, 2)])))
+    for strategy in tickets.STRATEGIES:
+        want = tickets.generate_tickets(one_by_one, count=6, strategy=strategy)
+        got = tickets.generate_tickets(windows, count=6, strategy=strategy, seeds=[1, 2])
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
