@@ -33,6 +33,8 @@ from drawlake.functions.arrays import to_mask
 from drawlake.functions.kernels import score_matrix
 from drawlake.operators.prefix import carried_totals, number_bits
 from drawlake.operators.scores import ScoreWeights, bonus_weights
+from drawlake.operators.tickets import list_matrix
+from drawlake.session import written
 from drawlake.spec import MAX_NUMBER, check_limits
 
 MIN_CHUNK = 1024
@@ -70,14 +72,15 @@ def _readers(rk: Column, limit: Column, place, about: Column) -> Column:
     to before the place of their last one. ``about`` is near the target whose place is rk.
     """
     near = F.floor((about - 1) / LONG_CHUNK).cast("bigint")
-    tried = F.transform(F.array(*[F.lit(d) for d in range(-2, 4)]), lambda d: near + d)
 
     def reads(chunk: Column) -> Column:
         first = place(F.greatest(chunk * LONG_CHUNK + 1, F.lit(2)), limit)
         last = place((chunk + 1) * LONG_CHUNK, limit)
         return (chunk >= 0) & (rk > F.floor((first - 1) / LONG_CHUNK) * LONG_CHUNK) & (rk < last)
 
-    return F.filter(tried, reads)
+    # No lambda: those are not compiled, and this runs for every draw.
+    tried = F.array(*[F.when(reads(near + d), near + d) for d in range(-2, 4)])
+    return F.array_except(tried, F.array(F.lit(None).cast("bigint")))
 
 
 def chunks_of(rk: Column, limit: Column) -> Column:
@@ -134,21 +137,26 @@ def window_features(
         *keep,
         (F.col(target_col) if target_col else F.lit(True)).alias("_is_target"),
     )
+    long = [n for n in limits if n > LONG_LIMIT]
+    if long:
+        # Chunks, their targets and the totals all read the positions.
+        base = written(base, "positions")
     draws = base.withColumn("history_limit", F.explode(F.array(*[F.lit(n).cast("bigint") for n in limits])))
     keys = [*series_cols, "history_limit", "_chunk"]
-    chunked = draws.withColumn("_home", F.floor((rk - 1) / chunk_size(limit)).cast("bigint")).withColumn(
-        "_chunk", F.explode(chunks_of(rk, limit))
-    )
-    at_home = F.col("_is_target") & (F.col("_home") == F.col("_chunk"))
-    long = [n for n in limits if n > LONG_LIMIT]
+    home = F.floor((rk - 1) / chunk_size(limit)).cast("bigint")
+    chunked = draws.withColumn("_home", home).withColumn("_chunk", F.explode(chunks_of(rk, limit)))
     # A series has no chunk beyond its last draw.
     if target_col or long:
-        wanted = chunked.filter(at_home).select(*keys).distinct()
+        wanted = draws.filter("_is_target").select(*series_cols, "history_limit", home.alias("_chunk")).distinct()
         chunked = chunked.join(wanted, keys, "left_semi")
     chunked = chunked.withColumn("_place", F.lit(None).cast("string"))
     if long:
         totals = _totals_at_places(base, wanted.filter(F.col("history_limit") > LONG_LIMIT), series_cols, pools)
         chunked = chunked.unionByName(totals, allowMissingColumns=True)
+        # Empty, not null: Spark's Arrow writer measures a batch at each row, and passes all nulls
+        # since the last list again, which grows with the square of the batch.
+        lists = [f.name for f in totals.schema.fields if isinstance(f.dataType, T.ArrayType)]
+        chunked = chunked.withColumns({c: F.coalesce(c, F.array().cast(totals.schema[c].dataType)) for c in lists})
     carried = [*series_cols, "rk", "history_limit", "main_mask", "bonus_mask", *keep]
     schema = T.StructType(
         [draws.schema[c] for c in carried]
@@ -278,6 +286,38 @@ def chunk_counter(
     return count
 
 
+def window_rankings(scored: DataFrame, *, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns, ``ranking``: the numbers of each window by main score, then number,
+    and the sums of both pools' scores. Numbers outside the window's range are left out."""
+    schema = T.StructType(
+        [scored.schema[c] for c in keep]
+        + [T.StructField("ranking", COUNTS), T.StructField("main_total", T.DoubleType()), T.StructField("bonus_total", T.DoubleType())]
+    )
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            main, bonus = (list_matrix(batch[f"{pool}_scores"]) for pool in ("main", "bonus"))
+            # Missing scores sort last.
+            order = (-main).argsort(axis=1, kind="stable") + 1
+            sizes = (~np.isnan(main)).sum(axis=1)
+            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            numbers = pa.array(order[np.arange(MAX_NUMBER) < sizes[:, None]].astype(np.int32))
+            unscored = batch["main_scores"].is_null()
+            ranking = pa.ListArray.from_arrays(ends, numbers, mask=unscored)
+            totals = [pc.if_else(batch[f"{pool}_scores"].is_valid(), _sums(m), None) for pool, m in (("main", main), ("bonus", bonus))]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), ranking, *totals], names=schema.names)
+
+    return scored.select(*keep, "main_scores", "bonus_scores").mapInArrow(rank, schema)
+
+
+def _sums(matrix: np.ndarray) -> pa.Array:
+    """Row sums, added number by number as the row form does."""
+    total = np.zeros(len(matrix))
+    for column in np.nan_to_num(matrix, nan=0.0).T:
+        total = total + column
+    return pa.array(total)
+
+
 def _lists(
     matrix: np.ndarray, missing: np.ndarray | None = None, dtype: type = np.int32
 ) -> pa.ListArray:

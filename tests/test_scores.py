@@ -187,3 +187,13 @@ def test_carried_totals(spark):
         before = [(rk, m) for s, rk, m in rows if s == r.series and rk <= r._chunk * 10]
         assert r.main_count == [sum(m >> n & 1 for _, m in before) for n in range(1, 44)]
         assert r.main_last == [max((rk for rk, m in before if m >> n & 1), default=0) for n in range(1, 44)]
+
+
+def test_window_rankings_order_by_score_then_number(spark):
+    from drawlake.operators import sliding
+
+    main = [None, 2.0, 3.0, 2.0, 0.0] + [None] * 38
+    bonus = [0.5] * 2 + [None] * 41
+    scored = spark.createDataFrame([(1, main, bonus), (2, None, bonus)], "draw_no bigint, main_scores array<double>, bonus_scores array<double>")
+    got = {r.draw_no: r[1:] for r in sliding.window_rankings(scored, keep=["draw_no"]).collect()}
+    assert got == {1: ([3, 2, 4, 5], 7.0, 1.0), 2: (None, None, 1.0)}
