@@ -138,7 +138,7 @@ def dedupe_stateful(
     messages are dropped. All copies of one execution meet in one task. Neither
     holds for ``streaming.dedupe``.
     """
-    good, _ = split_messages(stream)
+    good, _ = split_messages(spread(stream))
     unique = good.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["execution_id"])
     return (
         unique.writeStream.format("parquet")
