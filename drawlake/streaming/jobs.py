@@ -21,14 +21,18 @@ from drawlake.sources.history import batch_latest_row, import_metrics, indexed_n
 from drawlake.sources.known import index_of, known_numbers, lookup
 from drawlake.sources.messages import split_messages
 from drawlake.sources.segments import SegmentedTable
-from drawlake.streaming.batches import batch_folder
+from drawlake.streaming.batches import batch_folder, spread
 
 
 def file_stream(
-    spark: SparkSession, path: str, schema: T.StructType, *, files_per_batch: int = 1000
+    spark: SparkSession, path: str, schema: T.StructType, *, files_per_batch: int | None = 1000
 ) -> DataFrame:
-    """Landed Parquet files as a stream; other transports only replace this source."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    """Landed Parquet files as a stream; other transports only replace this source.
+
+    Without ``files_per_batch`` all files that are there make one batch.
+    """
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
 
 
 def imported(spark: SparkSession, table: str, schema: T.StructType) -> SegmentedTable:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from drawlake import fixtures
 from drawlake.sources import history
 from drawlake.streaming import dedupe, jobs
+from drawlake.streaming.batches import spread
 
 
 def start(spark, source, known, root):
@@ -139,3 +140,20 @@ def test_hot_keys_collapse_before_the_state(monkeypatch):
     whole = [r for b in dedupe.collapse(iter(rows.slice(0, 90).to_batches())) for r in b.to_pylist()]
     assert [(r["_key"], r["_us"]) for r in whole][0] == ("hot", 9911)
     assert list(dedupe.collapse(iter([]))) == []
+
+
+def test_all_landed_files_make_one_batch_unless_they_are_counted(spark, tmp_path):
+    source = str(tmp_path / "source")
+    spark.range(40).repartition(4).write.parquet(source)
+    for files, want in ((None, 1), (1, 4)):
+        batches = []
+        stream = jobs.file_stream(spark, source, spark.range(1).schema, files_per_batch=files)
+        query = stream.writeStream.foreachBatch(lambda b, i: batches.append(b.count())).trigger(availableNow=True)
+        query.option("checkpointLocation", str(tmp_path / f"c{files}")).start().awaitTermination()
+        assert len(batches) == want and sum(batches) == 40
+
+
+def test_a_batch_of_one_file_is_decoded_by_many_tasks(spark, small):
+    one = fixtures.messages(spark, small).coalesce(1)
+    assert spread(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
+    assert sorted(map(str, spread(one).collect())) == sorted(map(str, one.collect()))
