@@ -17,8 +17,12 @@ BASE = 1.25
 # Scores are held in 64 bits; larger ones are cut to these ends.
 LOWEST, HIGHEST = -(1 << 63) + 1, (1 << 63) - 1
 MISSING = -(1 << 63)
-# Leaves that a round verifies for a query at most.
+# Leaves that a round verifies for a query at most, and by how much rounds grow.
 MOST_A_ROUND = 64
+GROWTH = 8
+# Points multiplied at once, and scores held before they are reduced to the best of each window.
+BLOCK = 4096
+HELD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -124,18 +128,11 @@ def build(points: np.ndarray, ids: np.ndarray) -> tuple[Tree, np.ndarray]:
     return tree, order
 
 
-def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-number rows, in the fastest arithmetic that is exact here."""
-
-    def longest(m: np.ndarray) -> float:
-        return float(np.sqrt((m.astype(np.float64) ** 2).sum(1).max(initial=0.0)))
-
-    most = longest(left) * longest(right)
+def exact_kind(most: float):
+    """Fastest type in which inner products of whole-number rows up to ``most`` are exact, and the end of its range."""
     if most < 1 << 53:
-        kind = np.float32 if most < 1 << 24 else np.float64
-        return (left.astype(kind) @ right.astype(kind).T).astype(np.int64)
-    exact = left.astype(object) @ right.astype(object).T
-    return np.clip(exact, LOWEST, HIGHEST).astype(np.int64)
+        return (np.float32, 1 << 24) if most < 1 << 24 else (np.float64, 1 << 53)
+    return object, HIGHEST
 
 
 def bounds(queries: np.ndarray, centres: np.ndarray, radius: np.ndarray, norm) -> tuple[np.ndarray, np.ndarray]:
@@ -177,13 +174,12 @@ def search(tree: Tree, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k
 
     ``low`` and ``high`` have a column per window. Nodes outside all windows of a query
     are left with all below them. The remaining leaves are verified by exact products,
-    those of the largest bound first, twice as many each round, until no bound reaches
-    the worst score kept. ``skip`` names a point each query does not want, or -1.
+    those of the largest bound first, ``GROWTH`` times as many each round, until no bound
+    reaches the worst score kept. ``skip`` names a point each query does not want, or -1.
     Scores that are missing are MISSING.
     """
     count, windows = low.shape
-    scores = np.full((count, windows, keep), MISSING, np.int64)
-    ids = np.zeros((count, windows, keep), np.int64)
+    best = np.full((count, windows, keep), MISSING, np.int64), np.zeros((count, windows, keep), np.int64)
     least, most = bounds(queries, tree.points[tree.centre], tree.radius, tree.norm)
     alive = within(least, most, low, high)
     for node in np.flatnonzero(tree.child_end):
@@ -191,47 +187,75 @@ def search(tree: Tree, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k
     leaves = np.flatnonzero(tree.child_end == 0)
     reach, floor = np.where(alive[:, leaves], most[:, leaves], -np.inf), least[:, leaves]
     turn = np.argsort(-reach, axis=1, kind="stable")
+    longest = float(np.sqrt((queries.astype(np.float64) ** 2).sum(1).max(initial=0.0)))
+    # The margin covers the rounding of both lengths.
+    kind, end = exact_kind(longest * tree.norm * (1 + 1e-9))
+    left, right = queries.astype(kind), tree.points.astype(kind)
     done, step = 0, 1
     while done < len(leaves):
         chosen = turn[:, done : done + step]
         bound = np.take_along_axis(reach, chosen, 1)
-        worst = np.maximum(scores[:, :, -1], low)
+        worst = np.maximum(best[0][:, :, -1], low)
         useful = np.isfinite(bound) & within(np.take_along_axis(floor, chosen, 1), bound, worst, high)
         # Later leaves reach no further than the first of this round.
         if not (np.isfinite(bound[:, 0]) & (bound[:, :1] >= worst).any(1)).any():
             break
-        more = np.full((count, windows, useful.shape[1], keep), MISSING, np.int64)
-        more_ids = np.zeros(more.shape, np.int64)
+        # A score below the worst of all open windows, or above all of them, is in none.
+        open_ = worst <= high
+        ends = np.where(open_, worst, HIGHEST).min(1), np.where(open_, high, LOWEST).max(1)
+        ends = [np.clip(e, -end, end).astype(kind if end < HIGHEST else np.int64)[:, None] for e in ends]
         rows, slots = np.nonzero(useful)
         named = chosen[rows, slots]
         sort = np.argsort(named, kind="stable")
         cuts = np.flatnonzero(np.diff(named[sort])) + 1
+        parts, held = [], 0
         for part in np.split(sort, cuts) if len(sort) else []:
-            node = leaves[named[part[0]]]
-            _verify(tree, node, queries, rows[part], slots[part], low, high, skip, more, more_ids)
-        flat = (count, windows, -1)
-        scores, ids = _best(
-            np.concatenate([scores, more.reshape(flat)], -1), np.concatenate([ids, more_ids.reshape(flat)], -1), keep
-        )
-        done, step = done + step, min(2 * step, MOST_A_ROUND)
-    return scores, ids
-
-
-def _verify(tree, node, queries, rows, slots, low, high, skip, more, more_ids) -> None:
-    """Exact scores of a leaf's points for some queries; the best of each window go to ``more``."""
-    a, b = tree.first[node], tree.last[node]
-    got = products(queries[rows], tree.points[a:b])
+            asked = rows[part]
+            own, lows, highs = left[asked], ends[0][asked], ends[1][asked]
+            for a, b in _blocks(tree, leaves[named[part[0]]], keep):
+                got = own @ right[a:b].T
+                if kind is object:
+                    got = np.clip(got, LOWEST, HIGHEST).astype(np.int64)
+                row, point = np.nonzero((got >= lows) & (got <= highs))
+                parts.append((asked[row], got[row, point].astype(np.int64), point + a))
+                held += len(row)
+                if held > HELD:
+                    best, parts, held = _reduced(best, parts, tree.ids, low, high, skip), [], 0
+        best = _reduced(best, parts, tree.ids, low, high, skip)
+        done, step = done + step, min(GROWTH * step, MOST_A_ROUND)
+    return best
+
+
+def _blocks(tree: Tree, node: int, keep: int) -> list[tuple[int, int]]:
+    """Ranges of a leaf's points; of equal points only the first by id can be kept, and one that is skipped."""
+    a, b = int(tree.first[node]), int(tree.last[node])
+    if tree.radius[node] == 0 and b - a > keep + 1 and (tree.points[a:b] == tree.points[a]).all():
+        b = a + keep + 1
+    return [(at, min(at + BLOCK, b)) for at in range(a, b, BLOCK)]
+
+
+def _reduced(best, parts: list, ids: np.ndarray, low: np.ndarray, high: np.ndarray, skip: np.ndarray | None):
+    """``best`` with scores (query, score, point) of more points: the first of each window by falling score, then id."""
+    if not parts:
+        return best
+    query, score, point = (np.concatenate([p[k] for p in parts]) for k in range(3))
     if skip is not None:
-        own = (skip[rows] >= a) & (skip[rows] < b)
-        got[own, skip[rows][own] - a] = MISSING
-    sort = np.argsort(~got, axis=1, kind="stable")
-    falling = np.take_along_axis(got, sort, 1)
-    keep, size = more.shape[-1], b - a
-    for w in range(low.shape[1]):
-        begin = (falling > high[rows, w][:, None]).sum(1)
-        for k in range(keep):
-            at = np.minimum(begin + k, size - 1)
-            value = falling[np.arange(len(rows)), at]
-            fits = (begin + k < size) & (value >= low[rows, w]) & (value != MISSING)
-            more[rows[fits], w, slots[fits], k] = value[fits]
-            more_ids[rows[fits], w, slots[fits], k] = tree.ids[a + sort[np.flatnonzero(fits), at[fits]]]
+        wanted = point != skip[query]
+        query, score, point = query[wanted], score[wanted], point[wanted]
+    if not len(query):
+        return best
+    name = ids[point]
+    sort = np.lexsort((name, ~score, query))
+    query, score, name = query[sort], score[sort], name[sort]
+    count, windows = low.shape
+    keep = best[0].shape[-1]
+    until = np.cumsum(np.bincount(query, minlength=count))
+    start = until - np.bincount(query, minlength=count)
+    more = np.full((count, windows, keep), MISSING, np.int64), np.zeros((count, windows, keep), np.int64)
+    for w in range(windows):
+        above = np.bincount(query[score > high[query, w]], minlength=count)
+        at = (start + above)[:, None] + np.arange(keep)
+        inside = np.minimum(at, len(score) - 1)
+        fits = (at < until[:, None]) & (score[inside] >= low[:, w : w + 1])
+        more[0][:, w][fits], more[1][:, w][fits] = score[inside][fits], name[inside][fits]
+    return _best(*(np.concatenate(both, -1) for both in zip(best, more, strict=True)), keep)
