@@ -146,10 +146,12 @@ def indexed_keys(index_rows: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def indexed_new_rows(index_rows: DataFrame, rows: DataFrame, *, dedupe: bool = True) -> DataFrame:
-    """Numbered rows whose key the bitmap index of the history lacks; copies as in ``new_rows``."""
-    numbered = rows.filter(F.col("draw_no").isNotNull())
-    candidates = one_per_key(numbered, KEYS) if dedupe else numbered
-    return mark_known(candidates, index_rows).filter(~F.col("known")).drop("known")
+    """Numbered rows whose key the bitmap index of the history lacks; copies as in ``new_rows``.
+
+    The key decides, so known rows go before copies collapse: only new ones are sorted and shuffled.
+    """
+    fresh = mark_known(rows.filter(F.col("draw_no").isNotNull()), index_rows).filter(~F.col("known")).drop("known")
+    return one_per_key(fresh, KEYS) if dedupe else fresh
 
 
 def new_rows(history: DataFrame, rows: DataFrame, *, dedupe: bool = True) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(messages: DataFrame) -> DataFrame:
-    """Messages dealt out before they are decoded: a batch of a few files is read by as many tasks,
-    and decoding costs far more than the rows' way through a shuffle."""
-    return messages.repartition(int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out before they are worked on: a batch of a few files is read by as many tasks, and
+    decoding or sorting its rows costs far more than their way through a shuffle."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def batch_folder(root: str, batch_id: int) -> str:

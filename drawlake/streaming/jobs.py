@@ -66,7 +66,8 @@ def import_stream(
         if batch_id <= target.merged_upto():
             return
         with audited(spark, "import", batch_folder(audit, batch_id)):
-            batch = batch.persist()
+            # Every pass over the batch is as wide as the cluster, however few files landed.
+            batch = spread(batch).persist()
             try:
                 run_batch(batch, batch_id)
             finally:
@@ -80,7 +81,7 @@ def import_stream(
         index.write(index_of(inserted), batch_id + 1)
         done = (
             import_metrics(batch, inserted)
-            .join(batch_latest_row(batch).select("lottery_type", "draw_no", "draw_date"), "lottery_type")
+            .join(batch_latest_row(batch.select("lottery_type", "draw_no", "draw_date")), "lottery_type")
             .withColumn("execution_id", F.md5(F.concat_ws("|", F.lit(f"import-{batch_id}"), "lottery_type")))
         )
         message = F.to_json(F.struct("execution_id", "lottery_type", "draw_no", F.col("draw_date").cast("string")))

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from drawlake import fixtures
 from drawlake.sources import history
+from drawlake.sources.known import index_of, known_numbers, lookup
 from drawlake.streaming import dedupe, jobs
 from drawlake.streaming.batches import spread
 
@@ -157,3 +158,36 @@ def test_a_batch_of_one_file_is_decoded_by_many_tasks(spark, small):
     one = fixtures.messages(spark, small).coalesce(1)
     assert spread(one).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert sorted(map(str, spread(one).collect())) == sorted(map(str, one.collect()))
+
+
+def test_a_batch_of_one_file_is_imported_by_many_tasks(spark, small, tmp_path, monkeypatch):
+    widths, metrics = [], jobs.import_metrics
+
+    def seen(rows, inserted):
+        widths.append(rows.rdd.getNumPartitions())
+        return metrics(rows, inserted)
+
+    monkeypatch.setattr(jobs, "import_metrics", seen)
+    source = str(tmp_path / "source")
+    batch = fixtures.incoming(spark, small).drop("series", "status")
+    batch.unionByName(batch).coalesce(1).write.parquet(source)
+    known = fixtures.history(spark, small)
+    out = start(spark, source, known, str(tmp_path))
+    assert widths == [int(spark.conf.get("spark.sql.shuffle.partitions"))] and widths[0] > 1
+    got = jobs.imported(spark, out["table"], batch.schema).read()
+    assert sorted(map(str, got.collect())) == sorted(map(str, history.new_rows(known, batch).select(got.columns).collect()))
+
+
+def test_known_rows_go_before_copies_collapse(spark, tmp_path, monkeypatch):
+    collapsed, once = [], history.one_per_key
+    monkeypatch.setattr(history, "one_per_key", lambda rows, keys: collapsed.append(rows.count()) or once(rows, keys))
+    schema = "lottery_type string, draw_no bigint, source_url string"
+    index = known_numbers(spark, str(tmp_path / "i"))
+    index.write(index_of(spark.createDataFrame([("loto6", n, "") for n in range(50)], schema)), 0)
+    rows = [("loto6", n, u) for n in range(45, 53) for u in "ab"] + [("loto7", 1, "a"), (None, 2, "a"), (None, 2, "b"), ("loto6", None, "a")]
+    batch = spark.createDataFrame(rows, schema)
+    found = lookup(index, batch)
+    want = [("loto6", 50, "b"), ("loto6", 51, "b"), ("loto6", 52, "b"), ("loto7", 1, "a"), (None, 2, "b")]
+    assert sorted(map(tuple, history.indexed_new_rows(found, batch).collect()), key=str) == sorted(want, key=str)
+    assert collapsed == [9]
+    assert history.indexed_new_rows(found, batch, dedupe=False).count() == 9
