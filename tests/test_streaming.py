@@ -1,5 +1,9 @@
+import itertools
+import random
+
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
 from drawlake import fixtures
 from drawlake.sources import history
@@ -143,6 +147,119 @@ def test_hot_keys_collapse_before_the_state(monkeypatch):
     assert list(dedupe.collapse(iter([]))) == []
 
 
+class Bucket:
+    """State, timers and stream time of one bucket, as a stream keeps them; counts the calls."""
+
+    def __init__(self, retention):
+        self.log, self.timers, self.now, self.calls = [], set(), 0, 0
+        self.send = dedupe.SendOnce(retention)
+        self.send.init(self)
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls += 1
+        return iter(list(self.log))
+
+    def appendValue(self, entry):
+        self.put([*self.log, entry])
+
+    def put(self, entries):
+        self.calls, self.log = self.calls + 1, list(entries)
+
+    def clear(self):
+        self.put([])
+
+    def registerTimer(self, time):
+        self.calls += 1
+        self.timers.add(time)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+    def batch(self, rows):
+        """Keys that go out for (key, milliseconds) rows."""
+        table = pa.table({"_key": [k for k, _ in rows], "_us": pa.array([t and t * 1000 for _, t in rows], pa.int64())})
+        blocks = [Row(_rows=None), *(Row(_rows=dedupe.packed(part)) for part in (table[::2], table[1::2]) if part.num_rows)]
+        out = [k for r in self.send.handleInputRows((0,), iter(blocks), self) for k in dedupe.unpacked(r["_rows"])["_key"].to_pylist()]
+        for time in sorted(t for t in self.timers if t < self.now):
+            assert not list(self.send.handleExpiredTimer((0,), self, None))
+            self.timers.remove(time)
+        self.now = max([self.now, *(t for _, t in rows if t)])
+        return out
+
+
+def test_a_bucket_remembers_as_if_each_execution_were_kept_alone(monkeypatch):
+    for length, seed in itertools.product((2, 32), range(20)):
+        monkeypatch.setattr(dedupe, "LOG_LENGTH", length)
+        rand, bucket, kept, letter = random.Random(seed), Bucket(40), {}, dedupe.BAD + "1"
+        for step in range(120):
+            near = bucket.now + rand.choice([-60, 0, 0, 5, 30])
+            rows = [(f"é{rand.randrange(15)}", rand.choice([None, max(1, near + rand.randrange(-9, 9))])) for _ in range(rand.choice([0, 1, 4]))]
+            now, want = bucket.now, []
+            for key, time in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0)):
+                if key not in kept:
+                    kept[key] = (now if time is None else time, now + 1, None)
+                    want.append(key)
+            for key, (time, first, until) in list(kept.items()):
+                if until is None and first < now:
+                    kept[key] = (time, first, max(time, now) + 40)
+                elif until is not None and until < now:
+                    del kept[key]
+            assert sorted(bucket.batch([*rows, (letter, 1), (letter, 1)])) == sorted([*want, letter, letter]), (length, seed, step)
+        assert len(bucket.log) <= length + 1
+        # Nothing stays once all is forgotten.
+        for _ in range(3):
+            bucket.now += 1000
+            bucket.batch([])
+        assert not bucket.log and not bucket.timers
+
+
+def test_state_calls_do_not_grow_with_the_executions():
+    calls = []
+    for count in (1, 5000):
+        bucket = Bucket(10**9)
+        for batch in range(3):
+            assert len(bucket.batch([(f"{batch}-{i}", 10 + batch) for i in range(count)])) == count
+            assert not bucket.batch([(f"{batch}-{i}", 10 + batch) for i in range(count)])
+        calls.append(bucket.calls)
+    assert calls[0] == calls[1] < 40
+
+
+def test_rows_are_packed_by_bucket_and_unpacked_whole(monkeypatch):
+    monkeypatch.setattr(dedupe, "PACKED_ROWS", 30)
+    count, clock = 100, pa.timestamp("us", tz="UTC")
+    keys = [dedupe.TICK if i % 25 == 0 else dedupe.BAD + str(i) if i % 10 == 0 else f"k{i}" for i in range(count)]
+    rows = pa.table({
+        "_key": keys, "_us": pa.array([None if i % 3 else i for i in range(count)], pa.int64()), "big": pa.array([2**62 + i for i in range(count)]),
+        "_clock": pa.array([i if k == dedupe.TICK else None for i, k in enumerate(keys)], pa.int64()).cast(clock),
+        "_bucket": pa.array([None if k == dedupe.TICK else i % 7 for i, k in enumerate(keys)], pa.int32()),
+    })
+    out = list(dedupe.pack(iter(rows.to_batches(max_chunksize=20))))
+    blocks = pa.Table.from_batches(out)
+    assert blocks["_bucket"].to_pylist()[-1] == -1 and blocks["_clock"].cast(pa.int64()).to_pylist()[-1] == 75
+    assert blocks["_clock"].null_count == blocks.num_rows - 1 and blocks.num_rows <= 4 * 7 + 1
+    whole = pa.Table.from_batches([b for b in dedupe.unpack(iter(o.filter(pa.compute.is_valid(o["_rows"])) for o in out))])
+    want = rows.filter(pa.compute.not_equal(rows["_key"], dedupe.TICK)).drop_columns(["_clock", "_bucket"])
+    assert whole.sort_by("big").equals(want.sort_by("big"))
+    assert list(dedupe.pack(iter([]))) == []
+
+
+def test_state_has_no_more_stores_than_cores_can_use(spark):
+    before = {name: spark.conf.get(name, None) for name in (dedupe.PARTITIONS, dedupe.PROVIDER, dedupe.CHANGELOG)}
+    most = max(2 * spark.sparkContext.defaultParallelism, dedupe.LEAST_STORES)
+    try:
+        for width, stores in ((3, 3), (5000, most)):
+            spark.conf.set(dedupe.PARTITIONS, width)
+            with dedupe.keyed_state(spark):
+                assert spark.conf.get(dedupe.PARTITIONS) == str(stores)
+            assert spark.conf.get(dedupe.PARTITIONS) == str(width)
+    finally:
+        spark.conf.set(dedupe.PARTITIONS, before[dedupe.PARTITIONS])
+    assert before == {name: spark.conf.get(name, None) for name in before}
+
+
 def test_all_landed_files_make_one_batch_unless_they_are_counted(spark, tmp_path):
     source = str(tmp_path / "source")
     spark.range(40).repartition(4).write.parquet(source)
